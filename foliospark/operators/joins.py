@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.dates import add_months, month_diff
-from foliospark.operators.skew import DEFAULT, SkewPolicy, skew_join, skew_joins
+from foliospark.operators.skew import DEFAULT, SkewPolicy, hot_keys, skew_join, skew_joins
 from foliospark.operators.windows import first_per
 
 
@@ -17,15 +17,14 @@ def shift_month(df: DataFrame, month: str, n: int) -> DataFrame:
     return df.withColumn(month, add_months(month, n))
 
 
-def translate_id(
-    df: DataFrame, ids: DataFrame, external: str, internal: str, policy: SkewPolicy = DEFAULT
-) -> DataFrame:
+def translate_id(df: DataFrame, ids: DataFrame, external: str, internal: str) -> DataFrame:
     """Adds the internal id of an external one; unknown ids stay, with NULL.
 
-    ``ids`` has the columns ``external`` and ``internal``. Spark broadcasts it when its
-    measured size is below the session's limit and shuffles both sides otherwise.
+    ``df`` must be reduced to few rows per id first (all callers aggregate), so no id is
+    hot. Spark broadcasts ``ids`` when its measured size is below the session's limit and
+    shuffles both sides otherwise.
     """
-    return skew_join(df, ids.select(external, internal), [external], "left", policy=policy)
+    return skew_join(df, ids.select(external, internal), [external], "left", hot=None)
 
 
 def matched(df: DataFrame, other: DataFrame, on: Sequence[str], policy: SkewPolicy = DEFAULT) -> DataFrame:
@@ -40,7 +39,6 @@ def asof_within(
     month: str,
     value: str,
     months: int | None,
-    policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
     """For each (key, month) of ``base``: the ``value`` of the latest ``right`` month at or before it.
 
@@ -57,27 +55,11 @@ def asof_within(
         reach = F.col(month) >= F.col("__from")
         return reach if months is None else reach & (month_diff(month, "__from") <= months)
 
-    candidates = skew_join(pairs, latest, [key], "left", residual=in_reach, policy=policy)
+    # both sides now hold at most one row per key and month: no key is hot
+    candidates = skew_join(pairs, latest, [key], "left", residual=in_reach, hot=None)
     return first_per(candidates, [key, month], [F.col("__from").desc_nulls_last()]).drop("__from")
 
 
-def before_deadline(
-    events: DataFrame,
-    deadlines: DataFrame,
-    key: str,
-    event_date: str,
-    deadline: Column,
-    policy: SkewPolicy = DEFAULT,
-) -> DataFrame:
-    """Events of a listed key dated no later than its deadline, once per deadline row."""
-    limits = deadlines.select(F.col(key), deadline.alias("__deadline"))
-    joined = skew_join(
-        events, limits, [key], "inner",
-        residual=lambda: F.col(event_date) <= F.col("__deadline"), policy=policy,
-    )
-    return joined.drop("__deadline")
-
-
 def follow_up(
     base: DataFrame,
     panel: DataFrame,
@@ -103,6 +85,7 @@ def outcome_window(
     horizons: dict[int, dict[str, tuple[str, str]]],
     months_seen: dict[int, str],
     policy: SkewPolicy = DEFAULT,
+    hot: DataFrame | None | str = "detect",
 ) -> DataFrame:
     """Outcomes of each base row over several forward horizons, from one join to the longest.
 
@@ -119,6 +102,7 @@ def outcome_window(
         residual=lambda: (F.col("__month") >= F.col(month))
         & (F.col("__month") <= add_months(month, longest)),
         policy=policy,
+        hot=hot,
     )
     aggregates = []
     for h, outputs in horizons.items():
@@ -150,8 +134,6 @@ def enrich(
     known = dict(hot or {})
     for on in groups:
         if on not in known:
-            from foliospark.operators.skew import hot_keys
-
             known[on] = hot_keys(base, on, policy)
     out = base
     for on, tables in groups.items():

@@ -68,6 +68,7 @@ def skew_joins(
     residual: Callable[[], Column] | None = None,
     policy: SkewPolicy = DEFAULT,
     hot: DataFrame | None | str = "detect",
+    count_in: DataFrame | None = None,
 ) -> DataFrame:
     """``left`` joined (left or inner) to each of ``rights`` on equal ``on`` columns.
 
@@ -75,10 +76,14 @@ def skew_joins(
     over column names. Rows of ``left`` under a hot key are spread over ``policy.salts``
     pieces and the matching rows of each right side are repeated once per piece. The
     right sides should be keyed by ``on`` or close to it: what is repeated is their rows.
+
+    The keys are counted in ``count_in`` if given: a stored table with the same columns
+    and at least the rows of ``left``, cheaper to read than ``left`` is to compute. Pass
+    ``hot=None`` where no key of ``left`` can have many rows, or a list already found.
     """
     on = list(on)
     if isinstance(hot, str):
-        hot = hot_keys(left, on, policy)
+        hot = hot_keys(left if count_in is None else count_in, on, policy)
     keep = left.columns
     if hot is not None:
         left = mark_hot(left, hot, on)
@@ -174,25 +179,30 @@ def previous_row(
 def row_numbers(
     df: DataFrame,
     keys: Sequence[str],
-    order: str,
+    order: Sequence[tuple[str, str]],
     name: str,
-    descending: bool = False,
     policy: SkewPolicy = DEFAULT,
     hot: DataFrame | None | str = "detect",
 ) -> DataFrame:
-    """Numbers the rows of each key from 1 by ``order`` (a date or another coarse column).
+    """Numbers the rows of each key from 1 by ``order``: ``(column, "asc" | "desc")``, coarse columns.
 
-    Equal ``order`` values are ranked by a hash of the row. A hot key is numbered block
-    by block, each block starting after the rows of the blocks before it.
+    Rows equal in all of them are ranked by a hash of the row. NULLs come first ascending
+    and last descending. A hot key is numbered block by block, a block being one value of
+    the order columns and one hash range; it starts after the rows of the blocks before it.
     """
     keys = list(keys)
     if isinstance(hot, str):
         hot = hot_keys(df, keys, policy)
-    by_order = (lambda c: F.col(c).desc_nulls_last()) if descending else (lambda c: F.col(c).asc_nulls_first())
     base = df.withColumn("__tie", F.xxhash64(*df.columns))
 
+    def sorting(prefix: str = "") -> list[Column]:
+        return [
+            F.col(prefix + c).desc_nulls_last() if way == "desc" else F.col(prefix + c).asc_nulls_first()
+            for c, way in order
+        ]
+
     def number(frame: DataFrame, by: Sequence[str]) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(by_order(order), F.col("__tie"))
+        w = Window.partitionBy(*by).orderBy(*sorting(), F.col("__tie"))
         return frame.withColumn(name, F.row_number().over(w).cast("bigint"))
 
     if hot is None:
@@ -200,16 +210,15 @@ def row_numbers(
 
     marked = mark_hot(base, hot, keys)
     plain = number(marked.filter(~F.col("__hot")), keys).drop("__hot", "__tie")
-    block = ["__order", "__block"]
-    cut = (
-        marked.filter("__hot")
-        .drop("__hot")
-        .withColumn("__order", F.col(order))
-        .withColumn("__block", F.shiftright(F.col("__tie"), 64 - policy.salt_bits))
+    block = ["__o_" + c for c, _ in order] + ["__block"]
+    cut = marked.filter("__hot").drop("__hot")
+    cut = cut.withColumns(
+        {"__o_" + c: F.col(c) for c, _ in order}
+        | {"__block": F.shiftright(F.col("__tie"), 64 - policy.salt_bits)}
     )
     w_key = (
         Window.partitionBy(*keys)
-        .orderBy(by_order("__order"), F.col("__block"))
+        .orderBy(*sorting("__o_"), F.col("__block"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     starts = (

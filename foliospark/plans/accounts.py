@@ -46,8 +46,7 @@ def client_ids(id_map: DataFrame) -> DataFrame:
 
 
 def fraud_clients(
-    feed_a: DataFrame, feed_b: DataFrame, transactions: DataFrame, fraud_transactions: DataFrame,
-    ids: DataFrame, params: TrackingParams = TrackingParams(),
+    feed_a: DataFrame, feed_b: DataFrame, transactions: DataFrame, fraud_transactions: DataFrame, ids: DataFrame
 ) -> DataFrame:
     """Latest fraud date per client over the three feeds."""
     confirmed = transactions.join(fraud_transactions.select("id_trx"), "id_trx", "left_semi")
@@ -55,7 +54,7 @@ def fraud_clients(
     by_counterparty = confirmed.groupBy(col("cod_contraparte").alias("IdCorporativo")).agg(
         F.max(col("fecha_informacion").cast("date")).alias("FechaFraude")
     )
-    translated = translate_id(by_counterparty, ids, "IdCorporativo", "IdCliente", params.skew)
+    translated = translate_id(by_counterparty, ids, "IdCorporativo", "IdCliente")
     feeds = union_all(
         feed_a.select(col("rut").alias("IdCliente"), col("fecha_fraude").alias("FechaFraude")),
         feed_b.select(col("id_cliente").alias("IdCliente"), col("fecha_venta").alias("FechaFraude")),
@@ -111,9 +110,13 @@ def permanent_blocks(blocks: DataFrame, params: TrackingParams = TrackingParams(
 
 
 def openings(
-    panel: DataFrame, fraud: DataFrame, blocks: DataFrame, params: TrackingParams = TrackingParams()
+    panel: DataFrame, fraud: DataFrame, blocks: DataFrame,
+    params: TrackingParams = TrackingParams(), stored: DataFrame | None = None,
 ) -> DataFrame:
-    """Accounts opened in the month, or active again after being suspended."""
+    """Accounts opened in the month, or active again after being suspended.
+
+    ``stored`` may name a stored table with the panel's rows, to count keys in.
+    """
     back = (col("IdSitu") == 1) & (col("IdSitu_Mmenos1") == 2)
     opened = month_start("FechaApertura") == col("FechaFoto")
     # the choice needs panel columns only: make it before any join
@@ -125,8 +128,10 @@ def openings(
         ),
         "FechaFoto", 1,
     )
-    joined = skew_join(chosen, fraud, ["IdCliente"], policy=params.skew)
-    joined = skew_join(joined, block, ["ContratoAlterno", "FechaFoto"], policy=params.skew)
+    count_in = chosen if stored is None else stored
+    joined = skew_join(chosen, fraud, ["IdCliente"], policy=params.skew, count_in=count_in)
+    # the old source has one alternate id for all accounts, which makes its months hot here
+    joined = skew_join(joined, block, ["ContratoAlterno", "FechaFoto"], policy=params.skew, count_in=count_in)
     code = or_zero(safe_cast("CodigoActividad", "bigint"))
     use = [
         (floor_zero("DeudaL2") > 0, "Super Avance"),

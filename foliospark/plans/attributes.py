@@ -94,7 +94,9 @@ def bureau_windows(bureau: DataFrame, params: TrackingParams = P) -> DataFrame:
     return date_range(summed, "FechaFoto", first=params.bureau_from).select(*out)
 
 
-def vintage_outcomes(stock: DataFrame, panel: DataFrame, params: TrackingParams = P) -> DataFrame:
+def vintage_outcomes(
+    stock: DataFrame, panel: DataFrame, params: TrackingParams = P, hot: DataFrame | None | str = "detect"
+) -> DataFrame:
     """Balances, months seen, delinquency and activity 2, 3, 6 and 12 months after opening."""
     moved = F.coalesce(col("FechaUltimoMovimiento"), date_lit("1800-01-01")) > date_lit("1800-01-01")
     cells = (
@@ -121,7 +123,7 @@ def vintage_outcomes(stock: DataFrame, panel: DataFrame, params: TrackingParams
         horizons[h] = outputs
     return outcome_window(
         stock, cells, ["FechaFoto", "IdCliente", "Contrato"], "Contrato", "FechaFoto",
-        horizons, {h: f"MesesConVintageMes{h:02d}" for h in horizons}, params.skew,
+        horizons, {h: f"MesesConVintageMes{h:02d}" for h in horizons}, params.skew, hot,
     )
 
 
@@ -174,13 +176,13 @@ def vehicle_totals(vehicles: DataFrame, master: DataFrame, params: TrackingParam
     )
     # summed per owner before the ids are translated: fewer rows to join, same totals
     owners = rows.groupBy("IdCorporativo", "FechaFoto").agg(F.sum("TasacionTotal").alias("TasacionTotal"))
-    owned = translate_id(owners, master, "IdCorporativo", "IdCliente", params.skew)
+    owned = translate_id(owners, master, "IdCorporativo", "IdCliente")
     return owned.groupBy("IdCliente", "FechaFoto").agg(F.sum("TasacionTotal").alias("TasacionTotal"))
 
 
 def vehicle_wealth(stock: DataFrame, vehicles: DataFrame, master: DataFrame, params: TrackingParams = P) -> DataFrame:
     totals = vehicle_totals(vehicles, master, params)
-    return asof_within(stock, totals, "IdCliente", "FechaFoto", "TasacionTotal", 12, params.skew)
+    return asof_within(stock, totals, "IdCliente", "FechaFoto", "TasacionTotal", 12)
 
 
 def property_totals(real_estate: DataFrame, houses: DataFrame, master: DataFrame, params: TrackingParams = P) -> DataFrame:
@@ -197,14 +199,14 @@ def property_totals(real_estate: DataFrame, houses: DataFrame, master: DataFrame
     owners = date_range(rows, "FechaFoto", before=params.wealth_before).groupBy("IdCorporativo", "FechaFoto").agg(
         F.sum("AvaluoTotal").alias("AvaluoTotal")
     )
-    owned = translate_id(owners, master, "IdCorporativo", "IdCliente", params.skew)
+    owned = translate_id(owners, master, "IdCorporativo", "IdCliente")
     homes = owned.groupBy("IdCliente", "FechaFoto").agg(F.sum("AvaluoTotal").alias("AvaluoTotal"))
     return union_all(estates, homes)
 
 
 def property_wealth(stock: DataFrame, real_estate: DataFrame, houses: DataFrame, master: DataFrame, params: TrackingParams = P) -> DataFrame:
     totals = property_totals(real_estate, houses, master, params)
-    return asof_within(stock, totals, "IdCliente", "FechaFoto", "AvaluoTotal", 12, params.skew)
+    return asof_within(stock, totals, "IdCliente", "FechaFoto", "AvaluoTotal", 12)
 
 
 def preapproved_base(base: DataFrame) -> DataFrame:
@@ -223,7 +225,9 @@ def person_latest(persons: DataFrame, ids: DataFrame, params: TrackingParams = P
     )
     newest = lambda c: col(c).desc_nulls_last()
     order = [newest("__loaded"), newest("FechaNacimientoBuro"), newest("FechaDefuncion"), newest("NacionalidadBuro")]
-    owned = translate_id(rows, ids, "IdCorporativo", "IdCliente", params.skew)
+    # the newest record per registry id, then per client: same winner, little to translate
+    newest_each = first_per(rows, ["IdCorporativo"], order)
+    owned = translate_id(newest_each, ids, "IdCorporativo", "IdCliente")
     return first_per(owned, ["IdCliente"], order).drop("__loaded", "IdCorporativo")
 
 
@@ -257,7 +261,9 @@ def _newest_application() -> list[Column]:
     return [col("DRegistro").desc_nulls_last(), col("NumeroSolicitud").desc_nulls_last()]
 
 
-def last_application(stock: DataFrame, log: DataFrame, params: TrackingParams = P) -> DataFrame:
+def last_application(
+    stock: DataFrame, log: DataFrame, params: TrackingParams = P, hot: DataFrame | None | str = "detect"
+) -> DataFrame:
     """For each account and month its client's latest application up to that month.
 
     ``FechaFoto`` and ``IdCliente`` are those of the application (NULL without one).
@@ -267,7 +273,8 @@ def last_application(stock: DataFrame, log: DataFrame, params: TrackingParams =
     newest = newest.withColumnRenamed("FechaFoto", "__applied").withColumn("__client", col("IdCliente"))
     asked = stock.select("IdCliente", "Contrato", col("FechaFoto").alias("__asked")).distinct()
     candidates = skew_join(
-        asked, newest, ["IdCliente"], residual=lambda: col("__asked") >= col("__applied"), policy=params.skew
+        asked, newest, ["IdCliente"], residual=lambda: col("__asked") >= col("__applied"),
+        policy=params.skew, hot=hot, count_in=stock,
     )
     latest = first_per(candidates, ["Contrato", "__asked"], _newest_application())
     return latest.drop("IdCliente", "__asked").withColumnsRenamed({"__applied": "FechaFoto", "__client": "IdCliente"})

@@ -14,7 +14,7 @@ from foliospark.operators.sets import union_distinct
 from foliospark.operators.skew import previous_row, skew_join
 from foliospark.operators.windows import first_per
 from foliospark.plans.params import CohortParams
-from foliospark.sources.io import snapshots
+from foliospark.sources.io import snapshots, store
 
 FIRST_OFFSET, LAST_OFFSET = -1, 10
 # Labels of the month offsets
@@ -70,7 +70,6 @@ def increase_follow_up(
         F.col("contrato").alias("Contrato"), "FechaFoto",
         F.col("fcupo").alias("__limit"), F.col("fsaldeud").alias("__debt"), F.col("moraac").alias("__dpd"),
     )
-    # one row per client: no key is hot unless one account serves very many clients
     joined = follow_up(base, months, "Contrato", "FechaAumento", "FechaFoto", FIRST_OFFSET, params.skew)
     joined = joined.withColumn("__k", month_diff("FechaFoto", "FechaAumento"))
     debt = gated_by_offset(F.col("__k"), F.col("__debt"), FIRST_OFFSET, LAST_OFFSET)
@@ -117,6 +116,7 @@ def limit_cohort_report(wide: DataFrame, params: CohortParams = CohortParams())
 def limit_cohort(account_month: DataFrame, stage1: DataFrame, stage2: DataFrame, params: CohortParams = CohortParams()) -> DataFrame:
     """The whole study, from the account snapshots and the two campaign lists to the report."""
     panel = month_panel(account_month, params)
-    increases = first_increase(limit_changes(panel, params))
+    # one row per client, read by the hot-key check and by the join
+    increases = store(first_increase(limit_changes(panel, params)), "first_increase")
     follow = increase_follow_up(increases, campaign_clients(stage1, stage2), panel, params)
     return limit_cohort_report(increase_pivot(follow), params)

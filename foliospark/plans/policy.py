@@ -142,8 +142,8 @@ EFFECTIVE = {
         "AGOSTO22": "2022-08-01", "OCTUBRE22": "2022-10-01", "NOVIEMBRE22": "2022-11-01", "FEBRERO23": "2023-02-01",
     },
 }
-# Reason codes the roll-up does not know. No account gets the first two:
-# an earlier rule takes every account they could apply to.
+# Reason codes the roll-up does not know. No account gets them: the first
+# rule takes every account they could apply to.
 NOT_ROLLED_UP = {
     "in force": {"RECHAZO POLITICA MAYO22 NB ConInfo", "RECHAZO MODELO MAYO22 NOBANCARIZADO"},
     "would be": {"RECHAZO MODELO MAYO22 NOBANCARIZADO"},

@@ -11,7 +11,7 @@ from foliospark.functions.dates import col, day_diff, month_diff
 from foliospark.functions.scalars import flag, floor_zero, or_zero, ratio_or
 from foliospark.operators.joins import enrich
 from foliospark.operators.rules import band, first_true, fresh_else, segment
-from foliospark.operators.skew import row_numbers
+from foliospark.operators.skew import hot_keys, row_numbers
 from foliospark.plans import accounts, attributes, ladders, policy
 from foliospark.plans.params import TrackingParams
 from foliospark.sources.io import store
@@ -129,17 +129,26 @@ def derived(joined: DataFrame) -> DataFrame:
     )
 
 
-def enriched(stock: DataFrame, attribute_tables: dict[str, DataFrame], params: TrackingParams = P) -> DataFrame:
-    """Reopened and newly opened accounts, not renegotiated, with all attributes.
+CLIENT, CONTRACT = ["IdCliente", "FechaFoto"], ["Contrato", "FechaFoto"]
 
-    ``stock`` should be a stored table: its hot keys are looked up once per join key.
-    """
+
+def stock_hot_keys(stock: DataFrame, params: TrackingParams = P) -> dict[tuple[str, ...], DataFrame | None]:
+    """Hot keys of the (stored) openings for every key the attributes are joined on."""
+    return {tuple(on): hot_keys(stock, on, params.skew) for on in (CLIENT, CONTRACT, ["IdCliente"], ["Contrato"])}
+
+
+def enriched(
+    stock: DataFrame, attribute_tables: dict[str, DataFrame], params: TrackingParams = P,
+    hot: dict[tuple[str, ...], DataFrame | None] | None = None,
+) -> DataFrame:
+    """Reopened and newly opened accounts, not renegotiated, with all attributes."""
     t = attribute_tables
     base = stock.filter(col("Reapertura").isin("Reapertura", "Originacion"))
     # marks are one row per contract, so keeping the unmarked is an anti join
     base = base.join(t["renegotiated"].select("Contrato"), "Contrato", "left_anti")
-    client, contract = ["IdCliente", "FechaFoto"], ["Contrato", "FechaFoto"]
+    client, contract = CLIENT, CONTRACT
     application = t["last_application"].withColumnRenamed("IdCliente", "__called")
+    hot = stock_hot_keys(stock, params) if hot is None else hot
     joined = enrich(
         base,
         [
@@ -160,11 +169,17 @@ def enriched(stock: DataFrame, attribute_tables: dict[str, DataFrame], params: T
             (t["fraud_contracts"], ["Contrato"]),
         ],
         params.skew,
+        hot,
     )
+    rows = derived(joined)
+    # contracts repeated in the fraud list multiply their rows: look for busy ones before numbering
+    repeats = stock.select(*contract).join(t["fraud_contracts"].select("Contrato"), "Contrato", "left")
+    busy = hot_keys(repeats, contract, params.skew)
+    if busy is not None:
+        rows = store(rows, "enriched")  # the busy keys read it more than once
     # no row is dropped: the number only marks repeats of an account in a month
-    return row_numbers(
-        derived(joined), contract, "FechaSolicitud", "Ranking", descending=True, policy=params.skew, hot=None
-    )
+    order = [("FechaSolicitud", "desc"), ("DescripcionBloqueo", "asc")]
+    return row_numbers(rows, contract, order, "Ranking", policy=params.skew, hot=busy)
 
 
 def segmented(rows: DataFrame) -> DataFrame:
@@ -211,20 +226,22 @@ def build_stock(table: Callable[[str], DataFrame], params: TrackingParams = P) -
     ids = accounts.client_ids(table("client_id_map"))
     fraud = accounts.fraud_clients(
         table("fraud_clients_a"), table("fraud_clients_b"), table("fin_transactions"),
-        table("fraud_transactions"), ids, params,
+        table("fraud_transactions"), ids,
     )
     # several steps read the panel and all read the openings: each is computed once
     rows = store(accounts.panel_rows(table("account_month_old"), table("account_month"), params), "panel")
     panel = accounts.account_panel(rows, params)
     blocks = accounts.permanent_blocks(table("contract_blocks"), params)
-    stock = store(accounts.openings(panel, fraud, blocks, params), "openings")
+    stock = store(accounts.openings(panel, fraud, blocks, params, rows), "openings")
     return rows, stock
 
 
 def build_attributes(
-    table: Callable[[str], DataFrame], panel: DataFrame, stock: DataFrame, params: TrackingParams = P
+    table: Callable[[str], DataFrame], panel: DataFrame, stock: DataFrame, params: TrackingParams = P,
+    hot: dict[tuple[str, ...], DataFrame | None] | None = None,
 ) -> dict[str, DataFrame]:
     a = attributes
+    hot = stock_hot_keys(stock, params) if hot is None else hot
     ids = accounts.client_ids(table("client_id_map"))
     master = a.master_ids(table("client_master"))
     return {
@@ -232,7 +249,7 @@ def build_attributes(
         "fraud_contracts": accounts.fraud_contracts(table("fraud_contracts")),
         "estimated_income": a.estimated_income(table("income_logic"), params),
         "bureau_windows": a.bureau_windows(table("bureau_month"), params),
-        "vintage_outcomes": a.vintage_outcomes(stock, panel, params),
+        "vintage_outcomes": a.vintage_outcomes(stock, panel, params, hot[("Contrato",)]),
         "preapproval_grade": a.preapproval_grade(table("preapproval_scores"), params),
         "preapproval_grade_restated": a.preapproval_grade_restated(table("preapproval_scores_restated"), params),
         "mini_policy": a.mini_policy(table("mini_policy"), params),
@@ -240,7 +257,7 @@ def build_attributes(
         "property_wealth": a.property_wealth(stock, table("real_estate_month"), table("houses"), master, params),
         "preapproved_base": a.preapproved_base(table("preapproved_base")),
         "person_latest": a.person_latest(table("bureau_person"), ids, params),
-        "last_application": a.last_application(stock, table("application_log"), params),
+        "last_application": a.last_application(stock, table("application_log"), params, hot[("IdCliente",)]),
         "retail_spend": a.retail_spend(
             stock, table("retail_spend_s"), table("retail_spend_f"), table("retail_spend_t"), params
         ),
@@ -252,4 +269,6 @@ def build_attributes(
 def build_tracking(table: Callable[[str], DataFrame], params: TrackingParams = P) -> DataFrame:
     """The whole job, from the inputs to the tracking table."""
     panel, stock = build_stock(table, params)
-    return tracking(segmented(enriched(stock, build_attributes(table, panel, stock, params), params)))
+    hot = stock_hot_keys(stock, params)
+    attribute_tables = build_attributes(table, panel, stock, params, hot)
+    return tracking(segmented(enriched(stock, attribute_tables, params, hot)))

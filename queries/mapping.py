@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliospark.sources.io import read, store
+
 TABLES = ["lineitem", "orders", "customer", "events"]
 
 
@@ -212,7 +214,25 @@ SPARK_SOURCES = sources(SPARK)
 DUCK_SOURCES = sources(DUCK)
 
 
-def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql = SPARK_SOURCES[name]
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
-    return spark.sql(sql, **used)
+class Inputs:
+    """The plans' inputs by name, each derived once; tables read often are stored."""
+
+    STORED = {"cohort_month"}
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self._tables: dict[str, DataFrame] = {}
+        self._known: dict[str, DataFrame] = {}
+
+    def table(self, name: str) -> DataFrame:
+        """One of the provided tables."""
+        if name not in self._tables:
+            self._tables[name] = read(self.spark, self.sf_dir, name)
+        return self._tables[name]
+
+    def __call__(self, name: str) -> DataFrame:
+        if name not in self._known:
+            sql = SPARK_SOURCES[name]
+            df = self.spark.sql(sql, **{t: self.table(t) for t in TABLES if "{" + t + "}" in sql})
+            self._known[name] = store(df, name) if name in self.STORED else df
+        return self._known[name]
