@@ -9,7 +9,7 @@ do not depend on the order of addition.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +43,12 @@ def text(expr: str) -> str:
     return f"CAST({expr} AS STRING)"
 
 
+def whole(expr: str) -> str:
+    return f"CAST(floor({expr}) AS DOUBLE)"
+
+
 def whole_text(expr: str) -> str:
-    return f"CAST(CAST(round({expr}) AS BIGINT) AS STRING)"
+    return f"CAST(CAST(floor({expr}) AS BIGINT) AS STRING)"
 
 
 def _folded(date: str, months: int) -> str:
@@ -52,11 +56,7 @@ def _folded(date: str, months: int) -> str:
 
 
 def _lines(d: Dialect, months: int = 28) -> str:
-    return f"""(SELECT o.o_custkey AS client, o.o_custkey * 10 + l.l_linenumber % 2 AS account,
-        {_folded('l.l_shipdate', months)} AS mi, o.o_orderkey, o.o_totalprice, o.o_orderdate, o.o_orderstatus,
-        l.l_partkey, l.l_linenumber, l.l_quantity, l.l_extendedprice, l.l_discount, l.l_tax,
-        l.l_returnflag, l.l_linestatus, l.l_shipdate
-      FROM {d.table('lineitem')} l JOIN {d.table('orders')} o ON l.l_orderkey = o.o_orderkey) f"""
+    return f"(SELECT *, {_folded('l_shipdate', months)} AS mi FROM {d.table('lines')}) f"
 
 
 def _orders(d: Dialect, months: int = 28) -> str:
@@ -70,16 +70,16 @@ def _account(d: Dialect, first: int, last: int) -> str:
     return f"""(SELECT client, account, mi, {month_at('mi')} AS mes,
         CASE WHEN account % 3 = 0 THEN '9999' ELSE {text('account % 50')} END AS branch,
         CASE WHEN account % 97 = 0 THEN 0.0 WHEN account % 211 = 0 THEN 50000.0
-             ELSE round(max(o_totalprice)) * 4 END AS cupo,
+             ELSE {whole('max(o_totalprice)')} * 4 END AS cupo,
         CASE WHEN account % 19 = 17 THEN 'x' WHEN account % 19 = 18 THEN NULL ELSE {text('account % 19')} END AS job,
         CASE WHEN account % 211 = 0 THEN DATE '2022-09-15' ELSE {opened} END AS opened,
         CASE WHEN account % 211 = 0 THEN DATE '1990-05-05'
              ELSE make_date(CAST(1945 + client % 60 AS INT), CAST(client % 12 + 1 AS INT), CAST(client % 28 + 1 AS INT)) END AS born,
-        sum(round(l_extendedprice)) - CASE WHEN account % 13 = 0 THEN 90000.0 ELSE 0.0 END AS l1,
-        CASE WHEN account % 4 = 0 THEN sum(round(l_extendedprice * l_discount)) ELSE 0.0 END AS l2,
-        CASE WHEN account % 5 = 0 THEN NULL ELSE sum(round(l_extendedprice * l_tax)) END AS l3,
+        sum({whole('l_extendedprice')}) - CASE WHEN account % 13 = 0 THEN 90000.0 ELSE 0.0 END AS l1,
+        CASE WHEN account % 4 = 0 THEN sum({whole('l_extendedprice * l_discount')}) ELSE 0.0 END AS l2,
+        CASE WHEN account % 5 = 0 THEN NULL ELSE sum({whole('l_extendedprice * l_tax')}) END AS l3,
         max(abs({d.days_between('l_shipdate', 'o_orderdate')}) % 120) AS mora,
-        CASE min(l_returnflag) WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS situ,
+        min(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END) AS situ,
         CASE WHEN account % 6 = 0 THEN NULL ELSE max(CAST(l_shipdate AS DATE)) END AS moved
       FROM {_lines(d)} WHERE mi BETWEEN {first} AND {last} GROUP BY client, account, mi) a"""
 
@@ -91,6 +91,9 @@ def sources(d: Dialect) -> dict[str, str]:
     corporate = f"concat('C', {text('client')})"
     score = lambda a, b: f"CAST((client * {a} + mi * {b}) % 1024 AS DOUBLE) / 2048"
     out: dict[str, str] = {}
+    out["lines"] = f"""SELECT o_custkey AS client, o_custkey * 10 + l_linenumber % 2 AS account, o_totalprice, o_orderdate,
+        l_partkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate
+      FROM {d.table('lineitem')} JOIN {d.table('orders')} ON l_orderkey = o_orderkey"""
     out["client_id_map"] = f"""SELECT {text('c_custkey')} AS id_cliente, concat('C', {text('c_custkey')}) AS id_corporativo
       FROM {d.table('customer')}"""
     out["client_master"] = f"""SELECT {text('c_custkey')} AS idcliente, concat('C', {text('c_custkey')}) AS idcorporativo
@@ -128,15 +131,15 @@ def sources(d: Dialect) -> dict[str, str]:
         CAST(CASE WHEN event_type = 'error' THEN 96022 ELSE 1000 + event_id % 7 END AS BIGINT) AS tipofac,
         event_type AS destipfac FROM {d.table('events')}"""
     out["income_logic"] = f"""SELECT {month_at('mi', 2020, 10)} AS fecha_foto, client AS id_cliente,
-        CASE WHEN client % 9 = 0 THEN NULL WHEN client % 10 = 0 THEN 0.0 ELSE round(max(o_totalprice)) * 3 END AS renta_final,
+        CASE WHEN client % 9 = 0 THEN NULL WHEN client % 10 = 0 THEN 0.0 ELSE {whole('max(o_totalprice)')} * 3 END AS renta_final,
         CASE WHEN client % 2 = 0 THEN 'Modelo' ELSE 'Declarada' END AS tipo_renta_final,
-        CASE WHEN client % 3 = 0 THEN 0.0 ELSE round(min(o_totalprice)) END AS renta_compras
+        CASE WHEN client % 3 = 0 THEN 0.0 ELSE {whole('min(o_totalprice)')} END AS renta_compras
       FROM {_orders(d, 30)} GROUP BY client, mi"""
     out["bureau_month"] = f"""SELECT {month_at('mi', 2020, 5)} AS fecha_foto, client AS id_cliente,
-        round(sum(l_extendedprice) / 100) AS linea_disp,
-        sum(CASE WHEN l_returnflag <> 'A' THEN round(l_extendedprice / 20) END) AS dconsumo,
-        sum(CASE WHEN l_returnflag = 'N' THEN round(l_extendedprice / 50) ELSE 0.0 END) AS dcomercial,
-        CASE WHEN client % 7 = 0 THEN 0.0 ELSE sum(round(l_extendedprice / 10)) END AS dhipotecar
+        {whole('sum(l_extendedprice) / 100')} AS linea_disp,
+        sum(CASE WHEN l_returnflag <> 'A' THEN {whole('l_extendedprice / 20')} END) AS dconsumo,
+        sum(CASE WHEN l_returnflag = 'N' THEN {whole('l_extendedprice / 50')} ELSE 0.0 END) AS dcomercial,
+        CASE WHEN client % 7 = 0 THEN 0.0 ELSE sum({whole('l_extendedprice / 10')}) END AS dhipotecar
       FROM {_lines(d, 33)} GROUP BY client, mi"""
     out["preapproval_scores"] = f"""SELECT {month_at('mi', 2020, 9)} AS fecha_foto, client AS id_cliente,
         CASE client % 5 WHEN 0 THEN 'BANCARIZADO MAYOR 21' WHEN 1 THEN 'NO BANCARIZADO MAYOR 21'
@@ -179,7 +182,7 @@ def sources(d: Dialect) -> dict[str, str]:
         CASE WHEN o_orderkey % 2 = 0 THEN 'S' ELSE 'N' END AS aiprevmfirmaautoprev, {text(applied)} AS diaccocfecrenta,
         CASE WHEN o_orderkey % 4 = 0 THEN 'EVA' ELSE 'ALT' END AS ctiposolic,
         CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE {whole_text('o_totalprice * 5')} END AS niaprenta,
-        CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE round(o_totalprice) * 4 END AS rentpromprev,
+        CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE {whole('o_totalprice')} * 4 END AS rentpromprev,
         CAST(o_orderkey % 90 AS BIGINT) AS antprevired, CAST(o_orderkey % 4 AS BIGINT) AS numcotival,
         CASE WHEN o_orderkey % 50 = 0 THEN 'S' ELSE 'N' END AS aexctacastigada,
         CASE WHEN o_orderkey % 3 = 1 THEN {whole_text('o_totalprice * 100')} ELSE NULL END AS niapavaluopropiedad,
@@ -190,20 +193,20 @@ def sources(d: Dialect) -> dict[str, str]:
       FROM {_orders(d, 34)}"""
     for letter, flag in (("s", "A"), ("f", "N"), ("t", "R")):
         out[f"retail_spend_{letter}"] = f"""SELECT {month_at('mi', 2020, 10)} AS fecha_foto, client AS id_cliente,
-            CASE WHEN client % 3 = 0 THEN 0.0 ELSE sum(round(l_extendedprice)) END AS monto_{letter}_12m
+            CASE WHEN client % 3 = 0 THEN 0.0 ELSE sum({whole('l_extendedprice')}) END AS monto_{letter}_12m
           FROM {_lines(d, 30)} WHERE l_returnflag = '{flag}' GROUP BY client, mi"""
     out["provision_pd"] = f"""SELECT {month_at('mi')} AS fechacarga, {contract} AS ctacontrato, {score(29, 13)} AS pdfinal
       FROM {_lines(d)} GROUP BY client, account, mi"""
     out["income_pilot"] = f"""SELECT {month_at('mi', 2022, 4)} AS fecha_foto, client AS id_cliente,
-        round(max(o_totalprice)) * 2 AS renta_modelo, CASE WHEN client % 2 = 0 THEN 1 ELSE 0 END AS flag_con_info,
-        CASE WHEN client % 4 = 0 THEN NULL ELSE round(max(o_totalprice)) * 4 END AS renta_piloto
+        {whole('max(o_totalprice)')} * 2 AS renta_modelo, CASE WHEN client % 2 = 0 THEN 1 ELSE 0 END AS flag_con_info,
+        CASE WHEN client % 4 = 0 THEN NULL ELSE {whole('max(o_totalprice)')} * 4 END AS renta_piloto
       FROM {_orders(d, 10)} GROUP BY client, mi"""
     out["limit_campaign_stage1"] = f"SELECT c_custkey AS rut FROM {d.table('customer')} WHERE c_mktsegment = 'BUILDING'"
     out["limit_campaign_stage2"] = f"""SELECT c_custkey AS rut FROM {d.table('customer')}
       WHERE c_mktsegment = 'MACHINERY' OR (c_mktsegment = 'BUILDING' AND c_acctbal > 5000)"""
     # the cohort study reads every month of the orders, unfolded
     out["cohort_month"] = f"""SELECT last_day(CAST(o_orderdate AS DATE)) AS fechacarga, {text('o_custkey')} AS contrato, o_custkey AS idcliente,
-        round(max(o_totalprice)) AS fcupo, sum(round(l_extendedprice)) AS fsaldeud,
+        {whole('max(o_totalprice)')} AS fcupo, sum({whole('l_extendedprice')}) AS fsaldeud,
         CAST(max(abs({d.days_between('l_shipdate', 'o_orderdate')}) % 120) AS BIGINT) AS moraac
       FROM {d.table('lineitem')} JOIN {d.table('orders')} ON l_orderkey = o_orderkey
       GROUP BY last_day(CAST(o_orderdate AS DATE)), o_custkey"""
@@ -215,24 +218,25 @@ DUCK_SOURCES = sources(DUCK)
 
 
 class Inputs:
-    """The plans' inputs by name, each derived once; tables read often are stored."""
+    """The plans' inputs by name, each derived once.
 
-    STORED = {"cohort_month"}
+    The cohort snapshots are read three times and stored; jobs that read many inputs also
+    store the order lines all of them are derived from.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-        self._tables: dict[str, DataFrame] = {}
+    def __init__(self, spark: SparkSession, sf_dir: str, stored: Sequence[str] = ("cohort_month",)):
+        self.spark, self.sf_dir, self.stored = spark, sf_dir, stored
         self._known: dict[str, DataFrame] = {}
 
-    def table(self, name: str) -> DataFrame:
-        """One of the provided tables."""
-        if name not in self._tables:
-            self._tables[name] = read(self.spark, self.sf_dir, name)
-        return self._tables[name]
-
     def __call__(self, name: str) -> DataFrame:
         if name not in self._known:
-            sql = SPARK_SOURCES[name]
-            df = self.spark.sql(sql, **{t: self.table(t) for t in TABLES if "{" + t + "}" in sql})
-            self._known[name] = store(df, name) if name in self.STORED else df
+            if name in TABLES:
+                df = read(self.spark, self.sf_dir, name)
+            else:
+                sql = SPARK_SOURCES[name]
+                used = [t for t in [*TABLES, "lines"] if "{" + t + "}" in sql]
+                df = self.spark.sql(sql, **{t: self(t) for t in used})
+                if name == "lines":  # the provided file is a single split
+                    df = df.repartition("client")
+            self._known[name] = store(df, name) if name in self.stored else df
         return self._known[name]

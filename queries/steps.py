@@ -16,6 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # the orders span these months; all are read
 COHORT = CohortParams(snapshots=month_ends("1995-01-01", "2001-12-01"))
+# inputs stored by jobs that derive many of them
+MANY = ("cohort_month", "lines")
 COHORT_CAMPAIGN = CohortParams(snapshots=COHORT.snapshots, campaign_flag=1)
 
 
@@ -57,7 +59,7 @@ def _openings(t: Inputs) -> DataFrame:
 
 def _over_stock(step: Callable[[Inputs, DataFrame, DataFrame], DataFrame]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = Inputs(spark, sf_dir)
+        t = Inputs(spark, sf_dir, MANY)
         panel, stock = tracking.build_stock(t)
         return step(t, panel, stock)
 
@@ -68,6 +70,10 @@ def _over_inputs(step: Callable[[Inputs], DataFrame]) -> Query:
     return lambda spark, sf_dir: step(Inputs(spark, sf_dir))
 
 
+def _over_many(step: Callable[[Inputs], DataFrame]) -> Query:
+    return lambda spark, sf_dir: step(Inputs(spark, sf_dir, MANY))
+
+
 def _enriched(t: Inputs, panel: DataFrame, stock: DataFrame) -> DataFrame:
     return tracking.enriched(stock, tracking.build_attributes(t, panel, stock))
 
@@ -118,9 +124,9 @@ def steps() -> dict[str, Query]:
         "d_pilot_income": _over_inputs(lambda t: a.pilot_income(t("income_pilot"))),
         "d_enriched": _over_stock(_enriched),
         "d_segmented": _over_stock(lambda t, p, s: tracking.segmented(_enriched(t, p, s))),
-        "d_tracking": _over_inputs(tracking.build_tracking),
-        "d_portfolio_grouped": _over_inputs(lambda t: grouped.portfolio_grouped(tracking.build_tracking(t))),
-        "d_portfolio_grouped_changes": _over_inputs(
+        "d_tracking": _over_many(tracking.build_tracking),
+        "d_portfolio_grouped": _over_many(lambda t: grouped.portfolio_grouped(tracking.build_tracking(t))),
+        "d_portfolio_grouped_changes": _over_many(
             lambda t: grouped.portfolio_grouped_changes(tracking.build_tracking(t))
         ),
     }
