@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.sources.io import store
+
 
 @dataclass(frozen=True)
 class SkewPolicy:
@@ -114,6 +116,16 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "
     return skew_joins(left, [right], on, how, **kw)
 
 
+def _stored_hot_part(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of the hot keys with a number each, written out so that the numbers stay fixed."""
+    part = mark_hot(df, hot, keys).filter("__hot").drop("__hot")
+    return store(part.withColumn("__id", F.monotonically_increasing_id()), "hot_part")
+
+
+def _cold_part(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return mark_hot(df, hot, keys).filter(~F.col("__hot")).drop("__hot")
+
+
 def previous_row(
     df: DataFrame,
     keys: Sequence[str],
@@ -128,34 +140,35 @@ def previous_row(
     previous row is the one before, however many months back that is.
 
     A hot key is cut into (month, hash range) blocks: the lag is taken inside each block,
-    and the first row of a block takes the last row of the block before it.
+    and the first row of a block takes the last row of the block before it. Exact copies
+    of a row cannot be told apart by content, so only one of them goes that way: the row
+    before any other copy is a copy.
     """
     keys = list(keys)
     hot = hot_keys(df, keys, policy)
-    tie = F.xxhash64(*df.columns)
 
-    def lag_over(frame: DataFrame, by: Sequence[str]) -> DataFrame:
+    def hashed(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("__tie", F.xxhash64(*df.columns))
+
+    def lags(by: Sequence[str], prefix: str = "") -> list[Column]:
         w = Window.partitionBy(*by).orderBy(F.col(month), F.col("__tie"))
-        return frame.select("*", *[F.lag(F.col(c)).over(w).alias(new) for new, c in values.items()])
+        return [F.lag(F.col(c)).over(w).alias(prefix + new) for new, c in values.items()]
 
     if hot is None:
-        return lag_over(df.withColumn("__tie", tie), keys).drop("__tie")
+        return hashed(df).select("*", *lags(keys)).drop("__tie")
 
-    marked = mark_hot(df.withColumn("__tie", tie), hot, keys)
-    plain = lag_over(marked.filter(~F.col("__hot")), keys).drop("__hot", "__tie")
+    plain = hashed(_cold_part(df, hot, keys)).select("*", *lags(keys)).drop("__tie")
+    rows = _stored_hot_part(df, hot, keys)
+    firsts = rows.groupBy(*df.columns).agg(F.min("__id").alias("__id"))
+    copies = rows.join(firsts.select("__id"), "__id", "left_anti").select(
+        *df.columns, *[F.col(c).alias(new) for new, c in values.items()]
+    )
     block = ["__month", "__block"]
-    cut = (
-        marked.filter("__hot")
-        .drop("__hot")
-        .withColumn("__month", F.col(month))
-        .withColumn("__block", F.shiftright(F.col("__tie"), 64 - policy.salt_bits))
+    cut = hashed(firsts.drop("__id")).withColumns(
+        {"__month": F.col(month), "__block": F.shiftright(F.col("__tie"), 64 - policy.salt_bits)}
     )
     w_block = Window.partitionBy(*keys, *block).orderBy("__tie")
-    inside = cut.select(
-        "*",
-        *[F.lag(F.col(c)).over(w_block).alias("__in_" + new) for new, c in values.items()],
-        (F.row_number().over(w_block) == 1).alias("__first"),
-    )
+    inside = cut.select("*", *lags(keys + block, "__in_"), (F.row_number().over(w_block) == 1).alias("__first"))
     # one row per block: at most months x salts rows per key
     w_key = Window.partitionBy(*keys).orderBy(*block)
     ends = (
@@ -173,7 +186,7 @@ def previous_row(
             for new in values
         ],
     )
-    return plain.unionByName(split)
+    return plain.unionByName(split).unionByName(copies)
 
 
 def row_numbers(
@@ -186,14 +199,13 @@ def row_numbers(
 ) -> DataFrame:
     """Numbers the rows of each key from 1 by ``order``: ``(column, "asc" | "desc")``, coarse columns.
 
-    Rows equal in all of them are ranked by a hash of the row. NULLs come first ascending
-    and last descending. A hot key is numbered block by block, a block being one value of
-    the order columns and one hash range; it starts after the rows of the blocks before it.
+    Rows equal in all of them are numbered in no particular order. NULLs come first
+    ascending and last descending. A hot key is numbered block by block, a block being one
+    value of the order columns and one slice of the rows; it starts after the blocks before it.
     """
     keys = list(keys)
     if isinstance(hot, str):
         hot = hot_keys(df, keys, policy)
-    base = df.withColumn("__tie", F.xxhash64(*df.columns))
 
     def sorting(prefix: str = "") -> list[Column]:
         return [
@@ -201,20 +213,18 @@ def row_numbers(
             for c, way in order
         ]
 
-    def number(frame: DataFrame, by: Sequence[str]) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(*sorting(), F.col("__tie"))
+    def number(frame: DataFrame, by: Sequence[str], last: Sequence[str] = ()) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*sorting(), *last)
         return frame.withColumn(name, F.row_number().over(w).cast("bigint"))
 
     if hot is None:
-        return number(base, keys).drop("__tie")
+        return number(df, keys)
 
-    marked = mark_hot(base, hot, keys)
-    plain = number(marked.filter(~F.col("__hot")), keys).drop("__hot", "__tie")
+    plain = number(_cold_part(df, hot, keys), keys)
     block = ["__o_" + c for c, _ in order] + ["__block"]
-    cut = marked.filter("__hot").drop("__hot")
-    cut = cut.withColumns(
+    cut = _stored_hot_part(df, hot, keys).withColumns(
         {"__o_" + c: F.col(c) for c, _ in order}
-        | {"__block": F.shiftright(F.col("__tie"), 64 - policy.salt_bits)}
+        | {"__block": F.pmod(F.xxhash64("__id"), F.lit(policy.salts))}
     )
     w_key = (
         Window.partitionBy(*keys)
@@ -228,7 +238,7 @@ def row_numbers(
         .drop("__n")
     )
     starts = _prefixed(starts, keys + block, "__e_")
-    inside = number(cut, keys + block)
+    inside = number(cut, keys + block, ["__id"])
     joined = inside.join(starts, _same(inside, starts, keys + block, "__e_"), "left")
     split = joined.select(
         *[inside[c] for c in df.columns], (F.col(name) + F.col("__start")).alias(name)
