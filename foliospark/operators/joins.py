@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.dates import add_months, month_diff
 from foliospark.operators.skew import DEFAULT, SkewPolicy, hot_keys, skew_join, skew_joins
-from foliospark.operators.windows import first_per
 
 
 def shift_month(df: DataFrame, month: str, n: int) -> DataFrame:
@@ -44,20 +43,28 @@ def asof_within(
 
     ``months`` bounds how far back to look (None: no bound). Among several values of the
     latest month the largest is taken. Pairs without a partner stay, with NULL.
+
+    No range join: both sides are reduced to one cell per key and month, and a running
+    "last seen" walks the cells of a key, of which there are no more than months.
     """
-    pairs = base.select(key, month).distinct()
-    # one candidate per (key, month) before joining: a busy key shrinks to its months
-    latest = (
-        right.groupBy(key, F.col(month).alias("__from")).agg(F.max(value).alias(value))
+    asked = base.select(
+        key, month, F.lit(None).cast(right.schema[value].dataType).alias(value),
+        F.lit(True).alias("__asked"), F.lit(False).alias("__known"),
     )
-
-    def in_reach() -> Column:
-        reach = F.col(month) >= F.col("__from")
-        return reach if months is None else reach & (month_diff(month, "__from") <= months)
-
-    # both sides now hold at most one row per key and month: no key is hot
-    candidates = skew_join(pairs, latest, [key], "left", residual=in_reach, hot=None)
-    return first_per(candidates, [key, month], [F.col("__from").desc_nulls_last()]).drop("__from")
+    # a NULL key asks, but never finds anything
+    known = right.filter(F.col(key).isNotNull()).select(
+        key, month, value, F.lit(False).alias("__asked"), F.lit(True).alias("__known")
+    )
+    cells = asked.union(known).groupBy(key, month).agg(
+        F.max(value).alias(value), F.max("__asked").alias("__asked"), F.max("__known").alias("__known")
+    )
+    so_far = Window.partitionBy(key).orderBy(month).rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.when(F.col("__known"), F.struct(F.col(month).alias("from"), F.col(value).alias("value")))
+    found = cells.select(key, month, "__asked", F.last(seen, ignorenulls=True).over(so_far).alias("__seen"))
+    reached = F.col("__seen.value")
+    if months is not None:
+        reached = F.when(month_diff(month, "__seen.from") <= months, reached)
+    return found.filter("__asked").select(key, month, reached.alias(value))
 
 
 def follow_up(

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.dates import (
-    add_months, col, date_lit, datetime_text_to_date, month_index, month_start, year_diff, year_text_to_date,
+    add_months, col, date_lit, datetime_text_to_date, month_start, year_diff, year_text_to_date,
 )
 from foliospark.functions.scalars import (
-    clean_amount, flag, floor_zero, nationality_from_code, nationality_from_letter, or_zero, strict_least, to_int,
+    clean_amount, flag, floor_zero, nationality_from_code, nationality_from_letter, or_zero, strict_least,
 )
 from foliospark.operators.joins import asof_within, enrich, outcome_window, shift_month, translate_id
 from foliospark.operators.rules import band, band_by_regime
@@ -27,6 +27,7 @@ VEHICLE_TYPES = [
     "AUTOMOVIL", "STATION WAGON", "CAMIONETA", "FURGON", "CAMION", "MAQUINA INDUSTRIAL", "JEEP", "BUS", "MINIBUS",
     "TRACTOR", "TRACTOCAMION", "AMBULANCIA", "MAQUINA AGRICOLA", "CARROBOMBA", "MICROBUS", "OMNIBUS", "TROLEBUS",
 ]
+CLIENT = ["IdCliente", "FechaFoto"]
 BUREAU = {
     "LineaDisponible": "linea_disp",
     "DeudaConsumo": "dconsumo",
@@ -231,9 +232,13 @@ def person_latest(persons: DataFrame, ids: DataFrame, params: TrackingParams = P
     return first_per(owned, ["IdCliente"], order).drop("__loaded", "IdCorporativo")
 
 
+def _applied(log: DataFrame, params: TrackingParams) -> DataFrame:
+    return date_range(log, "fechacarga", first=params.applications_from).filter(col("norigen") == 2)
+
+
 def applications(log: DataFrame, params: TrackingParams = P) -> DataFrame:
     """Applications of the card origin, with cleaned income and appraisals."""
-    rows = date_range(log, "fechacarga", first=params.applications_from).filter(col("norigen") == 2)
+    rows = _applied(log, params)
     applied = datetime_text_to_date("dregistro")
     declared = or_zero(col("niaprenta").cast("bigint"))
     pension = col("rentpromprev")
@@ -270,14 +275,18 @@ def last_application(
     """
     # only a client's newest application of a month can be its newest up to any month
     newest = first_per(applications(log, params), ["IdCliente", "FechaFoto"], _newest_application())
-    newest = newest.withColumnRenamed("FechaFoto", "__applied").withColumn("__client", col("IdCliente"))
-    asked = stock.select("IdCliente", "Contrato", col("FechaFoto").alias("__asked")).distinct()
-    candidates = skew_join(
-        asked, newest, ["IdCliente"], residual=lambda: col("__asked") >= col("__applied"),
-        policy=params.skew, hot=hot, count_in=stock,
+    applied = _applied(log, params).select(
+        "idcliente", month_start(datetime_text_to_date("dregistro")).alias("FechaFoto")
     )
-    latest = first_per(candidates, ["Contrato", "__asked"], _newest_application())
-    return latest.drop("IdCliente", "__asked").withColumnsRenamed({"__applied": "FechaFoto", "__client": "IdCliente"})
+    applied = applied.select(col("idcliente").alias("IdCliente"), "FechaFoto", col("FechaFoto").alias("__applied"))
+    # which month to look in is found on narrow rows; what was applied for is joined after
+    latest = asof_within(stock, applied, "IdCliente", "FechaFoto", "__applied", None).filter(col("__applied").isNotNull())
+    newest = newest.withColumnRenamed("FechaFoto", "__applied")
+    found = skew_join(latest, newest, ["IdCliente", "__applied"], hot=None).withColumn("__client", col("IdCliente"))
+    asked = stock.select(*CLIENT, "Contrato").distinct()
+    of_account = skew_join(asked, found, CLIENT, policy=params.skew, hot=hot, count_in=stock)
+    one = first_per(of_account, ["Contrato", "FechaFoto"], _newest_application())
+    return one.drop(*CLIENT).withColumnsRenamed({"__applied": "FechaFoto", "__client": "IdCliente"})
 
 
 def retail_spend(stock: DataFrame, spend_s: DataFrame, spend_f: DataFrame, spend_t: DataFrame, params: TrackingParams = P) -> DataFrame:

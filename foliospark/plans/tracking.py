@@ -257,7 +257,7 @@ def build_attributes(
         "property_wealth": a.property_wealth(stock, table("real_estate_month"), table("houses"), master, params),
         "preapproved_base": a.preapproved_base(table("preapproved_base")),
         "person_latest": a.person_latest(table("bureau_person"), ids, params),
-        "last_application": a.last_application(stock, table("application_log"), params, hot[("IdCliente",)]),
+        "last_application": a.last_application(stock, table("application_log"), params, hot[tuple(CLIENT)]),
         "retail_spend": a.retail_spend(
             stock, table("retail_spend_s"), table("retail_spend_f"), table("retail_spend_t"), params
         ),
