@@ -9,7 +9,7 @@ from foliospark.functions.dates import (
     add_months, col, date_lit, is_month_end, month_diff, month_start,
 )
 from foliospark.functions.scalars import flag, floor_zero, or_zero, prefixed, safe_cast
-from foliospark.operators.joins import shift_month, translate_id
+from foliospark.operators.joins import matched, shift_month, translate_id
 from foliospark.operators.rules import category, first_true
 from foliospark.operators.sets import union_all, union_distinct
 from foliospark.operators.skew import previous_row, skew_join
@@ -46,10 +46,13 @@ def client_ids(id_map: DataFrame) -> DataFrame:
 
 
 def fraud_clients(
-    feed_a: DataFrame, feed_b: DataFrame, transactions: DataFrame, fraud_transactions: DataFrame, ids: DataFrame
+    feed_a: DataFrame, feed_b: DataFrame, transactions: DataFrame, fraud_transactions: DataFrame,
+    ids: DataFrame, params: TrackingParams = TrackingParams(),
 ) -> DataFrame:
     """Latest fraud date per client over the three feeds."""
-    confirmed = transactions.join(fraud_transactions.select("id_trx"), "id_trx", "left_semi")
+    # a maximum does not change with repeats, so each listed transaction is needed once
+    listed = fraud_transactions.select("id_trx").distinct()
+    confirmed = matched(transactions.select("id_trx", "cod_contraparte", "fecha_informacion"), listed, ["id_trx"], params.skew)
     # one date per counterparty before translating its id
     by_counterparty = confirmed.groupBy(col("cod_contraparte").alias("IdCorporativo")).agg(
         F.max(col("fecha_informacion").cast("date")).alias("FechaFraude")

@@ -6,7 +6,7 @@ groups and rejects them when the named score is above the threshold (no score: a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -178,9 +178,9 @@ def groups() -> dict[str, Column]:
     }
 
 
-def waterfall(rules: Sequence[Rule]) -> Column:
+def waterfall(rules: Sequence[Rule], member: Mapping[str, Column] | None = None) -> Column:
     """Reason code of the first rule that rejects the account."""
-    member = groups()
+    member = groups() if member is None else member
     arms = []
     for rule in rules:
         condition = None if rule.score is None else col(rule.score) > F.lit(rule.above)

@@ -11,7 +11,7 @@ from foliospark.functions.dates import col, day_diff, month_diff
 from foliospark.functions.scalars import flag, floor_zero, or_zero, ratio_or
 from foliospark.operators.joins import enrich
 from foliospark.operators.rules import band, first_true, fresh_else, segment
-from foliospark.operators.skew import hot_keys, row_numbers
+from foliospark.operators.skew import hot_keys, row_numbers, skew_join
 from foliospark.plans import accounts, attributes, ladders, policy
 from foliospark.plans.params import TrackingParams
 from foliospark.sources.io import store
@@ -143,12 +143,12 @@ def enriched(
 ) -> DataFrame:
     """Reopened and newly opened accounts, not renegotiated, with all attributes."""
     t = attribute_tables
+    hot = stock_hot_keys(stock, params) if hot is None else hot
     base = stock.filter(col("Reapertura").isin("Reapertura", "Originacion"))
-    # marks are one row per contract, so keeping the unmarked is an anti join
-    base = base.join(t["renegotiated"].select("Contrato"), "Contrato", "left_anti")
+    base = skew_join(base, t["renegotiated"], ["Contrato"], policy=params.skew, hot=hot[("Contrato",)])
+    base = base.filter(or_zero("Renegociacion") == 0).drop("Renegociacion")
     client, contract = CLIENT, CONTRACT
     application = t["last_application"].withColumnRenamed("IdCliente", "__called")
-    hot = stock_hot_keys(stock, params) if hot is None else hot
     joined = enrich(
         base,
         [
@@ -189,7 +189,8 @@ def segmented(rows: DataFrame) -> DataFrame:
     web = col("AperturaWeb")
     income = col("RentaEvaluacion")
     dti = F.when(col("RentaEstimada") == 0, "00. Sin renta").otherwise(band("DTI", ladders.DTI))
-    preapproved = policy.waterfall(policy.PREAPPROVED)
+    member = policy.groups()
+    preapproved = policy.waterfall(policy.PREAPPROVED, member)
     new = {
         "ProbPreapFinal": col("ProbPreaprobados"),
         "Leverage": F.when((banked6 == 1) & (income >= 300000), F.try_divide(col("DeudaConsumo"), income)),
@@ -210,7 +211,7 @@ def segmented(rows: DataFrame) -> DataFrame:
         "TramoCupo": band("Cupo", ladders.LIMIT),
         "TramoEdad": band("EdadMeses", ladders.AGE),
         "TramoPatrimonio": band("MontoPatrimonio", ladders.WEALTH),
-        "CambiosEspontaneo": policy.waterfall(policy.SPONTANEOUS),
+        "CambiosEspontaneo": policy.waterfall(policy.SPONTANEOUS, member),
         "CambiosPreaprobado": preapproved,
         "CambiosPreaprobadoSinT": preapproved,
     }
@@ -226,7 +227,7 @@ def build_stock(table: Callable[[str], DataFrame], params: TrackingParams = P) -
     ids = accounts.client_ids(table("client_id_map"))
     fraud = accounts.fraud_clients(
         table("fraud_clients_a"), table("fraud_clients_b"), table("fin_transactions"),
-        table("fraud_transactions"), ids,
+        table("fraud_transactions"), ids, params,
     )
     # several steps read the panel and all read the openings: each is computed once
     rows = store(accounts.panel_rows(table("account_month_old"), table("account_month"), params), "panel")

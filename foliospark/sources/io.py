@@ -43,7 +43,7 @@ def write_replace(df: DataFrame, path: str, partition_by: str | None = None) ->
         return
     spark = df.sparkSession
     pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 16, 1)
-    spread = df.withColumn("__file", F.pmod(F.xxhash64(*df.columns), F.lit(pieces)))
+    spread = df.withColumn("__file", F.pmod(F.xxhash64(*df.columns, F.spark_partition_id()), F.lit(pieces)))
     spread.repartition(partition_by, "__file").drop("__file").write.mode("overwrite").partitionBy(
         partition_by
     ).parquet(path)
