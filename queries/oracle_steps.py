@@ -76,7 +76,7 @@ _report = ["N_Mmenos1 AS N", "FCupoAnterior_Mmenos1 AS CupoAnterior", "FCupoActu
            "MontoAumento_Mmenos1 AS MontoAumento", "Porc_Aumento_Mmenos1 AS Porc_Aumento"]
 _report += [f"DeudaL1_{_m}" for _m in MONTH_LABELS] + [f"Utilizacion_{_m}" for _m in MONTH_LABELS]
 _report += [f"{_c}_M{_k}" for _k in range(1, 7) for _c in ("DeudaMorosa30", "DeudaTotalL1")]
-for _flag, _name in ((0, "d_limit_cohort_report"), (1, "d_limit_cohort_report_campaign")):
+for _flag, _name in ((0, "q_limit_cohort_report"), (1, "q_limit_cohort_report_campaign")):
     STEPS[_name] = (
         "SELECT FechaAumento, Aumento_Campania, " + ", ".join(_report)
         + f" FROM d_increase_pivot WHERE Aumento_Campania = {_flag} ORDER BY FechaAumento"
@@ -406,8 +406,8 @@ SELECT *, ProbPreaprobados AS ProbPreapFinal,
 FROM d_enriched"""
 STEPS["d_tracking"] = f"SELECT *, {rollup_sql()} AS CambiosTotal FROM d_segmented"
 _sums = ", ".join(f"sum({c}) AS {c}" for c in SUMS)
-STEPS["d_portfolio_grouped"] = f"SELECT {', '.join(KEYS)}, count(Contrato) AS N, {_sums} FROM d_segmented GROUP BY ALL"
-STEPS["d_portfolio_grouped_changes"] = f"SELECT {', '.join(KEYS)}, CambiosTotal, count(Contrato) AS N, {_sums} FROM d_tracking GROUP BY ALL"
+STEPS["q_portfolio_grouped"] = f"SELECT {', '.join(KEYS)}, count(Contrato) AS N, {_sums} FROM d_segmented GROUP BY ALL"
+STEPS["q_portfolio_grouped_changes"] = f"SELECT {', '.join(KEYS)}, CambiosTotal, count(Contrato) AS N, {_sums} FROM d_tracking GROUP BY ALL"
 
 _NODES = {**DUCK_SOURCES, **STEPS}
 _WORD = re.compile(r"\b[a-z_0-9]+\b")

@@ -91,8 +91,8 @@ def steps() -> dict[str, Query]:
         "d_first_increase": lambda s, d: cohort.first_increase(cohort.limit_changes(_cohort(s, d)[1], COHORT)),
         "d_increase_follow_up": _follow,
         "d_increase_pivot": lambda s, d: cohort.increase_pivot(_follow(s, d)),
-        "d_limit_cohort_report": limit_cohort_report,
-        "d_limit_cohort_report_campaign": lambda s, d: limit_cohort_report(s, d, COHORT_CAMPAIGN),
+        "q_limit_cohort_report": limit_cohort_report,
+        "q_limit_cohort_report_campaign": lambda s, d: limit_cohort_report(s, d, COHORT_CAMPAIGN),
         "d_client_ids": _over_inputs(lambda t: accounts.client_ids(t("client_id_map"))),
         "d_fraud_clients": _over_inputs(_fraud),
         "d_fraud_contracts": _over_inputs(lambda t: accounts.fraud_contracts(t("fraud_contracts"))),
@@ -125,8 +125,8 @@ def steps() -> dict[str, Query]:
         "d_enriched": _over_stock(_enriched),
         "d_segmented": _over_stock(lambda t, p, s: tracking.segmented(_enriched(t, p, s))),
         "d_tracking": _over_many(tracking.build_tracking),
-        "d_portfolio_grouped": _over_many(lambda t: grouped.portfolio_grouped(tracking.build_tracking(t))),
-        "d_portfolio_grouped_changes": _over_many(
+        "q_portfolio_grouped": _over_many(lambda t: grouped.portfolio_grouped(tracking.build_tracking(t))),
+        "q_portfolio_grouped_changes": _over_many(
             lambda t: grouped.portfolio_grouped_changes(tracking.build_tracking(t))
         ),
     }

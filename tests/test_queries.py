@@ -8,7 +8,7 @@ from queries.compare import check, duck
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 # covered by the tracking and grouped queries, which contain them
-CONTAINED = {"d_enriched", "d_segmented", "d_portfolio_grouped"}
+CONTAINED = {"d_enriched", "d_segmented", "q_portfolio_grouped"}
 
 
 @pytest.fixture(scope="module")
