@@ -30,15 +30,15 @@ def month_index(d: str | Column) -> Column:
 
 
 def month_diff(later: str | Column, earlier: str | Column) -> Column:
-    return month_index(later) - month_index(earlier)
+    return (month_index(later) - month_index(earlier)).cast("bigint")
 
 
 def year_diff(later: str | Column, earlier: str | Column) -> Column:
-    return F.year(col(later)) - F.year(col(earlier))
+    return (F.year(col(later)) - F.year(col(earlier))).cast("bigint")
 
 
 def day_diff(later: str | Column, earlier: str | Column) -> Column:
-    return F.datediff(col(later), col(earlier))
+    return F.datediff(col(later), col(earlier)).cast("bigint")
 
 
 def add_months(d: str | Column, n: int) -> Column:

@@ -308,7 +308,7 @@ def _(t):
     return feeds.groupBy("client").agg(F.max("d").cast("date").alias("last"), F.lit(1).alias("listed"))
 
 
-@add("q_sum_group", """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, sum(CASE WHEN l_quantity > 60 THEN 1 END) AS never
+@add("q_sum_group", """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, CAST(sum(CASE WHEN l_quantity > 60 THEN 1 END) AS BIGINT) AS never
   FROM lineitem GROUP BY 1, 2""")
 def _(t):
     return t("lineitem").groupBy("l_returnflag", "l_linestatus").agg(
@@ -343,7 +343,7 @@ def _(t):
     )
 
 
-@add("q_group_many_keys", """SELECT l_returnflag, l_linestatus, l_linenumber, l_discount, l_tax, year(l_shipdate) AS y, count(*) AS n, sum(l_quantity) AS q
+@add("q_group_many_keys", """SELECT l_returnflag, l_linestatus, l_linenumber, l_discount, l_tax, CAST(year(l_shipdate) AS INTEGER) AS y, count(*) AS n, sum(l_quantity) AS q
   FROM lineitem GROUP BY 1, 2, 3, 4, 5, 6""")
 def _(t):
     keys = ["l_returnflag", "l_linestatus", "l_linenumber", "l_discount", "l_tax", F.year("l_shipdate").alias("y")]
@@ -356,8 +356,8 @@ def _(t):
 
 
 @add("q_pivot_multi_agg", """SELECT y, """ + ", ".join(
-    f"count(o_custkey) FILTER (s = '{s}') AS N_{s}, sum(price) FILTER (s = '{s}') AS price_{s}, sum(big) FILTER (s = '{s}') AS big_{s}" for s in "FOPX"
-) + """ FROM (SELECT year(o_orderdate) AS y, o_custkey, o_orderstatus AS s, CAST(floor(o_totalprice) AS DOUBLE) AS price,
+    f"count(o_custkey) FILTER (s = '{s}') AS N_{s}, sum(price) FILTER (s = '{s}') AS price_{s}, CAST(sum(big) FILTER (s = '{s}') AS BIGINT) AS big_{s}" for s in "FOPX"
+) + """ FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS y, o_custkey, o_orderstatus AS s, CAST(floor(o_totalprice) AS DOUBLE) AS price,
     CAST(CASE WHEN o_totalprice > 300000 THEN 1 ELSE 0 END AS BIGINT) AS big FROM orders) GROUP BY y""")
 def _(t):
     rows = t("orders").select(
@@ -522,8 +522,8 @@ def ratio(t: Inputs) -> DataFrame:
 add("q_ratio_guarded", f"SELECT l_orderkey, l_linenumber, {RATIO} AS ratio FROM {PAIR}")(ratio)
 
 
-@add("q_code_map", """SELECT c_custkey, CASE c_nationkey WHEN 3 THEN 152 ELSE c_nationkey END AS number,
-  CASE WHEN c_mktsegment = 'BUILDING' THEN 152 ELSE 999 END AS letter FROM customer""")
+@add("q_code_map", """SELECT c_custkey, CAST(CASE c_nationkey WHEN 3 THEN 152 ELSE c_nationkey END AS BIGINT) AS number,
+  CAST(CASE WHEN c_mktsegment = 'BUILDING' THEN 152 ELSE 999 END AS BIGINT) AS letter FROM customer""")
 def _(t):
     written = F.when(c("c_nationkey") == 3, "CL").otherwise(c("c_nationkey").cast("string"))
     letter = F.when(c("c_mktsegment") == "BUILDING", "C").when(c("c_mktsegment") == "MACHINERY", "E")
