@@ -251,8 +251,8 @@ def applications(log: DataFrame, params: TrackingParams = P) -> DataFrame:
         col("aiprevmfirmaautoprev").alias("AutorizaPrevision"), col("diaccocfecrenta").alias("FechaRentaSolicitud"),
         F.when((col("ctiposolic") == "EVA") & (declared > 0), declared).otherwise(0).alias("RentaSolicitud"),
         pension.alias("RentaPrevisionU03M"),
-        F.when((col("antprevired") <= 45) & (pension > 0), pension).otherwise(0).alias("RentaPrevisionValidaU03M"),
-        col("antprevired").alias("AntiguedadPrevision"), col("numcotival").alias("NumeroCotizacionesU03M"),
+        F.when((col("antprevision") <= 45) & (pension > 0), pension).otherwise(0).alias("RentaPrevisionValidaU03M"),
+        col("antprevision").alias("AntiguedadPrevision"), col("numcotival").alias("NumeroCotizacionesU03M"),
         col("aexctacastigada").alias("MarcaExCastigada"),
         col("niapavaluopropiedad").cast("bigint").alias("AvaluoPropiedad"),
         col("niaptasacionvehiculo").cast("bigint").alias("TasacionVehiculo"),

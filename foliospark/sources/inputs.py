@@ -47,7 +47,7 @@ INPUTS = {
     "application_log": (
         "dregistro string, idcliente bigint, nsolic string, niacpreaprobado string, aiafpreaprobado string, "
         "aaevaleafnodename string, arsltdpolcategoria string, niasosolicsucapert string, aiprevmfirmaautoprev string, "
-        "diaccocfecrenta string, ctiposolic string, niaprenta string, rentpromprev double, antprevired bigint, "
+        "diaccocfecrenta string, ctiposolic string, niaprenta string, rentpromprev double, antprevision bigint, "
         "numcotival bigint, aexctacastigada string, niapavaluopropiedad string, niaptasacionvehiculo string, "
         "niapaniovehiculo string, iantecedentesdelasolicitudai string, anacionalidad string, fechacarga date, norigen int"
     ),

@@ -183,7 +183,7 @@ def sources(d: Dialect) -> dict[str, str]:
         CASE WHEN o_orderkey % 4 = 0 THEN 'EVA' ELSE 'ALT' END AS ctiposolic,
         CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE {whole_text('o_totalprice * 5')} END AS niaprenta,
         CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE {whole('o_totalprice')} * 4 END AS rentpromprev,
-        CAST(o_orderkey % 90 AS BIGINT) AS antprevired, CAST(o_orderkey % 4 AS BIGINT) AS numcotival,
+        CAST(o_orderkey % 90 AS BIGINT) AS antprevision, CAST(o_orderkey % 4 AS BIGINT) AS numcotival,
         CASE WHEN o_orderkey % 50 = 0 THEN 'S' ELSE 'N' END AS aexctacastigada,
         CASE WHEN o_orderkey % 3 = 1 THEN {whole_text('o_totalprice * 100')} ELSE NULL END AS niapavaluopropiedad,
         CASE WHEN o_orderkey % 3 = 2 THEN {whole_text('o_totalprice * 20')} ELSE NULL END AS niaptasacionvehiculo,

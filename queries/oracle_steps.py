@@ -238,7 +238,7 @@ SELECT {month_of('CAST(dregistro AS TIMESTAMP)')} AS FechaFoto, CAST(CAST(dregis
   arsltdpolcategoria AS CategoriaPolitica, if(niasosolicsucapert = '9999', 'Web', 'Presencial') AS CanalMotor,
   aiprevmfirmaautoprev AS AutorizaPrevision, diaccocfecrenta AS FechaRentaSolicitud,
   CAST(if(ctiposolic = 'EVA', greatest(coalesce(CAST(niaprenta AS BIGINT), 0), 0), 0) AS BIGINT) AS RentaSolicitud, rentpromprev AS RentaPrevisionU03M,
-  if(antprevired <= 45 AND rentpromprev > 0, rentpromprev, 0) AS RentaPrevisionValidaU03M, antprevired AS AntiguedadPrevision,
+  if(antprevision <= 45 AND rentpromprev > 0, rentpromprev, 0) AS RentaPrevisionValidaU03M, antprevision AS AntiguedadPrevision,
   numcotival AS NumeroCotizacionesU03M, aexctacastigada AS MarcaExCastigada, CAST(niapavaluopropiedad AS BIGINT) AS AvaluoPropiedad,
   CAST(niaptasacionvehiculo AS BIGINT) AS TasacionVehiculo, CAST(niapaniovehiculo AS BIGINT) AS AgnoVehiculo,
   iantecedentesdelasolicitudai AS ClasificacionApertura, CAST(replace(anacionalidad, 'CL', '152') AS BIGINT) AS NacionalidadMotor

@@ -78,12 +78,12 @@ def test_last_application_keeps_only_the_latest(spark):
     stock = frame(spark, "IdCliente bigint, Contrato string, FechaFoto date", [(1, "a", month(5)), (1, "a", month(8)), (2, "b", month(5)), (1, "c", month(5))])
     names = (
         "dregistro idcliente nsolic niacpreaprobado aiafpreaprobado aaevaleafnodename arsltdpolcategoria niasosolicsucapert aiprevmfirmaautoprev "
-        "diaccocfecrenta ctiposolic niaprenta rentpromprev antprevired numcotival aexctacastigada niapavaluopropiedad niaptasacionvehiculo "
+        "diaccocfecrenta ctiposolic niaprenta rentpromprev antprevision numcotival aexctacastigada niapavaluopropiedad niaptasacionvehiculo "
         "niapaniovehiculo iantecedentesdelasolicitudai anacionalidad fechacarga norigen"
     ).split()
     row = lambda when, client, origin=2: {"dregistro": when, "idcliente": client, "nsolic": when, "fechacarga": when[:10], "norigen": origin}
     logs = [row("2021-05-02 10:00:00", 1), row("2021-06-02 10:00:00", 1), row("2021-06-20 09:00:00", 1), row("2021-09-30 10:00:00", 1), row("2021-06-25 10:00:00", 1, 1)]
-    types = {"idcliente": "bigint", "rentpromprev": "double", "antprevired": "bigint", "numcotival": "bigint", "norigen": "int"}
+    types = {"idcliente": "bigint", "rentpromprev": "double", "antprevision": "bigint", "numcotival": "bigint", "norigen": "int"}
     log = frame(spark, ", ".join(f"{n} {types.get(n, 'string')}" for n in names), [tuple(x.get(n) for n in names) for x in logs])
     log = log.withColumn("fechacarga", F.col("fechacarga").cast("date"))
     got = attributes.last_application(stock, log).select("Contrato", "FechaFoto", "DRegistro", "IdCliente")
