@@ -1,9 +1,12 @@
 """The registered queries of the training-data operators."""
 
+from foliospark.llm.op1_mixing import op1_mixing
 from foliospark.llm.op2_tokens import op2_token_counts
 from foliospark.llm.op4_quality import op4_quality_scores
 from foliospark.llm.op5_language import op5_language
+from foliospark.llm.op6_preference import SQL as op6_sql
+from foliospark.llm.op6_preference import op6_preference
 from foliospark.llm.op9_rules import op9_quality_rules
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_quality_scores, op5_language, op9_quality_rules)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op4_quality_scores, op5_language, op6_preference, op9_quality_rules)}
+SQL: dict[str, str] = {"op6_preference": op6_sql}
