@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,6 +48,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of what has been written and is not referred to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, stored: DataFrame) -> None:
         """Delete a table of ``store`` that nothing will read again."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(stored._scratch_path)
