@@ -9,7 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliospark.llm.op1_mixing import mix
+from foliospark.llm.op7_jaccard import keep_one
+from foliospark.llm.op8_decontamination import keep_clean
 from foliospark.llm.op9_rules import keep_good
+from foliospark.llm.op10_privacy import redact
 from foliospark.llm.shared import Scratch, documents
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,7 +24,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality)]
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of Jaccard similarity 0.8 and more join."""
+    return keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item stands."""
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with a mark in place of personal data."""
+    return redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as its source's target takes it, with the number of the copy."""
+    return mix(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("jaccard_join", one_of_each),
+    ("decontamination", decontaminated),
+    ("privacy", private),
+    ("mixing", mixed),
+]
 #: Hashed likelihood ratios, spans of a fitted model and random rounding have no SQL form.
 ORACLE_SQL: str | None = None
 

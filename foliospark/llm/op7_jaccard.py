@@ -31,14 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.components import components
-from foliospark.llm.shared import WHITE, Scratch, byte_table, documents, lower_table, mixed, pieces, span_hashes, spans, text_bytes, window_hashes
+from foliospark.llm.shared import WHITE, Bitmap, Scratch, byte_table, documents, lower_table, mixed, pieces, span_hashes, spans, text_bytes, window_hashes
 
 WIDTH = 5
 GROUP_BITS = 18
 CROWD = 32
 LEAF = 16
 SEEN = 200_000
-BITS = 23
 
 
 def document_sets(column: pa.Array) -> list[np.ndarray]:
@@ -248,20 +247,13 @@ def candidate_pairs(members: DataFrame, crowded_only: bool = False) -> DataFrame
 
 def needed_texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """(sid, text) of the needed sets (sid, rep), one document each; a bitmap of fixed size keeps other texts from the shuffle."""
-    place = F.pmod(F.xxhash64("rep"), F.lit(1 << BITS))
-    words = np.zeros(1 << (BITS - 6), np.uint64)
-    for word, bits in needed.groupBy(F.shiftright(place, 6)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {1 << BITS}L) & 63 as int))"))).collect():
-        words[word] = np.int64(bits).astype(np.uint64)
+    listed = Bitmap(needed.select("rep")).rows(docs.filter("doc_id is not null").select("doc_id", "text"), True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("place").to_numpy()
-            batch = batch.filter(pa.array((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
-            for piece in pieces(iter([batch])):
-                sids = [fingerprint(s)[0] if len(s) else 0 for s in document_sets(piece.column("text"))]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), pa.array(sids, pa.int64()), piece.column("text")], ["rep", "sid", "text"])
+        for piece in pieces(batches):
+            sids = [fingerprint(s)[0] if len(s) else 0 for s in document_sets(piece.column("text"))]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), pa.array(sids, pa.int64()), piece.column("text")], ["rep", "sid", "text"])
 
-    listed = docs.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << BITS)).alias("place"))
     return listed.mapInArrow(run, "rep long, sid long, text string").join(needed, ["rep", "sid"]).dropDuplicates(["sid"]).select("sid", "text")
 
 
@@ -314,5 +306,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents, with all their columns, but of each component only the one that gives it its id.
+
+    Rows of one doc_id and text count as copies. Only rows that a bitmap of the dropped ids lets through are shuffled.
+    """
+    scratch = Scratch(docs.sparkSession, "one")
+    found = scratch.store(jaccard_components(docs))
+    dropped = scratch.store(found.filter("doc_id <> component_id").select("doc_id").distinct())
+    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    near = Bitmap(dropped.unionByName(repeated))
+    rest = near.rows(docs, True).join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return near.rows(docs, False).unionByName(rest.select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))

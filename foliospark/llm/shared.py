@@ -10,10 +10,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 PIECE = 2_000_000
+BITS = 23
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,3 +170,33 @@ def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over the stretch of each text."""
     sums = np.concatenate((np.zeros(1, np.int64), np.cumsum(values, dtype=np.int64)))
     return sums[bounds[1:]] - sums[bounds[:-1]]
+
+
+def bit_of(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(1 << BITS))
+
+
+class Bitmap:
+    """A set of ids as a bitmap of fixed size: small enough for any task, and a few other ids seem to be in it."""
+
+    def __init__(self, ids: DataFrame):
+        bits = ids.select(bit_of(F.col(ids.columns[0])).alias("bit"))
+        words = bits.groupBy(F.shiftright("bit", 6)).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))"))).collect()
+        self.words = np.zeros(1 << (BITS - 6), np.uint64)
+        for word, value in words:  # as many as the bitmap has words at most
+            self.words[word] = np.int64(value).astype(np.uint64)
+
+    def rows(self, docs: DataFrame, inside: bool) -> DataFrame:
+        """The rows of ``docs`` whose doc_id seems to be in the set, or those whose doc_id is not (null is not)."""
+        words, place = self.words, "bit_of_id_" + uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bit = batch.column(place)
+                known = bit.is_valid().to_numpy(zero_copy_only=False)
+                at = bit.fill_null(0).to_numpy(zero_copy_only=False)
+                found = known & ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+                yield batch.drop_columns([place]).filter(pa.array(found == inside))
+
+        bit = F.when(F.col("doc_id").isNotNull(), bit_of(F.col("doc_id")))
+        return docs.withColumn(place, bit).mapInArrow(run, docs.schema)
