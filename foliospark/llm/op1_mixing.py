@@ -29,6 +29,7 @@ CAP = 2.0
 FAN_IN = 64
 SEED = 20_231
 WORDS = r"[^\x20\x09-\x0D]+"
+ROW = "__mix_row"
 
 
 def draw(*ids: Column) -> Column:
@@ -91,7 +92,7 @@ def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     """One row per document: doc_id, row (hash, where the input has it, else null), size, source_size, target, copies, taken."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    row = F.col("row") if "row" in docs.columns else F.lit(None)
+    row = F.col(ROW) if ROW in docs.columns else F.lit(None)
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
     units = scratch.store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.cast("long").alias("row"), "source", size.alias("size")))
     sources = scratch.store(source_targets(units, weights, share, cap))
@@ -130,13 +131,15 @@ def mixing_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its own columns and a copy number from 1."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.withColumn("row", row)
-    plan = mixing_plan(keyed.select("doc_id", "row", "source", "text"), **options).filter("copies > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("its_id"), F.col("row").alias("its_row")).agg(F.sum("copies").alias("its_copies"))
-    joined = keyed.join(plan, (F.col("row") == F.col("its_row")) & F.col("doc_id").eqNullSafe(F.col("its_id"))).dropDuplicates(["row", "its_id"])
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("its_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns], "copy")
+    """The mix itself: each document as often as it is taken, with its own columns and ``mix_copy``, the number of the
+    copy from 1 (it replaces a column of that name). Repeated rows are one row taken as often as all of them together."""
+    own = [c for c in docs.columns if c != "mix_copy"]
+    columns = [F.col(f"`{c}`") for c in own]
+    keyed = docs.select(*columns, F.xxhash64(*columns).alias(ROW))
+    plan = mixing_plan(keyed.select("doc_id", ROW, "source", "text"), **options).filter("copies > 0")
+    plan = plan.groupBy(F.col("doc_id").alias("__mix_id"), F.col("row").alias("__mix_its_row")).agg(F.sum("copies").alias("__mix_copies"))
+    joined = keyed.join(plan, (F.col(ROW) == F.col("__mix_its_row")) & F.col("doc_id").eqNullSafe(F.col("__mix_id"))).dropDuplicates([ROW, "__mix_id"])
+    return joined.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies"))).alias("mix_copy"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

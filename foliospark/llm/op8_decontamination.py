@@ -104,6 +104,8 @@ def cut_windows(items: list[np.ndarray], width: int) -> tuple[np.ndarray, np.nda
     lengths = np.array([len(x) for x in items], np.int64)
     counts = np.maximum(lengths - width + 1, 1)
     begins = np.cumsum(lengths) - lengths
+    if not items:
+        return lengths, lengths, lengths
     item = np.repeat(np.arange(len(items)), counts)
     start = np.repeat(begins, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     return item, start, np.minimum(lengths, width)[item]
@@ -114,9 +116,9 @@ class Search:
 
     def __init__(self, names: list[str], items: list[np.ndarray], terms: np.ndarray, counts: np.ndarray, width: int, slop: int):
         self.names, self.slop, self.width = names, slop, width
-        self.words = np.concatenate(items)
+        self.words = np.concatenate([*items, np.zeros(1, np.uint64)])  # one more, so that there is a last word
         self.item, self.start, self.length = cut_windows(items, width)
-        rare = counts[np.searchsorted(terms, self.words)]
+        rare = np.append(counts[np.searchsorted(terms, self.words[:-1])], 0)
         offsets = np.arange(width)
         inside = offsets < self.length[:, None]
         times = np.where(inside, rare[np.minimum(self.start[:, None] + offsets, len(self.words) - 1)], np.iinfo(np.int64).max)
@@ -232,7 +234,7 @@ def decontamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, slop:
         search = Search([r["item_id"] for r in block], own, terms, term_counts(index, terms), width, slop)
         found.append(find_matches(index, search))
     if not found:
-        found.append(find_matches(index, Search([], [np.zeros(0, np.uint64)], np.zeros(0, np.uint64), np.zeros(0, np.int64), width, slop)))
+        found.append(find_matches(index, Search([], [], np.zeros(0, np.uint64), np.zeros(0, np.int64), width, slop)))
     rows = found[0]
     if len(found) > 1:  # a document's rows are as many as there are blocks
         for other in found[1:]:
