@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.dates import add_months, month_diff
-from foliospark.operators.skew import DEFAULT, SkewPolicy, hot_keys, skew_join, skew_joins
+from foliospark.operators.skew import skew_join, skew_joins
 
 
 def shift_month(df: DataFrame, month: str, n: int) -> DataFrame:
@@ -23,12 +23,12 @@ def translate_id(df: DataFrame, ids: DataFrame, external: str, internal: str) ->
     hot. Spark broadcasts ``ids`` when its measured size is below the session's limit and
     shuffles both sides otherwise.
     """
-    return skew_join(df, ids.select(external, internal), [external], "left", hot=None)
+    return skew_join(df, ids.select(external, internal), [external], "left")
 
 
-def matched(df: DataFrame, other: DataFrame, on: Sequence[str], policy: SkewPolicy = DEFAULT) -> DataFrame:
+def matched(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
     """Only the rows with a partner, once per partner (a left join whose partner is not NULL)."""
-    return skew_join(df, other, on, "inner", policy=policy)
+    return skew_join(df, other, on, "inner")
 
 
 def asof_within(
@@ -74,13 +74,12 @@ def follow_up(
     base_month: str,
     panel_month: str,
     first_offset: int,
-    policy: SkewPolicy = DEFAULT,
 ) -> DataFrame:
-    """``base`` with every panel row of its key from ``first_offset`` months on; unmatched rows stay."""
-    return skew_join(
-        base, panel, [key], "left",
-        residual=lambda: month_diff(panel_month, base_month) >= first_offset, policy=policy,
-    )
+    """``base`` with every panel row of its key from ``first_offset`` months on; unmatched rows stay.
+
+    A key has no more panel rows than there are months, and the base has few rows of a key.
+    """
+    return skew_join(base, panel, [key], "left", residual=lambda: month_diff(panel_month, base_month) >= first_offset)
 
 
 def outcome_window(
@@ -91,12 +90,10 @@ def outcome_window(
     month: str,
     horizons: dict[int, dict[str, tuple[str, str]]],
     months_seen: dict[int, str],
-    policy: SkewPolicy = DEFAULT,
-    hot: DataFrame | None | str = "detect",
 ) -> DataFrame:
     """Outcomes of each base row over several forward horizons, from one join to the longest.
 
-    ``cells`` holds one row per (``key``, ``month``). ``horizons[h]`` maps an output name
+    ``cells`` holds one row per (``key``, ``month``), and a key enters once a month, so no key is hot. ``horizons[h]`` maps an output name
     to ``(cell column, "at" | "max")``: the value in the month exactly ``h`` later, or the
     largest value in months 0..h; 0 where nothing was seen. ``months_seen[h]`` names the
     number of months seen in 0..h.
@@ -108,8 +105,6 @@ def outcome_window(
         entries, ahead, [key], "left",
         residual=lambda: (F.col("__month") >= F.col(month))
         & (F.col("__month") <= add_months(month, longest)),
-        policy=policy,
-        hot=hot,
     )
     aggregates = []
     for h, outputs in horizons.items():
@@ -126,23 +121,19 @@ def outcome_window(
 def enrich(
     base: DataFrame,
     attributes: Sequence[tuple[DataFrame, Sequence[str]]],
-    policy: SkewPolicy = DEFAULT,
     hot: dict[tuple[str, ...], DataFrame | None] | None = None,
+    right_hot: Sequence[DataFrame | None] = (),
 ) -> DataFrame:
     """``base`` left-joined to every attribute table.
 
     Tables with the same key are joined one after the other, so the base is shuffled once
-    per distinct key rather than once per table. ``hot`` may carry the hot lists found on
-    a stored base; keys not in it are looked up here.
+    per distinct key rather than once per table. ``hot`` carries the hot keys of the base for
+    a key, ``right_hot`` those of each attribute table; what is left out has none.
     """
-    groups: dict[tuple[str, ...], list[DataFrame]] = {}
-    for table, on in attributes:
-        groups.setdefault(tuple(on), []).append(table)
-    known = dict(hot or {})
-    for on in groups:
-        if on not in known:
-            known[on] = hot_keys(base, on, policy)
+    groups: dict[tuple[str, ...], list[tuple[DataFrame, DataFrame | None]]] = {}
+    for i, (table, on) in enumerate(attributes):
+        groups.setdefault(tuple(on), []).append((table, right_hot[i] if i < len(right_hot) else None))
     out = base
     for on, tables in groups.items():
-        out = skew_joins(out, tables, on, "left", policy=policy, hot=known[on])
+        out = skew_joins(out, [t for t, _ in tables], on, "left", hot=(hot or {}).get(on), right_hot=[h for _, h in tables])
     return out

@@ -1,9 +1,10 @@
 """Joins and ordered windows that stay balanced when one key holds much of the data.
 
-Every operator first asks which keys are hot.  That question is one ``groupBy().count()``
-(combined before its shuffle), and its answer is short by construction: the ``max_keys``
-largest groups.  Each group left out has at most ``max(min_rows, rows / max_keys)`` rows.
-Only those few keys take the salted route, everything else runs as the plain operator.
+Keys that the grain of a table bounds (an account has one row a month) need nothing. For the others, ``hot_lists``
+counts the keys of several tables in one job and stores those with more rows than one task should get, however many
+they are, each with the number of pieces its rows are cut into. Spark broadcasts a short list and shuffles a long one.
+Without a hot key an operator is the plain join or window; with some, only their rows take the split route, and both
+routes give the same rows.
 """
 
 from __future__ import annotations
@@ -13,53 +14,60 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from foliospark.sources.io import store
 
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    min_rows: int = 1_000_000  # smaller groups always fit in one task
-    max_keys: int = 1_000  # bound of the hot list: collected, then broadcast
-    salts: int = 256  # pieces a hot group is cut into; a power of two
-
-    @property
-    def salt_bits(self) -> int:
-        return self.salts.bit_length() - 1
+    piece_rows: int = 1_000_000  # rows of one key that one task may get
 
 
 DEFAULT = SkewPolicy()
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], policy: SkewPolicy = DEFAULT) -> DataFrame | None:
-    """The hot groups of ``df`` (at most ``policy.max_keys`` rows), or None. Runs a job."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    largest = (
-        counts.filter(F.col("__rows") > policy.min_rows)
-        .orderBy(F.desc("__rows"))
-        .limit(policy.max_keys)
-        .select(*keys)
-    )
-    rows = largest.collect()
-    return df.sparkSession.createDataFrame(rows, largest.schema) if rows else None
+def key_id(df: DataFrame, keys: Sequence[str]) -> Column:
+    """A key as one number, NULL being a value; whole numbers of any width are alike."""
+    whole = [isinstance(df.schema[k].dataType, IntegralType) for k in keys]
+    return F.xxhash64(*[F.col(k).cast("bigint") if w else F.col(k) for k, w in zip(keys, whole, strict=True)])
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[prefix + k])
-    return cond
+def hot_lists(
+    asked: dict[str, tuple[DataFrame, Sequence[str]]], policy: SkewPolicy = DEFAULT
+) -> dict[str, DataFrame | None]:
+    """For each name of ``asked`` the stored hot keys (``__id``, ``__pieces``) of a table, or None. Runs one job.
 
+    Tables that are asked about several keys are read once.
+    """
+    tables: dict[int, tuple[DataFrame, list[Column]]] = {}
+    for name, (df, keys) in asked.items():
+        named = F.struct(F.lit(name).alias("__list"), key_id(df, keys).alias("__id"))
+        tables.setdefault(id(df), (df, []))[1].append(named)
+    rows = [df.select(F.explode(F.array(*ids)).alias("__key")).select("__key.*") for df, ids in tables.values()]
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.union(more)
+    counts = every.groupBy("__list", "__id").agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > policy.piece_rows)
+    pieces = F.ceil(F.col("__rows") / policy.piece_rows).cast("int")
+    found = store(counts.select("__list", "__id", pieces.alias("__pieces")), "hot_keys")
+    full = {r[0] for r in found.select("__list").distinct().collect()}  # names, not keys
+    return {n: found.filter(F.col("__list") == n).select("__id", "__pieces") if n in full else None for n in asked}
 
-def _prefixed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
-    return df.withColumnsRenamed({k: prefix + k for k in keys})
 
+def _marked(df: DataFrame, hot: DataFrame, ident: Column) -> DataFrame:
+    """Adds ``__pieces``: the number of pieces of the row's key, 1 if it is not hot."""
+    out = df.withColumn("__id", ident).join(hot, "__id", "left").drop("__id")
+    return out.withColumn("__pieces", F.coalesce("__pieces", F.lit(1)))
 
-def mark_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], name: str = "__hot") -> DataFrame:
-    """Adds a boolean: is this row's key in the (short) hot list?"""
-    listed = F.broadcast(_prefixed(hot, keys, "__h_").withColumn(name, F.lit(True)))
-    out = df.join(listed, _same(df, listed, keys, "__h_"), "left")
-    return out.withColumn(name, F.coalesce(F.col(name), F.lit(False))).drop(*["__h_" + k for k in keys])
+
+def _one_of(columns: Sequence[str]) -> Column:
+    """A piece number that follows from the row and its task."""
+    return F.pmod(F.xxhash64(*columns, F.spark_partition_id()), F.col("__pieces")).cast("int")
+
+
+def _each_piece() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col("__pieces") - 1))
 
 
 def skew_joins(
@@ -68,70 +76,74 @@ def skew_joins(
     on: Sequence[str],
     how: str = "left",
     residual: Callable[[], Column] | None = None,
-    policy: SkewPolicy = DEFAULT,
-    hot: DataFrame | None | str = "detect",
-    count_in: DataFrame | None = None,
+    hot: DataFrame | None = None,
+    right_hot: Sequence[DataFrame | None] = (),
 ) -> DataFrame:
-    """``left`` joined (left or inner) to each of ``rights`` on equal ``on`` columns.
-
-    The key columns kept are those of ``left``. ``residual`` is a further join condition
-    over column names. Rows of ``left`` under a hot key are spread over ``policy.salts``
-    pieces and the matching rows of each right side are repeated once per piece. The
-    right sides should be keyed by ``on`` or close to it: what is repeated is their rows.
+    """``left`` joined (left or inner) to each of ``rights`` on equal ``on`` columns; the key columns kept are ``left``'s.
 
-    The keys are counted in ``count_in`` if given: a stored table with the same columns
-    and at least the rows of ``left``, cheaper to read than ``left`` is to compute. Pass
-    ``hot=None`` where no key of ``left`` can have many rows, or a list already found.
+    ``residual`` is a further join condition over column names. ``hot`` lists the hot keys of ``left``: their rows are
+    spread over the key's pieces, and the partners are repeated once per piece. ``right_hot`` has a list, or None, for
+    each right side: there the rows of the right side are spread and those of ``left`` repeated.
     """
     on = list(on)
-    if isinstance(hot, str):
-        hot = hot_keys(left if count_in is None else count_in, on, policy)
-    keep = left.columns
-    if hot is not None:
-        left = mark_hot(left, hot, on)
-        spread = F.pmod(F.xxhash64(*keep, F.spark_partition_id()), F.lit(policy.salts)).cast("int")
-        left = left.withColumn("__salt", F.when(F.col("__hot"), spread).otherwise(0)).drop("__hot")
     out = left
     for i, right in enumerate(rights):
-        tag = f"__r{i}_"
-        r = right
-        if hot is not None:
-            pieces = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(policy.salts - 1))).otherwise(
-                F.array(F.lit(0))
-            )
-            r = mark_hot(r, hot, on).withColumn(tag + "salt", F.explode(pieces)).drop("__hot")
-        r = _prefixed(r, on, tag)
-        cond = F.lit(True)
-        for k in on:
-            cond = cond & (F.col(k) == F.col(tag + k))
-        if hot is not None:
-            cond = cond & (F.col("__salt") == F.col(tag + "salt"))
-        if residual is not None:
-            cond = cond & residual()
-        out = out.join(r, cond, how).drop(*[tag + k for k in on], tag + "salt")
-    return out.drop("__salt")
+        crowded = right_hot[i] if i < len(right_hot) else None
+        if crowded is None:
+            out = _joined(out, right, on, how, residual, hot)
+            continue
+        if residual is not None and how != "inner":
+            raise ValueError("a left join with a further condition can't repeat its left rows")
+        no_key = F.greatest(*[F.col(k).isNull() for k in on], F.lit(False))  # matches nothing
+        many = _marked(right, crowded, F.when(~no_key, key_id(right, on)))
+        one = _marked(out, crowded, F.when(~no_key, key_id(out, on)))
+        few = _joined(one.filter("__pieces = 1").drop("__pieces"), many.filter("__pieces = 1").drop("__pieces"), on, how, residual, hot)
+        spread = many.filter("__pieces > 1").withColumn("__part", _one_of(right.columns)).drop("__pieces")
+        repeated = one.filter("__pieces > 1").withColumn("__part", _each_piece()).drop("__pieces")
+        # every such key has a partner, so nothing is left over that a left join would keep
+        out = few.unionByName(_joined(repeated, spread, [*on, "__part"], "inner", residual, None).drop("__part"))
+    return out
+
+
+def _joined(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, residual: Callable[[], Column] | None, hot: DataFrame | None) -> DataFrame:
+    keep = [*left.columns, *[c for c in right.columns if c not in on]]
+    if hot is not None:
+        right = _marked(right, hot, key_id(right, [k for k in on if k != "__part"])).withColumn("__salt", _each_piece()).drop("__pieces")
+        left = _marked(left, hot, key_id(left, [k for k in on if k != "__part"])).withColumn("__salt", _one_of(left.columns)).drop("__pieces")
+        on = [*on, "__salt"]
+    right = right.withColumnsRenamed({k: "__r_" + k for k in on})
+    cond = F.lit(True)
+    for k in on:
+        cond = cond & (F.col(k) == F.col("__r_" + k))
+    if residual is not None:
+        cond = cond & residual()
+    return left.join(right, cond, how).select(*keep)
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", **kw) -> DataFrame:
-    return skew_joins(left, [right], on, how, **kw)
+def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", right_hot: DataFrame | None = None, **kw) -> DataFrame:
+    return skew_joins(left, [right], on, how, right_hot=[right_hot], **kw)
 
 
-def _stored_hot_part(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows of the hot keys with a number each, written out so that the numbers stay fixed."""
-    part = mark_hot(df, hot, keys).filter("__hot").drop("__hot")
-    return store(part.withColumn("__id", F.monotonically_increasing_id()), "hot_part")
+def _blocks(df: DataFrame, hot: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of other keys; and the different rows of hot keys with their number (``__times``), a hash of the row
+    (``__tie``) and the slice of hashes it falls into (``__block``)."""
+    marked = _marked(df, hot, key_id(df, keys))
+    plain = marked.filter("__pieces = 1").drop("__pieces")
+    cut = marked.filter("__pieces > 1").groupBy(*columns, "__pieces").agg(F.count(F.lit(1)).alias("__times"))
+    cut = cut.withColumn("__tie", F.xxhash64(*columns))
+    bits = "cast(ceil(log2(__pieces)) as int)"
+    return plain, cut.withColumn("__block", F.expr(f"shiftright(__tie, 64 - {bits})")).drop("__pieces")
 
 
-def _cold_part(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return mark_hot(df, hot, keys).filter(~F.col("__hot")).drop("__hot")
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(right[prefix + k])
+    return cond
 
 
 def previous_row(
-    df: DataFrame,
-    keys: Sequence[str],
-    month: str,
-    values: dict[str, str],
-    policy: SkewPolicy = DEFAULT,
+    df: DataFrame, keys: Sequence[str], month: str, values: dict[str, str], hot: DataFrame | None = None
 ) -> DataFrame:
     """Adds, for each ``{new: column}``, the column's value in the previous row of the key.
 
@@ -140,36 +152,29 @@ def previous_row(
     previous row is the one before, however many months back that is.
 
     A hot key is cut into (month, hash range) blocks: the lag is taken inside each block,
-    and the first row of a block takes the last row of the block before it. Exact copies
-    of a row cannot be told apart by content, so only one of them goes that way: the row
-    before any other copy is a copy.
+    and the first row of a block takes the last row of the block before it. Equal rows go
+    as one; the row before any copy but the first is a copy.
     """
     keys = list(keys)
-    hot = hot_keys(df, keys, policy)
-
-    def hashed(frame: DataFrame) -> DataFrame:
-        return frame.withColumn("__tie", F.xxhash64(*df.columns))
 
     def lags(by: Sequence[str], prefix: str = "") -> list[Column]:
         w = Window.partitionBy(*by).orderBy(F.col(month), F.col("__tie"))
         return [F.lag(F.col(c)).over(w).alias(prefix + new) for new, c in values.items()]
 
-    if hot is None:
-        return hashed(df).select("*", *lags(keys)).drop("__tie")
+    def lagged(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("__tie", F.xxhash64(*df.columns)).select("*", *lags(keys)).drop("__tie")
 
-    plain = hashed(_cold_part(df, hot, keys)).select("*", *lags(keys)).drop("__tie")
-    rows = _stored_hot_part(df, hot, keys)
-    firsts = rows.groupBy(*df.columns).agg(F.min("__id").alias("__id"))
-    copies = rows.join(firsts.select("__id"), "__id", "left_anti").select(
+    if hot is None:
+        return lagged(df)
+    plain, cut = _blocks(df, hot, keys, df.columns)
+    copies = cut.filter("__times > 1").withColumn("__copy", F.explode(F.expr("sequence(2L, __times)"))).select(
         *df.columns, *[F.col(c).alias(new) for new, c in values.items()]
     )
+    cut = cut.withColumn("__month", F.col(month))
     block = ["__month", "__block"]
-    cut = hashed(firsts.drop("__id")).withColumns(
-        {"__month": F.col(month), "__block": F.shiftright(F.col("__tie"), 64 - policy.salt_bits)}
-    )
     w_block = Window.partitionBy(*keys, *block).orderBy("__tie")
     inside = cut.select("*", *lags(keys + block, "__in_"), (F.row_number().over(w_block) == 1).alias("__first"))
-    # one row per block: at most months x salts rows per key
+    # one row per block: at most months x pieces rows per key
     w_key = Window.partitionBy(*keys).orderBy(*block)
     ends = (
         cut.groupBy(*keys, *block)
@@ -177,7 +182,7 @@ def previous_row(
         .withColumn("__before", F.lag("__end").over(w_key))
         .drop("__end")
     )
-    ends = _prefixed(ends, keys + block, "__e_")
+    ends = ends.withColumnsRenamed({k: "__e_" + k for k in keys + block})
     joined = inside.join(ends, _same(inside, ends, keys + block, "__e_"), "left")
     split = joined.select(
         *[inside[c] for c in df.columns],
@@ -186,26 +191,21 @@ def previous_row(
             for new in values
         ],
     )
-    return plain.unionByName(split).unionByName(copies)
+    return lagged(plain).unionByName(split).unionByName(copies)
 
 
 def row_numbers(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[tuple[str, str]],
-    name: str,
-    policy: SkewPolicy = DEFAULT,
-    hot: DataFrame | None | str = "detect",
+    df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, str]], name: str,
+    hot: DataFrame | None = None, hot_on: Sequence[str] | None = None,
 ) -> DataFrame:
     """Numbers the rows of each key from 1 by ``order``: ``(column, "asc" | "desc")``, coarse columns.
 
-    Rows equal in all of them are numbered in no particular order. NULLs come first
+    Rows equal in all of them are numbered by a hash of the whole row. NULLs come first
     ascending and last descending. A hot key is numbered block by block, a block being one
-    value of the order columns and one slice of the rows; it starts after the blocks before it.
+    value of the order columns and one range of hashes; it starts after the blocks before it.
+    ``hot`` may list values of a part of the keys, ``hot_on``.
     """
     keys = list(keys)
-    if isinstance(hot, str):
-        hot = hot_keys(df, keys, policy)
 
     def sorting(prefix: str = "") -> list[Column]:
         return [
@@ -213,34 +213,26 @@ def row_numbers(
             for c, way in order
         ]
 
-    def number(frame: DataFrame, by: Sequence[str], last: Sequence[str] = ()) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(*sorting(), *last)
+    def numbered(frame: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*sorting(), F.xxhash64(*df.columns))
         return frame.withColumn(name, F.row_number().over(w).cast("bigint"))
 
     if hot is None:
-        return number(df, keys)
-
-    plain = number(_cold_part(df, hot, keys), keys)
+        return numbered(df)
+    plain, cut = _blocks(df, hot, hot_on or keys, df.columns)
     block = ["__o_" + c for c, _ in order] + ["__block"]
-    cut = _stored_hot_part(df, hot, keys).withColumns(
-        {"__o_" + c: F.col(c) for c, _ in order}
-        | {"__block": F.pmod(F.xxhash64("__id"), F.lit(policy.salts))}
-    )
-    w_key = (
-        Window.partitionBy(*keys)
-        .orderBy(*sorting("__o_"), F.col("__block"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    cut = cut.withColumns({"__o_" + c: F.col(c) for c, _ in order})
+    before = (Window.unboundedPreceding, -1)
+    w_block = Window.partitionBy(*keys, *block).orderBy("__tie").rowsBetween(*before)
+    w_key = Window.partitionBy(*keys).orderBy(*sorting("__o_"), F.col("__block")).rowsBetween(*before)
     starts = (
         cut.groupBy(*keys, *block)
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .agg(F.sum("__times").alias("__n"))
         .withColumn("__start", F.coalesce(F.sum("__n").over(w_key), F.lit(0)))
         .drop("__n")
     )
-    starts = _prefixed(starts, keys + block, "__e_")
-    inside = number(cut, keys + block, ["__id"])
+    starts = starts.withColumnsRenamed({k: "__e_" + k for k in keys + block})
+    inside = cut.withColumn("__ahead", F.coalesce(F.sum("__times").over(w_block), F.lit(0)))
     joined = inside.join(starts, _same(inside, starts, keys + block, "__e_"), "left")
-    split = joined.select(
-        *[inside[c] for c in df.columns], (F.col(name) + F.col("__start")).alias(name)
-    )
-    return plain.unionByName(split)
+    number = F.explode(F.expr("sequence(__start + __ahead + 1, __start + __ahead + __times)"))
+    return numbered(plain).unionByName(joined.select(*[inside[c] for c in df.columns], number.alias(name)))

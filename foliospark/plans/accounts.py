@@ -11,8 +11,8 @@ from foliospark.functions.dates import (
 from foliospark.functions.scalars import flag, floor_zero, or_zero, prefixed, safe_cast
 from foliospark.operators.joins import matched, shift_month, translate_id
 from foliospark.operators.rules import category, first_true
-from foliospark.operators.sets import union_all, union_distinct
-from foliospark.operators.skew import previous_row, skew_join
+from foliospark.operators.sets import cast_like, union_all
+from foliospark.operators.skew import hot_lists, previous_row, skew_join
 from foliospark.operators.windows import top_n
 from foliospark.plans.params import TrackingParams
 from foliospark.sources.io import date_range, snapshots
@@ -36,6 +36,7 @@ EMPLOYMENT = {
 # Block descriptions that are not permanent, code of a renegotiation charge, web branch
 NOT_PERMANENT = ["Temporal", "Fraude"]
 RENEGOTIATION_CODE = 96022
+RENEGOTIATION_MOVEMENTS = 10
 WEB_BRANCH = "9999"
 
 
@@ -47,12 +48,12 @@ def client_ids(id_map: DataFrame) -> DataFrame:
 
 def fraud_clients(
     feed_a: DataFrame, feed_b: DataFrame, transactions: DataFrame, fraud_transactions: DataFrame,
-    ids: DataFrame, params: TrackingParams = TrackingParams(),
+    ids: DataFrame,
 ) -> DataFrame:
     """Latest fraud date per client over the three feeds."""
     # a maximum does not change with repeats, so each listed transaction is needed once
     listed = fraud_transactions.select("id_trx").distinct()
-    confirmed = matched(transactions.select("id_trx", "cod_contraparte", "fecha_informacion"), listed, ["id_trx"], params.skew)
+    confirmed = matched(transactions.select("id_trx", "cod_contraparte", "fecha_informacion"), listed, ["id_trx"])
     # one date per counterparty before translating its id
     by_counterparty = confirmed.groupBy(col("cod_contraparte").alias("IdCorporativo")).agg(
         F.max(col("fecha_informacion").cast("date")).alias("FechaFraude")
@@ -75,7 +76,10 @@ def fraud_contracts(contracts: DataFrame) -> DataFrame:
 
 
 def panel_rows(old: DataFrame, new: DataFrame, params: TrackingParams = TrackingParams()) -> DataFrame:
-    """The old and the new snapshot source in one layout, without repeated rows."""
+    """The old and the new snapshot source in one layout, without repeated rows, and those of an account together.
+
+    Dealt by account once, rows need no further shuffle to drop repeats or to look at the row before.
+    """
     opened, born, limit = params.trial_record
     text_date = lambda c: safe_cast(c, "date")
     before = date_range(old, "fecha_foto", params.old_first, params.old_last).select(
@@ -95,12 +99,12 @@ def panel_rows(old: DataFrame, new: DataFrame, params: TrackingParams = Tracking
         "fcupo", "coacti", "iddiaaper", "iddianac", "fsaldeud", "fsaldesu", "favaocu", "fsaldo",
         "moraac", "idsitu", "iddiareneg", "iddiamaxultmov", "iddiacast",
     )
-    return union_distinct(PANEL, before, after)
+    return union_all(cast_like(before, PANEL), cast_like(after, PANEL)).repartition("Contrato").distinct()
 
 
 def account_panel(rows: DataFrame, params: TrackingParams = TrackingParams()) -> DataFrame:
-    """Panel rows with the status of the account's previous row."""
-    return previous_row(rows, ["Contrato"], "FechaFoto", {"IdSitu_Mmenos1": "IdSitu"}, params.skew)
+    """Panel rows with the status of the account's previous row. An account has few rows a month: no key is hot."""
+    return previous_row(rows, ["Contrato"], "FechaFoto", {"IdSitu_Mmenos1": "IdSitu"})
 
 
 def permanent_blocks(blocks: DataFrame, params: TrackingParams = TrackingParams()) -> DataFrame:
@@ -112,13 +116,10 @@ def permanent_blocks(blocks: DataFrame, params: TrackingParams = TrackingParams(
     )
 
 
-def openings(
-    panel: DataFrame, fraud: DataFrame, blocks: DataFrame,
-    params: TrackingParams = TrackingParams(), stored: DataFrame | None = None,
-) -> DataFrame:
+def openings(panel: DataFrame, fraud: DataFrame, blocks: DataFrame, params: TrackingParams = TrackingParams()) -> DataFrame:
     """Accounts opened in the month, or active again after being suspended.
 
-    ``stored`` may name a stored table with the panel's rows, to count keys in.
+    Runs a job that counts keys of the chosen rows and of the blocks, so the panel should be stored.
     """
     back = (col("IdSitu") == 1) & (col("IdSitu_Mmenos1") == 2)
     opened = month_start("FechaApertura") == col("FechaFoto")
@@ -131,10 +132,11 @@ def openings(
         ),
         "FechaFoto", 1,
     )
-    count_in = chosen if stored is None else stored
-    joined = skew_join(chosen, fraud, ["IdCliente"], policy=params.skew, count_in=count_in)
     # the old source has one alternate id for all accounts, which makes its months hot here
-    joined = skew_join(joined, block, ["ContratoAlterno", "FechaFoto"], policy=params.skew, count_in=count_in)
+    blocked = ["ContratoAlterno", "FechaFoto"]
+    hot = hot_lists({"client": (chosen, ["IdCliente"]), "alternate": (chosen, blocked), "block": (block, blocked)}, params.skew)
+    joined = skew_join(chosen, fraud, ["IdCliente"], hot=hot["client"])
+    joined = skew_join(joined, block, blocked, hot=hot["alternate"], right_hot=hot["block"])
     code = or_zero(safe_cast("CodigoActividad", "bigint"))
     use = [
         (floor_zero("DeudaL2") > 0, "Super Avance"),
@@ -166,8 +168,10 @@ def renegotiated(card_events: DataFrame, stock: DataFrame, params: TrackingParam
 
     An account with several opening rows repeats its events, and the repeats use up ranks.
     Equal opening rows are counted first; more than ten repeats cannot matter to a first ten.
+    Only an account's first ten events can matter either: if the eleventh is due under a
+    deadline, so are the ten before it. They are chosen first, inside the map tasks.
     """
-    first = 10
+    first = RENEGOTIATION_MOVEMENTS
     deadlines = (
         stock.groupBy(col("ContratoAlterno").alias("contrato"), add_months("FechaApertura", 1).alias("__limit"))
         .agg(F.least(F.count(F.lit(1)), F.lit(first)).alias("__times"))
@@ -175,12 +179,13 @@ def renegotiated(card_events: DataFrame, stock: DataFrame, params: TrackingParam
     events = card_events.filter(col("fechaoperacion") > date_lit(params.events_after)).select(
         "contrato", "fechaoperacion", "tipofac"
     )
+    order = [col("fechaoperacion").asc(), col("tipofac").asc()]
     due = skew_join(
-        events, deadlines, ["contrato"], "inner",
-        residual=lambda: col("fechaoperacion") <= col("__limit"), policy=params.skew,
+        top_n(events, ["contrato"], order, first), deadlines, ["contrato"], "inner",
+        residual=lambda: col("fechaoperacion") <= col("__limit"),
     )
     repeated = due.withColumn("__copy", F.explode(F.sequence(F.lit(1), col("__times").cast("int"))))
-    early = top_n(repeated, ["contrato"], [col("fechaoperacion").asc(), col("tipofac").asc()], first)
+    early = top_n(repeated, ["contrato"], order, first)
     return (
         early.filter(col("tipofac") == RENEGOTIATION_CODE)
         .select(col("contrato").alias("Contrato"), F.lit(1).alias("Renegociacion"))

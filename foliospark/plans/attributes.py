@@ -14,11 +14,11 @@ from foliospark.functions.scalars import (
 from foliospark.operators.joins import asof_within, enrich, outcome_window, shift_month, translate_id
 from foliospark.operators.rules import band, band_by_regime
 from foliospark.operators.sets import union_all
-from foliospark.operators.skew import hot_keys, mark_hot, skew_join
+from foliospark.operators.skew import hot_lists, key_id, skew_join
 from foliospark.operators.windows import first_per, trailing
 from foliospark.plans import ladders
 from foliospark.plans.params import TrackingParams
-from foliospark.sources.io import date_range
+from foliospark.sources.io import date_range, store
 
 P = TrackingParams()
 
@@ -45,19 +45,25 @@ def estimated_income(income: DataFrame, params: TrackingParams = P) -> DataFrame
     return shift_month(rows, "FechaFoto", 2)
 
 
-def bureau_windows(bureau: DataFrame, params: TrackingParams = P) -> DataFrame:
+def bureau_rows(bureau: DataFrame, params: TrackingParams = P) -> DataFrame:
+    return date_range(bureau, "fecha_foto", first=params.bureau_history_from).select(
+        col("fecha_foto").alias("FechaFoto"), col("id_cliente").alias("IdCliente"),
+        *[(F.lit(1000.0) * col(c)).alias(m) for m, c in BUREAU.items()],
+    )
+
+
+def bureau_windows(bureau: DataFrame, params: TrackingParams = P, hot: DataFrame | None | str = "count") -> DataFrame:
     """Three-month sums and averages and six-month banked count per client and month, two months on.
 
     Repeated rows weigh as often as they occur, both as the row asked about and as history:
     equal rows are first counted, and the window adds amounts times that count. Clients
-    with very many rows go through one row per month instead, so no window grows with them.
+    with very many rows (``hot``; counted here if not given) go through one row per month
+    instead, so no window grows with them.
     """
     measures = list(BUREAU)
-    rows = date_range(bureau, "fecha_foto", first=params.bureau_history_from).select(
-        col("fecha_foto").alias("FechaFoto"), col("id_cliente").alias("IdCliente"),
-        *[(F.lit(1000.0) * col(c)).alias(m) for m, c in BUREAU.items()],
-    )
-    hot = hot_keys(rows, ["IdCliente"], params.skew)
+    rows = bureau_rows(bureau, params)
+    if isinstance(hot, str):
+        hot = hot_lists({"client": (rows, ["IdCliente"])}, params.skew)["client"]
     # every distinct row once, with the number of times it occurs
     distinct = rows.groupBy("FechaFoto", "IdCliente", *measures).agg(F.count(F.lit(1)).alias("__times"))
     banked = flag(sum((col(m) for m in measures[1:]), col(measures[0])) > 0)
@@ -74,12 +80,13 @@ def bureau_windows(bureau: DataFrame, params: TrackingParams = P) -> DataFrame:
     if hot is None:
         summed = windows(weighed)
     else:
-        marked = mark_hot(weighed, hot, ["IdCliente"])
-        plain = windows(marked.filter(~col("__hot"))).drop("__hot")
-        busy = marked.filter("__hot").drop("__hot")
+        marked = weighed.withColumn("__id", key_id(weighed, ["IdCliente"])).join(hot, "__id", "left").drop("__id")
+        plain = windows(marked.filter("__pieces IS NULL").drop("__pieces"))
+        busy = marked.filter("__pieces IS NOT NULL").drop("__pieces")
         cells = busy.groupBy("IdCliente", "FechaFoto").agg(*[F.sum(n).alias(n) for n in weights])
         wide = windows(cells).drop(*weights)
-        split = skew_join(busy, wide, ["IdCliente", "FechaFoto"], policy=params.skew)
+        # Spark splits the rows of a client and month that are many: the other side has one
+        split = busy.join(wide.withColumnsRenamed({"IdCliente": "__c", "FechaFoto": "__f"}), col("IdCliente").eqNullSafe(col("__c")) & (col("FechaFoto") == col("__f")), "left").drop("__c", "__f")
         summed = plain.unionByName(split)
 
     known = col("IdCliente").isNotNull()  # a NULL client matches no history
@@ -95,9 +102,7 @@ def bureau_windows(bureau: DataFrame, params: TrackingParams = P) -> DataFrame:
     return date_range(summed, "FechaFoto", first=params.bureau_from).select(*out)
 
 
-def vintage_outcomes(
-    stock: DataFrame, panel: DataFrame, params: TrackingParams = P, hot: DataFrame | None | str = "detect"
-) -> DataFrame:
+def vintage_outcomes(stock: DataFrame, panel: DataFrame, params: TrackingParams = P) -> DataFrame:
     """Balances, months seen, delinquency and activity 2, 3, 6 and 12 months after opening."""
     moved = F.coalesce(col("FechaUltimoMovimiento"), date_lit("1800-01-01")) > date_lit("1800-01-01")
     cells = (
@@ -124,7 +129,7 @@ def vintage_outcomes(
         horizons[h] = outputs
     return outcome_window(
         stock, cells, ["FechaFoto", "IdCliente", "Contrato"], "Contrato", "FechaFoto",
-        horizons, {h: f"MesesConVintageMes{h:02d}" for h in horizons}, params.skew, hot,
+        horizons, {h: f"MesesConVintageMes{h:02d}" for h in horizons},
     )
 
 
@@ -166,13 +171,17 @@ def master_ids(client_master: DataFrame) -> DataFrame:
     )
 
 
+def appraised(rows: DataFrame, params: TrackingParams) -> DataFrame:
+    """Appraisals that an opening can look back to: a filter on the stored column, so that it reaches the scan."""
+    return date_range(rows, "upload_dt", first=params.wealth_from, before=params.wealth_before)
+
+
 def vehicle_totals(vehicles: DataFrame, master: DataFrame, params: TrackingParams = P) -> DataFrame:
     """Appraised value of the vehicles up to 15 years old, per client and month."""
-    rows = vehicles.select(
+    rows = appraised(vehicles, params).select(
         col("num_rut").alias("IdCorporativo"), month_start("upload_dt").alias("FechaFoto"),
         clean_amount("vr_appraised_amt").alias("TasacionTotal"), "vr_type", year_text_to_date("vr_year").alias("__made"),
-    )
-    rows = date_range(rows, "FechaFoto", before=params.wealth_before).filter(
+    ).filter(
         (year_diff("FechaFoto", "__made") <= 15) & col("vr_type").isin(*VEHICLE_TYPES)
     )
     # summed per owner before the ids are translated: fewer rows to join, same totals
@@ -193,11 +202,11 @@ def property_totals(real_estate: DataFrame, houses: DataFrame, master: DataFrame
     ).groupBy(col("id_cliente").alias("IdCliente"), month_start("fecha_foto").alias("FechaFoto")).agg(
         F.sum(col("avaluo_total").cast("bigint")).alias("AvaluoTotal")
     )
-    rows = houses.select(
+    rows = appraised(houses, params).select(
         col("nhr_owner_rut_id").alias("IdCorporativo"), month_start("upload_dt").alias("FechaFoto"),
         col("nhr_prop_val_amt").cast("bigint").alias("AvaluoTotal"),
     )
-    owners = date_range(rows, "FechaFoto", before=params.wealth_before).groupBy("IdCorporativo", "FechaFoto").agg(
+    owners = rows.groupBy("IdCorporativo", "FechaFoto").agg(
         F.sum("AvaluoTotal").alias("AvaluoTotal")
     )
     owned = translate_id(owners, master, "IdCorporativo", "IdCliente")
@@ -266,25 +275,21 @@ def _newest_application() -> list[Column]:
     return [col("DRegistro").desc_nulls_last(), col("NumeroSolicitud").desc_nulls_last()]
 
 
-def last_application(
-    stock: DataFrame, log: DataFrame, params: TrackingParams = P, hot: DataFrame | None | str = "detect"
-) -> DataFrame:
+def last_application(stock: DataFrame, log: DataFrame, params: TrackingParams = P, hot: DataFrame | None = None) -> DataFrame:
     """For each account and month its client's latest application up to that month.
 
-    ``FechaFoto`` and ``IdCliente`` are those of the application (NULL without one).
+    ``FechaFoto`` and ``IdCliente`` are those of the application (NULL without one). ``hot``: clients
+    and months with very many accounts. The log is read once: the newest of each month is stored.
     """
     # only a client's newest application of a month can be its newest up to any month
-    newest = first_per(applications(log, params), ["IdCliente", "FechaFoto"], _newest_application())
-    applied = _applied(log, params).select(
-        "idcliente", month_start(datetime_text_to_date("dregistro")).alias("FechaFoto")
-    )
-    applied = applied.select(col("idcliente").alias("IdCliente"), "FechaFoto", col("FechaFoto").alias("__applied"))
+    newest = store(first_per(applications(log, params), ["IdCliente", "FechaFoto"], _newest_application()), "newest_application")
+    applied = newest.select("IdCliente", "FechaFoto", col("FechaFoto").alias("__applied"))
     # which month to look in is found on narrow rows; what was applied for is joined after
     latest = asof_within(stock, applied, "IdCliente", "FechaFoto", "__applied", None).filter(col("__applied").isNotNull())
     newest = newest.withColumnRenamed("FechaFoto", "__applied")
-    found = skew_join(latest, newest, ["IdCliente", "__applied"], hot=None).withColumn("__client", col("IdCliente"))
+    found = skew_join(latest, newest, ["IdCliente", "__applied"]).withColumn("__client", col("IdCliente"))
     asked = stock.select(*CLIENT, "Contrato").distinct()
-    of_account = skew_join(asked, found, CLIENT, policy=params.skew, hot=hot, count_in=stock)
+    of_account = skew_join(asked, found, CLIENT, hot=hot)
     one = first_per(of_account, ["Contrato", "FechaFoto"], _newest_application())
     return one.drop(*CLIENT).withColumnsRenamed({"__applied": "FechaFoto", "__client": "IdCliente"})
 
@@ -300,7 +305,7 @@ def retail_spend(stock: DataFrame, spend_s: DataFrame, spend_f: DataFrame, spend
         )
         tables.append((shift_month(rows, "FechaFoto", 1), ["IdCliente", "FechaFoto"]))
     # the base has one row per pair, so no pair can be hot
-    joined = enrich(base, tables, params.skew, hot={("IdCliente", "FechaFoto"): None})
+    joined = enrich(base, tables)
     amounts = {f"Compras{letter.upper()}U12M": or_zero(f"__{letter}") for letter in "sft"}
     return joined.select(
         "FechaFoto", "IdCliente", *[a.alias(n) for n, a in amounts.items()],

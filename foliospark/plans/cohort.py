@@ -14,7 +14,7 @@ from foliospark.operators.sets import union_distinct
 from foliospark.operators.skew import previous_row, skew_join
 from foliospark.operators.windows import first_per
 from foliospark.plans.params import CohortParams
-from foliospark.sources.io import snapshots, store
+from foliospark.sources.io import snapshots
 
 FIRST_OFFSET, LAST_OFFSET = -1, 10
 # Labels of the month offsets
@@ -44,7 +44,7 @@ def limit_changes(panel: DataFrame, params: CohortParams = CohortParams()) -> Da
         F.col("idcliente").alias("IdCliente"),
         F.col("fcupo").alias("FCupoActual"),
     )
-    seen = previous_row(rows, ["Contrato"], "FechaFoto", {"FCupoAnterior": "FCupoActual"}, params.skew)
+    seen = previous_row(rows, ["Contrato"], "FechaFoto", {"FCupoAnterior": "FCupoActual"})
     now, before = F.col("FCupoActual"), F.col("FCupoAnterior")
     return seen.withColumn(
         "CambioCupo", F.when(now > before, "Aumento").when(now < before, "Disminuyo").otherwise("")
@@ -65,12 +65,12 @@ def increase_follow_up(
 ) -> DataFrame:
     """One row per increase and month of its account from the month before on."""
     base = increases.withColumnRenamed("FechaFoto", "FechaAumento")
-    base = skew_join(base, campaign, ["IdCliente"], policy=params.skew, hot=None)
+    base = skew_join(base, campaign, ["IdCliente"])
     months = panel.select(
         F.col("contrato").alias("Contrato"), "FechaFoto",
         F.col("fcupo").alias("__limit"), F.col("fsaldeud").alias("__debt"), F.col("moraac").alias("__dpd"),
     )
-    joined = follow_up(base, months, "Contrato", "FechaAumento", "FechaFoto", FIRST_OFFSET, params.skew)
+    joined = follow_up(base, months, "Contrato", "FechaAumento", "FechaFoto", FIRST_OFFSET)
     joined = joined.withColumn("__k", month_diff("FechaFoto", "FechaAumento"))
     debt = gated_by_offset(F.col("__k"), F.col("__debt"), FIRST_OFFSET, LAST_OFFSET)
     rise = F.col("FCupoActual") - F.col("FCupoAnterior")
@@ -116,7 +116,7 @@ def limit_cohort_report(wide: DataFrame, params: CohortParams = CohortParams())
 def limit_cohort(account_month: DataFrame, stage1: DataFrame, stage2: DataFrame, params: CohortParams = CohortParams()) -> DataFrame:
     """The whole study, from the account snapshots and the two campaign lists to the report."""
     panel = month_panel(account_month, params)
-    # one row per client, read by the hot-key check and by the join
-    increases = store(first_increase(limit_changes(panel, params)), "first_increase")
+    # an account has one snapshot a month and a client one first increase: no key is hot
+    increases = first_increase(limit_changes(panel, params))
     follow = increase_follow_up(increases, campaign_clients(stage1, stage2), panel, params)
     return limit_cohort_report(increase_pivot(follow), params)

@@ -36,9 +36,14 @@ class TrackingParams:
     trial_record: tuple[str, str, float] = ("2022-09-01", "1990-05-05", 50000.0)
     skew: SkewPolicy = SkewPolicy()
 
+    @property
+    def wealth_from(self) -> str:
+        """Twelve months before the first opening: no as-of value is older."""
+        first = dt.date.fromisoformat(self.openings_from)
+        return first.replace(year=first.year - 1).isoformat()
+
 
 @dataclass(frozen=True)
 class CohortParams:
     snapshots: list[dt.date] = field(default_factory=lambda: month_ends("2022-06-01", "2023-04-01"))
     campaign_flag: int = 0
-    skew: SkewPolicy = SkewPolicy()

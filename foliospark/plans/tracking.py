@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions.dates import col, day_diff, month_diff
 from foliospark.functions.scalars import flag, floor_zero, or_zero, ratio_or
 from foliospark.operators.joins import enrich
 from foliospark.operators.rules import band, first_true, fresh_else, segment
-from foliospark.operators.skew import hot_keys, row_numbers, skew_join
-from foliospark.plans import accounts, attributes, ladders, policy
+from foliospark.operators.skew import hot_lists, row_numbers, skew_join
+from foliospark.plans import accounts, attributes, grouped, ladders, policy
 from foliospark.plans.params import TrackingParams
-from foliospark.sources.io import store
+from foliospark.sources.io import run_folder, store, write_replace
 
 P = TrackingParams()
 
@@ -130,56 +130,67 @@ def derived(joined: DataFrame) -> DataFrame:
 
 
 CLIENT, CONTRACT = ["IdCliente", "FechaFoto"], ["Contrato", "FechaFoto"]
+# the key that each attribute table is joined on
+KEYS = {
+    "estimated_income": CLIENT,
+    "bureau_windows": CLIENT,
+    "preapproval_grade": CLIENT,
+    "mini_policy": CLIENT,
+    "vehicle_wealth": CLIENT,
+    "property_wealth": CLIENT,
+    "preapproved_base": CLIENT,
+    "retail_spend": CLIENT,
+    "preapproval_grade_restated": CLIENT,
+    "pilot_income": CLIENT,
+    "person_latest": ["IdCliente"],
+    "vintage_outcomes": CONTRACT,
+    "last_application": CONTRACT,
+    "provision_pd": CONTRACT,
+    "fraud_contracts": ["Contrato"],
+}
+# tables straight from an input, which may repeat a key; the others are grouped to one row per key
+UNGROUPED = (
+    "estimated_income", "preapproval_grade", "mini_policy", "preapproved_base", "preapproval_grade_restated",
+    "pilot_income", "provision_pd", "fraud_contracts",
+)
 
 
 def stock_hot_keys(stock: DataFrame, params: TrackingParams = P) -> dict[tuple[str, ...], DataFrame | None]:
-    """Hot keys of the (stored) openings for every key the attributes are joined on."""
-    return {tuple(on): hot_keys(stock, on, params.skew) for on in (CLIENT, CONTRACT, ["IdCliente"], ["Contrato"])}
+    """Hot keys of the stored openings. An account opens at most once a month, so its keys need no counting. Runs a job."""
+    found = hot_lists({"month": (stock, CLIENT), "client": (stock, ["IdCliente"])}, params.skew)
+    return {tuple(CLIENT): found["month"], ("IdCliente",): found["client"]}
+
+
+def right_hot_keys(tables: dict[str, DataFrame], bureau: DataFrame, params: TrackingParams = P) -> dict[str, DataFrame | None]:
+    """Keys that the ungrouped attribute tables repeat very often, and bureau clients with very many rows. Runs one job."""
+    asked = {name: (tables[name], KEYS[name]) for name in UNGROUPED}
+    return hot_lists(asked | {"bureau": (attributes.bureau_rows(bureau, params), ["IdCliente"])}, params.skew)
 
 
 def enriched(
-    stock: DataFrame, attribute_tables: dict[str, DataFrame], params: TrackingParams = P,
+    stock: DataFrame, attribute_tables: dict[str, DataFrame],
     hot: dict[tuple[str, ...], DataFrame | None] | None = None,
+    right_hot: dict[str, DataFrame | None] | None = None,
 ) -> DataFrame:
-    """Reopened and newly opened accounts, not renegotiated, with all attributes."""
-    t = attribute_tables
-    hot = stock_hot_keys(stock, params) if hot is None else hot
+    """Reopened and newly opened accounts, not renegotiated, with all attributes.
+
+    ``hot`` and ``right_hot`` name keys with very many rows in the openings and in the attribute tables.
+    """
+    t, right_hot = attribute_tables, right_hot or {}
     base = stock.filter(col("Reapertura").isin("Reapertura", "Originacion"))
-    base = skew_join(base, t["renegotiated"], ["Contrato"], policy=params.skew, hot=hot[("Contrato",)])
+    base = skew_join(base, t["renegotiated"], ["Contrato"])
     base = base.filter(or_zero("Renegociacion") == 0).drop("Renegociacion")
-    client, contract = CLIENT, CONTRACT
-    application = t["last_application"].withColumnRenamed("IdCliente", "__called")
-    joined = enrich(
-        base,
-        [
-            (t["estimated_income"], client),
-            (t["bureau_windows"], client),
-            (t["preapproval_grade"], client),
-            (t["mini_policy"], client),
-            (t["vehicle_wealth"], client),
-            (t["property_wealth"], client),
-            (t["preapproved_base"], client),
-            (t["retail_spend"], client),
-            (t["preapproval_grade_restated"], client),
-            (t["pilot_income"].select(*client, "RentaPiloto"), client),
-            (t["person_latest"], ["IdCliente"]),
-            (t["vintage_outcomes"].drop("IdCliente"), contract),
-            (application, contract),
-            (t["provision_pd"], contract),
-            (t["fraud_contracts"], ["Contrato"]),
-        ],
-        params.skew,
-        hot,
-    )
+    shaped = t | {
+        "pilot_income": t["pilot_income"].select(*CLIENT, "RentaPiloto"),
+        "vintage_outcomes": t["vintage_outcomes"].drop("IdCliente"),
+        "last_application": t["last_application"].withColumnRenamed("IdCliente", "__called"),
+    }
+    joined = enrich(base, [(shaped[name], on) for name, on in KEYS.items()], hot, [right_hot.get(name) for name in KEYS])
     rows = derived(joined)
-    # contracts repeated in the fraud list multiply their rows: look for busy ones before numbering
-    repeats = stock.select(*contract).join(t["fraud_contracts"].select("Contrato"), "Contrato", "left")
-    busy = hot_keys(repeats, contract, params.skew)
-    if busy is not None:
-        rows = store(rows, "enriched")  # the busy keys read it more than once
     # no row is dropped: the number only marks repeats of an account in a month
     order = [("FechaSolicitud", "desc"), ("DescripcionBloqueo", "asc")]
-    return row_numbers(rows, contract, order, "Ranking", policy=params.skew, hot=busy)
+    # a contract that the fraud list repeats very often has as many rows to number
+    return row_numbers(rows, CONTRACT, order, "Ranking", hot=right_hot.get("fraud_contracts"), hot_on=["Contrato"])
 
 
 def segmented(rows: DataFrame) -> DataFrame:
@@ -223,34 +234,32 @@ def tracking(rows: DataFrame) -> DataFrame:
 
 
 def build_stock(table: Callable[[str], DataFrame], params: TrackingParams = P) -> tuple[DataFrame, DataFrame]:
-    """The stored panel and the stored openings; ``table`` returns an input by name."""
+    """The stored panel and the stored openings; ``table`` returns an input by name. Writes both, and counts keys once."""
     ids = accounts.client_ids(table("client_id_map"))
     fraud = accounts.fraud_clients(
         table("fraud_clients_a"), table("fraud_clients_b"), table("fin_transactions"),
-        table("fraud_transactions"), ids, params,
+        table("fraud_transactions"), ids,
     )
     # several steps read the panel and all read the openings: each is computed once
-    rows = store(accounts.panel_rows(table("account_month_old"), table("account_month"), params), "panel")
-    panel = accounts.account_panel(rows, params)
+    panel = store(accounts.account_panel(accounts.panel_rows(table("account_month_old"), table("account_month"), params)), "panel")
     blocks = accounts.permanent_blocks(table("contract_blocks"), params)
-    stock = store(accounts.openings(panel, fraud, blocks, params, rows), "openings")
-    return rows, stock
+    stock = store(accounts.openings(panel, fraud, blocks, params), "openings")
+    return panel, stock
 
 
 def build_attributes(
     table: Callable[[str], DataFrame], panel: DataFrame, stock: DataFrame, params: TrackingParams = P,
     hot: dict[tuple[str, ...], DataFrame | None] | None = None,
-) -> dict[str, DataFrame]:
+) -> tuple[dict[str, DataFrame], dict[str, DataFrame | None]]:
+    """The attribute tables by name, and the keys that they repeat very often (one counting job)."""
     a = attributes
-    hot = stock_hot_keys(stock, params) if hot is None else hot
     ids = accounts.client_ids(table("client_id_map"))
     master = a.master_ids(table("client_master"))
-    return {
+    tables = {
         "renegotiated": accounts.renegotiated(table("card_events"), stock, params),
         "fraud_contracts": accounts.fraud_contracts(table("fraud_contracts")),
         "estimated_income": a.estimated_income(table("income_logic"), params),
-        "bureau_windows": a.bureau_windows(table("bureau_month"), params),
-        "vintage_outcomes": a.vintage_outcomes(stock, panel, params, hot[("Contrato",)]),
+        "vintage_outcomes": a.vintage_outcomes(stock, panel, params),
         "preapproval_grade": a.preapproval_grade(table("preapproval_scores"), params),
         "preapproval_grade_restated": a.preapproval_grade_restated(table("preapproval_scores_restated"), params),
         "mini_policy": a.mini_policy(table("mini_policy"), params),
@@ -258,18 +267,39 @@ def build_attributes(
         "property_wealth": a.property_wealth(stock, table("real_estate_month"), table("houses"), master, params),
         "preapproved_base": a.preapproved_base(table("preapproved_base")),
         "person_latest": a.person_latest(table("bureau_person"), ids, params),
-        "last_application": a.last_application(stock, table("application_log"), params, hot[tuple(CLIENT)]),
+        "last_application": a.last_application(stock, table("application_log"), params, (hot or {}).get(tuple(CLIENT))),
         "retail_spend": a.retail_spend(
             stock, table("retail_spend_s"), table("retail_spend_f"), table("retail_spend_t"), params
         ),
         "provision_pd": a.provision_pd(table("provision_pd"), params),
         "pilot_income": a.pilot_income(table("income_pilot"), params),
     }
+    right_hot = right_hot_keys(tables, table("bureau_month"), params)
+    tables["bureau_windows"] = a.bureau_windows(table("bureau_month"), params, right_hot["bureau"])
+    return tables, right_hot
 
 
 def build_tracking(table: Callable[[str], DataFrame], params: TrackingParams = P) -> DataFrame:
-    """The whole job, from the inputs to the tracking table."""
+    """The whole job, from the inputs to the tracking table.
+
+    Building it runs jobs: the panel, the openings and the newest applications are written, and keys are counted
+    three times (chosen rows and blocks, openings, attribute inputs).
+    """
     panel, stock = build_stock(table, params)
     hot = stock_hot_keys(stock, params)
-    attribute_tables = build_attributes(table, panel, stock, params, hot)
-    return tracking(segmented(enriched(stock, attribute_tables, params, hot)))
+    attribute_tables, right_hot = build_attributes(table, panel, stock, params, hot)
+    return tracking(segmented(enriched(stock, attribute_tables, hot, right_hot)))
+
+
+def run_tracking(table: Callable[[str], DataFrame], spark: SparkSession, folder: str, params: TrackingParams = P) -> dict[str, str]:
+    """Writes the tracking table and, from the written table, both reports; returns their paths.
+
+    What the run stores on its way goes to a folder of its own, which is removed at the end.
+    """
+    paths = {name: f"{folder.rstrip('/')}/{name}" for name in ("tracking", "portfolio_grouped", "portfolio_grouped_changes")}
+    with run_folder(spark):
+        write_replace(build_tracking(table, params), paths["tracking"], partition_by="FechaFoto")
+    stored = spark.read.parquet(paths["tracking"])
+    write_replace(grouped.portfolio_grouped(stored), paths["portfolio_grouped"])
+    write_replace(grouped.portfolio_grouped_changes(stored), paths["portfolio_grouped_changes"])
+    return paths

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,38 +35,53 @@ def date_range(df: DataFrame, column: str, first: str | None = None, last: str |
 
 
 def write_replace(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Replaces a result table. Rows are gathered by partition value to avoid many small files.
-
-    The extra ``__file`` piece keeps one large month from ending up in a single task.
-    """
+    """Replaces a result table. Rows are gathered by partition value, and a large value is split by its size in bytes."""
     if partition_by is None:
         df.write.mode("overwrite").parquet(path)
         return
-    spark = df.sparkSession
-    pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 16, 1)
-    spread = df.withColumn("__file", F.pmod(F.xxhash64(*df.columns, F.spark_partition_id()), F.lit(pieces)))
-    spread.repartition(partition_by, "__file").drop("__file").write.mode("overwrite").partitionBy(
-        partition_by
-    ).parquet(path)
+    df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for stored intermediates: the one the cluster names in ``spark.checkpoint.dir``."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="foliospark-")
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, or one beside the tables of the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+
+
+_run: ContextVar[str] = ContextVar("run", default="")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for what is stored inside the block; removed at its end, so results must be written by then."""
+    path = f"{shared_folder(spark)}/foliospark/{uuid.uuid4().hex}"
+    token = _run.set(path)
+    try:
+        yield path
+    finally:
+        _run.reset(token)
+        _delete(spark, path)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Writes an intermediate that several steps read and returns the stored table.
 
     It outlives lost executors, cuts the plan, keeps column pruning for each reader and
-    gives the optimizer its true size for join choices.
+    gives the optimizer its true size for join choices. It goes to the folder of the run,
+    or, outside of one, to a folder named after the application.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/foliospark/{uuid.uuid4().hex}/{name}"
+    base = _run.get() or f"{shared_folder(spark)}/foliospark/{spark.sparkContext.applicationId}"
+    path = f"{base}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_stored(spark: SparkSession) -> None:
+    """Removes what this application has stored outside of a run folder."""
+    _delete(spark, f"{shared_folder(spark)}/foliospark/{spark.sparkContext.applicationId}")

@@ -163,9 +163,9 @@ def sources(d: Dialect) -> dict[str, str]:
         CASE l_partkey % 30 WHEN 28 THEN NULL WHEN 29 THEN '1500' ELSE {text('1995 + l_partkey % 30')} END AS vr_year
       FROM {_lines(d, 20)} WHERE l_returnflag = 'N'"""
     out["real_estate_month"] = f"""SELECT client AS id_cliente, {plus_days(month_at('mi', 2020, 4), 'l_quantity % 28')} AS fecha_foto,
-        {whole_text('l_extendedprice * 200')} AS avaluo_total FROM {_lines(d, 22)} WHERE l_returnflag = 'R' AND l_partkey % 4 = 0"""
+        {whole_text('l_extendedprice * 200')} AS avaluo_total FROM {_lines(d, 22)} WHERE l_returnflag = 'R'"""
     out["houses"] = f"""SELECT {corporate} AS nhr_owner_rut_id, {plus_days(month_at('mi', 2020, 6), 'l_quantity % 28')} AS upload_dt,
-        {whole_text('l_extendedprice * 300')} AS nhr_prop_val_amt FROM {_lines(d, 20)} WHERE l_returnflag = 'A' AND l_partkey % 4 = 0"""
+        {whole_text('l_extendedprice * 300')} AS nhr_prop_val_amt FROM {_lines(d, 20)} WHERE l_returnflag = 'A'"""
     out["preapproved_base"] = f"""SELECT client AS idcliente, {month_at('mi')} AS fechafoto,
         CASE WHEN max(o_orderstatus) = 'P' THEN 1 ELSE 0 END AS marcapreaprobadosbase FROM {_orders(d)} GROUP BY client, mi"""
     out["bureau_person"] = f"""SELECT {corporate} AS idcliente,

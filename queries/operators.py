@@ -163,7 +163,7 @@ def _(t):
 @add("q_left_join_month", f"""SELECT a.k, a.m, a.v, b.v AS other FROM {cells_sql("o_orderstatus = 'F'")} a
   LEFT JOIN {cells_sql("o_orderstatus = 'O'")} b ON a.k = b.k AND a.m = b.m""")
 def _(t):
-    return skew.skew_join(cells(t, "F").drop("n"), cells(t, "O").select("k", "m", c("v").alias("other")), ["k", "m"], hot=None)
+    return skew.skew_join(cells(t, "F").drop("n"), cells(t, "O").select("k", "m", c("v").alias("other")), ["k", "m"])
 
 
 @add("q_left_join_using", """SELECT o_custkey, o_orderkey, coalesce(listed, 0) AS listed FROM orders
@@ -185,7 +185,7 @@ def _(t):
   THEN 'Con pedido' ELSE 'Sin pedido' END AS mark FROM customer""")
 def _(t):
     big = t("orders").filter(c("o_totalprice") > 450000).select(c("o_custkey").alias("c_custkey")).distinct()
-    joined = skew.skew_join(t("customer").select("c_custkey"), big.withColumn("__hit", F.lit(1)), ["c_custkey"], hot=None)
+    joined = skew.skew_join(t("customer").select("c_custkey"), big.withColumn("__hit", F.lit(1)), ["c_custkey"])
     return joined.select("c_custkey", F.when(c("__hit").isNull(), "Sin pedido").otherwise("Con pedido").alias("mark"))
 
 
@@ -193,7 +193,7 @@ def _(t):
   LEFT JOIN {cells_sql()} b ON a.k = b.k AND date_diff('month', b.m, a.m) = 1""")
 def _(t):
     month = cells(t).drop("n")
-    return skew.skew_join(month, joins.shift_month(month, "m", 1).withColumnRenamed("v", "before"), ["k", "m"], hot=None)
+    return skew.skew_join(month, joins.shift_month(month, "m", 1).withColumnRenamed("v", "before"), ["k", "m"])
 
 
 @add("q_vintage_horizons", f"""SELECT k, m, max(exact) FILTER (h = 2) AS v02, max(top) FILTER (h = 2) AS top02, max(seen) FILTER (h = 2) AS seen02,
@@ -208,7 +208,7 @@ def _(t):
     month = cells(t)
     horizons = {h: {f"v{h:02d}": ("v", "at"), f"top{h:02d}": ("v", "max")} for h in (2, 3, 6, 12)}
     seen = {h: f"seen{h:02d}" for h in horizons}
-    return joins.outcome_window(month, month, ["k", "m"], "k", "m", horizons, seen, hot=None)
+    return joins.outcome_window(month, month, ["k", "m"], "k", "m", horizons, seen)
 
 
 def _trailing_sql(months: int) -> str:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.functions.dates import month_ends
-from foliospark.plans import accounts, attributes, cohort, grouped, tracking
+from foliospark.plans import accounts, attributes, cohort, tracking
 from foliospark.plans.params import CohortParams
-from foliospark.sources.io import store
+from foliospark.sources.io import shared_folder
 from queries.mapping import Inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +31,7 @@ def _cohort(spark: SparkSession, sf_dir: str) -> tuple[Inputs, DataFrame, DataFr
 
 def _follow(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, panel, campaign = _cohort(spark, sf_dir)
-    increases = store(cohort.first_increase(cohort.limit_changes(panel, COHORT)), "first_increase")
+    increases = cohort.first_increase(cohort.limit_changes(panel, COHORT))
     return cohort.increase_follow_up(increases, campaign, panel, COHORT)
 
 
@@ -49,8 +50,7 @@ def _fraud(t: Inputs) -> DataFrame:
 
 
 def _panel(t: Inputs) -> DataFrame:
-    rows = store(accounts.panel_rows(t("account_month_old"), t("account_month")), "panel")
-    return accounts.account_panel(rows)
+    return accounts.account_panel(accounts.panel_rows(t("account_month_old"), t("account_month")))
 
 
 def _openings(t: Inputs) -> DataFrame:
@@ -75,7 +75,19 @@ def _over_many(step: Callable[[Inputs], DataFrame]) -> Query:
 
 
 def _enriched(t: Inputs, panel: DataFrame, stock: DataFrame) -> DataFrame:
-    return tracking.enriched(stock, tracking.build_attributes(t, panel, stock))
+    tables, right_hot = tracking.build_attributes(t, panel, stock)
+    return tracking.enriched(stock, tables, right_hot=right_hot)
+
+
+def _report(name: str) -> Query:
+    """A report as the job leaves it: written from the stored tracking table, and read back."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = f"{shared_folder(spark)}/foliospark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+        paths = tracking.run_tracking(Inputs(spark, sf_dir, MANY), spark, folder)
+        return spark.read.parquet(paths[name])
+
+    return query
 
 
 def _master(t: Inputs) -> DataFrame:
@@ -125,9 +137,7 @@ def steps() -> dict[str, Query]:
         "d_enriched": _over_stock(_enriched),
         "d_segmented": _over_stock(lambda t, p, s: tracking.segmented(_enriched(t, p, s))),
         "d_tracking": _over_many(tracking.build_tracking),
-        "q_portfolio_grouped": _over_many(lambda t: grouped.portfolio_grouped(tracking.build_tracking(t))),
-        "q_portfolio_grouped_changes": _over_many(
-            lambda t: grouped.portfolio_grouped_changes(tracking.build_tracking(t))
-        ),
+        "q_portfolio_grouped": _report("portfolio_grouped"),
+        "q_portfolio_grouped_changes": _report("portfolio_grouped_changes"),
     }
     return out

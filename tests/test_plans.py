@@ -1,11 +1,13 @@
 """Physical plans: what must be there at scale and what must not."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import joins, windows
+from foliospark.operators import joins, skew, windows
 from foliospark.operators.skew import SkewPolicy
-from foliospark.plans import grouped, tracking
+from foliospark.plans import accounts, attributes, grouped, tracking
 from foliospark.plans.params import TrackingParams
 from foliospark.sources import io
 from queries import operators
@@ -66,7 +68,7 @@ def test_same_key_joins_share_one_shuffle(spark):
     try:
         base = operators.cells(t).withColumnRenamed("v", "x")
         sides = [(operators.cells(t, s).select("k", "m", F.col("v").alias(s)), ["k", "m"]) for s in "FOP"]
-        joined = joins.enrich(base, sides, hot={("k", "m"): None})
+        joined = joins.enrich(base, sides)
         physical = joined._jdf.queryExecution().executedPlan().toString()
         # the four groupings shuffle once each; the joins on the same key add nothing
         assert physical.count("Exchange hashpartitioning") == 4
@@ -75,10 +77,50 @@ def test_same_key_joins_share_one_shuffle(spark):
 
 
 def test_whole_job_with_everything_hot(spark, inputs, tracked):
-    """The salted routes of every step give the same tracking table."""
-    tight = TrackingParams(skew=SkewPolicy(min_rows=3, max_keys=50, salts=4))
-    salted = tracking.build_tracking(inputs, tight)
-    numbers = ["Ranking"]  # equal rows may swap numbers
-    assert bag(salted.drop(*numbers)) == bag(tracked.drop(*numbers))
-    per_row = lambda df: bag(df.groupBy("Contrato", "FechaFoto").agg(F.sort_array(F.collect_list("Ranking")).cast("string").alias("r")))
-    assert per_row(salted) == per_row(tracked)
+    """The split routes of every step give the same tracking table, numbers of repeats included."""
+    tight = TrackingParams(skew=SkewPolicy(piece_rows=3))
+    assert bag(tracking.build_tracking(inputs, tight)) == bag(tracked)
+
+
+def test_three_counting_jobs_and_one_panel_shuffle(spark, inputs, monkeypatch):
+    counted, real = [], skew.hot_lists
+    for module in (accounts, attributes, tracking):
+        monkeypatch.setattr(module, "hot_lists", lambda asked, policy: counted.append(sorted(asked)) or real(asked, policy))
+    tracking.build_tracking(inputs)
+    assert len(counted) == 3
+    panel = accounts.account_panel(accounts.panel_rows(inputs("account_month_old"), inputs("account_month")))
+    physical = panel._jdf.queryExecution().executedPlan().toString()
+    # the derived inputs have shuffles of their own, below the union
+    assert physical[: physical.index("Union")].count("Exchange") == 1
+
+
+def test_upload_dates_reach_the_scan(spark, inputs, tmp_path):
+    """On stored inputs, the history that no opening can look back to is not read; the log is scanned once."""
+    for name in ("vehicles", "houses", "real_estate_month", "client_master", "application_log", "openings"):
+        (inputs(name) if name != "openings" else tracking.build_stock(inputs)[1]).write.parquet(str(tmp_path / name))
+    table = lambda name: spark.read.parquet(str(tmp_path / name))
+    master = attributes.master_ids(table("client_master"))
+    for df in (
+        attributes.vehicle_wealth(table("openings"), table("vehicles"), master),
+        attributes.property_wealth(table("openings"), table("real_estate_month"), table("houses"), master),
+    ):
+        text = plan(df)
+        assert "GreaterThanOrEqual(upload_dt,2020-01-01" in text and "LessThan(upload_dt,2022-01-01" in text
+    assert plan(attributes.last_application(table("openings"), table("application_log"))).count("/application_log]") == 0  # read when it was stored
+
+
+def test_a_run_leaves_nothing_behind_and_months_are_split(spark, inputs, tmp_path):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")) / "foliospark"
+    before = {p.name for p in shared.iterdir()}
+    paths = tracking.run_tracking(inputs, spark, str(tmp_path / "out"))
+    assert {p.name for p in shared.iterdir()} == before
+    stored = spark.read.parquet(paths["tracking"])
+    assert bag(spark.read.parquet(paths["portfolio_grouped"])) == bag(grouped.portfolio_grouped(stored)) and stored.count()
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "64k")
+    try:
+        one = spark.range(200_000).selectExpr("1 AS month", "id", "uuid() AS u").unionByName(spark.range(10).selectExpr("2 AS month", "id", "uuid() AS u"))
+        io.write_replace(one, str(tmp_path / "months"), partition_by="month")
+    finally:
+        spark.conf.unset(key)
+    assert len(list((tmp_path / "months" / "month=1").glob("*.parquet"))) > 3 and len(list((tmp_path / "months" / "month=2").glob("*.parquet"))) == 1

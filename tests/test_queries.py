@@ -1,14 +1,16 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
 from queries.compare import check, duck
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
-# covered by the tracking and grouped queries, which contain them
-CONTAINED = {"d_enriched", "d_segmented", "q_portfolio_grouped"}
+SQL = entry.oracle_sql()
+# queries of the subpackage that may be left out are tested beside it
+QUERIES = {n: q for n, q in entry.queries().items() if n != "pipeline" and not re.match(r"op\d+_", n)}
 
 
 @pytest.fixture(scope="module")
@@ -17,12 +19,12 @@ def con():
 
 
 def test_all_queries_have_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - CONTAINED))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    assert check(spark, con, SF, QUERIES[name], SQL[name]) in ("", "both empty")
+    assert check(spark, con, SF, QUERIES[name], SQL[name]) == ""
 
 
 def test_entry(spark):

@@ -13,7 +13,7 @@ from foliospark.plans.params import TrackingParams
 from queries import literal
 from tests.conftest import bag, frame
 
-TIGHT = TrackingParams(skew=SkewPolicy(min_rows=5, max_keys=3, salts=4))
+TIGHT = TrackingParams(skew=SkewPolicy(piece_rows=3))
 D = dt.date
 
 

@@ -1,4 +1,4 @@
-"""The salted routes give what the plain routes give, with most rows under one key."""
+"""The split routes give what the plain routes give, with most rows under few or under many keys."""
 
 import random
 
@@ -11,7 +11,11 @@ from foliospark.plans import attributes
 from foliospark.plans.params import TrackingParams
 from tests.conftest import bag, frame
 
-TIGHT = skew.SkewPolicy(min_rows=5, max_keys=3, salts=8)
+TIGHT = skew.SkewPolicy(piece_rows=3)
+
+
+def hot(df, *keys, policy=TIGHT):
+    return skew.hot_lists({"x": (df, list(keys))}, policy)["x"]
 
 
 @pytest.fixture(scope="module")
@@ -24,28 +28,51 @@ def rows(spark):
     return frame(spark, "i int, k string, m int, v double", data).cache()
 
 
-def test_hot_keys_are_the_largest(rows):
+def test_every_hot_key_is_listed_with_its_pieces(rows):
     counts = {r.k: r["count"] for r in rows.groupBy("k").count().collect()}
-    found = [r.k for r in skew.hot_keys(rows, ["k"], TIGHT).collect()]
-    assert len(found) == 3 and min(counts[k] for k in found) >= sorted(counts.values())[-3]
-    assert skew.hot_keys(rows, ["k"], skew.SkewPolicy(min_rows=1000)) is None
+    ids = {r[1]: r.k for r in rows.select("k", skew.key_id(rows, ["k"])).distinct().collect()}
+    found = {ids[r["__id"]]: r["__pieces"] for r in hot(rows, "k").collect()}
+    assert found == {k: -(-n // 3) for k, n in counts.items() if n > 3} and len(found) > 30
+    assert hot(rows, "k", policy=skew.SkewPolicy(1000)) is None
+
+
+def test_one_job_for_several_tables_and_keys(spark, rows):
+    other = frame(spark, "k bigint", [(1,)] * 9 + [(2,)])
+    lists = skew.hot_lists({"k": (rows, ["k"]), "km": (rows, ["k", "m"]), "all": (rows, ["i"]), "o": (other, ["k"])}, TIGHT)
+    assert lists["all"] is None and lists["o"].count() == 1 and lists["km"].count() > lists["k"].filter("__pieces > 5").count()
+    narrow = frame(spark, "k int", [(1,)])
+    assert narrow.select(skew.key_id(narrow, ["k"])).first()[0] == lists["o"].first()["__id"]
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_join(spark, rows, how):
+def test_join_with_hot_rows_on_the_left(spark, rows, how):
     right = frame(spark, "k string, w int, x int", [("hot", 1, 0), ("hot", 3, 1), ("a", 2, 2), (None, 0, 3), ("zz", 0, 4)])
     cond = lambda: F.col("w") <= F.col("m")
-    salted = skew.skew_join(rows, right, ["k"], how, residual=cond, policy=TIGHT)
+    salted = skew.skew_join(rows, right, ["k"], how, residual=cond, hot=hot(rows, "k"))
     r = right.withColumnRenamed("k", "rk")
     plain = rows.join(r, (F.col("k") == F.col("rk")) & (F.col("w") <= F.col("m")), how).drop("rk")
     assert bag(salted) == bag(plain) and salted.columns == plain.columns
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_join_with_hot_rows_on_either_side(spark, rows, how):
+    right = frame(spark, "k string, x int", [("hot", j) for j in range(40)] + [("a", j) for j in range(9)] + [("b", 0), (None, 1), (None, 2), (None, 3), (None, 4), ("zz", 0)])
+    other = frame(spark, "k string, y int", [(f"k{j}", n) for j in range(30) for n in range(6)] + [("hot", 1)])
+    lists = [hot(right, "k"), hot(other, "k")]
+    assert lists[1].count() == 30
+    plain = rows.join(right, "k", how).join(other, "k", how)
+    for left_list in (None, hot(rows, "k")):
+        split = skew.skew_joins(rows, [right, other], ["k"], how, hot=left_list, right_hot=lists)
+        assert bag(split) == bag(plain)
+    with pytest.raises(ValueError):
+        skew.skew_join(rows, right, ["k"], "left", right_hot=lists[0], residual=lambda: F.col("x") > F.col("m"))
+
+
 def test_previous_row_equals_lag(rows):
     tie = F.xxhash64(*rows.columns)
     w = Window.partitionBy("k").orderBy("m", tie)
     expected = rows.withColumn("p", F.lag("v").over(w)).withColumn("q", F.lag("i").over(w))
-    assert bag(skew.previous_row(rows, ["k"], "m", {"p": "v", "q": "i"}, TIGHT)) == bag(expected)
+    assert bag(skew.previous_row(rows, ["k"], "m", {"p": "v", "q": "i"}, hot(rows, "k"))) == bag(expected)
     assert bag(skew.previous_row(rows, ["k"], "m", {"p": "v", "q": "i"})) == bag(expected)
 
 
@@ -55,7 +82,7 @@ def test_previous_row_with_copies(spark, rows):
     copied = few.unionByName(few).unionByName(few.filter("k = 'hot'"))
     w = Window.partitionBy("k").orderBy("m", F.xxhash64(*copied.columns))
     expected = copied.withColumn("p", F.lag("v").over(w))
-    assert bag(skew.previous_row(copied, ["k"], "m", {"p": "v"}, TIGHT)) == bag(expected)
+    assert bag(skew.previous_row(copied, ["k"], "m", {"p": "v"}, hot(copied, "k"))) == bag(expected)
 
 
 def test_previous_row_skips_missing_months(spark):
@@ -64,14 +91,17 @@ def test_previous_row_skips_missing_months(spark):
 
 
 @pytest.mark.parametrize("way", ["asc", "desc"])
-def test_row_numbers(rows, way):
-    keys = F.col("v").desc_nulls_last() if way == "desc" else F.col("v").asc_nulls_first()
-    w = Window.partitionBy("k").orderBy(keys)
-    expected = rows.withColumn("r", F.row_number().over(w).cast("bigint"))
-    numbered = skew.row_numbers(rows, ["k"], [("v", way)], "r", TIGHT)
-    # equal order values may swap numbers: every row once, every number at its order value
-    assert bag(numbered.drop("r")) == bag(rows) and numbered.columns == expected.columns
-    assert bag(numbered.select("k", "v", "r")) == bag(expected.select("k", "v", "r"))
+@pytest.mark.parametrize("part", [["k"], ["k", "m"]])
+def test_row_numbers_are_the_same_on_both_routes(rows, way, part):
+    few = rows.drop("i")
+    copied = few.unionByName(few.filter("k = 'hot'")).unionByName(few.filter("k = 'hot'"))
+    for df in (rows, copied):
+        plain = skew.row_numbers(df, part, [("v", way)], "r")
+        split = skew.row_numbers(df, part, [("v", way)], "r", hot(df, "k"), ["k"])
+        assert bag(split) == bag(plain) and split.columns == plain.columns
+        keys = F.col("v").desc_nulls_last() if way == "desc" else F.col("v").asc_nulls_first()
+        coarse = df.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy(keys)).cast("bigint"))
+        assert bag(split.select(*part, "v", "r")) == bag(coarse.select(*part, "v", "r"))
 
 
 def test_bureau_windows_with_hot_clients(spark):
