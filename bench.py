@@ -44,36 +44,42 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    table = Inputs(spark, sf_dir, tuple(SPARK_SOURCES))
-    for name in SPARK_SOURCES:
-        table(name)
-    panel, stock = tracking.build_stock(table)
-    tracked = store(tracking.build_tracking(table), "tracking")
-    queries = {
-        "limit_cohort_report": lambda: cohort.limit_cohort(
-            table("cohort_month"), table("limit_campaign_stage1"), table("limit_campaign_stage2"), COHORT
-        ),
-        "account_panel_and_openings": lambda: tracking.build_stock(table)[1],
-        "vintage_outcomes": lambda: attributes.vintage_outcomes(stock, panel),
-        "direct_vintage_outcomes": lambda: literal.vintage_outcomes(stock, panel),
-        "bureau_windows": lambda: attributes.bureau_windows(table("bureau_month")),
-        "direct_bureau_windows": lambda: literal.bureau_windows(table("bureau_month")),
-        "renegotiated": lambda: accounts.renegotiated(table("card_events"), stock),
-        "direct_renegotiated": lambda: literal.renegotiated(table("card_events"), stock),
-        "tracking": lambda: tracking.build_tracking(table),
-        "portfolio_grouped": lambda: grouped.portfolio_grouped(tracked),
-        "portfolio_grouped_changes": lambda: grouped.portfolio_grouped_changes(tracked),
-    }
-    seconds: dict[str, float] = {}
-    for name, build in queries.items():
-        for _ in range(RUNS):
-            start = time.perf_counter()
-            run(build())
-            took = round(time.perf_counter() - start, 3)
-            seconds[name] = min(took, seconds.get(name, took))
-    total = round(sum(s for n, s in seconds.items() if not n.startswith("direct_")), 3)
-    sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
-    print(json.dumps({"metric": "total seconds of the headline queries", "value": total, "unit": "sec", "queries": seconds, "sf": sf}))
+    with run_folder(spark):
+        table = Inputs(spark, sf_dir, tuple(SPARK_SOURCES))
+        for name in SPARK_SOURCES:
+            table(name)
+        panel, stock = tracking.build_stock(table)
+        master = attributes.master_ids(table("client_master"))
+        tracked = store(tracking.build_tracking(table), "tracking")
+        queries = {
+            "limit_cohort_report": lambda: cohort.limit_cohort(
+                table("cohort_month"), table("limit_campaign_stage1"), table("limit_campaign_stage2"), COHORT
+            ),
+            "account_panel_and_openings": lambda: tracking.build_stock(table)[1],
+            "vintage_outcomes": lambda: attributes.vintage_outcomes(stock, panel),
+            "direct_vintage_outcomes": lambda: literal.vintage_outcomes(stock, panel),
+            "bureau_windows": lambda: attributes.bureau_windows(table("bureau_month")),
+            "direct_bureau_windows": lambda: literal.bureau_windows(table("bureau_month")),
+            "vehicle_wealth": lambda: attributes.vehicle_wealth(stock, table("vehicles"), master),
+            "direct_vehicle_wealth": lambda: literal.asof_within(stock, attributes.vehicle_totals(table("vehicles"), master), "TasacionTotal", 12),
+            "last_application": lambda: attributes.last_application(stock, table("application_log")),
+            "direct_last_application": lambda: literal.last_application(stock, table("application_log")),
+            "renegotiated": lambda: accounts.renegotiated(table("card_events"), stock),
+            "direct_renegotiated": lambda: literal.renegotiated(table("card_events"), stock),
+            "tracking": lambda: tracking.build_tracking(table),
+            "portfolio_grouped": lambda: grouped.portfolio_grouped(tracked),
+            "portfolio_grouped_changes": lambda: grouped.portfolio_grouped_changes(tracked),
+        }
+        seconds: dict[str, float] = {}
+        for name, build in queries.items():
+            for _ in range(RUNS):
+                start = time.perf_counter()
+                run(build())
+                took = round(time.perf_counter() - start, 3)
+                seconds[name] = min(took, seconds.get(name, took))
+        total = round(sum(s for n, s in seconds.items() if not n.startswith("direct_")), 3)
+        sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
+        print(json.dumps({"metric": "total seconds of the headline queries", "value": total, "unit": "sec", "queries": seconds, "sf": sf}))
     spark.stop()
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions import measures
 from foliospark.functions.dates import (
     add_months, col, date_lit, is_month_end, month_diff, month_start,
 )
@@ -89,11 +90,8 @@ def panel_rows(old: DataFrame, new: DataFrame, params: TrackingParams = Tracking
         text_date("id_dia_reneg").alias("reneg"), text_date("id_dia_maxultmov").alias("ultmov"),
         col("id_dia_cast").cast("date").alias("castigo"),
     )
-    real = (
-        (month_start("iddiaaper") != date_lit(opened))
-        | (col("iddianac") != date_lit(born))
-        | (col("fcupo") != F.lit(limit))
-    )
+    trial = (date_lit(opened), date_lit(born), F.lit(limit))
+    real = measures.not_trial(month_start("iddiaaper"), col("iddianac"), col("fcupo"), trial)
     after = snapshots(new, "fechacarga", params.new_snapshots).filter(real).select(
         month_start("fechacarga").alias("mes"), "contrato", "contratoalterno", "idcliente", "centalta",
         "fcupo", "coacti", "iddiaaper", "iddianac", "fsaldeud", "fsaldesu", "favaocu", "fsaldo",
@@ -143,11 +141,7 @@ def openings(panel: DataFrame, fraud: DataFrame, blocks: DataFrame, params: Trac
         (floor_zero("DeudaAvance") > 0, "Avance"),
         (floor_zero("DeudaL1") > 0, "TC"),
     ]
-    arrival = [
-        (back & (col("FechaFoto") < date_lit(params.block_needed_from)), "Reapertura"),
-        (back & col("DescripcionBloqueo").isNotNull(), "Reapertura"),
-        (back, "Desbloqueo"),
-    ]
+    arrival = measures.arrival(col("IdSitu"), col("IdSitu_Mmenos1"), col("FechaFoto"), col("DescripcionBloqueo"), params.block_needed_from)
     return joined.select(
         "FechaFoto", "IdCliente", "Contrato", "ContratoAlterno", "SucursalApertura", "Cupo", "DeudaTotal",
         "DeudaL1", "DeudaL2", "IdSitu", "DiasMora", "FechaApertura", "FechaNacimiento",
@@ -159,7 +153,7 @@ def openings(panel: DataFrame, fraud: DataFrame, blocks: DataFrame, params: Trac
         flag(col("SucursalApertura") == WEB_BRANCH).alias("AperturaWeb"),
         "FechaFraude", or_zero("MarcaFraude").alias("MarcaFraude"),
         flag(opened).alias("Apertura"),
-        first_true(arrival, "Originacion").alias("Reapertura"),
+        arrival.alias("Reapertura"),
     )
 
 

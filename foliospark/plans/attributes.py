@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions import measures
 from foliospark.functions.dates import (
     add_months, col, date_lit, datetime_text_to_date, month_start, year_diff, year_text_to_date,
 )
@@ -260,7 +261,7 @@ def applications(log: DataFrame, params: TrackingParams = P) -> DataFrame:
         col("aiprevmfirmaautoprev").alias("AutorizaPrevision"), col("diaccocfecrenta").alias("FechaRentaSolicitud"),
         F.when((col("ctiposolic") == "EVA") & (declared > 0), declared).otherwise(0).alias("RentaSolicitud"),
         pension.alias("RentaPrevisionU03M"),
-        F.when((col("antprevision") <= 45) & (pension > 0), pension).otherwise(0).alias("RentaPrevisionValidaU03M"),
+        measures.pension_income(col("antprevision"), pension).alias("RentaPrevisionValidaU03M"),
         col("antprevision").alias("AntiguedadPrevision"), col("numcotival").alias("NumeroCotizacionesU03M"),
         col("aexctacastigada").alias("MarcaExCastigada"),
         col("niapavaluopropiedad").cast("bigint").alias("AvaluoPropiedad"),

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.functions import measures
 from foliospark.functions.dates import col, day_diff, month_diff
-from foliospark.functions.scalars import flag, floor_zero, or_zero, ratio_or
+from foliospark.functions.scalars import flag, or_zero, ratio_or
 from foliospark.operators.joins import enrich
 from foliospark.operators.rules import band, first_true, fresh_else, segment
 from foliospark.operators.skew import hot_lists, row_numbers, skew_join
@@ -64,10 +65,7 @@ def derived(joined: DataFrame) -> DataFrame:
     zero = F.lit(0)
     home, car = or_zero("AvaluoPropiedad"), or_zero("TasacionVehiculo")
     homes, cars = or_zero("AvaluoTotal"), or_zero("TasacionTotal")
-    burden = (
-        or_zero("DeudaConsumo") * 0.035 + or_zero("DeudaHipotecario") / 240
-        + or_zero("DeudaL1") / 6 + or_zero("DeudaL2") / 24
-    )
+    load = measures.burden(col("DeudaConsumo"), col("DeudaHipotecario"), col("DeudaL1"), col("DeudaL2"))
     debt3, line3 = col("DeudaConsumoSumU03M"), col("LineaDisponibleSumU03M")
     retail = or_zero("ComprasSU12M") + or_zero("ComprasFU12M")
     chilean = lambda c: F.when(F.coalesce(col(c), F.lit(-1)) == 152, "Chileno").otherwise("Extranjero")
@@ -81,12 +79,7 @@ def derived(joined: DataFrame) -> DataFrame:
         "SegmentoPreaprobados": F.coalesce("SegmentoPreaprobados_Reest", "SegmentoPreaprobados"),
         "ProbPreaprobados": score,
     }
-    exclusion = [
-        (col("IdSitu") == 2, "03. Suspendido"),
-        (col("IdSitu") == 3, "04. Castigado"),
-        (((col("MarcaFraude") == 1) | (col("MarcaFraude2") == 1)) & (fraud_age <= 12), "05. Fraude"),
-        (dead, "06. Fallecido"),
-    ]
+    fraud = ((col("MarcaFraude") == 1) | (col("MarcaFraude2") == 1)) & (fraud_age <= 12)
     policy_group = [
         (col("EdadMeses") < 12 * 25, "Edad <25"),
         (col("RecuentoBancarizadoU06M") >= 6, "Bancarizado U06M"),
@@ -97,22 +90,22 @@ def derived(joined: DataFrame) -> DataFrame:
         "ProbPreaprobados_Antiguo": col("ProbPreaprobados"),
         "AntiguedadSolicitud": age,
         "MarcaSolicitudMotorValida": flag(age <= 60),
-        "RentaEvaluacion": F.greatest(or_zero("RentaSolicitud"), or_zero("RentaPrevisionValidaU03M")),
+        "RentaEvaluacion": measures.evaluated_income(col("RentaSolicitud"), col("RentaPrevisionValidaU03M")),
         "MarcaBancarizadoU01M": flag(
             or_zero("DeudaConsumo") + or_zero("LineaDisponible") + or_zero("DeudaComercial") + or_zero("DeudaHipotecario") > 0
         ),
         "MarcaBancarizadoU06M": flag(col("RecuentoBancarizadoU06M") >= 6),
         "RatioDeudaLineaMasDeudaU03M": ratio_or(debt3, line3 + debt3, debt3.isNull(), -1.0),
         "CasosTotal": F.lit(1),
-        "CargaFinanciera": burden,
-        "DTI": F.when(or_zero("RentaEstimada") > 0, F.try_divide(burden, col("RentaEstimada"))).otherwise(-1.0),
+        "CargaFinanciera": load,
+        "DTI": measures.debt_to_income(load, col("RentaEstimada")),
         "MontoPropiedad": fresh(home, homes, zero),
         "MontoVehiculos": fresh(car, cars, zero),
         "MontoPatrimonio": fresh(home + car, homes + cars, zero),
         "TenenciaPatrimonio": fresh(flag(home + car > 0), flag(homes + cars > 0), zero),
         "Nacionalidad": fresh(chilean("NacionalidadMotor"), chilean("NacionalidadBuro"), F.lit("Extranjero")),
         "MarcaPreaprobado": fresh(preapproved("MarcaPreaprobadoMotor"), preapproved("MarcaPreaprobadosBase"), F.lit("Espontaneo")),
-        "SegmentoAplicaVintage": first_true(exclusion, "Otros"),
+        "SegmentoAplicaVintage": measures.exclusion(col("IdSitu"), fraud, dead),
         "TenenciaRetailML": flag(retail > 0),
         "SegmentoPoliticas": first_true(policy_group, "NB U06M sin info"),
         "LlamadaMotor": F.when(col("__called").isNull(), "Sin llamada al motor").otherwise("Con llamada al motor"),
@@ -120,7 +113,7 @@ def derived(joined: DataFrame) -> DataFrame:
     }
     for days, horizon in ((30, 2), (30, 3), (30, 6), (60, 6), (90, 12)):
         late = col(f"MarcaMora{days}Mes{horizon:02d}") == 1
-        new[f"DeudaMorosa{days}Mes{horizon:02d}"] = F.when(late, col(f"DeudaTotalMes{horizon:02d}")).otherwise(0)
+        new[f"DeudaMorosa{days}Mes{horizon:02d}"] = measures.delinquent(late, col(f"DeudaTotalMes{horizon:02d}"))
         new[f"Casos{days}Mes{horizon:02d}"] = flag(late)
     kept = [c for c in joined.columns if c not in replaced and not c.startswith("__")]
     dropped = {"MarcaFraude2", "SegmentoPreaprobados_Reest"}
@@ -204,7 +197,7 @@ def segmented(rows: DataFrame) -> DataFrame:
     preapproved = policy.waterfall(policy.PREAPPROVED, member)
     new = {
         "ProbPreapFinal": col("ProbPreaprobados"),
-        "Leverage": F.when((banked6 == 1) & (income >= 300000), F.try_divide(col("DeudaConsumo"), income)),
+        "Leverage": measures.leverage(banked6 == 1, income, col("DeudaConsumo")),
         "SegmentosEvaluar": segment([banked1, wealth, retail], BANKED_WEALTH_RETAIL),
         "SegmentosEvaluarU06M": segment([banked6, wealth, retail], BANKED_WEALTH_RETAIL),
         "TipoSegmentoRetail": segment([retail, web], by_channel("Retail")),

@@ -1,4 +1,4 @@
-"""Direct, un-rewritten Spark forms of three steps: what the rewritten ones must equal and beat."""
+"""Direct, un-rewritten Spark forms of steps: what the rewritten ones must equal and beat."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.dates import add_months, date_lit
 from foliospark.functions.scalars import flag, floor_zero
+from foliospark.plans.attributes import applications
 
 col = F.col
 DELINQUENCY = {2: [30], 3: [30], 6: [30, 60], 12: [30, 60, 90]}
@@ -76,3 +77,23 @@ def renegotiated(card_events: DataFrame, stock: DataFrame) -> DataFrame:
     w = Window.partitionBy("contrato").orderBy("fechaoperacion", "tipofac")
     ranked = due.withColumn("r", F.row_number().over(w)).filter("r <= 10 AND tipofac = 96022")
     return ranked.select(col("contrato").alias("Contrato"), F.lit(1).alias("Renegociacion")).distinct()
+
+
+def asof_within(base: DataFrame, right: DataFrame, value: str, months: int) -> DataFrame:
+    """Every base row with every value of its client in reach, then the latest."""
+    r = right.select(col("IdCliente").alias("r_c"), col("FechaFoto").alias("r_m"), value)
+    reach = (col("IdCliente") == col("r_c")) & (col("r_m") <= col("FechaFoto")) & (col("r_m") >= add_months("FechaFoto", -months))
+    w = Window.partitionBy("IdCliente", "FechaFoto").orderBy(col("r_m").desc_nulls_last(), col(value).desc_nulls_last())
+    joined = base.select("IdCliente", "FechaFoto").distinct().join(r, reach, "left")
+    return joined.withColumn("n", F.row_number().over(w)).filter("n = 1").select("IdCliente", "FechaFoto", value)
+
+
+def last_application(stock: DataFrame, log: DataFrame) -> DataFrame:
+    """Every account and month with every application of its client up to it, then the latest."""
+    rows = applications(log)
+    rows = rows.withColumnsRenamed({"FechaFoto": "a_m", "IdCliente": "a_c"})
+    asked = stock.select("IdCliente", "FechaFoto", "Contrato").distinct()
+    joined = asked.join(rows, (col("IdCliente") == col("a_c")) & (col("a_m") <= col("FechaFoto")), "left")
+    newest = [col("a_m").desc_nulls_last(), col("DRegistro").desc_nulls_last(), col("NumeroSolicitud").desc_nulls_last()]
+    first = joined.withColumn("n", F.row_number().over(Window.partitionBy("Contrato", "FechaFoto").orderBy(*newest))).filter("n = 1")
+    return first.drop("n", "IdCliente", "FechaFoto").withColumnsRenamed({"a_m": "FechaFoto", "a_c": "IdCliente"})

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import dates as fd
+from foliospark.functions import measures
 from foliospark.functions import scalars as fs
 from foliospark.operators import joins, pivot, rules, sets, skew, windows
 from foliospark.plans import accounts, ladders, policy, tracking
 from foliospark.sources import io
+from queries import checking_values
 from queries.oracle_steps import (
     channel_sql, cross_sql, ladder_sql, rollup_sql, waterfall_sql, with_inputs,
 )
@@ -145,7 +147,8 @@ def _(t):
   WHERE l_returnflag <> 'A' OR l_linenumber <> 1 OR CASE WHEN l_quantity > 5 THEN l_tax END <> 0""")
 def _(t):
     tax = F.when(c("l_quantity") > 5, c("l_tax"))
-    return t("lineitem").filter((c("l_returnflag") != "A") | (c("l_linenumber") != 1) | (tax != 0.0)).select(*KEY)
+    real = measures.not_trial(c("l_returnflag"), c("l_linenumber"), tax, (F.lit("A"), F.lit(1), F.lit(0.0)))
+    return t("lineitem").filter(real).select(*KEY)
 
 
 @add("q_month_end_only", f"SELECT o_orderkey, d FROM {DAYS} WHERE month(d + 1) <> month(d)")
@@ -541,10 +544,10 @@ def _(t):
 SCORE = "(l_partkey * 37 % 1024) / 2048.0::DOUBLE"
 
 
-def _band(name: str, ladder: rules.Ladder, sql: str, value: Callable[[], Column]) -> None:
+def _band(name: str, ladder: str, sql: str, value: Callable[[], Column]) -> None:
     """The band of one expression over the order lines, written in both languages."""
     add(name, f"SELECT l_orderkey, l_linenumber, {ladder_sql(ladder, 'x')} AS band FROM (SELECT l_orderkey, l_linenumber, {sql} AS x FROM lineitem)")(
-        lambda t: t("lineitem").select(*KEY, value().alias("x")).select(*KEY, rules.band("x", ladder).alias("band"))
+        lambda t: t("lineitem").select(*KEY, value().alias("x")).select(*KEY, rules.band("x", getattr(ladders, ladder)).alias("band"))
     )
 
 
@@ -560,18 +563,18 @@ def _score() -> Column:
     return (c("l_partkey") * 37 % 1024) / F.lit(2048.0)
 
 
-_band("q_band_prob", ladders.PROBABILITY, _nulled(SCORE), lambda: _null(_score()))
-_band("q_band_pd", ladders.PROBABILITY, SCORE, _score)
-_band("q_band_debt", ladders.CONSUMER_DEBT, "(l_quantity - 1) * floor(l_extendedprice)", lambda: (c("l_quantity") - 1) * F.floor("l_extendedprice"))
-_band("q_band_ratio", ladders.DEBT_RATIO, _nulled("CASE WHEN l_linenumber = 1 THEN -1 ELSE l_quantity / 40 END"), lambda: _null(F.when(c("l_linenumber") == 1, -1.0).otherwise(c("l_quantity") / 40)))
-_band("q_band_limit", ladders.LIMIT, _nulled("(l_quantity - 1) * 50000"), lambda: _null((c("l_quantity") - 1) * 50000))
-_band("q_band_age", ladders.AGE, _nulled("l_quantity * 20"), lambda: _null(c("l_quantity") * 20))
-_band("q_band_income", ladders.EVALUATED_INCOME, "(l_quantity - 1) * 50000", lambda: (c("l_quantity") - 1) * 50000)
-_band("q_band_income_pilot", ladders.PILOT_INCOME, "(l_quantity - 1) * 50000", lambda: (c("l_quantity") - 1) * 50000)
-_band("q_band_wealth", ladders.WEALTH, _nulled("(l_quantity - 1) * 2500000"), lambda: _null((c("l_quantity") - 1) * 2500000))
+_band("q_band_prob", "PROBABILITY", _nulled(SCORE), lambda: _null(_score()))
+_band("q_band_pd", "PROBABILITY", SCORE, _score)
+_band("q_band_debt", "CONSUMER_DEBT", "(l_quantity - 1) * floor(l_extendedprice)", lambda: (c("l_quantity") - 1) * F.floor("l_extendedprice"))
+_band("q_band_ratio", "DEBT_RATIO", _nulled("CASE WHEN l_linenumber = 1 THEN -1 ELSE l_quantity / 40 END"), lambda: _null(F.when(c("l_linenumber") == 1, -1.0).otherwise(c("l_quantity") / 40)))
+_band("q_band_limit", "LIMIT", _nulled("(l_quantity - 1) * 50000"), lambda: _null((c("l_quantity") - 1) * 50000))
+_band("q_band_age", "AGE", _nulled("l_quantity * 20"), lambda: _null(c("l_quantity") * 20))
+_band("q_band_income", "EVALUATED_INCOME", "(l_quantity - 1) * 50000", lambda: (c("l_quantity") - 1) * 50000)
+_band("q_band_income_pilot", "PILOT_INCOME", "(l_quantity - 1) * 50000", lambda: (c("l_quantity") - 1) * 50000)
+_band("q_band_wealth", "WEALTH", _nulled("(l_quantity - 1) * 2500000"), lambda: _null((c("l_quantity") - 1) * 2500000))
 
 
-@add("q_band_dti", f"""SELECT l_orderkey, l_linenumber, CASE WHEN income = 0 THEN '00. Sin renta' ELSE {ladder_sql(ladders.DTI, 'dti')} END AS band
+@add("q_band_dti", f"""SELECT l_orderkey, l_linenumber, CASE WHEN income = 0 THEN '00. Sin renta' ELSE {ladder_sql('DTI', 'dti')} END AS band
   FROM (SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 0 WHEN 2 THEN NULL ELSE 1 END AS income,
       CASE WHEN l_linenumber <= 3 THEN -1 ELSE l_quantity / 20 END AS dti FROM lineitem)""")
 def _(t):
@@ -582,8 +585,8 @@ def _(t):
     return rows.select(*KEY, F.when(c("income") == 0, "00. Sin renta").otherwise(rules.band("dti", ladders.DTI)).alias("band"))
 
 
-@add("q_band_regime", f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate < DATE '1998-08-01' THEN {ladder_sql(ladders.GRADE_BEFORE, 'x')}
-    ELSE {ladder_sql(ladders.GRADE, 'x')} END AS grade FROM (SELECT *, {_nulled(SCORE)} AS x FROM lineitem)""")
+@add("q_band_regime", f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate < DATE '1998-08-01' THEN {ladder_sql('GRADE_BEFORE', 'x')}
+    ELSE {ladder_sql('GRADE', 'x')} END AS grade FROM (SELECT *, {_nulled(SCORE)} AS x FROM lineitem)""")
 def _(t):
     changed = c("l_shipdate") >= fd.date_lit("1998-08-01")
     return t("lineitem").select(*KEY, rules.band_by_regime(_null(_score()), changed, ladders.GRADE_BEFORE, ladders.GRADE).alias("grade"))
@@ -620,11 +623,10 @@ def _(t):
     return flags(t).select(*KEY, rules.segment(trio, tracking.BANKED_WEALTH_RETAIL).alias("segment"))
 
 
-@add("q_priority_segment", """SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN 'pocas' WHEN l_returnflag = 'R' THEN 'devuelta'
-  WHEN l_discount > 0.05::DOUBLE THEN 'rebajada' ELSE 'Otros' END AS segment FROM lineitem""")
+@add("q_priority_segment", """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 2 THEN '03. Suspendido' WHEN l_linenumber = 3 THEN '04. Castigado'
+  WHEN l_returnflag = 'R' THEN '05. Fraude' WHEN l_discount > 0.05::DOUBLE THEN '06. Fallecido' ELSE 'Otros' END AS segment FROM lineitem""")
 def _(t):
-    arms = [(c("l_quantity") < 10, "pocas"), (c("l_returnflag") == "R", "devuelta"), (c("l_discount") > 0.05, "rebajada")]
-    return t("lineitem").select(*KEY, rules.first_true(arms, "Otros").alias("segment"))
+    return t("lineitem").select(*KEY, measures.exclusion(c("l_linenumber"), c("l_returnflag") == "R", c("l_discount") > 0.05).alias("segment"))
 
 
 STATUS = """(SELECT o_custkey AS k, CAST(date_trunc('month', o_orderdate) AS DATE) AS m,
@@ -637,9 +639,8 @@ def _(t):
     status = F.when(c("o_orderstatus") == "F", 1).when(c("o_orderstatus") == "O", 2).otherwise(3)
     panel = t("orders").groupBy(c("o_custkey").alias("k"), fd.month_start(c("o_orderdate").cast("date")).alias("m")).agg(F.max(status).alias("s"))
     seen = skew.previous_row(panel, ["k"], "m", {"p": "s"})
-    back, block = (c("s") == 1) & (c("p") == 2), F.when(c("k") % 2 == 0, "x")
-    arms = [(back & (c("m") < fd.date_lit("1998-08-01")), "Reapertura"), (back & block.isNotNull(), "Reapertura"), (back, "Desbloqueo")]
-    return seen.select("k", "m", rules.first_true(arms, "Originacion").alias("arrival"))
+    block = F.when(c("k") % 2 == 0, "x")
+    return seen.select("k", "m", measures.arrival(c("s"), c("p"), c("m"), block, "1998-08-01").alias("arrival"))
 
 
 @add("q_fresh_else_fallback", f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 5 THEN l_tax WHEN l_linenumber = 6 THEN 0
@@ -681,18 +682,18 @@ def policy_rows(t: Inputs) -> DataFrame:
     )
 
 
-@add("q_policy_waterfall_spontaneous", f"SELECT l_orderkey, l_linenumber, {waterfall_sql(policy.SPONTANEOUS)} AS reason FROM {POLICY_SQL}")
+@add("q_policy_waterfall_spontaneous", f"SELECT l_orderkey, l_linenumber, {waterfall_sql(checking_values.SPONTANEOUS)} AS reason FROM {POLICY_SQL}")
 def _(t):
     return policy_rows(t).select(*KEY, policy.waterfall(policy.SPONTANEOUS).alias("reason"))
 
 
-@add("q_policy_waterfall_preapproved", f"SELECT l_orderkey, l_linenumber, {waterfall_sql(policy.PREAPPROVED)} AS reason FROM {POLICY_SQL}")
+@add("q_policy_waterfall_preapproved", f"SELECT l_orderkey, l_linenumber, {waterfall_sql(checking_values.PREAPPROVED)} AS reason FROM {POLICY_SQL}")
 def _(t):
     return policy_rows(t).select(*KEY, policy.waterfall(policy.PREAPPROVED).alias("reason"))
 
 
-@add("q_policy_rollup", f"""SELECT l_orderkey, l_linenumber, {rollup_sql()} AS total FROM (SELECT *, {waterfall_sql(policy.SPONTANEOUS)} AS CambiosEspontaneo,
-  {waterfall_sql(policy.PREAPPROVED)} AS CambiosPreaprobadoSinT FROM {POLICY_SQL})""")
+@add("q_policy_rollup", f"""SELECT l_orderkey, l_linenumber, {rollup_sql()} AS total FROM (SELECT *, {waterfall_sql(checking_values.SPONTANEOUS)} AS CambiosEspontaneo,
+  {waterfall_sql(checking_values.PREAPPROVED)} AS CambiosPreaprobadoSinT FROM {POLICY_SQL})""")
 def _(t):
     decided = policy_rows(t).select(
         "*", policy.waterfall(policy.SPONTANEOUS).alias("CambiosEspontaneo"), policy.waterfall(policy.PREAPPROVED).alias("CambiosPreaprobadoSinT")
@@ -728,7 +729,7 @@ def _(t):
   FROM (SELECT *, abs(sd - od) % 120 AS x FROM {LINES})""")
 def _(t):
     late = F.abs(fd.day_diff("sd", "od")) % 120 >= 30
-    return line_days(t).select(*KEY, F.when(late, c("l_extendedprice")).otherwise(0).alias("debt"), fs.flag(late).alias("cases"))
+    return line_days(t).select(*KEY, measures.delinquent(late, c("l_extendedprice")).alias("debt"), fs.flag(late).alias("cases"))
 
 
 BURDEN = "l_extendedprice * 0.035::DOUBLE + l_quantity / 240 + coalesce(CASE WHEN l_linenumber <> 3 THEN l_discount END, 0) / 6 + l_tax / 24"
@@ -736,19 +737,15 @@ BURDEN = "l_extendedprice * 0.035::DOUBLE + l_quantity / 240 + coalesce(CASE WHE
 
 @add("q_dti", f"""SELECT l_orderkey, l_linenumber, {BURDEN} AS burden, CASE WHEN l_quantity > 5 THEN ({BURDEN}) / (l_quantity * 1000) ELSE -1 END AS dti FROM lineitem""")
 def _(t):
-    burden = c("l_extendedprice") * 0.035 + c("l_quantity") / 240 + fs.or_zero(F.when(c("l_linenumber") != 3, c("l_discount"))) / 6 + c("l_tax") / 24
+    load = measures.burden(c("l_extendedprice"), c("l_quantity"), F.when(c("l_linenumber") != 3, c("l_discount")), c("l_tax"))
     income = F.when(c("l_quantity") > 5, c("l_quantity") * 1000)
-    return t("lineitem").select(
-        *KEY, burden.alias("burden"), F.when(fs.or_zero(income) > 0, F.try_divide(burden, income)).otherwise(-1.0).alias("dti")
-    )
+    return t("lineitem").select(*KEY, load.alias("burden"), measures.debt_to_income(load, income).alias("dti"))
 
 
 @add("q_leverage", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' AND l_quantity * 20000 >= 300000 THEN l_extendedprice / (l_quantity * 20000) END AS leverage FROM lineitem")
 def _(t):
     income = c("l_quantity") * 20000
-    return t("lineitem").select(
-        *KEY, F.when((c("l_returnflag") == "R") & (income >= 300000), F.try_divide(c("l_extendedprice"), income)).alias("leverage")
-    )
+    return t("lineitem").select(*KEY, measures.leverage(c("l_returnflag") == "R", income, c("l_extendedprice")).alias("leverage"))
 
 
 @add("q_valid_income", """SELECT l_orderkey, l_linenumber, greatest(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END,
@@ -756,5 +753,5 @@ def _(t):
 def _(t):
     declared = F.when(c("l_returnflag") == "R", c("l_extendedprice")).otherwise(0.0)
     pension = F.when(c("l_linenumber") != 2, c("l_quantity") * 1000)
-    valid = F.when((c("l_quantity") <= 45) & (pension > 0), pension).otherwise(0.0)
-    return t("lineitem").select(*KEY, F.greatest(fs.or_zero(declared), fs.or_zero(valid)).alias("income"))
+    valid = measures.pension_income(c("l_quantity"), pension)
+    return t("lineitem").select(*KEY, measures.evaluated_income(declared, valid).alias("income"))

@@ -8,10 +8,7 @@ from __future__ import annotations
 
 import re
 
-from foliospark.operators.rules import Ladder
-from foliospark.plans import ladders, policy
-from foliospark.plans.cohort import MONTH_LABELS, SUMMED
-from foliospark.plans.grouped import KEYS, SUMS
+from queries.checking_values import BANDS, KEYS, MONTH_LABELS, PREAPPROVED, SPONTANEOUS, SUMMED, SUMS
 from queries.mapping import DUCK_SOURCES
 
 
@@ -19,10 +16,24 @@ def quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def ladder_sql(ladder: Ladder, x: str) -> str:
-    arms = [f"WHEN {x} IS NULL THEN {quoted(ladder.null_label)}"] if ladder.null_label else []
-    arms += [f"WHEN {x} {op} CAST({bound} AS DOUBLE) THEN {quoted(label)}" for op, bound, label in ladder.steps]
-    return "CASE " + " ".join(arms) + (f" ELSE {quoted(ladder.otherwise)} END" if ladder.otherwise else " END")
+def band_lines(name: str) -> list[tuple[str, float | None, str]]:
+    """(operator or NULL or ELSE, bound, label) of a band, in order."""
+    out = []
+    for line in BANDS[name].strip().splitlines():
+        head, _, rest = line.strip().partition(" ")
+        bound, _, label = ("", "", rest) if head in ("NULL", "ELSE") else rest.partition(" ")
+        out.append((head, float(bound) if bound else None, label))
+    return out
+
+
+def ladder_sql(name: str, x: str) -> str:
+    arms, last = [], ""
+    for head, bound, label in band_lines(name):
+        if head == "ELSE":
+            last = f" ELSE {quoted(label)}"
+        else:
+            arms.append(f"WHEN {x} {'IS NULL' if head == 'NULL' else f'{head} CAST({bound} AS DOUBLE)'} THEN {quoted(label)}")
+    return "CASE " + " ".join(arms) + last + " END"
 
 
 def later(d: str, n: int) -> str:
@@ -184,13 +195,13 @@ STEPS["d_vintage_outcomes"] = (
 STEPS["d_preapproval_grade"] = f"""
 SELECT {later('fecha_foto', 2)} AS FechaFoto, fecha_foto AS FechaCortePreaprobados, id_cliente AS IdCliente,
   segmento AS ClasificacionPreaprobados, prob_preaprobados AS ProbPreaprobados,
-  {ladder_sql(ladders.PROBABILITY, 'prob_preaprobados')} AS TramoProbabilidadPreap,
-  CASE WHEN fecha_foto < DATE '2022-08-01' THEN {ladder_sql(ladders.GRADE_BEFORE, 'prob_preaprobados')}
-       ELSE {ladder_sql(ladders.GRADE, 'prob_preaprobados')} END AS SegmentoPreaprobados
+  {ladder_sql('PROBABILITY', 'prob_preaprobados')} AS TramoProbabilidadPreap,
+  CASE WHEN fecha_foto < DATE '2022-08-01' THEN {ladder_sql('GRADE_BEFORE', 'prob_preaprobados')}
+       ELSE {ladder_sql('GRADE', 'prob_preaprobados')} END AS SegmentoPreaprobados
 FROM preapproval_scores WHERE fecha_foto >= DATE '2020-11-01'"""
 STEPS["d_preapproval_grade_restated"] = f"""
 SELECT {later('fecha_foto', 2)} AS FechaFoto, id_cliente AS IdCliente, prob AS PROB_REEST,
-  {ladder_sql(ladders.GRADE, 'prob')} AS SegmentoPreaprobados_Reest
+  {ladder_sql('GRADE', 'prob')} AS SegmentoPreaprobados_Reest
 FROM preapproval_scores_restated WHERE fecha_foto >= DATE '2021-06-01'"""
 _flags = ["Banco", "Tarjeta", "Comercial", "Buro"]
 STEPS["d_mini_policy"] = (
@@ -262,7 +273,7 @@ STEPS["d_retail_spend"] = (
 )
 STEPS["d_provision_pd"] = f"""
 SELECT fechacarga AS FechaFoto, ctacontrato AS Contrato, pdfinal AS Pd_Provisiones,
-  {ladder_sql(ladders.PROBABILITY, 'pdfinal')} AS TramoPdProvisiones FROM provision_pd WHERE fechacarga >= DATE '2020-12-01'"""
+  {ladder_sql('PROBABILITY', 'pdfinal')} AS TramoPdProvisiones FROM provision_pd WHERE fechacarga >= DATE '2020-12-01'"""
 STEPS["d_pilot_income"] = f"""
 SELECT {later('fecha_foto', 2)} AS FechaFoto, id_cliente AS IdCliente, renta_modelo AS Renta, flag_con_info AS Flag,
   renta_piloto AS RentaPiloto FROM income_pilot WHERE fecha_foto >= DATE '2022-07-01'"""
@@ -331,32 +342,10 @@ FROM (SELECT *, coalesce(ComprasSU12M, 0) + coalesce(ComprasFU12M, 0) AS retail_
   CASE origin WHEN 'application' THEN coalesce(AvaluoPropiedad, 0) + coalesce(TasacionVehiculo, 0)
               WHEN 'source' THEN coalesce(AvaluoTotal, 0) + coalesce(TasacionTotal, 0) ELSE 0 END AS pat FROM d_joined)"""
 
-GROUP_SQL = {
-    "banked": "MarcaBancarizadoU06M = 1",
-    "unbanked": "MarcaBancarizadoU06M = 0",
-    "no_info": "(TenenciaPatrimonio = 0 AND coalesce(ComprasSU12M, 0) + coalesce(ComprasFU12M, 0) = 0)",
-    "some_holding": "TenenciaPatrimonio + TenenciaRetailML > 0",
-    "no_holding": "TenenciaPatrimonio + TenenciaRetailML = 0",
-    "low_income": "RentaEvaluacion BETWEEN 1e-9 AND 399999.999",
-    "homemaker": "TipoEmpleo = 'Dueña de Casa'",
-    "under_21": "EdadMeses < 252",
-    "under_25": "EdadMeses < 300",
-    "foreign": "Nacionalidad = 'Extranjero'",
-    "chilean": "Nacionalidad = 'Chileno'",
-    "model_banked": "ClasificacionPreaprobados = 'BANCARIZADO MAYOR 21'",
-    "model_unbanked": "ClasificacionPreaprobados = 'NO BANCARIZADO MAYOR 21'",
-    "model_foreign": "ClasificacionPreaprobados = 'EXTRANJERO NO BANCARIZADO'",
-    "model_under_21": "ClasificacionPreaprobados = 'MENOR 21'",
-}
-
-
-def waterfall_sql(rules: list[policy.Rule]) -> str:
-    """The first code of the list of codes whose rule holds."""
-    codes = []
-    for r in rules:
-        parts = [GROUP_SQL[g] for g in r.groups] + ([f"{r.score} > CAST({r.above} AS DOUBLE)"] if r.score else [])
-        codes.append(f"CASE WHEN {' AND '.join(parts)} THEN {quoted(r.code)} END")
-    return f"coalesce({', '.join(codes)}, 'APROBADO FEBRERO23')"
+def waterfall_sql(rules: str) -> str:
+    """The first code of the list of codes whose condition holds."""
+    lines = [line.strip().split(" | ") for line in rules.strip().splitlines()]
+    return f"coalesce({', '.join(f'CASE WHEN {condition} THEN {quoted(code)} END' for code, condition in lines)}, 'APROBADO FEBRERO23')"
 
 
 def rollup_sql() -> str:
@@ -395,14 +384,14 @@ SELECT *, ProbPreaprobados AS ProbPreapFinal,
        ELSE if(RentaEvaluacion > 0, 'Renta', 'Sin renta ni patrimonio') END AS SegmentoCliente,
   CASE WHEN MontoPropiedad > 0 THEN if(MontoVehiculos > 0, 'Propiedad + Vehiculo', 'Propiedad')
        ELSE if(MontoVehiculos > 0, 'Vehiculo', 'Sin patrimonio') END AS TipoPatrimonio,
-  {ladder_sql(ladders.CONSUMER_DEBT, 'coalesce(DeudaConsumo, 0)')} AS TramoDeuda,
-  {ladder_sql(ladders.DEBT_RATIO, 'RatioDeudaLineaMasDeudaU03M')} AS TramoRatioDeudaLineaMasDeudaU03M,
-  CASE WHEN RentaEstimada = 0 THEN '00. Sin renta' ELSE {ladder_sql(ladders.DTI, 'DTI')} END AS TramoDTI,
-  {ladder_sql(ladders.EVALUATED_INCOME, 'RentaEvaluacion')} AS TramoRentaEvaluacion, {ladder_sql(ladders.PILOT_INCOME, 'RentaPiloto')} AS TramoRentaPiloto,
+  {ladder_sql('CONSUMER_DEBT', 'coalesce(DeudaConsumo, 0)')} AS TramoDeuda,
+  {ladder_sql('DEBT_RATIO', 'RatioDeudaLineaMasDeudaU03M')} AS TramoRatioDeudaLineaMasDeudaU03M,
+  CASE WHEN RentaEstimada = 0 THEN '00. Sin renta' ELSE {ladder_sql('DTI', 'DTI')} END AS TramoDTI,
+  {ladder_sql('EVALUATED_INCOME', 'RentaEvaluacion')} AS TramoRentaEvaluacion, {ladder_sql('PILOT_INCOME', 'RentaPiloto')} AS TramoRentaPiloto,
   CAST(RentaEvaluacion > 0 AS INT) AS TenenciaRentaEvaluacion, CAST(coalesce(RentaPrevisionU03M, 0) > 0 AS INT) AS TenenciaRentaPrevisionValida,
-  {ladder_sql(ladders.LIMIT, 'Cupo')} AS TramoCupo, {ladder_sql(ladders.AGE, 'EdadMeses')} AS TramoEdad, {ladder_sql(ladders.WEALTH, 'MontoPatrimonio')} AS TramoPatrimonio,
-  {waterfall_sql(policy.SPONTANEOUS)} AS CambiosEspontaneo,
-  {waterfall_sql(policy.PREAPPROVED)} AS CambiosPreaprobado, {waterfall_sql(policy.PREAPPROVED)} AS CambiosPreaprobadoSinT
+  {ladder_sql('LIMIT', 'Cupo')} AS TramoCupo, {ladder_sql('AGE', 'EdadMeses')} AS TramoEdad, {ladder_sql('WEALTH', 'MontoPatrimonio')} AS TramoPatrimonio,
+  {waterfall_sql(SPONTANEOUS)} AS CambiosEspontaneo,
+  {waterfall_sql(PREAPPROVED)} AS CambiosPreaprobado, {waterfall_sql(PREAPPROVED)} AS CambiosPreaprobadoSinT
 FROM d_enriched"""
 STEPS["d_tracking"] = f"SELECT *, {rollup_sql()} AS CambiosTotal FROM d_segmented"
 _sums = ", ".join(f"sum({c}) AS {c}" for c in SUMS)

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import joins
 from foliospark.operators.skew import SkewPolicy
-from foliospark.plans import accounts, attributes
+from foliospark.plans import accounts, attributes, tracking
 from foliospark.plans.params import TrackingParams
 from queries import literal
+from queries.mapping import Inputs
+from queries.steps import MANY
 from tests.conftest import bag, frame
 
 TIGHT = TrackingParams(skew=SkewPolicy(piece_rows=3))
@@ -90,3 +92,14 @@ def test_last_application_keeps_only_the_latest(spark):
     june, september = ("a", month(5).isoformat(), "2021-06-20 09:00:00", 1), ("a", month(8).isoformat(), "2021-09-30 10:00:00", 1)
     expected = {("a", june[2], june[1], 1): 1, ("a", september[2], september[1], 1): 1, ("b", None, None, None): 1, ("c", june[2], june[1], 1): 1}
     assert bag(got) == expected
+
+
+def test_last_application_and_as_of_equal_their_direct_forms(spark):
+    t = Inputs(spark, "/root/testdata/sf0.001", MANY)
+    _, stock = tracking.build_stock(t)
+    got = attributes.last_application(stock, t("application_log"))
+    assert bag(got) == bag(literal.last_application(stock, t("application_log")).select(got.columns)) and got.count()
+    master = attributes.master_ids(t("client_master"))
+    ours = attributes.vehicle_wealth(stock, t("vehicles"), master)
+    assert bag(ours) == bag(literal.asof_within(stock, attributes.vehicle_totals(t("vehicles"), master), "TasacionTotal", 12))
+    assert ours.filter("TasacionTotal > 0").count()

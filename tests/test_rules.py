@@ -1,12 +1,17 @@
 """Band edges, every reachable policy rule and the roll-up, against literal expectations."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from foliospark.operators import rules
 from foliospark.plans import ladders, policy, tracking
+from queries.checking_values import BANDS
+from queries.checking_values import PREAPPROVED as PREAPPROVED_TEXT
+from queries.checking_values import SPONTANEOUS as SPONTANEOUS_TEXT
+from queries.oracle_steps import band_lines
 from tests.conftest import frame
 
 EDGES = {
@@ -31,6 +36,35 @@ def test_band_edges(spark, name):
     assert [(r.x, r.got) for r in rows] == [(r.x, r.want) for r in rows]
 
 
+def by_hand(name, x):
+    """The label of a value, from the values that the checking SQL has, in Python."""
+    holds = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "=": lambda a, b: a == b}
+    last = None
+    for head, bound, label in band_lines(name):
+        if head == "ELSE" or (head == "NULL" and x is None):
+            last = label
+            if head == "NULL":
+                return label
+        elif head != "NULL" and x is not None and holds[head](x, bound):
+            return label
+    return last
+
+
+@pytest.mark.parametrize("name", sorted(BANDS))
+def test_every_edge_of_every_band(spark, name):
+    """At each cut, a little below and a little above it."""
+    cuts = sorted({b for _, b, _ in band_lines(name) if b is not None})
+    values = [None, -1e9, 1e12, *[x for b in cuts for x in (math.nextafter(b, -math.inf), b, math.nextafter(b, math.inf))]]
+    df = frame(spark, "i int, x double", list(enumerate(values)))
+    got = {r.i: r.band for r in df.select("i", rules.band("x", getattr(ladders, name)).alias("band")).collect()}
+    assert got == {i: by_hand(name, x) for i, x in enumerate(values)}
+
+
+def test_every_rule_has_its_checking_condition():
+    for rows, text in ((policy.SPONTANEOUS, SPONTANEOUS_TEXT), (policy.PREAPPROVED, PREAPPROVED_TEXT)):
+        assert [r.code for r in rows] == [line.split(" | ")[0].strip() for line in text.strip().splitlines()]
+
+
 BASE = {
     "EdadMeses": 400, "TipoEmpleo": "Otros", "MarcaBancarizadoU06M": 1, "TenenciaPatrimonio": 1, "TenenciaRetailML": 1,
     "ComprasSU12M": 10.0, "ComprasFU12M": 0.0, "RentaEvaluacion": 1e6, "ClasificacionPreaprobados": None,
