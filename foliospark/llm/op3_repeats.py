@@ -251,11 +251,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).bitwiseAND(0x7FFF).alias("tie"), text.alias("text"))
     by_text = lambda rows: rows.select("doc", F.shiftright("place", 47).alias("tie"), "place").groupBy("doc", "tie").agg(F.collect_list("place").alias("places"))
     runs = scratch.store(sorted_repeats(run_positions(keyed.select("doc", "tie", "text"))))
-    scratch.release()
     several = by_text(runs.filter("fine"))
     spread = keyed.select("doc", "tie", "text").join(several, ["doc", "tie"]).select("doc", "tie", "text", "places")
     strings = scratch.store(sorted_repeats(string_positions(spread)))
-    scratch.release()
     gone = by_text(runs.filter("not fine").unionByName(strings.filter("not fine")))
     none = F.array().cast("array<bigint>")
     return cut(keyed.join(gone, ["doc", "tie"], "left").select("doc_id", "text", F.coalesce("places", none).alias("places")))
@@ -263,3 +261,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
+SQL = """
+WITH hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bytes AS (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM hexed),
+strings AS (SELECT doc_id, i, CASE WHEN i + 100 <= len(h) // 2 THEN md5(substr(h, 2 * i + 1, 200)) END AS g, substr(h, 2 * i + 1, 2) AS byte FROM bytes),
+again AS (SELECT *, g IS NOT NULL AND row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 AS repeats FROM strings),
+marked AS (
+  SELECT *, coalesce(max(CASE WHEN repeats THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), -1) >= 0 AS gone FROM again
+),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM marked),
+cut AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM runs GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM hexed LEFT JOIN cut USING (doc_id)
+"""

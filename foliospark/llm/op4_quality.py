@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.op9_rules import base_counts
-from foliospark.llm.shared import WHITE, Scratch, byte_table, documents, in_text, lower_table, owner, per_text, pieces, span_hashes, spans, text_bytes
+from foliospark.llm.shared import WHITE, Scratch, byte_table, documents, in_text, lower_table, owner, per_text, pieces, smallest_hashes, span_hashes, spans, text_bytes
 
 SAMPLE = 20_000
 BINS = 64
@@ -142,7 +142,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     scratch = Scratch(docs.sparkSession, "quality")
     stats = scratch.store(document_statistics(docs))
     learn = labels.filter("quality is not null and doc_id is not null").filter(fold("doc_id", 3) != 1).select("doc_id", F.col("quality").cast("double").alias("label"))
-    chosen = learn.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    chosen = smallest_hashes(learn, sample)
     rows = stats.join(chosen, "doc_id").orderBy("doc_id", "label", *FEATURES).limit(2 * sample).toPandas()
     model = fit_trees(rows[list(FEATURES)].to_numpy(np.float64), rows["label"].to_numpy(np.float64))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import WHITE, byte_table, documents, in_text, owner, per_text, pieces, span_hashes, spans, text_bytes, whole_windows, window_hashes
+from foliospark.llm.shared import WHITE, byte_table, documents, in_text, owner, per_text, pieces, smallest_hashes, span_hashes, spans, text_bytes, whole_windows, window_hashes
 
 BUCKETS = 1 << 16
 NGRAM = 4
@@ -78,7 +78,7 @@ def grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def log_ratio(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> np.ndarray:
     """log p(trusted) - log p(corpus) of each bucket, from one pass over all documents."""
     good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    ids = np.sort(np.array([r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted).collect()], np.int64))
+    ids = np.sort(np.array([r[0] for r in smallest_hashes(good, trusted).collect()], np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,54 +11,55 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.sources.io import shared_folder
+
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
-PIECE = 2_000_000
+PIECE = 1_000_000
 BITS = 23
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one in a local session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="llm-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
 class Scratch:
     """Written tables of one operator run, under one folder of the shared place."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.folder = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
     def store(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and read it again: cuts the lineage and survives lost executors."""
+        """Write ``df`` and read it again: cuts the lineage, survives lost executors, and lets Spark delete the shuffle
+        files of the job as soon as the table is written."""
         self.count += 1
         path = f"{self.folder}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of what has been written and is not referred to any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, stored: DataFrame) -> None:
         """Delete a table of ``store`` that nothing will read again."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(stored._scratch_path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def smallest_hashes(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows: those whose doc_id has the smallest hashes. A limit on the hash that lets about twice as many
+    through comes first, so that a task hands on few rows, however many tasks there are."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    limit = min(1.0, 2 * (most + 100) / max(rows.count(), 1)) * (1 << 40)
+    return rows.filter(place < F.lit(int(limit))).orderBy(place, *rows.columns).limit(most)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in a row, and the n + 1 places where they begin; null is empty."""
     if column.null_count:
@@ -186,17 +185,19 @@ class Bitmap:
         for word, value in words:  # as many as the bitmap has words at most
             self.words[word] = np.int64(value).astype(np.uint64)
 
+    def holds(self, bit: pa.Array) -> np.ndarray:
+        """Whether each bit number is set; null is not."""
+        known = bit.is_valid().to_numpy(zero_copy_only=False)
+        at = bit.fill_null(0).to_numpy(zero_copy_only=False)
+        return known & ((self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
     def rows(self, docs: DataFrame, inside: bool) -> DataFrame:
         """The rows of ``docs`` whose doc_id seems to be in the set, or those whose doc_id is not (null is not)."""
-        words, place = self.words, "bit_of_id_" + uuid.uuid4().hex
+        place = "bit_of_id_" + uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                bit = batch.column(place)
-                known = bit.is_valid().to_numpy(zero_copy_only=False)
-                at = bit.fill_null(0).to_numpy(zero_copy_only=False)
-                found = known & ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
-                yield batch.drop_columns([place]).filter(pa.array(found == inside))
+                yield batch.drop_columns([place]).filter(pa.array(self.holds(batch.column(place)) == inside))
 
         bit = F.when(F.col("doc_id").isNotNull(), bit_of(F.col("doc_id")))
         return docs.withColumn(place, bit).mapInArrow(run, docs.schema)
