@@ -9,12 +9,12 @@ points. Steps, each a Spark job over whole tables:
 2. Cells, the first level of the index: of sets that reach 0.8, each has one of its ``n - ceil(0.8 n) + 1`` rarest
    shingles in common with the other, so the sets that share such a shingle meet in its cell. Cells of the same
    sets are one.
-3. In a cell an R-tree over the points gives the pairs whose bound reaches 0.8. In a cell of over ``CROWD`` sets only
-   the pairs of two central sets are taken first.
+3. The pairs of a small cell, and in a cell of over ``CROWD`` sets those of its two smallest ids, are candidates if the
+   bound of their points reaches 0.8.
 4. Candidate pairs are verified on their whole texts, and verified links become components.
-5. Sets of a crowded cell that are not in its largest component yet search the whole cell; what they find in other
-   components is verified too. So no link that could join components is left out, and copies are not expanded into all
-   pairs.
+5. A crowded cell that is still in several components gets an R-tree over its points. The sets outside of its largest
+   component search the tree; what they find in other components is verified too, the likeliest pairs first and then
+   all that are left. So no link that could join components is left out, and copies are not expanded into all pairs.
 
 Null and empty texts, and texts without a word, have no shingle and no link; a text of fewer than five words is one
 shingle. Documents of a null doc_id have a null component and link nothing; documents that share a doc_id are one.
@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.components import components
-from foliospark.llm.shared import WHITE, Bitmap, Scratch, byte_table, documents, lower_table, mixed, pieces, span_hashes, spans, text_bytes, window_hashes
+from foliospark.llm.shared import WHITE, Bitmap, Scratch, bit_of, byte_table, documents, lower_table, mixed, pieces, span_hashes, spans, text_bytes, window_hashes
 
 WIDTH = 5
 GROUP_BITS = 18
-CROWD = 32
+CROWD = 6
 LEAF = 16
 SEEN = 200_000
 
@@ -67,8 +67,8 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def point(shingles: np.ndarray) -> bytes:
-    """Counts of the set in 8 to 4,096 groups, 4 to 8 shingles a group; 255 stands for that many or more."""
-    groups = 1 << int(np.clip(np.floor(np.log2(max(len(shingles), 1) / 4)), 3, 12))
+    """Counts of the set in 16 to 65,536 groups, one to two groups a shingle; 255 stands for that many or more."""
+    groups = 1 << int(np.clip(np.ceil(np.log2(max(len(shingles), 1))), 4, 16))
     counts = np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
@@ -76,10 +76,13 @@ def point(shingles: np.ndarray) -> bytes:
 def folded(points: list[np.ndarray]) -> np.ndarray:
     """The points in the number of groups of the coarsest, one row each; a count of 255 or more is unbounded."""
     groups = min(len(p) for p in points)
-    rows = np.empty((len(points), groups), np.int32)
+    rows = np.empty((len(points), groups), np.int16)
     for k, p in enumerate(points):
-        rows[k] = np.where(p == 255, 1 << 20, p.astype(np.int32)).reshape(-1, groups).sum(0)
-    return np.minimum(rows, 1 << 20)
+        sums = p.reshape(-1, groups).sum(0, dtype=np.int32)
+        if p.max() == 255:
+            sums[(p == 255).reshape(-1, groups).any(0)] = 1 << 14
+        rows[k] = np.minimum(sums, 1 << 14)
+    return rows
 
 
 class Tree:
@@ -96,12 +99,12 @@ class Tree:
             self.levels.append((corner, low, high))
 
     def search(self, place: int) -> np.ndarray:
-        """Places (in size order) of the other points whose bound with this one reaches 0.8."""
+        """Places (in size order) of the other points whose bound with this one reaches 0.8, the highest bound first."""
         query, size = self.points[place], self.sizes[place]
 
         def reach(corner: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
             fits = (5 * low <= (size * 25) // 4 + 5) & (5 * high >= 4 * size)
-            bound = np.minimum(corner, query).sum(1)
+            bound = np.minimum(corner, query).sum(1, dtype=np.int64)
             return fits & (180 * bound >= 80 * (size + np.maximum(low, -(-4 * size // 5))))
 
         nodes = None
@@ -111,12 +114,9 @@ class Tree:
             nodes = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
         nodes = np.arange(len(self.sizes)) if nodes is None else nodes[nodes < len(self.sizes)]
         nodes = nodes[reach(self.points[nodes], self.sizes[nodes], self.sizes[nodes])]
-        return nodes[nodes != place]
-
-    def central(self) -> list[int]:
-        """The point nearest to the middle of all, and the smallest set."""
-        middle = np.median(self.points, axis=0)
-        return sorted({int(np.abs(self.points - middle).sum(1).argmin()), 0})
+        nodes = nodes[nodes != place]
+        bound = np.minimum(self.points[nodes], query).sum(1, dtype=np.int64) / (size + self.sizes[nodes])
+        return nodes[np.argsort(-bound, kind="stable")]
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -208,12 +208,50 @@ def cells(tokens: DataFrame) -> DataFrame:
     return tokens.repartition("token").mapInArrow(run, "cell long, sid long").distinct()
 
 
-def candidate_pairs(members: DataFrame, crowded_only: bool = False) -> DataFrame:
-    """(a, b, crowded) of cell members (cell, sid, n, point, label) whose bound reaches 0.8.
+def first_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): all pairs of a small cell; in a crowded one those of the two smallest ids, so that cells choose alike."""
 
-    The first time: all pairs of a small cell, and in a crowded one those of two central sets. ``crowded_only``: in
-    crowded cells of several labels, what the sets outside of the largest label find under other labels.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = gathered(batches)
+        if table is None:
+            return
+        cell, sid = table.column("cell").to_numpy(), table.column("sid").to_numpy()
+        order = np.lexsort((sid, cell))
+        cell, sid = cell[order], sid[order]
+        begin = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        size = np.diff(np.append(begin, len(cell)))
+        rank = np.arange(len(cell)) - np.repeat(begin, size)
+        wide = np.repeat(size, size)
+        found = []
+        for step in range(1, CROWD):  # every id with the one ``step`` places before it
+            rows = np.flatnonzero((rank >= step) & (wide <= CROWD))
+            found.append(np.column_stack((sid[rows - step], sid[rows])))
+        for pivot in range(2):
+            rows = np.flatnonzero((rank > pivot) & (wide > CROWD))
+            found.append(np.column_stack((sid[rows - rank[rows] + pivot], sid[rows])))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+
+    return members.repartition("cell").mapInArrow(run, "a long, b long").distinct()
+
+
+def bounded_pairs(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose points allow 0.8."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = zip(batch.column("a_n").to_pylist(), batch.column("b_n").to_pylist(), batch.column("a_point").to_pylist(), batch.column("b_point").to_pylist(), strict=True)
+            kept = [len(Tree([np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)], np.array([m, n])).search(0)) > 0 for m, n, p, q in sides]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    side = lambda name: points.select(F.col("sid").alias(name), F.col("n").alias(f"{name}_n"), F.col("point").alias(f"{name}_point"))
+    alike = (4 * F.col("a_n") <= 5 * F.col("b_n")) & (4 * F.col("b_n") <= 5 * F.col("a_n"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(alike).mapInArrow(run, "a long, b long")
+
+
+def crowd_pairs(members: DataFrame, most: int) -> DataFrame:
+    """(a, b) of members (cell, sid, n, point, label) of crowded cells: what the R-tree of a cell finds, under other labels,
+    for each set outside of the cell's largest label; the ``most`` best of each label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = gathered(batches)
@@ -225,18 +263,14 @@ def candidate_pairs(members: DataFrame, crowded_only: bool = False) -> DataFrame
         begin = np.flatnonzero(np.concatenate(([True], np.diff(cell[order]) != 0)))
         found: dict[tuple[int, int], None] = {}
         for rows in np.split(order, begin[1:]):
-            if len(rows) < 2 or crowded_only and (len(rows) <= CROWD or len(np.unique(label[rows])) < 2):
-                continue
             tree = Tree([np.frombuffer(points[int(r)].as_py(), np.uint8) for r in rows], size[rows])
             ids, labels = sid[rows][tree.order], label[rows][tree.order]
-            if crowded_only:
-                names, times = np.unique(labels, return_counts=True)
-                queries = np.flatnonzero(labels != names[times.argmax()])
-            else:
-                queries = range(len(rows)) if len(rows) <= CROWD else tree.central()
-            for q in queries:
+            names, times = np.unique(labels, return_counts=True)
+            for q in np.flatnonzero(labels != names[times.argmax()]):
+                taken: dict[int, int] = {}
                 for x in tree.search(int(q)):
-                    if not crowded_only or labels[x] != labels[q]:
+                    if labels[x] != labels[q] and taken.get(labels[x], 0) < most:
+                        taken[labels[x]] = taken.get(labels[x], 0) + 1
                         found[min(ids[q], ids[x]), max(ids[q], ids[x])] = None
         if found:
             pairs = np.array(list(found), np.int64)
@@ -247,10 +281,11 @@ def candidate_pairs(members: DataFrame, crowded_only: bool = False) -> DataFrame
 
 def needed_texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """(sid, text) of the needed sets (sid, rep), one document each; a bitmap of fixed size keeps other texts from the shuffle."""
-    listed = Bitmap(needed.select("rep")).rows(docs.filter("doc_id is not null").select("doc_id", "text"), True)
+    bitmap = Bitmap(needed.select("rep"))
+    listed = docs.filter("doc_id is not null").select("doc_id", "text", bit_of(F.col("doc_id")).alias("bit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in pieces(b.filter(pa.array(bitmap.holds(b.column("bit")))) for b in batches):
             sids = [fingerprint(s)[0] if len(s) else 0 for s in document_sets(piece.column("text"))]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), pa.array(sids, pa.int64()), piece.column("text")], ["rep", "sid", "text"])
 
@@ -280,8 +315,6 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = scratch.store(texts_of.filter("doc_id is not null and n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.first("point").alias("point")))
     members = scratch.store(cells(rare_shingles(docs, rarity(rows))))
     points = sets.select(F.col("hi").alias("sid"), "n", "point", "rep")
-    placed = members.join(points, "sid")
-
     def links(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(points.select("sid", "rep"), "sid")
         return scratch.store(verified(pairs, scratch.store(needed_texts(docs, scratch.store(ids)))))
@@ -290,16 +323,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         name = lambda side: points.select(F.col("sid").alias(side), F.col("rep").alias(f"{side}_rep"))
         return found.join(name("a"), "a").join(name("b"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
 
-    first = scratch.store(candidate_pairs(placed.withColumn("label", F.col("rep"))))
-    found = links(first)
+    tried = scratch.store(bounded_pairs(first_pairs(members), points))
+    found = links(tried)
     labels = components(named(found), scratch)
-    crowds = members.groupBy("cell").count().filter(F.col("count") > CROWD).select("cell")
-    if crowds.limit(1).count():
-        known = labels.withColumnRenamed("node", "rep")
-        again = placed.join(crowds, "cell").join(known, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        more = scratch.store(candidate_pairs(again, crowded_only=True).join(first, ["a", "b"], "left_anti"))
+    for most in (2, 1 << 60):  # the likeliest pairs of sets still apart, then all of them
+        known = points.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sid", F.coalesce("label", "rep").alias("label"))
+        labelled = scratch.store(members.join(known, "sid"))
+        split = labelled.groupBy("cell").agg(F.count("*").alias("k"), F.min("label").alias("low"), F.max("label").alias("high"))
+        crowds = scratch.store(labelled.join(split.filter((F.col("k") > CROWD) & (F.col("low") < F.col("high"))).select("cell"), "cell"))
+        more = scratch.store(crowd_pairs(crowds.join(points, "sid"), most).join(tried, ["a", "b"], "left_anti"))
         if more.limit(1).count():
-            labels = components(named(found.unionByName(links(more))), scratch)
+            tried = scratch.store(tried.unionByName(more))
+            found = scratch.store(found.unionByName(links(more)))
+            labels = components(named(found), scratch)
     reps = sets.select("hi", "lo", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", "n", F.coalesce("label", "rep").alias("component"))
     joined = texts_of.select("doc_id", "n", "hi", "lo").join(reps, ["hi", "lo", "n"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
@@ -322,3 +358,24 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
+
+
+SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{20}\x{09}-\x{0D}]+') AS w FROM documents
+),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM worded WHERE len(w) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS node, b AS other FROM edges UNION SELECT node, b FROM reach JOIN edges ON other = a),
+least_of AS (SELECT node, min(other) AS m FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CASE WHEN d.doc_id IS NOT NULL THEN least(d.doc_id, coalesce(m, d.doc_id)) END AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_of l ON l.node = d.doc_id
+"""
