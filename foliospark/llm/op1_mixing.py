@@ -135,10 +135,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     copy from 1 (it replaces a column of that name). Repeated rows are one row taken as often as all of them together."""
     own = [c for c in docs.columns if c != "mix_copy"]
     columns = [F.col(f"`{c}`") for c in own]
-    keyed = docs.select(*columns, F.xxhash64(*columns).alias(ROW))
+    keyed = docs.select(*columns, F.xxhash64(*columns).alias(ROW), F.coalesce(F.col("doc_id"), F.lit(0)).alias("__mix_id"))
     plan = mixing_plan(keyed.select("doc_id", ROW, "source", "text"), **options).filter("copies > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("__mix_id"), F.col("row").alias("__mix_its_row")).agg(F.sum("copies").alias("__mix_copies"))
-    joined = keyed.join(plan, (F.col(ROW) == F.col("__mix_its_row")) & F.col("doc_id").eqNullSafe(F.col("__mix_id"))).dropDuplicates([ROW, "__mix_id"])
+    plan = plan.groupBy(F.col("row").alias(ROW), F.coalesce(F.col("doc_id"), F.lit(0)).alias("__mix_id")).agg(F.sum("copies").alias("__mix_copies"))
+    joined = keyed.join(plan, [ROW, "__mix_id"]).dropDuplicates([ROW, "__mix_id"])  # the same keys: texts are shuffled once
     return joined.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies"))).alias("mix_copy"))
 
 

@@ -29,7 +29,7 @@ from foliospark.llm.shared import Scratch, byte_table, documents, lower_table, o
 
 WIDTH = 10
 BLOCK_WORDS = 1_000_000
-SEGMENT = 4_000_000
+SEGMENT = 2_000_000
 WORD_BYTES = bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 SEGMENTS = "segment long, doc_ids binary, known binary, begins binary, terms binary, counts binary, places binary"
 
@@ -257,11 +257,29 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     for block in blocks(words, BLOCK_WORDS):
         own = [np.frombuffer(r["words"], np.uint64) for r in block]
         terms = np.unique(np.concatenate(own))
-        counts = term_counts(build_index(docs, terms), terms)
+        counts = word_counts(docs, terms)
         out = out.mapInArrow(clean_rows(Search([r["item_id"] for r in block], own, terms, counts, WIDTH, 0), terms), docs.schema)
     return out
 
 
+def word_counts(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """How often each of the sorted ``terms`` stands in the texts, without an index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(terms), np.int64)
+        for piece in pieces(batches):
+            hashes, _ = hashed_words(piece.column("text"))
+            at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
+            total += np.bincount(at[terms[at] == hashes], minlength=len(terms))
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], ["term", "times"])
+
+    out = np.zeros(len(terms), np.int64)
+    for term, times in docs.select("text").mapInArrow(run, "term long, times long").groupBy("term").agg(F.sum("times")).collect():  # one row per term of the block
+        out[term] = times
+    return out
+
+
 def clean_rows(search: Search, vocabulary: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, size=SEGMENT):

@@ -7,6 +7,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from foliospark.llm.op9_rules import quality_rules
 from foliospark.llm.op10_privacy import base_spans
+from queries.compare import check, duck
 from tests.llm.test_decontamination import brute as leaks
 from tests.llm.test_jaccard import brute as classes
 
@@ -19,10 +20,8 @@ def test_whole_pipeline(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     good = {r.doc_id for r in quality_rules(docs, labels).collect() if r.kept}
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in good]
-    ones = [(i, t) for i, t in rows if classes(rows)[i][1] == i] if len(rows) < 50 else None
-    if ones is None:
-        found = classes(rows)
-        ones = [(i, t) for i, t in rows if found[i][1] == i]
+    found = classes(rows)
+    ones = [(i, t) for i, t in rows if found[i][1] == i]
     dirty = leaks(ones, items)
     clean = {i for i, _ in ones if not dirty[i][4]}
     out = corpus_pipeline.run(spark, SF)
@@ -52,3 +51,8 @@ def test_stages_take_odd_rows(spark, documents_of, tmp_path, name, stage):
 def test_queries_return_a_row_for_each_document(spark, name):
     if name != "op6_preference":
         assert entry.queries()[name](spark, SF).count() == 200
+
+
+@pytest.mark.parametrize("name", ["op3_repeats", "op7_jaccard_join"])
+def test_sql(spark, name):
+    assert check(spark, duck(SF), SF, entry.queries()[name], entry.oracle_sql()[name]) == ""
