@@ -12,9 +12,12 @@ points. Steps, each a Spark job over whole tables:
 3. The pairs of a small cell, and in a cell of over ``CROWD`` sets those of its two smallest ids, are candidates if the
    bound of their points reaches 0.8.
 4. Candidate pairs are verified on their whole texts, and verified links become components.
-5. A crowded cell that is still in several components gets an R-tree over its points. The sets outside of its largest
-   component search the tree; what they find in other components is verified too, the likeliest pairs first and then
-   all that are left. So no link that could join components is left out, and copies are not expanded into all pairs.
+5. Crowded cells that are still in several components are searched by R-trees. Their sets, each once however many cells
+   it is in, are dealt into blocks of about ``BLOCK`` bytes by size and hash, and a block's points get a tree. A set that
+   is outside of the largest component of a cell is sent to the blocks that hold sets of that cell, ``QUERIES`` to a task,
+   and searches them. What it finds in its cells under other components is verified too, the likeliest pairs first and
+   then ``MORE`` times as many a round, with components renewed in between, until none are left. So no link that could
+   join components is left out, copies are not expanded into all pairs, and no task holds more than one block.
 
 Null and empty texts, and texts without a word, have no shingle and no link; a text of fewer than five words is one
 shingle. Documents of a null doc_id have a null component and link nothing; documents that share a doc_id are one.
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.components import components
@@ -38,6 +41,9 @@ GROUP_BITS = 18
 CROWD = 6
 LEAF = 16
 SEEN = 200_000
+BLOCK = 250_000
+QUERIES = 500
+MORE = 64
 
 
 def document_sets(column: pa.Array) -> list[np.ndarray]:
@@ -73,9 +79,9 @@ def point(shingles: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
-def folded(points: list[np.ndarray]) -> np.ndarray:
-    """The points in the number of groups of the coarsest, one row each; a count of 255 or more is unbounded."""
-    groups = min(len(p) for p in points)
+def folded(points: list[np.ndarray], groups: int = 1 << 16) -> np.ndarray:
+    """The points in the number of groups of the coarsest (or in ``groups``), one row each; a count of 255 or more is unbounded."""
+    groups = min(groups, *(len(p) for p in points))
     rows = np.empty((len(points), groups), np.int16)
     for k, p in enumerate(points):
         sums = p.reshape(-1, groups).sum(0, dtype=np.int32)
@@ -86,11 +92,11 @@ def folded(points: list[np.ndarray]) -> np.ndarray:
 
 
 class Tree:
-    """Packed R-tree over the points of one cell, ordered by set size; a node has its points' upper corner and least size."""
+    """Packed R-tree over points, ordered by set size; a node has its points' upper corner and least size."""
 
-    def __init__(self, points: list[np.ndarray], sizes: np.ndarray):
+    def __init__(self, points: list[np.ndarray], sizes: np.ndarray, groups: int = 1 << 16):
         self.order = np.argsort(sizes, kind="stable")
-        self.points, self.sizes = folded(points)[self.order], sizes[self.order]
+        self.points, self.sizes = folded(points, groups)[self.order], sizes[self.order]
         self.levels = []
         corner, low, high = self.points, self.sizes, self.sizes
         while len(corner) > LEAF:
@@ -100,7 +106,12 @@ class Tree:
 
     def search(self, place: int) -> np.ndarray:
         """Places (in size order) of the other points whose bound with this one reaches 0.8, the highest bound first."""
-        query, size = self.points[place], self.sizes[place]
+        nodes = self.near(self.points[place], self.sizes[place])[0]
+        return nodes[nodes != place]
+
+    def near(self, query: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places (in size order) of the points whose bound with a set of this point and size reaches 0.8, and that bound's
+        share of both sizes, the highest first."""
 
         def reach(corner: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
             fits = (5 * low <= (size * 25) // 4 + 5) & (5 * high >= 4 * size)
@@ -114,9 +125,9 @@ class Tree:
             nodes = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
         nodes = np.arange(len(self.sizes)) if nodes is None else nodes[nodes < len(self.sizes)]
         nodes = nodes[reach(self.points[nodes], self.sizes[nodes], self.sizes[nodes])]
-        nodes = nodes[nodes != place]
         bound = np.minimum(self.points[nodes], query).sum(1, dtype=np.int64) / (size + self.sizes[nodes])
-        return nodes[np.argsort(-bound, kind="stable")]
+        order = np.argsort(-bound, kind="stable")
+        return nodes[order], bound[order]
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -249,34 +260,99 @@ def bounded_pairs(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(alike).mapInArrow(run, "a long, b long")
 
 
-def crowd_pairs(members: DataFrame, most: int) -> DataFrame:
-    """(a, b) of members (cell, sid, n, point, label) of crowded cells: what the R-tree of a cell finds, under other labels,
-    for each set outside of the cell's largest label; the ``most`` best of each label."""
+class Block:
+    """The sets of one block, found by the cells that they are in and by trees over their points."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(batches).combine_chunks()
+        self.sid, self.size, self.label = (table.column(c).to_numpy() for c in ("sid", "n", "label"))
+        self.points = [np.frombuffer(p.as_py(), np.uint8) for p in table.column("point")]
+        lists = table.column("cells").combine_chunks()
+        cells, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        order = np.argsort(cells, kind="stable")
+        self.cells, self.owner = cells[order], owner[order]
+        self.trees: dict[int, Tree] = {}
+
+    def near(self, point: np.ndarray, size: int, label: int, cells: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sets of these cells under other labels that may reach 0.8, up to ``most`` + 1 of a label, and their bounds."""
+        groups = min(len(point), min(len(p) for p in self.points))
+        if groups not in self.trees:
+            self.trees[groups] = Tree(self.points, self.size, groups)
+        tree = self.trees[groups]
+        at, bound = tree.near(folded([point], groups)[0], size)
+        at = tree.order[at]
+        fits = self.label[at] != label
+        at, bound = at[fits], bound[fits]
+        if len(at):
+            mates = np.zeros(len(self.sid), bool)
+            for low, high in zip(np.searchsorted(self.cells, cells, "left"), np.searchsorted(self.cells, cells, "right"), strict=True):
+                mates[self.owner[low:high]] = True
+            at, bound = at[mates[at]], bound[mates[at]]
+        order = np.argsort(self.label[at], kind="stable")
+        names = self.label[at][order]
+        begin = np.flatnonzero(np.concatenate((np.ones(min(len(names), 1), bool), names[1:] != names[:-1])))
+        rank = np.arange(len(names)) - np.repeat(begin, np.diff(np.append(begin, len(names))))
+        kept = order[rank <= most]
+        return at[kept], bound[kept]
+
+
+def block_pairs(rows: DataFrame, most: int) -> DataFrame:
+    """(q, x, label, bound) of rows (block, slice, asks, sid, n, label, point, cells): what each asking set finds in its block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = gathered(batches)
-        if table is None:
-            return
-        cell, sid, size, label = (table.column(c).to_numpy() for c in ("cell", "sid", "n", "label"))
-        points = table.column("point")
-        order = np.argsort(cell, kind="stable")
-        begin = np.flatnonzero(np.concatenate(([True], np.diff(cell[order]) != 0)))
-        found: dict[tuple[int, int], None] = {}
-        for rows in np.split(order, begin[1:]):
-            tree = Tree([np.frombuffer(points[int(r)].as_py(), np.uint8) for r in rows], size[rows])
-            ids, labels = sid[rows][tree.order], label[rows][tree.order]
-            names, times = np.unique(labels, return_counts=True)
-            for q in np.flatnonzero(labels != names[times.argmax()]):
-                taken: dict[int, int] = {}
-                for x in tree.search(int(q)):
-                    if labels[x] != labels[q] and taken.get(labels[x], 0) < most:
-                        taken[labels[x]] = taken.get(labels[x], 0) + 1
-                        found[min(ids[q], ids[x]), max(ids[q], ids[x])] = None
-        if found:
-            pairs = np.array(list(found), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return members.repartition("cell").mapInArrow(run, "a long, b long").distinct()
+        key, held, block = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            where, part, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "slice", "asks"))
+            cut = np.flatnonzero((where[1:] != where[:-1]) | (part[1:] != part[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for low, high in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+                if (where[low], part[low]) != key:
+                    key, held, block = (where[low], part[low]), [], None
+                stretch = batch.slice(low, high - low)
+                if not asks[low]:
+                    held.append(stretch)
+                    continue
+                block = block or Block(held)
+                for k in range(stretch.num_rows):
+                    sid, size, label = (stretch.column(c)[k].as_py() for c in ("sid", "n", "label"))
+                    point = np.frombuffer(stretch.column("point")[k].as_py(), np.uint8)
+                    at, bound = block.near(point, size, label, stretch.column("cells")[k].values.to_numpy(), most)
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), sid)), pa.array(block.sid[at]), pa.array(block.label[at]), pa.array(bound)], ["q", "x", "label", "bound"])
+
+    dealt = rows.repartition("block", "slice").sortWithinPartitions("block", "slice", "asks")
+    return dealt.mapInArrow(run, "q long, x long, label long, bound double")
+
+
+def crowd_rows(crowds: DataFrame, points: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``block_pairs`` for crowds (cell, sid, n, label, main): the blocks, and the sets that ask in them."""
+    band = lambda n: F.ceil(4 * F.log2(n)).cast("long")
+    weight = F.least(2 * F.col("n"), F.lit(1 << 16)) + 8 * F.col("cells")
+    bands = crowds.groupBy("sid", "n").agg(F.count("*").alias("cells")).groupBy(band("n").alias("band")).agg(F.sum(weight)).collect()  # a few for each doubling of the size
+    blocks = F.create_map(*[F.lit(x).cast("long") for key, total in bands for x in (key, total // BLOCK + 1)])
+    dealt = crowds.withColumn("band", band("n")).withColumn("block", F.col("band") * (1 << 40) + F.pmod(F.xxhash64("sid"), blocks[F.col("band")]))
+    there = dealt.groupBy("cell", "block", "band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    near = F.col("band").between(band(F.col("n") * 0.79), band(F.col("n") * 1.26))
+    apart = (F.col("low") < F.col("label")) | (F.col("label") < F.col("high"))
+    asked = crowds.filter("label <> main").join(there, "cell").filter(near & apart)
+    asked = scratch.store(asked.groupBy("block", "sid", "n", "label").agg(F.collect_list("cell").alias("cells")))
+    slices = asked.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("slices"))
+    names = ["block", "slice", "asks", "sid", "n", "label", "point", "cells"]
+    point = points.select("sid", "point")
+    held = dealt.groupBy("block", "sid", "n", "label").agg(F.collect_list("cell").alias("cells")).join(slices, "block").join(point, "sid")
+    held = held.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).withColumn("asks", F.lit(False))
+    asking = asked.join(slices, "block").join(point, "sid").withColumn("slice", F.pmod(F.xxhash64("sid", F.lit(1)), "slices")).withColumn("asks", F.lit(True))
+    return held.select(*names).unionByName(asking.select(*names))
+
+
+def crowd_pairs(crowds: DataFrame, points: DataFrame, most: int, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """(a, b): what the trees find, under other labels, for each set outside of the largest label of a cell, the ``most`` best
+    of each label; and whether there is more."""
+    best = Window.partitionBy("q", "label").orderBy(F.desc("bound"), "x")
+    found = scratch.store(block_pairs(crowd_rows(crowds, points, scratch), most).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most + 1))
+    pairs = found.filter(F.col("rank") <= most).select(F.least("q", "x").alias("a"), F.greatest("q", "x").alias("b")).distinct()
+    return pairs, found.filter(F.col("rank") > most).limit(1).count() > 0
 
 
 def needed_texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -326,16 +402,22 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     tried = scratch.store(bounded_pairs(first_pairs(members), points))
     found = links(tried)
     labels = components(named(found), scratch)
-    for most in (2, 1 << 60):  # the likeliest pairs of sets still apart, then all of them
-        known = points.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sid", F.coalesce("label", "rep").alias("label"))
+    most, further = 2, True
+    while further:  # the likeliest pairs of sets still apart, then more of them, until all were tried
+        known = points.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sid", "n", F.coalesce("label", "rep").alias("label"))
         labelled = scratch.store(members.join(known, "sid"))
-        split = labelled.groupBy("cell").agg(F.count("*").alias("k"), F.min("label").alias("low"), F.max("label").alias("high"))
-        crowds = scratch.store(labelled.join(split.filter((F.col("k") > CROWD) & (F.col("low") < F.col("high"))).select("cell"), "cell"))
-        more = scratch.store(crowd_pairs(crowds.join(points, "sid"), most).join(tried, ["a", "b"], "left_anti"))
+        counts = labelled.groupBy("cell", "label").agg(F.count("*").alias("k"))
+        split = counts.groupBy("cell").agg(F.sum("k").alias("k"), F.count("*").alias("labels"), F.max(F.struct("k", "label"))["label"].alias("main"))
+        crowds = scratch.store(labelled.join(split.filter((F.col("k") > CROWD) & (F.col("labels") > 1)).select("cell", "main"), "cell"))
+        if not crowds.limit(1).count():
+            break
+        more, cut = crowd_pairs(crowds, points, most, scratch)
+        more = scratch.store(more.join(tried, ["a", "b"], "left_anti"))
         if more.limit(1).count():
             tried = scratch.store(tried.unionByName(more))
             found = scratch.store(found.unionByName(links(more)))
             labels = components(named(found), scratch)
+        most, further = most * MORE, cut
     reps = sets.select("hi", "lo", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", "n", F.coalesce("label", "rep").alias("component"))
     joined = texts_of.select("doc_id", "n", "hi", "lo").join(reps, ["hi", "lo", "n"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))

@@ -6,7 +6,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from foliospark.llm import op7_jaccard
 from foliospark.llm.components import components
 from foliospark.llm.op7_jaccard import Tree, document_sets, jaccard_components, keep_one, point
 from foliospark.llm.shared import Scratch
@@ -92,6 +94,33 @@ def test_crowd_that_only_its_original_joins(documents_of):
     assert got == want and len({c for _, c in want.values()}) > 2
 
 
+def test_no_task_holds_a_whole_crowd(documents_of, small_batches, monkeypatch):
+    """A crowd with far copies in its cells: blocks of few points, several tasks for the sets that ask in one."""
+    rng = random.Random(3)
+    original = [f"o{k}" for k in range(200)]
+    rows = []
+    for k in range(160):
+        copy = list(original)
+        for at in rng.sample(range(5, 195), 4 if k < 90 else 9):
+            copy[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(copy)))
+    rows += [(300 + k, " ".join(original[:150] + [f"y{k}_{j}" for j in range(60)])) for k in range(40)]
+    monkeypatch.setattr(op7_jaccard, "BLOCK", 20_000)
+    monkeypatch.setattr(op7_jaccard, "QUERIES", 10)
+    rounds, plain = [], op7_jaccard.crowd_rows
+
+    def spied(*args):
+        out = plain(*args)
+        rounds.append(out.groupBy("block", "slice", "asks").agg(F.count("*").alias("k"), F.sum(F.length("point") + 8 * F.size("cells")).alias("held")).collect())
+        return out
+
+    monkeypatch.setattr(op7_jaccard, "crowd_rows", spied)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(documents_of(rows)).collect()}
+    assert got == brute(rows)
+    assert rounds and len({r.block for r in rounds[0]}) > 2 and max(r.slice for r in rounds[0]) > 0
+    assert all(r.held < 50_000 for x in rounds for r in x if not r.asks) and all(r.k < 30 for x in rounds for r in x if r.asks)
+
+
 def test_tree_search_misses_nothing():
     rng = np.random.default_rng(4)
     base = [np.unique(rng.integers(0, 1 << 62, k, dtype=np.uint64)) for k in (30, 90, 100, 300)]
