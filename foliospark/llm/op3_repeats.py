@@ -17,7 +17,8 @@ runs in a piece two are sorted and the others go to step 2 at once; so no sort k
 each piece. Sorted rows are read as a stream, with the state of one position.
 
 Strings never cross documents and are judged on the input. Order is doc_id (null first), then place. Rows that share a
-doc_id are ordered by a hash of the text; exact repeats of a row are one document and get the same result. Null and
+doc_id, or have none, are told apart and ordered by a 64-bit hash of the text (``tie``, 0 for all where every doc_id stands once); exact
+repeats of a row are one document and get the same result. Null and
 empty texts, and those under ``LENGTH`` bytes, lose nothing. Extra columns change nothing.
 """
 
@@ -37,7 +38,7 @@ LENGTH = 100
 SEED = 32
 CROWD = 8
 STEP = 0x9E3779B97F4A7C15
-ROWS = "name long, pair long, doc long, place long, fine boolean"
+ROWS = "name long, pair long, doc long, tie long, place long, fine boolean"
 NAMES = [x.split()[0] for x in ROWS.split(", ")]
 
 
@@ -96,19 +97,19 @@ def seed_runs(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, seed:
     return text[first], first, count, offset, seeds[anchor], pair
 
 
-def place_of(tie: np.ndarray, start: np.ndarray, offset: np.ndarray | int, count: np.ndarray | int) -> np.ndarray:
-    """One number per position: tie of the text, start in the text, and what the position stands for; sorts by start."""
-    return (tie.astype(np.int64) << 47) + (start.astype(np.int64) << 14) + (np.asarray(offset, np.int64) << 7) + count
+def place_of(start: np.ndarray, offset: np.ndarray | int, count: np.ndarray | int) -> np.ndarray:
+    """One number per position: start in the text, and what the position stands for; sorts by start."""
+    return (start.astype(np.int64) << 14) + (np.asarray(offset, np.int64) << 7) + count
 
 
-def first_of(name: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Which rows are the first, by doc and place, of their name. Equal rows are all first."""
-    order = np.lexsort((place, doc, name))
+def first_of(name: np.ndarray, doc: np.ndarray, tie: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which rows are the first, by doc, tie and place, of their name. Equal rows are all first."""
+    order = np.lexsort((place, tie, doc, name))
     head = np.ones(len(name), bool)
     head[1:] = name[order][1:] != name[order][:-1]
     lead = order[np.maximum.accumulate(np.where(head, np.arange(len(name)), 0))]
     out = np.zeros(len(name), bool)
-    out[order] = (doc[order] == doc[lead]) & (place[order] == place[lead])
+    out[order] = (doc[order] == doc[lead]) & (tie[order] == tie[lead]) & (place[order] == place[lead])
     return out
 
 
@@ -123,8 +124,8 @@ def run_positions(docs: DataFrame) -> DataFrame:
             text, first, count, offset, seed, pair = seed_runs(data, bounds)
             if not len(text):
                 continue
-            doc, place = docs_[text], place_of(ties[text], first - bounds[text], offset, count)
-            ahead = first_of(pair, doc, place)
+            doc, tie, place = docs_[text], ties[text], place_of(first - bounds[text], offset, count)
+            ahead = first_of(pair, doc, tie, place)
             order = np.lexsort((pair, seed))
             order = order[ahead[order]]
             head = np.concatenate(([True], seed[order][1:] != seed[order][:-1]))
@@ -134,9 +135,9 @@ def run_positions(docs: DataFrame) -> DataFrame:
             crowded = np.zeros(len(text), bool)
             crowded[order] = rank >= CROWD
             alone = ~ahead | crowded
-            name = np.where(alone, mixed(place.view(np.uint64) ^ pair), seed)
+            name = np.where(alone, mixed(place.view(np.uint64) ^ mixed(tie.view(np.uint64)) ^ pair), seed)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(name.view(np.int64)), pa.array(pair.view(np.int64)), pa.array(doc), pa.array(place), pa.array(crowded & ahead, mask=~ahead)], NAMES
+                [pa.array(name.view(np.int64)), pa.array(pair.view(np.int64)), pa.array(doc), pa.array(tie), pa.array(place), pa.array(crowded & ahead, mask=~ahead)], NAMES
             )
 
     return docs.mapInArrow(run, ROWS)
@@ -152,7 +153,7 @@ def string_positions(docs: DataFrame) -> DataFrame:
             lists = piece.column("places")
             places = lists.flatten().to_numpy()
             text = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            count, begin = places & 127, ((places >> 14) & ((1 << 33) - 1)) + bounds[text]
+            count, begin = places & 127, (places >> 14) + bounds[text]
             start = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             if not len(start):
                 continue
@@ -161,56 +162,58 @@ def string_positions(docs: DataFrame) -> DataFrame:
             names = Names(data).all(quarter)
             names = paired(names[: len(names) - quarter], names[quarter:])
             names = paired(names[start], names[start + 2 * quarter])
-            doc, place = docs_[text], place_of(ties[text], start - bounds[text], 0, 1)
-            ahead = first_of(names, doc, place)
-            name = np.where(ahead, names, mixed(place.view(np.uint64) ^ names))
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(names.view(np.int64)), pa.array(doc), pa.array(place), pa.array(np.zeros(len(doc), bool), mask=~ahead)], NAMES)
+            doc, tie, place = docs_[text], ties[text], place_of(start - bounds[text], 0, 1)
+            ahead = first_of(names, doc, tie, place)
+            name = np.where(ahead, names, mixed(place.view(np.uint64) ^ mixed(tie.view(np.uint64)) ^ names))
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(names.view(np.int64)), pa.array(doc), pa.array(tie), pa.array(place), pa.array(np.zeros(len(doc), bool), mask=~ahead)], NAMES)
 
     return docs.mapInArrow(run, ROWS)
 
 
 def sorted_repeats(rows: DataFrame) -> DataFrame:
-    """(doc, place, fine): positions that repeat an earlier equal pair, and (fine) first positions of names with several pairs."""
+    """(doc, tie, place, fine): positions that repeat an earlier equal pair, and (fine) first positions of names with several pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_name = last_pair = last_doc = last_place = None  # of the row before
+        last_name = last_pair = last_doc = last_tie = last_place = None  # of the row before
         seen, held = 0, None  # pairs so far of its name, and the first position while it is the only one
         for batch in batches:
             if not batch.num_rows:
                 continue
-            name, pair, doc, place = (batch.column(c).to_numpy() for c in NAMES[:4])
+            name, pair, doc, tie, place = (batch.column(c).to_numpy() for c in NAMES[:5])
             known = batch.column("fine").is_null().to_numpy(zero_copy_only=False)
             spread = batch.column("fine").fill_null(False).to_numpy(zero_copy_only=False)
             same_name = np.concatenate(([name[0] == last_name], name[1:] == name[:-1]))
             same_pair = same_name & np.concatenate(([pair[0] == last_pair], pair[1:] == pair[:-1]))
             lead = np.maximum.accumulate(np.where(same_pair, -1, np.arange(len(name))))
             lead_doc = np.where(lead < 0, 0 if last_doc is None else last_doc, doc[lead])
+            lead_tie = np.where(lead < 0, 0 if last_tie is None else last_tie, tie[lead])
             lead_place = np.where(lead < 0, 0 if last_place is None else last_place, place[lead])
-            copy = same_pair & (doc == lead_doc) & (place == lead_place)  # a repeated row
+            copy = same_pair & (doc == lead_doc) & (tie == lead_tie) & (place == lead_place)  # a repeated row
             repeats = known | (same_pair & ~copy)
             group = np.cumsum(~same_name)  # 0: the name of the batch before
             pairs = np.bincount(group, ~same_pair, group[-1] + 1).astype(np.int64)
             pairs[0] += seen
             wanted = ~same_pair & ~known & ((pairs[group] > 1) | spread)
-            docs_, places, fine = [doc[repeats], doc[wanted]], [place[repeats], place[wanted]], [np.zeros(repeats.sum(), bool), np.ones(wanted.sum(), bool)]
+            docs_, ties, places, fine = [doc[repeats], doc[wanted]], [tie[repeats], tie[wanted]], [place[repeats], place[wanted]], [np.zeros(repeats.sum(), bool), np.ones(wanted.sum(), bool)]
             if held is not None and group[0] == 0 and pairs[0] > 1:
                 docs_.append(np.array([held[0]]))
-                places.append(np.array([held[1]]))
+                ties.append(np.array([held[1]]))
+                places.append(np.array([held[2]]))
                 fine.append(np.ones(1, bool))
             if group[-1] or pairs[0] > 1:
                 held = None
             seen = int(pairs[-1])
             if seen == 1 and group[-1] and not known[-1] and not spread[-1]:
                 at = int(np.flatnonzero(group == group[-1])[0])
-                held = (doc[at], place[at])
+                held = (doc[at], tie[at], place[at])
             last = int(lead[-1])
             last_name, last_pair = name[-1], pair[-1]
             if last >= 0:
-                last_doc, last_place = doc[last], place[last]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs_)), pa.array(np.concatenate(places)), pa.array(np.concatenate(fine))], ["doc", "place", "fine"])
+                last_doc, last_tie, last_place = doc[last], tie[last], place[last]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs_, ties, places, fine)], ["doc", "tie", "place", "fine"])
 
-    ordered = rows.repartition("name").sortWithinPartitions("name", "pair", "doc", "place")
-    return ordered.mapInArrow(run, "doc long, place long, fine boolean")
+    ordered = rows.repartition("name").sortWithinPartitions("name", "pair", "doc", "tie", "place")
+    return ordered.mapInArrow(run, "doc long, tie long, place long, fine boolean")
 
 
 def cut(docs: DataFrame) -> DataFrame:
@@ -227,7 +230,7 @@ def cut(docs: DataFrame) -> DataFrame:
                 own = data[bounds[k] : bounds[k + 1]]
                 spot = places[offsets[k] : offsets[k + 1]]
                 if len(spot):
-                    start = (spot >> 14) & ((1 << 33) - 1)
+                    start = spot >> 14
                     change = np.zeros(len(own) + 1, np.int64)
                     np.add.at(change, start, 1)
                     np.add.at(change, start + (spot & 127) - 1 + LENGTH, -1)
@@ -248,8 +251,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept."""
     scratch = Scratch(docs.sparkSession, "repeats")
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).bitwiseAND(0x7FFF).alias("tie"), text.alias("text"))
-    by_text = lambda rows: rows.select("doc", F.shiftright("place", 47).alias("tie"), "place").groupBy("doc", "tie").agg(F.collect_list("place").alias("places"))
+    shared = docs.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long")).count().filter("count > 1").limit(1).count() > 0
+    tie = F.when(F.col("doc_id").cast("long").isNull() | F.lit(shared), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), tie.alias("tie"), text.alias("text"))
+    by_text = lambda rows: rows.groupBy("doc", "tie").agg(F.collect_list("place").alias("places"))
     runs = scratch.store(sorted_repeats(run_positions(keyed.select("doc", "tie", "text"))))
     several = by_text(runs.filter("fine"))
     spread = keyed.select("doc", "tie", "text").join(several, ["doc", "tie"]).select("doc", "tie", "text", "places")

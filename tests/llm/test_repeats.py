@@ -71,3 +71,20 @@ def test_rows_of_one_id_null_ids_and_empty_tables(documents_of):
     own = brute([(None, text)])[None, text][1]
     assert got == [(False, 0, own), (True, 5, len(text)), (True, 5, len(text)), (True, 9, len(text))]
     assert remove_repeats(documents_of([])).count() == 0
+
+
+def test_rows_without_an_id_stay_apart(documents_of):
+    """Some thousand texts of one id each keep their own places: no short hash of the text stands for it."""
+    passage = "this passage of more than one hundred bytes stands once in each of two texts, one with an id and one that has none at all; "
+    alone = [f"{k} " + " ".join(hashlib.md5(f"{k} {j}".encode()).hexdigest() for j in range(2 + k % 4)) for k in range(3000)]
+    rows = [(None, t + passage + str(k) if k == 7 else t) for k, t in enumerate(alone)] + [(5, passage + t) for t in ("one", "two")]
+    got = {r.kept_sha256: r for r in remove_repeats(documents_of(rows)).collect()}
+    want = {hashlib.sha256(t.encode()).hexdigest() for i, t in rows if i is None}
+    assert want <= set(got) and all(got[k].n_removed == 0 for k in want)
+    doubled = [(None, t + " " + t) for t in alone[:2000]]
+    out = remove_repeats(documents_of(doubled)).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == sorted(brute_alone(t) for _, t in doubled)
+
+
+def brute_alone(text):
+    return brute([(0, text)])[0, text]
