@@ -26,12 +26,14 @@ Repeated rows keep a row each; extra columns change nothing. Shingles and sets a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from foliospark.llm.components import components
 from foliospark.llm.shared import WHITE, Bitmap, Scratch, bit_of, byte_table, documents, lower_table, mixed, pieces, span_hashes, spans, text_bytes, window_hashes
@@ -383,8 +385,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def set_components(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n, hi, lo, component (null where there is no shingle or doc_id) and keeper, the set (hi) of
+    the component that its smallest doc_id has. Components are of sets, so rows of one doc_id with other texts stay apart."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = scratch.store(measured(docs))
     texts_of = rows.filter("cell is null")
@@ -395,16 +398,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(points.select("sid", "rep"), "sid")
         return scratch.store(verified(pairs, scratch.store(needed_texts(docs, scratch.store(ids)))))
 
-    def named(found: DataFrame) -> DataFrame:
-        name = lambda side: points.select(F.col("sid").alias(side), F.col("rep").alias(f"{side}_rep"))
-        return found.join(name("a"), "a").join(name("b"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
-
     tried = scratch.store(bounded_pairs(first_pairs(members), points))
     found = links(tried)
-    labels = components(named(found), scratch)
+    labels = components(found, scratch)
     most, further = 2, True
     while further:  # the likeliest pairs of sets still apart, then more of them, until all were tried
-        known = points.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sid", "n", F.coalesce("label", "rep").alias("label"))
+        known = points.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "n", F.coalesce("label", "sid").alias("label"))
         labelled = scratch.store(members.join(known, "sid"))
         counts = labelled.groupBy("cell", "label").agg(F.count("*").alias("k"))
         split = counts.groupBy("cell").agg(F.sum("k").alias("k"), F.count("*").alias("labels"), F.max(F.struct("k", "label"))["label"].alias("main"))
@@ -416,25 +415,54 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         if more.limit(1).count():
             tried = scratch.store(tried.unionByName(more))
             found = scratch.store(found.unionByName(links(more)))
-            labels = components(named(found), scratch)
+            labels = components(found, scratch)
         most, further = most * MORE, cut
-    reps = sets.select("hi", "lo", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", "n", F.coalesce("label", "rep").alias("component"))
-    joined = texts_of.select("doc_id", "n", "hi", "lo").join(reps, ["hi", "lo", "n"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
+    labelled = sets.select("hi", "lo", "n", "rep").join(labels.withColumnRenamed("node", "hi"), "hi", "left").withColumn("label", F.coalesce("label", "hi"))
+    first = labelled.groupBy("label").agg(F.min(F.struct("rep", "hi")).alias("first"))
+    named = labelled.join(first, "label").select("hi", "lo", "n", F.col("first.rep").alias("component"), F.col("first.hi").alias("keeper"))
+    joined = texts_of.select("doc_id", "n", "hi", "lo").join(named, ["hi", "lo", "n"], "left")
+    known = lambda name: F.when(F.col("doc_id").isNotNull(), F.col(name)).alias(name)
+    return joined.select("doc_id", "n", "hi", "lo", known("component"), known("keeper"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    found = set_components(docs)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").cast("long").alias("component_id"))
+
+
+def with_sets(docs: DataFrame, names: list[str]) -> DataFrame:
+    """The documents and, under three new names, n, hi and lo of their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            sets = document_sets(piece.column("text"))
+            prints = [fingerprint(s) for s in sets]
+            numbers = [[len(s) for s in sets], [x for x, _ in prints], [x for _, x in prints]]
+            yield pa.RecordBatch.from_arrays([*piece.columns, *(pa.array(x, pa.int64()) for x in numbers)], [*piece.schema.names, *names])
+
+    schema = docs.schema
+    for name in names:
+        schema = StructType([*schema.fields, StructField(name, LongType())])
+    return docs.mapInArrow(run, schema)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, but of each component only the one that gives it its id.
 
-    Rows of one doc_id and text count as copies. Only rows that a bitmap of the dropped ids lets through are shuffled.
+    Each row is judged by its own set: a doc_id loses the rows that are copies and keeps the others. Rows of one doc_id and set (or text
+    without a shingle) count as copies. Rows of a null doc_id link nothing and stay. Only rows that a bitmap of the ids with a dropped or
+    repeated row lets through are shuffled.
     """
     scratch = Scratch(docs.sparkSession, "one")
-    found = scratch.store(jaccard_components(docs))
-    dropped = scratch.store(found.filter("doc_id <> component_id").select("doc_id").distinct())
+    found = scratch.store(set_components(docs))
+    names = [f"{x}_of_set_{uuid.uuid4().hex}" for x in ("n", "hi", "lo")]
+    copies = scratch.store(found.filter("doc_id <> component OR hi <> keeper").select("doc_id", *[F.col(x).alias(y) for x, y in zip(("n", "hi", "lo"), names, strict=True)]).distinct())
     repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    near = Bitmap(dropped.unionByName(repeated))
-    rest = near.rows(docs, True).join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    near = Bitmap(copies.select("doc_id").unionByName(repeated))
+    text = "text_of_set_" + uuid.uuid4().hex
+    rest = with_sets(near.rows(docs, True), names).join(copies, ["doc_id", *names], "left_anti").withColumn(text, F.when(F.col(names[0]) == 0, F.col("text")))
+    rest = rest.dropDuplicates(["doc_id", *names, text])
     return near.rows(docs, False).unionByName(rest.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 

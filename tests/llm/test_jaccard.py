@@ -161,3 +161,12 @@ def test_repeated_rows_null_ids_and_empty_tables(documents_of):
     kept = keep_one(docs)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "8", "None", "None"]
     assert jaccard_components(documents_of([])).count() == 0 and keep_one(documents_of([])).count() == 0
+
+
+def test_rows_of_one_id_are_kept_or_dropped_one_by_one(documents_of):
+    words = [f"w{k}" for k in range(120)]
+    near = words[:60] + ["other"] + words[61:]
+    a, copy = " ".join(words), " ".join(near)
+    rows = [(1, a), (3, a), (3, "a text that nothing else holds at all"), (4, copy), (4, "one more text that is alone in here"), (6, copy), (6, copy.upper()), (7, "the third text of its own"), (7, "The third text of its own")]
+    got = sorted((r.doc_id, r.text.lower()) for r in keep_one(documents_of(rows)).collect())
+    assert got == [(1, a), (3, rows[2][1]), (4, rows[4][1]), (7, rows[7][1])]
