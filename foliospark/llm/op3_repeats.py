@@ -1,15 +1,15 @@
-"""Removal of repeated byte strings: prefix doubling over sparse positions, sorted by Spark.
+"""Removal of repeated byte strings: minimiser seeds and one sort of string hashes, in place of prefix doubling by rounds.
 
 Every string of ``LENGTH`` bytes is to be found that also starts earlier. Plain prefix doubling would sort one
-(rank, rank) pair for each byte of the corpus in each round. Here a round only sorts positions that may still repeat:
+(rank, rank) pair for each byte of the corpus in each round. Here Spark sorts twice, and only positions that may still repeat:
 
 1. Each string is represented by its seed, the ``SEED`` bytes in it whose hash is smallest (the leftmost of equals).
    Equal strings have equal seeds at equal offsets. Neighbouring strings with one seed make a run, and only the run's position is
    sorted, by the pair of the seed's rank and the rank of all bytes that the run spans. A position whose seed is unique
    leaves. Among equal pairs all positions but the first are done: the whole run repeats.
-2. The first positions of a seed that has several different runs are spread out into their single strings. Their names
-   double from ``LENGTH / 4`` bytes to ``LENGTH``: a name is the pair of the names of both halves. Spark sorts them
-   once more; all but the first of equal names repeat.
+2. The first positions of a seed that has several different runs are spread out into their single strings. Their names are
+   put together from those of ``LENGTH / 4`` bytes beside the text, with no sort in between. Spark sorts them once more; all but
+   the first of equal names repeat.
 
 A rank is a 64-bit hash of the bytes that it stands for, so that the pair at an offset is found beside the text and not
 by a join. Equal pairs of one piece of rows meet before the sort and only their first is sent, and of a seed with very many
