@@ -54,7 +54,8 @@ def assemble(rows: DataFrame) -> DataFrame:
 
 def reply_pairs(conversations: DataFrame) -> DataFrame:
     """Chosen: a conversation up to its last assistant turn. Rejected: the same with that reply taken from the conversation
-    of the next id (nothing in its place if that has none). Conversations without a reply make no pair."""
+    of the next id (nothing in its place if that has none). Conversations without a reply make no pair.
+    Rows of a null conv_id or a null turn are dropped, as in the SQL: they have no next conversation and no place before a reply."""
     turns = conversations.select("conv_id", "turn", "role", "text").filter("conv_id is not null and turn is not null")
     replies = turns.filter("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last")).select("conv_id", "last.turn", "last.text")
     last = replies.select(F.col("conv_id").alias("pair_id"), F.col("turn").alias("last_turn"))
