@@ -2,6 +2,7 @@
 
 from foliospark.llm.op1_mixing import op1_mixing
 from foliospark.llm.op10_privacy import op10_privacy
+from foliospark.llm.op13_runs import op13_runs
 from foliospark.llm.op2_tokens import op2_token_counts
 from foliospark.llm.op3_repeats import SQL as op3_sql
 from foliospark.llm.op3_repeats import op3_repeats
@@ -15,5 +16,5 @@ from foliospark.llm.op8_decontamination import SQL as op8_sql
 from foliospark.llm.op8_decontamination import op8_decontamination
 from foliospark.llm.op9_rules import op9_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_repeats, op4_quality_scores, op5_language, op6_preference, op7_jaccard_join, op8_decontamination, op9_quality_rules, op10_privacy)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_repeats, op4_quality_scores, op5_language, op6_preference, op7_jaccard_join, op8_decontamination, op9_quality_rules, op10_privacy, op13_runs)}
 SQL: dict[str, str] = {"op3_repeats": op3_sql, "op6_preference": op6_sql, "op7_jaccard_join": op7_sql, "op8_decontamination": op8_sql}
