@@ -2,6 +2,8 @@
 
 from foliospark.llm.op1_mixing import op1_mixing
 from foliospark.llm.op10_privacy import op10_privacy
+from foliospark.llm.op11_repair import SQL as op11_sql
+from foliospark.llm.op11_repair import op11_repair
 from foliospark.llm.op12_lexicon import op12_lexicon
 from foliospark.llm.op13_runs import op13_runs
 from foliospark.llm.op2_tokens import op2_token_counts
@@ -17,5 +19,5 @@ from foliospark.llm.op8_decontamination import SQL as op8_sql
 from foliospark.llm.op8_decontamination import op8_decontamination
 from foliospark.llm.op9_rules import op9_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_repeats, op4_quality_scores, op5_language, op6_preference, op7_jaccard_join, op8_decontamination, op9_quality_rules, op10_privacy, op12_lexicon, op13_runs)}
-SQL: dict[str, str] = {"op3_repeats": op3_sql, "op6_preference": op6_sql, "op7_jaccard_join": op7_sql, "op8_decontamination": op8_sql}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_repeats, op4_quality_scores, op5_language, op6_preference, op7_jaccard_join, op8_decontamination, op9_quality_rules, op10_privacy, op11_repair, op12_lexicon, op13_runs)}
+SQL: dict[str, str] = {"op3_repeats": op3_sql, "op6_preference": op6_sql, "op7_jaccard_join": op7_sql, "op8_decontamination": op8_sql, "op11_repair": op11_sql}
