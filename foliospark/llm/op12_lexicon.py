@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding with a lexicon of frequent words in a minimal acyclic transducer.
 
-Spark counts the words (pre-tokens) of all texts. The ``WORDS`` most frequent of up to ``LONGEST`` bytes are merged
+Spark counts the words (pre-tokens) of all texts. The most frequent ``WORDS`` at most of up to ``LONGEST`` bytes are merged
 once and compiled into the smallest acyclic automaton that accepts them: words share their beginnings and, by a
 register of equal states, their ends. Each arc has an output, and the outputs along a word add up to its number, whose
 row in a table holds its ids. The compiled file is written to the shared folder, Spark hands it to the executors, and
@@ -33,10 +33,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import documents, pieces, text_bytes
+from foliospark.llm.shared import Scratch, documents, pieces, text_bytes
 from foliospark.sources.io import shared_folder
 
-WORDS, LONGEST = 65_536, 32
+WORDS, LONGEST = 262_144, 32
 #: Words of up to so many bytes are merged together, longer ones one by one.
 SHORT = 64
 #: A task remembers the ids of so many words that the lexicon doesn't hold.
@@ -145,9 +145,10 @@ class Vocabulary:
             done = least == len(self.keys)
             ended = np.repeat(done, size)
             if done.any():
-                rows = np.split(ids[ended], np.cumsum(size[done])[:-1])
-                for k, row in zip(word[first[done]].tolist(), rows, strict=True):
-                    out[k] = row.tolist()
+                row, at = ids[ended].tolist(), 0
+                for k, n in zip(word[first[done]].tolist(), size[done].tolist(), strict=True):
+                    out[k] = row[at : at + n]
+                    at += n
             hit = (rank == np.repeat(least, size)) & ~ended
             place = np.flatnonzero(hit)
             begin = np.concatenate(([True], np.diff(place) > 1)) if len(place) else np.zeros(0, bool)
@@ -350,7 +351,7 @@ def words_of(cutter: Cutter, column: pa.Array) -> tuple[np.ndarray, np.ndarray,
 
 
 def frequent_words(docs: DataFrame, tokenizer: str, most: int = WORDS) -> list[bytes]:
-    """The most frequent words of all texts, ties by their bytes: at most ``most`` of ``LONGEST`` bytes."""
+    """The most frequent words of up to ``LONGEST`` bytes of all texts: ``most`` at most, by whole levels of their counts (16 for each doubling)."""
     added = Vocabulary(tokenizer).added
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,9 +361,19 @@ def frequent_words(docs: DataFrame, tokenizer: str, most: int = WORDS) -> list[b
             counted = words.filter(pc.less_equal(pc.binary_length(words), LONGEST)).value_counts()
             yield pa.RecordBatch.from_arrays([counted.field("values").cast(pa.binary()), counted.field("counts")], ["word", "count"])
 
+    scratch = Scratch(docs.sparkSession, "op12")
     counted = docs.select("text").mapInArrow(run, "word binary, count long").groupBy("word").agg(F.sum("count").alias("count"))
-    rows = counted.orderBy(F.desc("count"), "word").limit(most).select("word").collect()
-    return sorted({bytes(r[0]) for r in rows} - set(added))
+    counted = scratch.store(counted.withColumn("level", F.floor(16 * F.log2("count"))))
+    levels = counted.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()  # 1,024 at most
+    room, least = most, None
+    for level, n in levels:
+        room -= n
+        if room < 0:
+            break
+        least = level
+    words = [] if least is None else [bytes(r[0]) for r in counted.filter(F.col("level") >= least).select("word").collect()]
+    scratch.drop(counted)
+    return sorted(set(words) - set(added))
 
 
 def built(spark: SparkSession, words: Sequence[bytes], vocabulary: Vocabulary) -> str:

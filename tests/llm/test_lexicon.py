@@ -30,7 +30,7 @@ def plain(text):
     return len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("most", [0, 5, 65_536])
+@pytest.mark.parametrize("most", [0, 5, 262_144])
 def test_texts_of_any_kind(documents_of, small_batches, most):
     texts = odd_texts(400, 40, most) + [None, "", " ", "word " * 3000, "a" * 3000, "ab" * 400, "\n" * 2000, "<|endoftext|>" * 50]
     rows = [*enumerate(texts), (3, "twice"), (3, "twice"), (None, "no id"), (-1, None)]
@@ -99,8 +99,10 @@ def test_empty_lexicon(tmp_path):
 
 
 def test_frequent_words(documents_of):
-    docs = documents_of([(1, "the the the cat"), (2, "the cat"), (3, None), (4, "x" * 40)])
-    assert frequent_words(docs, PATH, 2) == sorted([b" the", b" cat"])
+    docs = documents_of([(1, "the the the the the cat"), (2, "the cat"), (3, None), (4, "x" * 40)])
+    assert frequent_words(docs, PATH, 2) == [b" the"]  # the next level has two words
+    assert frequent_words(docs, PATH, 3) == sorted([b" the", b"the", b" cat"])
+    assert frequent_words(docs, PATH, 0) == []
 
 
 def test_round_trip(documents_of, small_batches):
