@@ -203,10 +203,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments of sorted rows; no segment goes over two conversations."""
     part, k = TaskContext.get().partitionId(), 0
     now: dict | None = None
-    size = 0
+    size = held = 0
+    done: list[dict] = []
 
-    def closed() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([now | {"symbols": bytes(now["symbols"])}], SEGMENT_ARROW)
+    def told() -> pa.RecordBatch:
+        rows = [x | {"symbols": bytes(x["symbols"])} for x in done]
+        done.clear()
+        return pa.RecordBatch.from_pylist(rows, SEGMENT_ARROW)
 
     for batch in batches:
         for row in batch.to_pylist():
@@ -216,7 +219,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for n in range(row["times"]):
                 if now is None or (now["has_conv"], now["conv"]) != (row["has_conv"], row["conv"]) or len(now["symbols"]) >= TURNS or size >= BYTES:
                     if now is not None:
-                        yield closed()
+                        done.append(now)
+                        held += size
+                        if len(done) >= 20 * SOME or held >= 20 * BYTES:
+                            yield told()
+                            held = 0
                     now = {"has_conv": row["has_conv"], "conv": row["conv"], "part": part, "k": k, "symbols": bytearray(), "roles": [], "texts": []}
                     now |= dict.fromkeys(("blank", "duplicate", "truncated", "illegal", "turns"), 0) | {"first_initial": initial, "first_turn": turn, "last_turn": None}
                     k, size = k + 1, 0
@@ -237,7 +244,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     now["last_turn"] = turn
                 now["last_initial"] = initial
     if now is not None:
-        yield closed()
+        done.append(now)
+        yield told()
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
