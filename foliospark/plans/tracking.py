@@ -15,7 +15,8 @@ from foliospark.operators.rules import band, first_true, fresh_else, segment
 from foliospark.operators.skew import hot_lists, row_numbers, skew_join
 from foliospark.plans import accounts, attributes, grouped, ladders, policy
 from foliospark.plans.params import TrackingParams
-from foliospark.sources.io import run_folder, store, write_replace
+from foliospark.sources.io import run_folder, store
+from foliospark.sources.published import Version, publish
 
 P = TrackingParams()
 
@@ -285,14 +286,19 @@ def build_tracking(table: Callable[[str], DataFrame], params: TrackingParams = P
 
 
 def run_tracking(table: Callable[[str], DataFrame], spark: SparkSession, folder: str, params: TrackingParams = P) -> dict[str, str]:
-    """Writes the tracking table and, from the written table, both reports; returns their paths.
+    """Publishes the tracking table and, from it, both reports, each in partitions by month; returns this run's folder of each.
 
-    What the run stores on its way goes to a folder of its own, which is removed at the end.
+    The tables are ``folder/name`` (``read_published``): readers keep the last version until the new one is whole. What
+    the run stores on its way goes to a folder of its own, which is removed at the end.
     """
-    paths = {name: f"{folder.rstrip('/')}/{name}" for name in ("tracking", "portfolio_grouped", "portfolio_grouped_changes")}
+    base = folder.rstrip("/")
+
+    def written(name: str, version: Version) -> str:
+        part = next(iter(version.parts.values()), None)
+        return f"{base}/{name}" if part is None else f"{base}/{name}/{part.split('/')[0]}"
+
     with run_folder(spark):
-        write_replace(build_tracking(table, params), paths["tracking"], partition_by="FechaFoto")
-    stored = spark.read.parquet(paths["tracking"])
-    write_replace(grouped.portfolio_grouped(stored), paths["portfolio_grouped"])
-    write_replace(grouped.portfolio_grouped_changes(stored), paths["portfolio_grouped_changes"])
+        paths = {"tracking": written("tracking", publish(build_tracking(table, params), f"{base}/tracking", grouped.MONTH))}
+    for name in grouped.REPORTS:
+        paths[name] = written(name, grouped.publish_report(spark, f"{base}/tracking", f"{base}/{name}", name))
     return paths

@@ -34,12 +34,17 @@ def date_range(df: DataFrame, column: str, first: str | None = None, last: str |
     return df
 
 
+def gathered_by(df: DataFrame, column: str) -> DataFrame:
+    """Rows gathered by the value of a partition column; a large value is split by its size in bytes."""
+    return df.hint("rebalance", column)
+
+
 def write_replace(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Replaces a result table. Rows are gathered by partition value, and a large value is split by its size in bytes."""
+    """Replaces a folder that nothing reads meanwhile; tables that others read are published (``sources/published.py``)."""
     if partition_by is None:
         df.write.mode("overwrite").parquet(path)
         return
-    df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
+    gathered_by(df, partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
 
 
 def shared_folder(spark: SparkSession) -> str:

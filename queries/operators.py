@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from foliospark.functions import measures
 from foliospark.functions import scalars as fs
 from foliospark.operators import joins, pivot, rules, sets, skew, windows
 from foliospark.plans import accounts, ladders, policy, tracking
-from foliospark.sources import io
+from foliospark.sources import io, published
 from queries import checking_values
 from queries.oracle_steps import (
     channel_sql, cross_sql, ladder_sql, rollup_sql, waterfall_sql, with_inputs,
@@ -84,6 +85,20 @@ def _(t):
     return io.date_range(t("lineitem"), "l_shipdate", "1996-01-01", "1997-12-31").select(*KEY, "l_quantity")
 
 
+@add("q_replace_from_itself", """SELECT o_orderkey, o_totalprice * 4 AS price, CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders
+  WHERE o_orderstatus <> 'F'""")
+def _(t):
+    """A table by month that is replaced twice by a plan that reads it."""
+    path = f"{io.shared_folder(t.spark)}/foliospark/{t.spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    rows = t("orders").select("o_orderkey", "o_orderstatus", c("o_totalprice").alias("price"), fd.month_start(c("o_orderdate").cast("date")).alias("month"))
+    published.publish(rows, path, "month")
+    for dropped in ("F", "none"):
+        before = published.read_published(t.spark, path)
+        published.publish(before.filter(c("o_orderstatus") != dropped).withColumn("price", c("price") * 2), path, "month")
+    published.clean(t.spark, path, keep=1, grace=0)
+    return published.read_published(t.spark, path).drop("o_orderstatus")
+
+
 @add("q_project_rename", "SELECT o_orderkey AS id, o_custkey AS client, o_totalprice * 2 AS doubled FROM orders")
 def _(t):
     return t("orders").select(c("O_ORDERKEY").alias("id"), c("o_custkey").alias("client"), (c("o_totalprice") * 2).alias("doubled"))

@@ -397,6 +397,10 @@ STEPS["d_tracking"] = f"SELECT *, {rollup_sql()} AS CambiosTotal FROM d_segmente
 _sums = ", ".join(f"sum({c}) AS {c}" for c in SUMS)
 STEPS["q_portfolio_grouped"] = f"SELECT {', '.join(KEYS)}, count(Contrato) AS N, {_sums} FROM d_segmented GROUP BY ALL"
 STEPS["q_portfolio_grouped_changes"] = f"SELECT {', '.join(KEYS)}, CambiosTotal, count(Contrato) AS N, {_sums} FROM d_tracking GROUP BY ALL"
+STEPS["q_portfolio_grouped_refreshed"] = f"""
+SELECT {', '.join(KEYS)}, count(Contrato) AS N, {_sums} FROM (
+  SELECT * REPLACE (2 * Cupo AS Cupo) FROM d_segmented WHERE FechaFoto = DATE '2022-06-01' AND IdCliente % 2 = 0
+  UNION ALL SELECT * FROM d_segmented WHERE FechaFoto <> DATE '2022-06-01') GROUP BY ALL"""
 
 _NODES = {**DUCK_SOURCES, **STEPS}
 _WORD = re.compile(r"\b[a-z_0-9]+\b")

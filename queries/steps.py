@@ -6,11 +6,13 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliospark.functions.dates import month_ends
-from foliospark.plans import accounts, attributes, cohort, tracking
+from foliospark.plans import accounts, attributes, cohort, grouped, tracking
 from foliospark.plans.params import CohortParams
 from foliospark.sources.io import shared_folder
+from foliospark.sources.published import publish_partitions, read_published
 from queries.mapping import Inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,15 +81,31 @@ def _enriched(t: Inputs, panel: DataFrame, stock: DataFrame) -> DataFrame:
     return tracking.enriched(stock, tables, right_hot=right_hot)
 
 
+def _run(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the three published tables of a whole run."""
+    folder = f"{shared_folder(spark)}/foliospark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    tracking.run_tracking(Inputs(spark, sf_dir, MANY), spark, folder)
+    return folder
+
+
 def _report(name: str) -> Query:
-    """A report as the job leaves it: written from the stored tracking table, and read back."""
+    """A report as the job leaves it: published from the published tracking table, and read back."""
+    return lambda spark, sf_dir: read_published(spark, f"{_run(spark, sf_dir)}/{name}")
 
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        folder = f"{shared_folder(spark)}/foliospark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-        paths = tracking.run_tracking(Inputs(spark, sf_dir, MANY), spark, folder)
-        return spark.read.parquet(paths[name])
 
-    return query
+REPLACED_MONTH = "2022-06-01"
+
+
+def _refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A month of the tracking table is replaced by half of its accounts with other limits, and the report refreshed."""
+    folder = _run(spark, sf_dir)
+    path, report = f"{folder}/tracking", f"{folder}/portfolio_grouped"
+    month = read_published(spark, path, only=[REPLACED_MONTH])
+    publish_partitions(month.filter("IdCliente % 2 = 0").withColumn("Cupo", F.col("Cupo") * 2), path, grouped.MONTH)
+    again = grouped.refresh_report(spark, path, report, "portfolio_grouped")
+    if again != [REPLACED_MONTH]:
+        raise AssertionError(f"months aggregated again: {again}")
+    return read_published(spark, report)
 
 
 def _master(t: Inputs) -> DataFrame:
@@ -139,5 +157,6 @@ def steps() -> dict[str, Query]:
         "d_tracking": _over_many(tracking.build_tracking),
         "q_portfolio_grouped": _report("portfolio_grouped"),
         "q_portfolio_grouped_changes": _report("portfolio_grouped_changes"),
+        "q_portfolio_grouped_refreshed": _refreshed,
     }
     return out
