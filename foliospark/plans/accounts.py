@@ -76,10 +76,11 @@ def fraud_contracts(contracts: DataFrame) -> DataFrame:
     return contracts.select(prefixed("00", "contrato_final").alias("Contrato"), F.lit(1).alias("MarcaFraude2"))
 
 
-def panel_rows(old: DataFrame, new: DataFrame, params: TrackingParams = TrackingParams()) -> DataFrame:
+def panel_rows(old: DataFrame, new: DataFrame, params: TrackingParams = TrackingParams(), buckets: int = 0) -> DataFrame:
     """The old and the new snapshot source in one layout, without repeated rows, and those of an account together.
 
-    Dealt by account once, rows need no further shuffle to drop repeats or to look at the row before.
+    Dealt by account once, rows need no further shuffle to drop repeats or to look at the row before, nor to be stored
+    in as many ``buckets``.
     """
     opened, born, limit = params.trial_record
     text_date = lambda c: safe_cast(c, "date")
@@ -97,7 +98,8 @@ def panel_rows(old: DataFrame, new: DataFrame, params: TrackingParams = Tracking
         "fcupo", "coacti", "iddiaaper", "iddianac", "fsaldeud", "fsaldesu", "favaocu", "fsaldo",
         "moraac", "idsitu", "iddiareneg", "iddiamaxultmov", "iddiacast",
     )
-    return union_all(cast_like(before, PANEL), cast_like(after, PANEL)).repartition("Contrato").distinct()
+    dealt = ("Contrato",) if not buckets else (buckets, "Contrato")
+    return union_all(cast_like(before, PANEL), cast_like(after, PANEL)).repartition(*dealt).distinct()
 
 
 def account_panel(rows: DataFrame, params: TrackingParams = TrackingParams()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import measures
@@ -12,14 +12,16 @@ from foliospark.functions.dates import (
 from foliospark.functions.scalars import (
     clean_amount, flag, floor_zero, nationality_from_code, nationality_from_letter, or_zero, strict_least,
 )
-from foliospark.operators.joins import asof_within, enrich, outcome_window, shift_month, translate_id
+from foliospark.operators.history import ahead, amount_at, packed
+from foliospark.operators.joins import asof_within, enrich, shift_month, translate_id
+from foliospark.operators.reduction import KeyFilter
 from foliospark.operators.rules import band, band_by_regime
 from foliospark.operators.sets import union_all
 from foliospark.operators.skew import hot_lists, key_id, skew_join
 from foliospark.operators.windows import first_per, trailing
 from foliospark.plans import ladders
 from foliospark.plans.params import TrackingParams
-from foliospark.sources.io import date_range, store
+from foliospark.sources.io import date_range
 
 P = TrackingParams()
 
@@ -46,15 +48,20 @@ def estimated_income(income: DataFrame, params: TrackingParams = P) -> DataFrame
     return shift_month(rows, "FechaFoto", 2)
 
 
-def bureau_rows(bureau: DataFrame, params: TrackingParams = P) -> DataFrame:
-    return date_range(bureau, "fecha_foto", first=params.bureau_history_from).select(
+def of_interest(df: DataFrame, column: str, keys: KeyFilter | None) -> DataFrame:
+    """The rows whose key an opening can join to, where the keys are known; others may be among them."""
+    return df if keys is None else keys.reduce(df, column)
+
+
+def bureau_rows(bureau: DataFrame, params: TrackingParams = P, clients: KeyFilter | None = None) -> DataFrame:
+    return of_interest(date_range(bureau, "fecha_foto", first=params.bureau_history_from), "id_cliente", clients).select(
         col("fecha_foto").alias("FechaFoto"), col("id_cliente").alias("IdCliente"),
         *[(F.lit(1000.0) * col(c)).alias(m) for m, c in BUREAU.items()],
     )
 
 
-def bureau_windows(bureau: DataFrame, params: TrackingParams = P, hot: DataFrame | None | str = "count") -> DataFrame:
-    """Three-month sums and averages and six-month banked count per client and month, two months on.
+def bureau_windows(bureau: DataFrame, params: TrackingParams = P, hot: DataFrame | None | str = "count", clients: KeyFilter | None = None) -> DataFrame:
+    """Three-month sums and averages and six-month banked count per client and month, two months on; of ``clients`` only, if given.
 
     Repeated rows weigh as often as they occur, both as the row asked about and as history:
     equal rows are first counted, and the window adds amounts times that count. Clients
@@ -62,7 +69,7 @@ def bureau_windows(bureau: DataFrame, params: TrackingParams = P, hot: DataFrame
     instead, so no window grows with them.
     """
     measures = list(BUREAU)
-    rows = bureau_rows(bureau, params)
+    rows = bureau_rows(bureau, params, clients)
     if isinstance(hot, str):
         hot = hot_lists({"client": (rows, ["IdCliente"])}, params.skew)["client"]
     # every distinct row once, with the number of times it occurs
@@ -104,34 +111,30 @@ def bureau_windows(bureau: DataFrame, params: TrackingParams = P, hot: DataFrame
 
 
 def vintage_outcomes(stock: DataFrame, panel: DataFrame, params: TrackingParams = P) -> DataFrame:
-    """Balances, months seen, delinquency and activity 2, 3, 6 and 12 months after opening."""
+    """Balances, months seen, delinquency and activity 2, 3, 6 and 12 months after opening.
+
+    The panel becomes one packed history per account, and each opening reads its account's at four offsets. On stored
+    buckets nothing is shuffled.
+    """
     moved = F.coalesce(col("FechaUltimoMovimiento"), date_lit("1800-01-01")) > date_lit("1800-01-01")
-    cells = (
-        date_range(panel, "FechaFoto", first=params.openings_from)
-        .groupBy("Contrato", "FechaFoto")
-        .agg(
-            F.max(floor_zero("DeudaTotal")).alias("__total"),
-            F.max(floor_zero("DeudaL1")).alias("__l1"),
-            F.max(flag(col("DeudaL2") > 0)).alias("__l2"),
-            *[F.max(flag(col("DiasMora") >= d)).alias(f"__dpd{d}") for d in (30, 60, 90)],
-            F.max(flag(moved | (col("DeudaTotal") >= 10000))).alias("__alive"),
-        )
-    )
+    flags = {"l2": col("DeudaL2") > 0, "alive": moved | (col("DeudaTotal") >= 10000)}
+    flags |= {f"dpd{d}": col("DiasMora") >= d for d in (30, 60, 90)}
+    amounts = {"total": floor_zero("DeudaTotal"), "l1": floor_zero("DeudaL1")}
+    months = params.panel_months
+    histories = packed(date_range(panel, "FechaFoto", first=params.openings_from), "Contrato", "FechaFoto", months, flags, amounts)
+    keys = ["FechaFoto", "IdCliente", "Contrato"]
+    # an account has one history and enters once a month: no key is hot
+    entries = skew_join(stock.select(*keys).distinct(), histories, ["Contrato"]).withColumn("__at", months.place("FechaFoto"))
     delinquency = {2: [30], 3: [30], 6: [30, 60], 12: [30, 60, 90]}
-    horizons = {}
+    out = []
     for h, days in delinquency.items():
-        outputs = {
-            f"DeudaTotalMes{h:02d}": ("__total", "at"),
-            f"DeudaL1Mes{h:02d}": ("__l1", "at"),
-            f"MarcaDeudaSAMes{h:02d}": ("__l2", "max"),
-            f"RiesgoVivoMes{h:02d}": ("__alive", "max"),
-        }
-        outputs |= {f"MarcaMora{d}Mes{h:02d}": (f"__dpd{d}", "max") for d in days}
-        horizons[h] = outputs
-    return outcome_window(
-        stock, cells, ["FechaFoto", "IdCliente", "Contrato"], "Contrato", "FechaFoto",
-        horizons, {h: f"MesesConVintageMes{h:02d}" for h in horizons},
-    )
+        mes = f"Mes{h:02d}"
+        seen = lambda bitmap: ahead(bitmap, "__at", h)  # noqa: E731, B023
+        out += [F.coalesce(amount_at(a, "__at", h), F.lit(0.0)).alias(n + mes) for a, n in (("total", "DeudaTotal"), ("l1", "DeudaL1"))]
+        out.append(F.bit_count(seen("seen")).cast("bigint").alias(f"MesesConVintage{mes}"))
+        out += [flag(seen(b) != 0).alias(n + mes) for b, n in (("l2", "MarcaDeudaSA"), ("alive", "RiesgoVivo"))]
+        out += [flag(seen(f"dpd{d}") != 0).alias(f"MarcaMora{d}{mes}") for d in days]
+    return entries.select(*keys, *out)
 
 
 def preapproval_grade(scores: DataFrame, params: TrackingParams = P) -> DataFrame:
@@ -177,46 +180,52 @@ def appraised(rows: DataFrame, params: TrackingParams) -> DataFrame:
     return date_range(rows, "upload_dt", first=params.wealth_from, before=params.wealth_before)
 
 
-def vehicle_totals(vehicles: DataFrame, master: DataFrame, params: TrackingParams = P) -> DataFrame:
-    """Appraised value of the vehicles up to 15 years old, per client and month."""
-    rows = appraised(vehicles, params).select(
+def vehicle_totals(vehicles: DataFrame, master: DataFrame, params: TrackingParams = P, owners: KeyFilter | None = None) -> DataFrame:
+    """Appraised value of the vehicles up to 15 years old, per client and month; of ``owners`` only, if given."""
+    rows = of_interest(appraised(vehicles, params), "num_rut", owners).select(
         col("num_rut").alias("IdCorporativo"), month_start("upload_dt").alias("FechaFoto"),
         clean_amount("vr_appraised_amt").alias("TasacionTotal"), "vr_type", year_text_to_date("vr_year").alias("__made"),
     ).filter(
         (year_diff("FechaFoto", "__made") <= 15) & col("vr_type").isin(*VEHICLE_TYPES)
     )
     # summed per owner before the ids are translated: fewer rows to join, same totals
-    owners = rows.groupBy("IdCorporativo", "FechaFoto").agg(F.sum("TasacionTotal").alias("TasacionTotal"))
-    owned = translate_id(owners, master, "IdCorporativo", "IdCliente")
+    summed = rows.groupBy("IdCorporativo", "FechaFoto").agg(F.sum("TasacionTotal").alias("TasacionTotal"))
+    owned = translate_id(summed, master, "IdCorporativo", "IdCliente")
     return owned.groupBy("IdCliente", "FechaFoto").agg(F.sum("TasacionTotal").alias("TasacionTotal"))
 
 
-def vehicle_wealth(stock: DataFrame, vehicles: DataFrame, master: DataFrame, params: TrackingParams = P) -> DataFrame:
-    totals = vehicle_totals(vehicles, master, params)
+def vehicle_wealth(stock: DataFrame, vehicles: DataFrame, master: DataFrame, params: TrackingParams = P, owners: KeyFilter | None = None) -> DataFrame:
+    totals = vehicle_totals(vehicles, master, params, owners)
     return asof_within(stock, totals, "IdCliente", "FechaFoto", "TasacionTotal", 12)
 
 
-def property_totals(real_estate: DataFrame, houses: DataFrame, master: DataFrame, params: TrackingParams = P) -> DataFrame:
-    """Property value per client and month: one row per feed that reports the month."""
-    estates = date_range(
-        real_estate, "fecha_foto", first=params.real_estate_from, before=params.wealth_before
+def property_totals(
+    real_estate: DataFrame, houses: DataFrame, master: DataFrame, params: TrackingParams = P,
+    clients: KeyFilter | None = None, owners: KeyFilter | None = None,
+) -> DataFrame:
+    """Property value per client and month: one row per feed that reports the month; of ``clients`` and ``owners`` only, if given."""
+    estates = of_interest(
+        date_range(real_estate, "fecha_foto", first=params.real_estate_from, before=params.wealth_before), "id_cliente", clients
     ).groupBy(col("id_cliente").alias("IdCliente"), month_start("fecha_foto").alias("FechaFoto")).agg(
         F.sum(col("avaluo_total").cast("bigint")).alias("AvaluoTotal")
     )
-    rows = appraised(houses, params).select(
+    rows = of_interest(appraised(houses, params), "nhr_owner_rut_id", owners).select(
         col("nhr_owner_rut_id").alias("IdCorporativo"), month_start("upload_dt").alias("FechaFoto"),
         col("nhr_prop_val_amt").cast("bigint").alias("AvaluoTotal"),
     )
-    owners = rows.groupBy("IdCorporativo", "FechaFoto").agg(
+    summed = rows.groupBy("IdCorporativo", "FechaFoto").agg(
         F.sum("AvaluoTotal").alias("AvaluoTotal")
     )
-    owned = translate_id(owners, master, "IdCorporativo", "IdCliente")
+    owned = translate_id(summed, master, "IdCorporativo", "IdCliente")
     homes = owned.groupBy("IdCliente", "FechaFoto").agg(F.sum("AvaluoTotal").alias("AvaluoTotal"))
     return union_all(estates, homes)
 
 
-def property_wealth(stock: DataFrame, real_estate: DataFrame, houses: DataFrame, master: DataFrame, params: TrackingParams = P) -> DataFrame:
-    totals = property_totals(real_estate, houses, master, params)
+def property_wealth(
+    stock: DataFrame, real_estate: DataFrame, houses: DataFrame, master: DataFrame, params: TrackingParams = P,
+    clients: KeyFilter | None = None, owners: KeyFilter | None = None,
+) -> DataFrame:
+    totals = property_totals(real_estate, houses, master, params, clients, owners)
     return asof_within(stock, totals, "IdCliente", "FechaFoto", "AvaluoTotal", 12)
 
 
@@ -227,9 +236,9 @@ def preapproved_base(base: DataFrame) -> DataFrame:
     )
 
 
-def person_latest(persons: DataFrame, ids: DataFrame, params: TrackingParams = P) -> DataFrame:
-    """Latest registry record of each client."""
-    rows = date_range(persons, "fechacarga", first=params.person_from).select(
+def person_latest(persons: DataFrame, ids: DataFrame, params: TrackingParams = P, registered: KeyFilter | None = None) -> DataFrame:
+    """Latest registry record of each client; of the ``registered`` ids only, if given."""
+    rows = of_interest(date_range(persons, "fechacarga", first=params.person_from), "idcliente", registered).select(
         col("idcliente").alias("IdCorporativo"), col("fechanacimiento").alias("FechaNacimientoBuro"),
         nationality_from_letter("nacionalidad").alias("NacionalidadBuro"),
         col("fechadefuncion").alias("FechaDefuncion"), col("fechacarga").alias("__loaded"),
@@ -272,35 +281,38 @@ def applications(log: DataFrame, params: TrackingParams = P) -> DataFrame:
     )
 
 
-def _newest_application() -> list[Column]:
-    return [col("DRegistro").desc_nulls_last(), col("NumeroSolicitud").desc_nulls_last()]
-
-
-def last_application(stock: DataFrame, log: DataFrame, params: TrackingParams = P, hot: DataFrame | None = None) -> DataFrame:
+def last_application(
+    stock: DataFrame, log: DataFrame, params: TrackingParams = P, hot: DataFrame | None = None, clients: KeyFilter | None = None,
+) -> DataFrame:
     """For each account and month its client's latest application up to that month.
 
-    ``FechaFoto`` and ``IdCliente`` are those of the application (NULL without one). ``hot``: clients
-    and months with very many accounts. The log is read once: the newest of each month is stored.
+    ``FechaFoto`` and ``IdCliente`` are those of the application (NULL without one). ``hot``: clients and months with
+    very many accounts. An application is carried whole, with what orders it first, so that the newest of a month is a
+    maximum and the newest up to a month is the last one seen: one window over cells of client and month, and no join back.
     """
-    # only a client's newest application of a month can be its newest up to any month
-    newest = store(first_per(applications(log, params), ["IdCliente", "FechaFoto"], _newest_application()), "newest_application")
-    applied = newest.select("IdCliente", "FechaFoto", col("FechaFoto").alias("__applied"))
-    # which month to look in is found on narrow rows; what was applied for is joined after
-    latest = asof_within(stock, applied, "IdCliente", "FechaFoto", "__applied", None).filter(col("__applied").isNotNull())
-    newest = newest.withColumnRenamed("FechaFoto", "__applied")
-    found = skew_join(latest, newest, ["IdCliente", "__applied"]).withColumn("__client", col("IdCliente"))
-    asked = stock.select(*CLIENT, "Contrato").distinct()
-    of_account = skew_join(asked, found, CLIENT, hot=hot)
-    one = first_per(of_account, ["Contrato", "FechaFoto"], _newest_application())
-    return one.drop(*CLIENT).withColumnsRenamed({"__applied": "FechaFoto", "__client": "IdCliente"})
-
-
-def retail_spend(stock: DataFrame, spend_s: DataFrame, spend_f: DataFrame, spend_t: DataFrame, params: TrackingParams = P) -> DataFrame:
+    rows = applications(of_interest(log, "idcliente", clients), params)
+    order = ["DRegistro", "NumeroSolicitud"]
+    carried = F.struct(*order, *[c for c in rows.columns if c not in order])
+    known = rows.filter(col("IdCliente").isNotNull() & col("FechaFoto").isNotNull()).select(*CLIENT, carried.alias("__seen"), F.lit(False).alias("__asked"))
+    asked = stock.select(*CLIENT, F.lit(None).cast(known.schema["__seen"].dataType).alias("__seen"), F.lit(True).alias("__asked"))
+    cells = known.union(asked).groupBy(*CLIENT).agg(F.max("__seen").alias("__seen"), F.max("__asked").alias("__asked"))
+    so_far = Window.partitionBy("IdCliente").orderBy("FechaFoto").rowsBetween(Window.unboundedPreceding, 0)
+    found = cells.select(*CLIENT, "__asked", F.last("__seen", ignorenulls=True).over(so_far).alias("__seen"))
+    found = found.filter(col("__asked") & col("__seen").isNotNull()).drop("__asked")
+    of_account = skew_join(stock.select(*CLIENT, "Contrato").distinct(), found, CLIENT, hot=hot)
+    # an account has few clients in a month; the newest application of them counts
+    one = of_account.groupBy("Contrato", "FechaFoto").agg(F.max("__seen").alias("__seen"))
+    return one.select("Contrato", *[col("__seen")[c].alias(c) for c in rows.columns])
+
+
+def retail_spend(
+    stock: DataFrame, spend_s: DataFrame, spend_f: DataFrame, spend_t: DataFrame, params: TrackingParams = P, clients: KeyFilter | None = None,
+) -> DataFrame:
     """Twelve-month spend at the three retailers, as of the month before."""
     base = stock.select("FechaFoto", "IdCliente").distinct()
     tables = []
     for letter, table in (("s", spend_s), ("f", spend_f), ("t", spend_t)):
-        rows = date_range(table, "fecha_foto", first=params.retail_from).select(
+        rows = of_interest(date_range(table, "fecha_foto", first=params.retail_from), "id_cliente", clients).select(
             col("fecha_foto").alias("FechaFoto"), col("id_cliente").alias("IdCliente"),
             col(f"monto_{letter}_12m").alias(f"__{letter}"),
         )

@@ -6,6 +6,8 @@ import datetime as dt
 from dataclasses import dataclass, field
 
 from foliospark.functions.dates import month_ends
+from foliospark.operators.history import Months
+from foliospark.operators.reduction import ReductionPolicy
 from foliospark.operators.skew import SkewPolicy
 
 
@@ -35,6 +37,14 @@ class TrackingParams:
     # the record entered as a trial: opening month, birth date, limit
     trial_record: tuple[str, str, float] = ("2022-09-01", "1990-05-05", 50000.0)
     skew: SkewPolicy = SkewPolicy()
+    reduction: ReductionPolicy = ReductionPolicy()
+    buckets: int | None = None  # of the stored panel, openings and outcomes; None: as many as shuffle partitions, 0: no buckets
+
+    @property
+    def panel_months(self) -> Months:
+        """From the first opening to the last snapshot."""
+        last = max(dt.date.fromisoformat(self.old_last), *self.new_snapshots)
+        return Months(dt.date.fromisoformat(self.openings_from).replace(day=1), last.replace(day=1))
 
     @property
     def wealth_from(self) -> str:

@@ -11,11 +11,12 @@ from foliospark.functions import measures
 from foliospark.functions.dates import col, day_diff, month_diff
 from foliospark.functions.scalars import flag, or_zero, ratio_or
 from foliospark.operators.joins import enrich
+from foliospark.operators.reduction import KeyFilter, key_filter
 from foliospark.operators.rules import band, first_true, fresh_else, segment
 from foliospark.operators.skew import hot_lists, row_numbers, skew_join
 from foliospark.plans import accounts, attributes, grouped, ladders, policy
 from foliospark.plans.params import TrackingParams
-from foliospark.sources.io import run_folder, store
+from foliospark.sources.io import co_located, run_folder, store, store_bucketed
 from foliospark.sources.published import Version, publish
 
 P = TrackingParams()
@@ -124,8 +125,11 @@ def derived(joined: DataFrame) -> DataFrame:
 
 
 CLIENT, CONTRACT = ["IdCliente", "FechaFoto"], ["Contrato", "FechaFoto"]
-# the key that each attribute table is joined on
+# the key that each attribute table is joined on; what holds one row per opening comes first, while the openings still
+# lie by account, as they are stored
 KEYS = {
+    "vintage_outcomes": CONTRACT,
+    "last_application": CONTRACT,
     "estimated_income": CLIENT,
     "bureau_windows": CLIENT,
     "preapproval_grade": CLIENT,
@@ -137,11 +141,10 @@ KEYS = {
     "preapproval_grade_restated": CLIENT,
     "pilot_income": CLIENT,
     "person_latest": ["IdCliente"],
-    "vintage_outcomes": CONTRACT,
-    "last_application": CONTRACT,
     "provision_pd": CONTRACT,
     "fraud_contracts": ["Contrato"],
 }
+OF_OPENINGS = ("vintage_outcomes", "last_application")
 # tables straight from an input, which may repeat a key; the others are grouped to one row per key
 UNGROUPED = (
     "estimated_income", "preapproval_grade", "mini_policy", "preapproved_base", "preapproval_grade_restated",
@@ -155,10 +158,24 @@ def stock_hot_keys(stock: DataFrame, params: TrackingParams = P) -> dict[tuple[s
     return {tuple(CLIENT): found["month"], ("IdCliente",): found["client"]}
 
 
-def right_hot_keys(tables: dict[str, DataFrame], bureau: DataFrame, params: TrackingParams = P) -> dict[str, DataFrame | None]:
+def right_hot_keys(
+    tables: dict[str, DataFrame], bureau: DataFrame, params: TrackingParams = P, clients: KeyFilter | None = None,
+) -> dict[str, DataFrame | None]:
     """Keys that the ungrouped attribute tables repeat very often, and bureau clients with very many rows. Runs one job."""
     asked = {name: (tables[name], KEYS[name]) for name in UNGROUPED}
-    return hot_lists(asked | {"bureau": (attributes.bureau_rows(bureau, params), ["IdCliente"])}, params.skew)
+    return hot_lists(asked | {"bureau": (attributes.bureau_rows(bureau, params, clients), ["IdCliente"])}, params.skew)
+
+
+def key_filters(
+    stock: DataFrame, master: DataFrame, ids: DataFrame, params: TrackingParams = P,
+) -> tuple[KeyFilter, KeyFilter, KeyFilter]:
+    """Filters of the openings' clients, and of their ids as owners (``client_master``) and in the registry (``client_id_map``).
+
+    Runs a job each; the id lists are reduced to the clients first.
+    """
+    clients = key_filter(stock, "IdCliente", params.reduction)
+    external = [key_filter(clients.reduce(t, "IdCliente"), "IdCorporativo", params.reduction) for t in (master, ids)]
+    return clients, external[0], external[1]
 
 
 def enriched(
@@ -179,8 +196,9 @@ def enriched(
         "vintage_outcomes": t["vintage_outcomes"].drop("IdCliente"),
         "last_application": t["last_application"].withColumnRenamed("IdCliente", "__called"),
     }
-    joined = enrich(base, [(shaped[name], on) for name, on in KEYS.items()], hot, [right_hot.get(name) for name in KEYS])
-    rows = derived(joined)
+    for names in (OF_OPENINGS, [name for name in KEYS if name not in OF_OPENINGS]):
+        base = enrich(base, [(shaped[name], KEYS[name]) for name in names], hot, [right_hot.get(name) for name in names])
+    rows = derived(base)
     # no row is dropped: the number only marks repeats of an account in a month
     order = [("FechaSolicitud", "desc"), ("DescripcionBloqueo", "asc")]
     # a contract that the fraud list repeats very often has as many rows to number
@@ -228,16 +246,22 @@ def tracking(rows: DataFrame) -> DataFrame:
 
 
 def build_stock(table: Callable[[str], DataFrame], params: TrackingParams = P) -> tuple[DataFrame, DataFrame]:
-    """The stored panel and the stored openings; ``table`` returns an input by name. Writes both, and counts keys once."""
+    """The stored panel and the stored openings; ``table`` returns an input by name. Writes both, and counts keys once.
+
+    Both are stored in buckets by account, so that what is grouped or joined by account later is not shuffled again.
+    """
     ids = accounts.client_ids(table("client_id_map"))
     fraud = accounts.fraud_clients(
         table("fraud_clients_a"), table("fraud_clients_b"), table("fin_transactions"),
         table("fraud_transactions"), ids,
     )
+    buckets = params.buckets if params.buckets is not None else int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # several steps read the panel and all read the openings: each is computed once
-    panel = store(accounts.account_panel(accounts.panel_rows(table("account_month_old"), table("account_month"), params)), "panel")
+    rows = accounts.account_panel(accounts.panel_rows(table("account_month_old"), table("account_month"), params, buckets))
+    panel = store_bucketed(rows, "panel", "Contrato", buckets, dealt=True) if buckets else store(rows, "panel")
     blocks = accounts.permanent_blocks(table("contract_blocks"), params)
-    stock = store(accounts.openings(panel, fraud, blocks, params), "openings")
+    opened = accounts.openings(panel, fraud, blocks, params)
+    stock = store_bucketed(opened, "openings", "Contrato", buckets) if buckets else store(opened, "openings")
     return panel, stock
 
 
@@ -245,39 +269,44 @@ def build_attributes(
     table: Callable[[str], DataFrame], panel: DataFrame, stock: DataFrame, params: TrackingParams = P,
     hot: dict[tuple[str, ...], DataFrame | None] | None = None,
 ) -> tuple[dict[str, DataFrame], dict[str, DataFrame | None]]:
-    """The attribute tables by name, and the keys that they repeat very often (one counting job)."""
+    """The attribute tables by name, and the keys that they repeat very often (one counting job).
+
+    They hold what the openings can join to: histories are reduced to the openings' clients before anything else.
+    """
     a = attributes
     ids = accounts.client_ids(table("client_id_map"))
     master = a.master_ids(table("client_master"))
+    clients, owners, registered = key_filters(stock, master, ids, params)
+    of_clients = lambda name, column="id_cliente": clients.reduce(table(name), column)
     tables = {
         "renegotiated": accounts.renegotiated(table("card_events"), stock, params),
         "fraud_contracts": accounts.fraud_contracts(table("fraud_contracts")),
-        "estimated_income": a.estimated_income(table("income_logic"), params),
+        "estimated_income": a.estimated_income(of_clients("income_logic"), params),
         "vintage_outcomes": a.vintage_outcomes(stock, panel, params),
-        "preapproval_grade": a.preapproval_grade(table("preapproval_scores"), params),
-        "preapproval_grade_restated": a.preapproval_grade_restated(table("preapproval_scores_restated"), params),
-        "mini_policy": a.mini_policy(table("mini_policy"), params),
-        "vehicle_wealth": a.vehicle_wealth(stock, table("vehicles"), master, params),
-        "property_wealth": a.property_wealth(stock, table("real_estate_month"), table("houses"), master, params),
-        "preapproved_base": a.preapproved_base(table("preapproved_base")),
-        "person_latest": a.person_latest(table("bureau_person"), ids, params),
-        "last_application": a.last_application(stock, table("application_log"), params, (hot or {}).get(tuple(CLIENT))),
+        "preapproval_grade": a.preapproval_grade(of_clients("preapproval_scores"), params),
+        "preapproval_grade_restated": a.preapproval_grade_restated(of_clients("preapproval_scores_restated"), params),
+        "mini_policy": a.mini_policy(of_clients("mini_policy", "idcliente"), params),
+        "vehicle_wealth": a.vehicle_wealth(stock, table("vehicles"), master, params, owners),
+        "property_wealth": a.property_wealth(stock, table("real_estate_month"), table("houses"), master, params, clients, owners),
+        "preapproved_base": a.preapproved_base(of_clients("preapproved_base", "idcliente")),
+        "person_latest": a.person_latest(table("bureau_person"), ids, params, registered),
+        "last_application": a.last_application(stock, table("application_log"), params, (hot or {}).get(tuple(CLIENT)), clients),
         "retail_spend": a.retail_spend(
-            stock, table("retail_spend_s"), table("retail_spend_f"), table("retail_spend_t"), params
+            stock, table("retail_spend_s"), table("retail_spend_f"), table("retail_spend_t"), params, clients
         ),
         "provision_pd": a.provision_pd(table("provision_pd"), params),
-        "pilot_income": a.pilot_income(table("income_pilot"), params),
+        "pilot_income": a.pilot_income(of_clients("income_pilot"), params),
     }
-    right_hot = right_hot_keys(tables, table("bureau_month"), params)
-    tables["bureau_windows"] = a.bureau_windows(table("bureau_month"), params, right_hot["bureau"])
+    right_hot = right_hot_keys(tables, table("bureau_month"), params, clients)
+    tables["bureau_windows"] = a.bureau_windows(table("bureau_month"), params, right_hot["bureau"], clients)
     return tables, right_hot
 
 
 def build_tracking(table: Callable[[str], DataFrame], params: TrackingParams = P) -> DataFrame:
     """The whole job, from the inputs to the tracking table.
 
-    Building it runs jobs: the panel, the openings and the newest applications are written, and keys are counted
-    three times (chosen rows and blocks, openings, attribute inputs).
+    Building it runs jobs: the panel and the openings are written, the clients of the openings and their external ids are
+    listed, and keys are counted three times (chosen rows and blocks, openings, attribute inputs).
     """
     panel, stock = build_stock(table, params)
     hot = stock_hot_keys(stock, params)
@@ -297,7 +326,7 @@ def run_tracking(table: Callable[[str], DataFrame], spark: SparkSession, folder:
         part = next(iter(version.parts.values()), None)
         return f"{base}/{name}" if part is None else f"{base}/{name}/{part.split('/')[0]}"
 
-    with run_folder(spark):
+    with run_folder(spark), co_located(spark):
         paths = {"tracking": written("tracking", publish(build_tracking(table, params), f"{base}/tracking", grouped.MONTH))}
     for name in grouped.REPORTS:
         paths[name] = written(name, grouped.publish_report(spark, f"{base}/tracking", f"{base}/{name}", name))

@@ -54,6 +54,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _run: ContextVar[str] = ContextVar("run", default="")
+#: Catalog names of bucketed tables, by the folder that holds their files.
+_tables: dict[str, list[str]] = {}
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -70,7 +72,18 @@ def run_folder(spark: SparkSession) -> Iterator[str]:
         yield path
     finally:
         _run.reset(token)
-        _delete(spark, path)
+        _forget(spark, path)
+
+
+def _base(spark: SparkSession) -> str:
+    return _run.get() or f"{shared_folder(spark)}/foliospark/{spark.sparkContext.applicationId}"
+
+
+def _forget(spark: SparkSession, base: str) -> None:
+    """Removes what was stored under a folder, and its names."""
+    for name in _tables.pop(base, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    _delete(spark, base)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -81,12 +94,44 @@ def store(df: DataFrame, name: str) -> DataFrame:
     or, outside of one, to a folder named after the application.
     """
     spark = df.sparkSession
-    base = _run.get() or f"{shared_folder(spark)}/foliospark/{spark.sparkContext.applicationId}"
-    path = f"{base}/{uuid.uuid4().hex}/{name}"
+    path = f"{_base(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_bucketed(df: DataFrame, name: str, column: str, buckets: int, dealt: bool = False) -> DataFrame:
+    """``store`` in buckets by a column: tables with the same number of buckets join and group by it without a shuffle.
+
+    Rows are dealt to one task per bucket first, unless ``df`` is ``dealt`` so already; then each bucket is one file. The
+    table has a name of its own in the session's catalog, as Spark keeps the bucketing there, and its files where ``store``
+    puts them; both go when the run ends.
+    """
+    spark = df.sparkSession
+    base = _base(spark)
+    ident = uuid.uuid4().hex
+    table = f"spark_catalog.default.foliospark_{name}_{ident}"
+    rows = df if dealt else df.repartition(buckets, column)
+    rows.write.bucketBy(buckets, column).option("path", f"{base}/{ident}/{name}").format("parquet").saveAsTable(table)
+    _tables.setdefault(base, []).append(table)
+    return spark.table(table)
+
+
+@contextmanager
+def co_located(spark: SparkSession) -> Iterator[None]:
+    """Inside the block, joins on more columns than those that both sides are dealt by need no shuffle either.
+
+    That is Spark's choice against skew, which doesn't matter where the columns dealt by bound a key's rows by themselves.
+    Plans are made when they run, so what is asked for must run inside the block.
+    """
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def remove_stored(spark: SparkSession) -> None:
     """Removes what this application has stored outside of a run folder."""
-    _delete(spark, f"{shared_folder(spark)}/foliospark/{spark.sparkContext.applicationId}")
+    _forget(spark, f"{shared_folder(spark)}/foliospark/{spark.sparkContext.applicationId}")

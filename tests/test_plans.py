@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.operators import joins, skew, windows
+from foliospark.operators.reduction import ReductionPolicy
 from foliospark.operators.skew import SkewPolicy
 from foliospark.plans import accounts, attributes, grouped, tracking
 from foliospark.plans.params import TrackingParams
@@ -124,3 +125,99 @@ def test_a_run_leaves_nothing_behind_and_months_are_split(spark, inputs, tmp_pat
     finally:
         spark.conf.unset(key)
     assert len(list((tmp_path / "months" / "month=1").glob("*.parquet"))) > 3 and len(list((tmp_path / "months" / "month=2").glob("*.parquet"))) == 1
+
+
+def nodes(df):
+    """(depth, text) of the physical nodes, from the top; a node stands above what it reads."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    clean = [line.replace("*", " ") for line in lines if line.strip()]
+    return [(len(line) - len(line.lstrip(" +-:")), line.lstrip(" +-:").split(") ", 1)[-1] if line.lstrip(" +-:").startswith("(") else line.lstrip(" +-:")) for line in clean]
+
+
+def above(found, k):
+    """What stands above node ``k``, the nearest first."""
+    depth, out = found[k][0], []
+    for d, text in reversed(found[:k]):
+        if d < depth:
+            depth = d
+            out.append(text)
+    return out
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_stored_buckets_are_not_shuffled_again(spark, inputs, no_broadcasts):
+    """Outcomes need no exchange at all, and the openings none for what is joined by account and month."""
+    panel, stock = tracking.build_stock(inputs)
+    outcomes = attributes.vintage_outcomes(stock, panel)
+    assert not [t for _, t in nodes(outcomes) if t.startswith("Exchange")]
+    with io.co_located(spark):
+        called = attributes.last_application(stock, inputs("application_log")).withColumnRenamed("IdCliente", "__called")
+        joined = joins.enrich(stock, [(outcomes.drop("IdCliente"), tracking.CONTRACT), (called, tracking.CONTRACT)])
+        found = nodes(joined)
+        tables = [k for k, (_, t) in enumerate(found) if t.startswith("FileScan") and ("_panel_" in t or "_openings_" in t)]
+        # the openings as base, the openings and the panel below the outcomes; others of the openings ask for applications
+        assert len(tables) == 5
+        assert [any(a.startswith("Exchange") for a in above(found, k)) for k in tables] == [False, False, False, True, True]
+        assert bag(joined.select("Contrato", "FechaFoto", "MesesConVintageMes12", "DRegistro")) == bag(
+            stock.join(outcomes.drop("IdCliente"), tracking.CONTRACT, "left").join(called, tracking.CONTRACT, "left").select("Contrato", "FechaFoto", "MesesConVintageMes12", "DRegistro")
+        )
+
+
+def test_the_panel_is_packed_before_it_is_joined(spark, inputs):
+    panel, stock = tracking.build_stock(inputs)
+    found = nodes(attributes.vintage_outcomes(stock, panel))
+    (scan,) = [k for k, (_, t) in enumerate(found) if t.startswith("FileScan") and "_panel_" in t]
+    chain = [a for a in above(found, scan) if "Join" in a or "Aggregate" in a]
+    assert chain[0].startswith("HashAggregate(keys=[Contrato") and sum("Join" in a for a in chain) == 1
+
+
+@pytest.mark.parametrize("params", [TrackingParams(reduction=ReductionPolicy(exact_keys=0)), TrackingParams(buckets=0)])
+def test_whole_job_with_bloom_filters_and_without_buckets(inputs, tracked, params):
+    assert bag(tracking.build_tracking(inputs, params)) == bag(tracked)
+
+
+def shuffled(spark, df):
+    """Rows that the exchanges of a query have written."""
+    df.write.format("noop").mode("overwrite").save()
+    df = df.select("*")
+    df.collect()
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        own = node.metrics().get("shuffleRecordsWritten").get().value() if name == "Exchange" else 0
+        children = node.children()
+        return own + sum(walk(children.apply(k)) for k in range(children.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("policy", [ReductionPolicy(), ReductionPolicy(exact_keys=0)])
+def test_histories_are_reduced_before_they_are_shuffled(spark, policy):
+    t = Inputs(spark, "/root/testdata/sf0.01", MANY)
+    panel, stock = tracking.build_stock(t)
+    stock = io.store(stock.filter("IdCliente % 100 = 1"), "openings")
+    master = attributes.master_ids(t("client_master"))
+    bureau, vehicles = (io.store(t(n), n) for n in ("bureau_month", "vehicles"))
+    clients, owners, _ = tracking.key_filters(stock, master, accounts.client_ids(t("client_id_map")), TrackingParams(reduction=policy))
+    pairs = [
+        (attributes.bureau_windows(bureau, hot=None), attributes.bureau_windows(bureau, hot=None, clients=clients)),
+        (attributes.vehicle_totals(vehicles, master), attributes.vehicle_totals(vehicles, master, owners=owners)),
+    ]
+    for whole, reduced in pairs:
+        found = nodes(reduced)
+        last = max(k for k, (_, x) in enumerate(found) if x.startswith("Exchange hashpartitioning"))
+        assert any(x.startswith("BroadcastHashJoin") for _, x in found[last:])
+        # id lists go through an exchange of their own where they are translated
+        assert shuffled(spark, whole) >= 20 * max(1, shuffled(spark, reduced) - master.count())
+        of = clients.reduce(whole, "IdCliente")
+        assert bag(of) == bag(clients.reduce(reduced, "IdCliente")) and of.count()
