@@ -431,11 +431,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").cast("long").alias("component_id"))
 
 
-def with_sets(docs: DataFrame, names: list[str]) -> DataFrame:
-    """The documents and, under three new names, n, hi and lo of their sets."""
+def with_sets(docs: DataFrame, near: Bitmap, names: list[str]) -> DataFrame:
+    """The documents whose doc_id seems to be in a set and, under three new names, n, hi and lo of their shingles."""
+    place = "bit_of_id_" + uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        inside = (b.filter(pa.array(near.holds(b.column(place)))).drop_columns([place]) for b in batches)
+        for piece in pieces(inside):
             sets = document_sets(piece.column("text"))
             prints = [fingerprint(s) for s in sets]
             numbers = [[len(s) for s in sets], [x for x, _ in prints], [x for _, x in prints]]
@@ -444,7 +446,8 @@ def with_sets(docs: DataFrame, names: list[str]) -> DataFrame:
     schema = docs.schema
     for name in names:
         schema = StructType([*schema.fields, StructField(name, LongType())])
-    return docs.mapInArrow(run, schema)
+    bit = F.when(F.col("doc_id").isNotNull(), bit_of(F.col("doc_id")))
+    return docs.withColumn(place, bit).mapInArrow(run, schema)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -460,10 +463,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     copies = scratch.store(found.filter("doc_id <> component OR hi <> keeper").select("doc_id", *[F.col(x).alias(y) for x, y in zip(("n", "hi", "lo"), names, strict=True)]).distinct())
     repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     near = Bitmap(copies.select("doc_id").unionByName(repeated))
-    text = "text_of_set_" + uuid.uuid4().hex
-    rest = with_sets(near.rows(docs, True), names).join(copies, ["doc_id", *names], "left_anti").withColumn(text, F.when(F.col(names[0]) == 0, F.col("text")))
-    rest = rest.dropDuplicates(["doc_id", *names, text])
-    return near.rows(docs, False).unionByName(rest.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    rest = with_sets(docs, near, names).join(copies.hint("shuffle_hash"), ["doc_id", *names], "left_anti")
+    if repeated.limit(1).count():
+        text = "text_of_set_" + uuid.uuid4().hex
+        rest = rest.withColumn(text, F.when(F.col(names[0]) == 0, F.col("text"))).dropDuplicates(["doc_id", *names, text])
+    # what was shuffled is written in a job of its own; the result then only reads
+    rest = scratch.store(rest.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return near.rows(docs, False).unionByName(rest)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
