@@ -1,11 +1,12 @@
 """Language identification: words first, then progressively shorter character n-grams for words never seen.
 
 Learning counts the words of a bounded, documented sample of whole texts (about ``SAMPLE`` learning rows for each
-language, those with the smallest id hashes) per language, in Spark. The ``WORDS`` most frequent words that were seen
-``LEAST`` times are known; their n-grams of 1 to ``LONGEST`` characters, with marks for word ends, make the n-gram
-tables. A known word scores its smoothed log frequency in each language. Any other word backs off: from each of its
-characters on, the longest n-gram in the tables scores, down to single characters. The prediction is the language with
-the highest sum; its score is the posterior of the mean score per word, with an even prior.
+language, those with the smallest id hashes) per language, in Spark, and from all those words the n-grams of 1 to
+``LONGEST`` characters, with marks for word ends. Of words, and of n-grams of each length, a language knows its own most
+frequent ones: about ``UNITS`` / the number of languages, so that the model has a fixed size and no language is crowded
+out by others. A known word scores its smoothed log frequency in each language. Any other word backs off: from each of
+its characters on, the longest known n-gram scores, down to single characters. The prediction is the language with the
+highest sum; its score is the posterior of the mean score per word, with an even prior.
 
 A null text, or one without a letter, is `und` with score 0; so is every text when there is nothing to learn from. Rows
 of null lang or doc_id are not learnt from. Copies, ties and extra columns change nothing; equal sums go to the lang
@@ -20,26 +21,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.op4_quality import fold
-from foliospark.llm.shared import documents, mixed, pieces, spans
+from foliospark.llm.shared import Scratch, documents, mixed, pieces, spans
 
 SAMPLE = 1_000
-WORDS = 60_000
-LEAST = 3
+UNITS = 60_000
 LONGEST = 5
 WORD = re.compile(r"[^\W\d_]+")
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
-def counted_words(learn: DataFrame, sample: int, words: int) -> list:
-    """(word, lang, times) of the most frequent words of about ``sample`` texts of each language."""
+def counted_words(learn: DataFrame, sample: int) -> DataFrame | None:
+    """(lang, word, times) of about ``sample`` texts of each language; None without a language."""
     share = {r["lang"]: min(1.0, sample / r["count"]) for r in learn.groupBy("lang").count().collect()}  # one row per language
     if not share:
-        return []
+        return None
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     limit = F.create_map(*[F.lit(x) for pair in sorted(share.items()) for x in pair])[F.col("lang")]
 
@@ -52,9 +53,53 @@ def counted_words(learn: DataFrame, sample: int, words: int) -> list:
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(units, pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "times"])
 
     rows = learn.filter(place < limit).select("lang", "text").mapInArrow(run, "lang string, word string, times long")
-    counts = rows.groupBy("word", "lang").agg(F.sum("times").alias("times"))
-    known = counts.groupBy("word").agg(F.sum("times").alias("total"), F.collect_list(F.struct("lang", "times")).alias("each"))
-    return known.filter(F.col("total") >= LEAST).orderBy(F.desc("total"), "word").limit(words).collect()
+    return rows.groupBy("word", "lang").agg(F.sum("times").alias("times"))
+
+
+def counted_units(words: DataFrame) -> DataFrame:
+    """(size, unit, lang, times): hashes of the words (size 0) and of their n-grams, counted as often as the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letter = letters()
+        for piece in pieces(batches, "word"):
+            codes, starts, ends, first = coded(piece.column("word").to_pylist(), letter)
+            row = np.repeat(np.arange(piece.num_rows), np.diff(first))
+            langs = piece.column("lang").dictionary_encode()
+            code, times = langs.indices.to_numpy(), piece.column("times").to_numpy()
+            for size in range(LONGEST + 1):
+                unit, word = units_of(codes, starts, ends, size)
+                key = np.rec.fromarrays([unit, code[row[word]]], names="unit,lang")
+                one, group = np.unique(key, return_inverse=True)
+                sums = np.bincount(group, times[row[word]], len(one)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), size, np.int32)), pa.array(one.unit.view(np.int64)), langs.dictionary.take(pa.array(one.lang)), pa.array(sums)], ["size", "unit", "lang", "times"])
+
+    rows = words.mapInArrow(run, "size int, unit long, lang string, times long")
+    return rows.groupBy("size", "unit", "lang").agg(F.sum("times").alias("times"))
+
+
+def learnt(learn: DataFrame, sample: int = SAMPLE, most: int = UNITS) -> Model:
+    """The model of the units that each language knows: its most frequent ones, ``most`` of each size over all languages
+    (and one of each language at least), with what every language has of them."""
+    words = counted_words(learn, sample)
+    if words is None:
+        return Model([])
+    scratch = Scratch(learn.sparkSession, "op5")
+    units = scratch.store(counted_units(words))
+    langs = sorted(r[0] for r in learn.select("lang").distinct().collect())  # one row per language
+    first = Window.partitionBy("size", "lang").orderBy(F.desc("times"), "unit")
+    known = units.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= max(1, most // len(langs))).select("size", "unit").distinct()
+    rows = units.join(known, ["size", "unit"]).toArrow()  # units times languages at most
+    scratch.drop(units)
+    place = pa.compute.index_in(rows.column("lang").combine_chunks(), pa.array(langs)).to_numpy()
+    size, unit, times = (rows.column(c).to_numpy() for c in ("size", "unit", "times"))
+    tables = []
+    for k in range(LONGEST + 1):
+        own = size == k
+        keys, at = np.unique(unit[own].view(np.uint64), return_inverse=True)
+        counts = np.zeros((len(keys), len(langs)))
+        np.add.at(counts, (at, place[own]), times[own])
+        tables.append((keys, counts))
+    return Model.of(langs, tables)
 
 
 def letters() -> np.ndarray:
@@ -93,36 +138,55 @@ def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+def gram_hashes(codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    total = np.full(len(at), np.uint64(size))
+    for k in range(size):
+        total = total * STEP + codes[at + k]
+    return mixed(total)
+
+
+def units_of(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (size 0) or of their n-grams, marks for both word ends included, and the word of each."""
+    if not size:
+        return word_hashes(codes, starts, ends), np.arange(len(starts))
+    lengths = np.maximum(ends - starts + 2 - size + 1, 0)
+    word = np.repeat(np.arange(len(starts)), lengths)
+    at = np.repeat(starts - 1 - np.concatenate(([0], np.cumsum(lengths)))[:-1].astype(np.int64), lengths) + np.arange(lengths.sum())
+    return gram_hashes(codes, at, size), word
+
+
 class Model:
     """Hashes and log frequencies per language of known words (table 0) and of n-grams (table n)."""
 
     def __init__(self, rows: list):
-        self.letter = letters()
-        self.langs = sorted({x["lang"] for r in rows for x in r["each"]})
-        self.tables = []
-        place = {x: k for k, x in enumerate(self.langs)}
-        counts = np.zeros((len(rows), len(self.langs)))
+        """From words with their counts, whose n-grams are all known."""
+        langs = sorted({x["lang"] for r in rows for x in r["each"]})
+        place = {x: k for k, x in enumerate(langs)}
+        counts = np.zeros((len(rows), len(langs)))
         for k, r in enumerate(rows):
             for x in r["each"]:
                 counts[k, place[x["lang"]]] += x["times"]
-        codes, starts, ends, _ = coded([r["word"] for r in rows], self.letter)
-        self.tables.append(self.table(word_hashes(codes, starts, ends), counts))
-        for size in range(1, LONGEST + 1):
-            lengths = np.maximum(ends - starts + 2 - size + 1, 0)
-            word = np.repeat(np.arange(len(starts)), lengths)
-            at = np.repeat(starts - 1 - np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64), lengths) + np.arange(lengths.sum())
-            self.tables.append(self.table(self.grams(codes, at, size), counts[word]))
-
-    def table(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, group = np.unique(hashes, return_inverse=True)
-        sums = np.column_stack([np.bincount(group, counts[:, k], len(keys)) for k in range(len(self.langs))]) if self.langs else np.zeros((0, 0))
-        return keys, np.log((sums + 0.5) / (sums.sum(0) + 0.5 * (len(keys) + 1)))
+        codes, starts, ends, _ = coded([r["word"] for r in rows], letters())
+        tables = []
+        for size in range(LONGEST + 1):
+            unit, word = units_of(codes, starts, ends, size)
+            keys, group = np.unique(unit, return_inverse=True)
+            tables.append((keys, np.column_stack([np.bincount(group, counts[word, k], len(keys)) for k in range(len(langs))]) if langs else np.zeros((0, 0))))
+        self.take(langs, tables)
+
+    @classmethod
+    def of(cls, langs: list[str], tables: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+        """From sorted unit hashes and their counts by language, for words and each length of n-grams."""
+        out = cls.__new__(cls)
+        out.take(langs, tables)
+        return out
+
+    def take(self, langs: list[str], tables: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.letter, self.langs = letters(), langs
+        self.tables = [(keys, np.log((sums + 0.5) / (sums.sum(0) + 0.5 * (len(keys) + 1)))) for keys, sums in tables]
 
     def grams(self, codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-        total = np.full(len(at), np.uint64(size))
-        for k in range(size):
-            total = total * STEP + codes[at + k]
-        return mixed(total)
+        return gram_hashes(codes, at, size)
 
     def scores(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log scores of each word in each language."""
@@ -150,10 +214,10 @@ class Model:
         return out
 
 
-def language(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> DataFrame:
+def language(docs: DataFrame, sample: int = SAMPLE, most: int = UNITS) -> DataFrame:
     """One row per document: whether it was held out, the predicted language, and its posterior."""
     learn = docs.filter("lang is not null and doc_id is not null and text is not null").filter(fold("doc_id", 4) != 2)
-    model = Model(counted_words(learn.select("lang", "doc_id", "text"), sample, words))
+    model = learnt(learn.select("lang", "doc_id", "text"), sample, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, size=500_000):

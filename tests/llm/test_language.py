@@ -1,5 +1,6 @@
 """Held-out accuracy, the back-off against plain Python, and texts without letters."""
 
+import random
 import zlib
 
 import numpy as np
@@ -63,3 +64,38 @@ def test_odd_texts(documents_of):
 def test_nothing_to_learn_from(documents_of):
     assert language(documents_of([])).count() == 0
     assert {r.lang_pred for r in language(documents_of([(1, "some words", None, "s")])).collect()} == {"und"}
+
+
+def made_language(rng, seed):
+    """Texts of words that hardly ever come twice, of the syllables of one language."""
+    letters = rng.sample("abcdefghijklmnopqrstuvwxyzáéíóúñçöüß", 12)
+    syllables = ["".join(rng.sample(letters, 2)) for _ in range(25)]
+    return lambda: " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(2, 4))) for _ in range(25))
+
+
+def held_out_share(spark, documents_of, texts):
+    rows = [(k, text, lang, "s") for k, (lang, text) in enumerate(texts)]
+    of = {k: lang for k, _, lang, _ in rows}
+    held = [r for r in language(documents_of(rows)).collect() if r.held_out]
+    right = {}
+    for r in held:
+        right.setdefault(of[r.doc_id], []).append(r.lang_pred == of[r.doc_id])
+    return {lang: sum(x) / len(x) for lang, x in right.items()}
+
+
+def test_a_small_language_of_rare_words_is_known(spark, documents_of):
+    rng = random.Random(3)
+    english = lambda: " ".join(rng.choice("the dog of house that is not a big one and they go home to see her now".split()) for _ in range(25))
+    strange = made_language(rng, 1)
+    texts = [("en", english()) for _ in range(300)] + [("qq", strange()) for _ in range(40)]
+    shares = held_out_share(spark, documents_of, texts)
+    assert shares["qq"] == 1 and shares["en"] == 1
+
+
+def test_many_small_languages(spark, documents_of):
+    rng = random.Random(4)
+    langs = {f"l{k:03d}": made_language(rng, k) for k in range(200)}
+    texts = [(lang, make()) for lang, make in langs.items() for _ in range(20)]
+    rng.shuffle(texts)
+    shares = held_out_share(spark, documents_of, texts)
+    assert len(shares) > 190 and sum(shares.values()) / len(shares) > 0.9
