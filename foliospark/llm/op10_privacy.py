@@ -6,7 +6,8 @@ other. The model looks at regions of digits and marks, and at words with an @. C
 score it as each kind; forward sums over all segmentations train the weights, and the best segmentation, found by
 dynamic programming over segments of bounded length, chooses boundaries and kinds together. Learning regions are those
 of a bounded, documented sample of documents (about ``SAMPLE``, those with the smallest id hashes, at most
-``REGIONS`` regions) in which the base rules had nothing to drop; their labels are the base spans. A model span is
+``REGIONS`` regions, of one pattern of digits, marks and kinds at most ``PATTERN``) in which the base rules had nothing
+to drop; their labels are the base spans. A model span is
 added if no base span overlaps it and its share of the probability is at least ``SURE``.
 
 Null and empty texts have no spans. Without learning regions only base spans are found. Rows are independent; copies,
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.shared import byte_table, documents, per_text, pieces, text_bytes
@@ -30,16 +31,19 @@ KINDS = ("email", "ip", "card", "phone")
 MOST = 14
 SAMPLE = 40_000
 REGIONS = 2_000
+PATTERN = 50
 SURE = 0.9
 EPOCHS = 6
 #: Fixed character sets and patterns of the base rules. Digit runs are possessive: what follows can't be a digit.
-LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NUMBERS = re.compile(r"[+(]?[0-9][\x20().+0-9-]*[0-9]")
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|.", re.DOTALL)
+SPACE = re.compile(r"[ \t\n\r\x0b\f]")
+DIGITS, LETTERS = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]+")
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
 Span = tuple[int, int, str]
@@ -63,7 +67,9 @@ def base_spans(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
     found, dropped = [], []
     end, at = 0, text.find("@")
     while at >= 0:
-        start = end + len(text[end:at].rstrip(LOCAL))
+        start = at
+        while start > end and text[start - 1] in LOCAL:  # no @ is among them, so each character is passed once
+            start -= 1
         if start < at and (domain := DOMAIN.match(text, at + 1)):
             found.append((start, domain.end(), "email"))
             end = domain.end()
@@ -90,10 +96,11 @@ def base_spans(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
 def regions(text: str) -> list[tuple[int, int]]:
     """Where the model looks: stretches of at least 7 digits with marks between them, and words with an @."""
     out = [m.span() for m in NUMBERS.finditer(text) if m.end() - m.start() >= 7 and len(digits_of(m[0])) >= 7]
-    at = text.find("@")
+    end, at = 0, text.find("@")
     while at >= 0:
-        start = max(text.rfind(c, 0, at) for c in " \t\n\r\x0b\f") + 1
-        end = min([k for c in " \t\n\r\x0b\f" if (k := text.find(c, at)) >= 0], default=len(text))
+        start = max(end, 1 + max(text.rfind(c, end, at) for c in " \t\n\r\x0b\f"))
+        space = SPACE.search(text, at)
+        end = space.start() if space else len(text)
         out.append((start, end))
         at = text.find("@", end)
     return out
@@ -230,16 +237,16 @@ def fit(examples: list[tuple[str, list[Span]]], epochs: int = EPOCHS, rate: floa
 
 
 def learning_regions(docs: DataFrame, sample: int, most: int) -> list[tuple[str, list[Span]]]:
-    """Regions with ten characters around them and their base spans, from a sample of documents; each pattern of digits
-    and kinds at most 50 times a batch."""
+    """Regions with ten characters around them and their base spans, from a sample of documents; of one pattern (digits and
+    letters made alike) and kinds those ``PATTERN`` that come first by the hash of their document."""
     known = docs.filter("doc_id is not null and text is not null").select(F.xxhash64("doc_id").alias("place"), "text")
     count = known.count()
     limit = min(1.0, sample / max(count, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for piece in pieces(batches):
             out = []
-            for place, text in zip(batch.column("place").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for place, text in zip(piece.column("place").to_pylist(), piece.column("text").to_pylist(), strict=True):
                 found, dropped = base_spans(text)
                 taken: list[Span] = []
                 for s in found:
@@ -248,13 +255,17 @@ def learning_regions(docs: DataFrame, sample: int, most: int) -> list[tuple[str,
                 for start, end in regions(text):
                     if end - start <= 200 and not any(a < end and start < b for a, b in dropped):
                         low, high = max(start - 10, 0), min(end + 10, len(text))
-                        out.append((place, low, text[low:high], [f"{a - low}:{b - low}:{k}" for a, b, k in taken if start <= a and b <= end]))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["place", "low", "part", "labels"])
+                        own = [s for s in taken if start <= s[0] and s[1] <= end]
+                        shape = LETTERS.sub("a", DIGITS.sub("0", text[start:end])) + " " + " ".join(k for _, _, k in own)
+                        out.append((place, low, text[low:high], [f"{a - low}:{b - low}:{k}" for a, b, k in own], shape))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["place", "low", "part", "labels", "shape"])
 
     share = F.pmod("place", F.lit(1 << 40)) / float(1 << 40)
-    rows = known.filter(share < limit).mapInArrow(run, "place long, low long, part string, labels array<string>").distinct()
+    rows = known.filter(share < limit).mapInArrow(run, "place long, low long, part string, labels array<string>, shape string").distinct()
+    alike = Window.partitionBy("shape").orderBy("place", "low", "part")
+    rows = rows.withColumn("nth", F.row_number().over(alike)).filter(F.col("nth") <= PATTERN)
     rows = rows.orderBy("place", "low", "part").limit(most).collect()
     return [(r["part"], [(int(a), int(b), k) for a, b, k in (x.split(":") for x in r["labels"])]) for r in rows]
 
