@@ -86,7 +86,8 @@ def log_ratio(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> np.
             data, bounds = text_bytes(piece.column("text"))
             bucket, inside = grams(data, bounds)
             raw += np.bincount(bucket[inside], minlength=BUCKETS)
-            chosen = np.isin(piece.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False), ids)
+            doc_id = piece.column("doc_id")
+            chosen = np.isin(doc_id.fill_null(0).to_numpy(zero_copy_only=False), ids) & doc_id.is_valid().to_numpy(zero_copy_only=False)
             inside &= np.repeat(chosen, np.diff(bounds))[: len(inside)]
             target += np.bincount(bucket[inside], minlength=BUCKETS)
         full = np.flatnonzero(raw)
