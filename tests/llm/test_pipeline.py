@@ -49,7 +49,7 @@ def test_stages_take_odd_rows(spark, documents_of, tmp_path, name, stage):
 
 @pytest.mark.parametrize("name", [n for n in entry.queries() if n.startswith("op")])
 def test_queries_return_a_row_for_each_document(spark, name):
-    if name != "op6_preference":
+    if name not in ("op6_preference", "op11_repair"):  # these are of conversations
         assert entry.queries()[name](spark, SF).count() == 200
 
 
