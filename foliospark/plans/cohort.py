@@ -1,4 +1,9 @@
-"""Limit-increase cohort study: what accounts did after their client's first limit increase."""
+"""Limit-increase cohort study: what accounts did after their client's first limit increase.
+
+``limit_changes``, ``first_increase`` and ``increase_follow_up`` are its steps one by one. The study itself gathers each
+account's months once into an ordered history, finds the increases in it, and reads the follow-up from the history of
+the increase that counts: the snapshots are scanned and dealt by account once, and nothing is joined back to them.
+"""
 
 from __future__ import annotations
 
@@ -70,7 +75,11 @@ def increase_follow_up(
         F.col("contrato").alias("Contrato"), "FechaFoto",
         F.col("fcupo").alias("__limit"), F.col("fsaldeud").alias("__debt"), F.col("moraac").alias("__dpd"),
     )
-    joined = follow_up(base, months, "Contrato", "FechaAumento", "FechaFoto", FIRST_OFFSET)
+    return followed_values(follow_up(base, months, "Contrato", "FechaAumento", "FechaFoto", FIRST_OFFSET))
+
+
+def followed_values(joined: DataFrame) -> DataFrame:
+    """The follow-up's columns from increases and the rows of their accounts."""
     joined = joined.withColumn("__k", month_diff("FechaFoto", "FechaAumento"))
     debt = gated_by_offset(F.col("__k"), F.col("__debt"), FIRST_OFFSET, LAST_OFFSET)
     rise = F.col("FCupoActual") - F.col("FCupoAnterior")
@@ -87,6 +96,40 @@ def increase_follow_up(
     )
 
 
+def account_histories(panel: DataFrame) -> DataFrame:
+    """One row per account: its rows in order, as ``previous_row`` orders them. It has no more than there are months."""
+    rows = panel.select(
+        F.col("contrato").alias("Contrato"), "FechaFoto", F.xxhash64("FechaFoto", "contrato", "idcliente", "fcupo").alias("tie"),
+        F.col("idcliente").alias("IdCliente"), F.col("fcupo").alias("limit"), F.col("fsaldeud").alias("debt"), F.col("moraac").alias("dpd"),
+    )
+    # account by account without a word to the others: a NULL account is one for the order of its rows, but no account
+    return rows.groupBy("Contrato").agg(F.sort_array(F.collect_list(F.struct("FechaFoto", "tie", "IdCliente", "limit", "debt", "dpd"))).alias("rows"))
+
+
+def increases_with_history(histories: DataFrame) -> DataFrame:
+    """Each client's earliest increase (see ``first_increase``) with the rows of its account from the month before on."""
+    higher = F.expr(
+        "filter(transform(sequence(1, greatest(size(rows) - 1, 1)), i -> struct(rows[i].FechaFoto AS FechaFoto, rows[i].IdCliente AS IdCliente, "
+        "rows[i].limit AS FCupoActual, rows[i - 1].limit AS FCupoAnterior)), x -> x.FCupoActual > x.FCupoAnterior)"
+    )
+    found = histories.filter(F.size("rows") > 1).withColumn("found", higher).filter(F.size("found") > 0)
+    # of an account only the first increase of each client can count
+    first = F.expr("filter(found, (x, i) -> NOT exists(slice(found, 1, i), y -> y.IdCliente <=> x.IdCliente AND y.FechaFoto < x.FechaFoto))")
+    one = found.select("Contrato", "rows", F.explode(first).alias("x"))
+    known = F.when(F.col("Contrato").isNotNull(), F.expr(f"filter(rows, r -> 12 * (year(r.FechaFoto) - year(x.FechaFoto)) + month(r.FechaFoto) - month(x.FechaFoto) >= {FIRST_OFFSET})"))
+    carried = F.struct("x.FechaFoto", "Contrato", "x.FCupoActual", "x.FCupoAnterior", known.alias("rows"))
+    return one.groupBy("x.IdCliente").agg(F.min(carried).alias("c")).select("IdCliente", "c.*")
+
+
+def followed(increases: DataFrame, campaign: DataFrame) -> DataFrame:
+    """``increase_follow_up`` from increases that carry their account's rows."""
+    base = skew_join(increases.withColumnRenamed("FechaFoto", "FechaAumento"), campaign, ["IdCliente"])
+    rows = base.select("*", F.explode_outer("rows").alias("r")).select(
+        *[c for c in base.columns if c != "rows"], F.col("r.FechaFoto").alias("FechaFoto"), F.col("r.limit").alias("__limit"), F.col("r.debt").alias("__debt"), F.col("r.dpd").alias("__dpd")
+    )
+    return followed_values(rows)
+
+
 def increase_pivot(follow: DataFrame) -> DataFrame:
     return pivot_wide(
         follow, ["FechaAumento", "Aumento_Campania"], "Mes", MONTH_LABELS, "IdCliente", "N", SUMMED
@@ -115,8 +158,6 @@ def limit_cohort_report(wide: DataFrame, params: CohortParams = CohortParams())
 
 def limit_cohort(account_month: DataFrame, stage1: DataFrame, stage2: DataFrame, params: CohortParams = CohortParams()) -> DataFrame:
     """The whole study, from the account snapshots and the two campaign lists to the report."""
-    panel = month_panel(account_month, params)
     # an account has one snapshot a month and a client one first increase: no key is hot
-    increases = first_increase(limit_changes(panel, params))
-    follow = increase_follow_up(increases, campaign_clients(stage1, stage2), panel, params)
-    return limit_cohort_report(increase_pivot(follow), params)
+    increases = increases_with_history(account_histories(month_panel(account_month, params)))
+    return limit_cohort_report(increase_pivot(followed(increases, campaign_clients(stage1, stage2))), params)

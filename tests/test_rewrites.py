@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import joins
 from foliospark.operators.skew import SkewPolicy
-from foliospark.plans import accounts, attributes, tracking
+from foliospark.plans import accounts, attributes, cohort, tracking
 from foliospark.plans.params import TrackingParams
 from queries import literal
 from queries.mapping import Inputs
-from queries.steps import MANY
+from queries.steps import COHORT, MANY
 from tests.conftest import bag, frame
 
 TIGHT = TrackingParams(skew=SkewPolicy(piece_rows=3))
@@ -103,3 +103,29 @@ def test_last_application_and_as_of_equal_their_direct_forms(spark):
     ours = attributes.vehicle_wealth(stock, t("vehicles"), master)
     assert bag(ours) == bag(literal.asof_within(stock, attributes.vehicle_totals(t("vehicles"), master), "TasacionTotal", 12))
     assert ours.filter("TasacionTotal > 0").count()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_follow_up_from_histories(spark, seed):
+    """Ordered histories give the rows of the steps one by one, several rows of a month and NULLs included."""
+    r = random.Random(seed)
+    schema = "fechacarga date, FechaFoto date, contrato string, idcliente bigint, fcupo double, fsaldeud double, moraac bigint"
+    rows = [
+        (None, month(r.randrange(14)), r.choice(["a", "b", "c", "d", "e", None]), r.choice([1, 2, 3, 4, None]), r.choice([None, 0.0, 1.0, 2.0, 3.0]), r.choice([None, 5.0, 9.0]), r.choice([None, 0, 30, 31]))
+        for _ in range(60)
+    ]
+    panel = frame(spark, schema, rows)
+    campaign = frame(spark, "IdCliente bigint, Aumento_Campania int", [(1, 1), (3, 1)])
+    steps = cohort.increase_follow_up(cohort.first_increase(cohort.limit_changes(panel)), campaign, panel)
+    assert bag(cohort.followed(cohort.increases_with_history(cohort.account_histories(panel)), campaign)) == bag(steps) and steps.count()
+
+
+def test_the_study_reads_the_snapshots_once(spark, tmp_path):
+    t = Inputs(spark, "/root/testdata/sf0.001")
+    for name in ("cohort_month", "limit_campaign_stage1", "limit_campaign_stage2"):
+        t(name).write.parquet(str(tmp_path / name))
+    table = lambda name: spark.read.parquet(str(tmp_path / name))
+    study = cohort.limit_cohort(table("cohort_month"), table("limit_campaign_stage1"), table("limit_campaign_stage2"), COHORT)
+    text = study._jdf.queryExecution().executedPlan().toString()
+    assert sum("fcupo" in line for line in text.splitlines() if "FileScan" in line) == 1
+    assert text.lower().count("exchange hashpartitioning(contrato") == 1 and study.count()
