@@ -55,6 +55,9 @@ def main() -> None:
             "limit_cohort_report": lambda: cohort.limit_cohort(
                 table("cohort_month"), table("limit_campaign_stage1"), table("limit_campaign_stage2"), COHORT
             ),
+            "direct_limit_cohort_report": lambda: literal.limit_cohort(
+                table("cohort_month"), table("limit_campaign_stage1"), table("limit_campaign_stage2"), COHORT
+            ),
             "account_panel_and_openings": lambda: tracking.build_stock(table)[1],
             "vintage_outcomes": lambda: attributes.vintage_outcomes(stock, panel),
             "direct_vintage_outcomes": lambda: literal.vintage_outcomes(stock, panel),

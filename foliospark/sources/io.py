@@ -116,6 +116,16 @@ def store_bucketed(df: DataFrame, name: str, column: str, buckets: int, dealt: b
     return spark.table(table)
 
 
+def store_partitioned(df: DataFrame, name: str, column: str) -> str:
+    """``store`` in partitions by a column, as a catalog table that goes when the run ends; its name of three parts."""
+    base = _base(df.sparkSession)
+    ident = uuid.uuid4().hex
+    table = f"spark_catalog.default.foliospark_{name}_{ident}"
+    gathered_by(df, column).write.partitionBy(column).option("path", f"{base}/{ident}/{name}").format("parquet").saveAsTable(table)
+    _tables.setdefault(base, []).append(table)
+    return table
+
+
 @contextmanager
 def co_located(spark: SparkSession) -> Iterator[None]:
     """Inside the block, joins on more columns than those that both sides are dealt by need no shuffle either.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.dates import add_months, date_lit
 from foliospark.functions.scalars import flag, floor_zero
+from foliospark.plans import cohort
 from foliospark.plans.attributes import applications
 
 col = F.col
@@ -40,6 +41,14 @@ def vintage_outcomes(stock: DataFrame, panel: DataFrame) -> DataFrame:
     return out.groupBy("FechaFoto", "IdCliente", "Contrato").agg(*aggregates)
 
 
+def limit_cohort(account_month: DataFrame, stage1: DataFrame, stage2: DataFrame, params: cohort.CohortParams) -> DataFrame:
+    """The study step by step: the increases are joined back to the snapshots of their accounts."""
+    panel = cohort.month_panel(account_month, params)
+    increases = cohort.first_increase(cohort.limit_changes(panel, params))
+    follow = cohort.increase_follow_up(increases, cohort.campaign_clients(stage1, stage2), panel, params)
+    return cohort.limit_cohort_report(cohort.increase_pivot(follow), params)
+
+
 def bureau_windows(bureau: DataFrame) -> DataFrame:
     """Two range self-joins, each followed by an aggregation over all base columns."""
     names = {"LineaDisponible": "linea_disp", "DeudaConsumo": "dconsumo", "DeudaComercial": "dcomercial", "DeudaHipotecario": "dhipotecar"}

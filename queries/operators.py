@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from foliospark.functions import dates as fd
 from foliospark.functions import measures
 from foliospark.functions import scalars as fs
-from foliospark.operators import joins, pivot, rules, sets, skew, windows
+from foliospark.operators import history, joins, pivot, reduction, rules, sets, skew, windows
+from foliospark.operators.history import Months
 from foliospark.plans import accounts, ladders, policy, tracking
-from foliospark.sources import io, published
+from foliospark.sources import catalog, io, published
 from queries import checking_values
 from queries.oracle_steps import (
     channel_sql, cross_sql, ladder_sql, rollup_sql, waterfall_sql, with_inputs,
@@ -99,6 +101,17 @@ def _(t):
     return published.read_published(t.spark, path).drop("o_orderstatus")
 
 
+@add("q_catalog_snapshots", """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderpriority, count(*) AS n, sum(CAST(floor(o_totalprice) AS DOUBLE)) AS price
+  FROM orders WHERE CAST(date_trunc('month', o_orderdate) AS DATE) IN (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) FROM lineitem WHERE l_linenumber = 7 AND l_quantity >= 49) GROUP BY ALL""")
+def _(t):
+    """A catalog table by month, of which only the months in a joined list are read."""
+    rows = t("orders").select("o_orderpriority", F.floor("o_totalprice").cast("double").alias("price"), fd.month_start(c("o_orderdate").cast("date")).alias("month"))
+    name = io.store_partitioned(rows, "orders_by_month", "month")
+    dates = t("lineitem").filter((c("l_linenumber") == 7) & (c("l_quantity") >= 49)).select(fd.month_start(c("l_shipdate").cast("date")).alias("d"))
+    kept = catalog.snapshots_listed(catalog.read_table(t.spark, name), "month", dates, "d")
+    return kept.groupBy("month", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("price"))
+
+
 @add("q_project_rename", "SELECT o_orderkey AS id, o_custkey AS client, o_totalprice * 2 AS doubled FROM orders")
 def _(t):
     return t("orders").select(c("O_ORDERKEY").alias("id"), c("o_custkey").alias("client"), (c("o_totalprice") * 2).alias("doubled"))
@@ -244,6 +257,44 @@ def _trailing(t: Inputs, months: int) -> DataFrame:
 add("q_trailing_3m", _trailing_sql(3))(lambda t: _trailing(t, 3))
 add("q_trailing_6m", _trailing_sql(6))(lambda t: _trailing(t, 6))
 
+HISTORY = Months(dt.date(1992, 1, 1), dt.date(2002, 12, 1))
+
+
+@add("q_history_horizons", f"""SELECT a.k, a.m, count(DISTINCT b.m) FILTER (b.m <= CAST(a.m + INTERVAL 3 MONTH AS DATE)) AS seen_3, count(DISTINCT b.m) AS seen_40,
+  coalesce(max(CASE WHEN b.v >= 200000 AND b.m <= CAST(a.m + INTERVAL 12 MONTH AS DATE) THEN 1 END), 0) AS high_12,
+  max(b.v) FILTER (b.m = CAST(a.m + INTERVAL 6 MONTH AS DATE)) AS price_6
+  FROM {cells_sql()} a JOIN {cells_sql()} b ON b.k = a.k AND b.m BETWEEN a.m AND CAST(a.m + INTERVAL 40 MONTH AS DATE) GROUP BY a.k, a.m""")
+def _(t):
+    """Months ahead of every month of a customer, from one packed history of each."""
+    rows = cells(t)
+    histories = history.packed(rows, "k", "m", HISTORY, {"high": c("v") >= 200000}, {"price": c("v")})
+    asked = rows.select("k", "m").join(histories, "k").withColumn("at", HISTORY.place("m"))
+    count = lambda h: F.bit_count(history.ahead("seen", "at", h)).cast("bigint").alias(f"seen_{h}")
+    return asked.select("k", "m", count(3), count(40), fs.flag(history.ahead("high", "at", 12) != 0).alias("high_12"), history.amount_at("price", "at", 6).alias("price_6"))
+
+
+REDUCED_SQL = """SELECT o_custkey, count(*) AS n, max(o_totalprice) AS price FROM orders
+  WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY o_custkey"""
+
+
+def reduced(t: Inputs, policy: reduction.ReductionPolicy) -> DataFrame:
+    """Sums of the orders of few customers; others are held back before the grouping's shuffle, what slips through is joined away after."""
+    few = t("customer").filter(c("c_acctbal") < 0).select(c("c_custkey").alias("o_custkey"))
+    orders = reduction.key_filter(few, "o_custkey", policy).reduce(t("orders").select("o_custkey", "o_totalprice"), "o_custkey")
+    sums = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("price"))
+    return sums.join(few, "o_custkey")
+
+
+@add("q_reduce_by_keys", REDUCED_SQL)
+def _(t):
+    return reduced(t, reduction.ReductionPolicy())
+
+
+@add("q_reduce_by_bloom_filter", REDUCED_SQL)
+def _(t):
+    return reduced(t, reduction.ReductionPolicy(exact_keys=0))
+
+
 
 def _asof_sql(limit: str) -> str:
     return f"""SELECT k, m, v FROM (SELECT a.k, a.m, b.v, row_number() OVER (PARTITION BY a.k, a.m ORDER BY b.m DESC NULLS LAST) AS r
