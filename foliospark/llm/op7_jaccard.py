@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -327,13 +327,34 @@ def block_pairs(rows: DataFrame, most: int) -> DataFrame:
     return dealt.mapInArrow(run, "q long, x long, label long, bound double")
 
 
-def crowd_rows(crowds: DataFrame, points: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of ``block_pairs`` for crowds (cell, sid, n, label, main): the blocks, and the sets that ask in them."""
-    band = lambda n: F.ceil(4 * F.log2(n)).cast("long")
+def dealt_sets(crowds: DataFrame) -> DataFrame:
+    """The crowds with the band of size and the block that each set lies in.
+
+    A set goes with the most crowded of its cells, so that sets that meet in many cells meet in one block, or in few. Of a cell
+    whose sets of one band weigh more than a block, the sets are spread by hash over as many blocks as they fill; lighter
+    ones share blocks.
+    """
+    sets = crowds.groupBy("sid", "n").agg(F.count("*").alias("cells"), F.max(F.struct("k", "cell"))["cell"].alias("home"))
     weight = F.least(2 * F.col("n"), F.lit(1 << 16)) + 8 * F.col("cells")
-    bands = crowds.groupBy("sid", "n").agg(F.count("*").alias("cells")).groupBy(band("n").alias("band")).agg(F.sum(weight)).collect()  # a few for each doubling of the size
-    blocks = F.create_map(*[F.lit(x).cast("long") for key, total in bands for x in (key, total // BLOCK + 1)])
-    dealt = crowds.withColumn("band", band("n")).withColumn("block", F.col("band") * (1 << 40) + F.pmod(F.xxhash64("sid"), blocks[F.col("band")]))
+    sets = sets.select("sid", band("n").alias("band"), "home", weight.alias("weight"))
+    homes = sets.groupBy("band", "home").agg(F.sum("weight").alias("total"))
+    light = homes.filter(F.col("total") < BLOCK).groupBy("band").agg(F.sum("total")).collect()  # a few for each doubling of the size
+    shared = F.create_map(*[F.lit(x).cast("long") for key, total in [*light, (-1, 0)] for x in (key, total // BLOCK + 1)])[F.col("band")]
+    parts = homes.filter(F.col("total") >= BLOCK).select("band", "home", F.ceil(F.col("total") / BLOCK).alias("parts"))
+    sets = sets.join(parts, ["band", "home"], "left")
+    own = F.pmod(F.xxhash64("home", F.pmod(F.xxhash64("sid"), "parts")), F.lit(1 << 39))
+    place = F.when(F.col("parts").isNotNull(), own).otherwise((1 << 39) + F.pmod(F.xxhash64("home"), shared))
+    return crowds.join(sets.select("sid", "band", (F.col("band") * (1 << 40) + place).alias("block")), "sid")
+
+
+def band(n: Column) -> Column:
+    """A quarter of a doubling of a set's size."""
+    return F.ceil(4 * F.log2(n)).cast("long")
+
+
+def crowd_rows(crowds: DataFrame, points: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``block_pairs`` for crowds (cell, sid, n, label, main, k): the blocks, and the sets that ask in them."""
+    dealt = scratch.store(dealt_sets(crowds))
     there = dealt.groupBy("cell", "block", "band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     near = F.col("band").between(band(F.col("n") * 0.79), band(F.col("n") * 1.26))
     apart = (F.col("low") < F.col("label")) | (F.col("label") < F.col("high"))
@@ -407,7 +428,7 @@ def set_components(docs: DataFrame) -> DataFrame:
         labelled = scratch.store(members.join(known, "sid"))
         counts = labelled.groupBy("cell", "label").agg(F.count("*").alias("k"))
         split = counts.groupBy("cell").agg(F.sum("k").alias("k"), F.count("*").alias("labels"), F.max(F.struct("k", "label"))["label"].alias("main"))
-        crowds = scratch.store(labelled.join(split.filter((F.col("k") > CROWD) & (F.col("labels") > 1)).select("cell", "main"), "cell"))
+        crowds = scratch.store(labelled.join(split.filter((F.col("k") > CROWD) & (F.col("labels") > 1)).select("cell", "main", "k"), "cell"))
         if not crowds.limit(1).count():
             break
         more, cut = crowd_pairs(crowds, points, most, scratch)
