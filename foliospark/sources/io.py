@@ -48,9 +48,26 @@ def write_replace(df: DataFrame, path: str, partition_by: str | None = None) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or one beside the tables of the warehouse."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, or one beside the tables of the warehouse.
+
+    On a cluster a warehouse on the driver's own disk is no such folder, and an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not on_one_machine(spark.sparkContext.master) and _scheme(spark, warehouse) == "file":
+        raise ValueError(f"spark.checkpoint.dir is not set, and {warehouse} is a folder of one machine")
+    return warehouse + "/_work"
+
+
+def on_one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def _scheme(spark: SparkSession, path: str) -> str:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme()
 
 
 _run: ContextVar[str] = ContextVar("run", default="")
@@ -75,7 +92,8 @@ def run_folder(spark: SparkSession) -> Iterator[str]:
         _forget(spark, path)
 
 
-def _base(spark: SparkSession) -> str:
+def stored_folder(spark: SparkSession) -> str:
+    """Where intermediates go: the folder of the run, or, outside of one, a folder named after the application."""
     return _run.get() or f"{shared_folder(spark)}/foliospark/{spark.sparkContext.applicationId}"
 
 
@@ -94,7 +112,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     or, outside of one, to a folder named after the application.
     """
     spark = df.sparkSession
-    path = f"{_base(spark)}/{uuid.uuid4().hex}/{name}"
+    path = f"{stored_folder(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -107,7 +125,7 @@ def store_bucketed(df: DataFrame, name: str, column: str, buckets: int, dealt: b
     puts them; both go when the run ends.
     """
     spark = df.sparkSession
-    base = _base(spark)
+    base = stored_folder(spark)
     ident = uuid.uuid4().hex
     table = f"spark_catalog.default.foliospark_{name}_{ident}"
     rows = df if dealt else df.repartition(buckets, column)
@@ -118,7 +136,7 @@ def store_bucketed(df: DataFrame, name: str, column: str, buckets: int, dealt: b
 
 def store_partitioned(df: DataFrame, name: str, column: str) -> str:
     """``store`` in partitions by a column, as a catalog table that goes when the run ends; its name of three parts."""
-    base = _base(df.sparkSession)
+    base = stored_folder(df.sparkSession)
     ident = uuid.uuid4().hex
     table = f"spark_catalog.default.foliospark_{name}_{ident}"
     gathered_by(df, column).write.partitionBy(column).option("path", f"{base}/{ident}/{name}").format("parquet").saveAsTable(table)

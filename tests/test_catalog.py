@@ -105,3 +105,25 @@ def test_names_go_with_the_run(spark):
         io.store_partitioned(spark.range(10).withColumn("k", F.lit(1)), "others", "id")
         assert len(set(t.name for t in spark.catalog.listTables("default")) - before) == 2
     assert set(t.name for t in spark.catalog.listTables("default")) == before
+
+
+def test_a_folder_of_one_machine_is_refused_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        _jsc = spark.sparkContext._jsc
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Conf:
+        values = {"spark.sql.warehouse.dir": "file:/tmp/warehouse"}
+        get = classmethod(lambda cls, key, default=None: cls.values.get(key, default))
+
+    class Session:
+        conf, sparkContext, _jvm = Conf, Context, spark._jvm
+
+    with pytest.raises(ValueError, match="one machine"):
+        io.shared_folder(Session)
+    Context.master = "local[4]"
+    assert io.shared_folder(Session) == "file:/tmp/warehouse/_work"
+    Context.master, Conf.values = "yarn", Conf.values | {"spark.checkpoint.dir": "hdfs://a/b/"}
+    assert io.shared_folder(Session) == "hdfs://a/b"
+    assert [io.on_one_machine(m) for m in ("local", "local[*]", "local-cluster[2,1,1024]", "yarn")] == [True, True, False, False]
