@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.shared import Scratch, documents, pieces, text_bytes
-from foliospark.sources.io import shared_folder
+from foliospark.sources.io import stored_folder
 
 WORDS, LONGEST = 262_144, 32
 #: Words of up to so many bytes are merged together, longer ones one by one.
@@ -379,7 +379,7 @@ def frequent_words(docs: DataFrame, tokenizer: str, most: int = WORDS) -> list[b
 def built(spark: SparkSession, words: Sequence[bytes], vocabulary: Vocabulary) -> str:
     """Compile a lexicon, write it to the shared folder, have Spark hand it to the executors; its name there."""
     name = f"lexicon-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/llm/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{stored_folder(spark)}/llm/{name}")
     system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = system.create(path)
     out.write(bytearray(packed(compiled(words, vocabulary.merged(words)))))

@@ -8,13 +8,16 @@ one) the left chunk is encoded again with its overlap doubled, up to the whole r
 
 The same holds within other texts: byte-level pre-tokens never go from a character that is no white space to white
 space, nor from a letter to a mark. The stretches between such places count separately, and each worker remembers the
-counts of up to ``MEMORY`` stretches that the library gave. Texts that hold a special string are encoded whole.
+counts of up to ``MEMORY`` stretches that the library gave. Texts that hold a special string are encoded whole. Both
+hold for a tokenizer without normalizer and with the byte-level pre-tokenizer and its pattern only, which is read from
+the file; any other one encodes whole texts.
 
 Null and empty texts have 0 bytes and 0 tokens. Rows are independent, so copies, ties and extra columns change nothing.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -32,6 +35,12 @@ STRETCH = re.compile(r"[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[ \n!-&(-/:-@\[-`{-~])|[^\
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
+def scans_bytes(told: dict) -> bool:
+    """Whether a tokenizer cuts texts from left to right by the byte-level pattern, and changes nothing before that."""
+    cutter = told["pre_tokenizer"] or {}
+    return told["normalizer"] is None and cutter.get("type") == "ByteLevel" and cutter["use_regex"] and not cutter["add_prefix_space"]
+
+
 def boundaries(encoding, start: int) -> tuple[np.ndarray, np.ndarray]:
     """Where the pre-tokens of an encoded chunk begin in the whole text, and how many tokens come before each."""
     words, offsets = encoding.word_ids, encoding.offsets
@@ -70,8 +79,8 @@ def spliced_count(tokenizer, text: str, chunk: int, overlap: int) -> int:
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, huge: int = 65_536, chunk: int = 32_768, overlap: int = 1_024) -> DataFrame:
     """One row per document: bytes, tokens by the library for ``tokenizer`` (.json or .model), and whether over ``limit``.
 
-    Texts over ``huge`` characters go by chunks; a sentencepiece model, whose pieces may cross any white space, encodes
-    whole texts.
+    Texts over ``huge`` characters go by chunks; a sentencepiece model, whose pieces may cross any white space, and any
+    tokenizer that does not scan bytes encode whole texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,13 +96,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, huge: int =
             model = Tokenizer.from_file(tokenizer)
 
             special = [x.content for x in model.get_added_tokens_decoder().values()]
+            scans = scans_bytes(json.loads(model.to_str())) and max(map(len, special), default=0) < MARGIN
             known: dict[str, int] = {}
 
             def whole(text: str) -> int:
-                return spliced_count(model, text, chunk, overlap) if len(text) > huge else len(model.encode(text, add_special_tokens=False))
+                return spliced_count(model, text, chunk, overlap) if scans and len(text) > huge else len(model.encode(text, add_special_tokens=False))
 
             def counts(texts: list[str]) -> list[int]:
-                plain = [len(x) <= huge and not any(s in x for s in special) for x in texts]
+                plain = [scans and len(x) <= huge and not any(s in x for s in special) for x in texts]
                 found = [STRETCH.findall(x) if p else () for x, p in zip(texts, plain, strict=True)]
                 new = list({x for parts in found for x in parts if x not in known})
                 if len(known) + len(new) > MEMORY:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.sources.io import shared_folder
+from foliospark.sources.io import stored_folder
 
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 PIECE = 1_000_000
@@ -24,11 +24,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Scratch:
-    """Written tables of one operator run, under one folder of the shared place."""
+    """Written tables of one operator run, under one folder of the shared place.
+
+    Results read them, so they stay until the run folder around them ends or ``remove_stored`` is called.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.folder = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
+        self.folder = f"{stored_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
     def store(self, df: DataFrame) -> DataFrame:

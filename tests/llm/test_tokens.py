@@ -52,3 +52,16 @@ def test_sentencepiece(documents_of):
 
 def test_empty_table(documents_of):
     assert count_tokens(documents_of([]), PATH).count() == 0
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Metaspace", "replacement": "▁", "prepend_scheme": "always", "split": True}}, {"pre_tokenizer": None}])
+def test_other_tokenizers_encode_whole_texts(documents_of, tmp_path, change):
+    import json
+
+    told = json.load(open(PATH, encoding="utf-8")) | change
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(told))
+    other = Tokenizer.from_file(str(path))
+    texts = [t for t in odd_texts(60, 20, 5)] + ["Some Long Words " * 100]
+    rows = count_tokens(documents_of(list(enumerate(texts))), str(path), huge=500, chunk=300, overlap=100).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == {k: len(other.encode(t, add_special_tokens=False)) for k, t in enumerate(texts)}
