@@ -91,7 +91,7 @@ def _(t):
   WHERE o_orderstatus <> 'F'""")
 def _(t):
     """A table by month that is replaced twice by a plan that reads it."""
-    path = f"{io.shared_folder(t.spark)}/foliospark/{t.spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{io.stored_folder(t.spark)}/{uuid.uuid4().hex}"
     rows = t("orders").select("o_orderkey", "o_orderstatus", c("o_totalprice").alias("price"), fd.month_start(c("o_orderdate").cast("date")).alias("month"))
     published.publish(rows, path, "month")
     for dropped in ("F", "none"):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliospark.functions.dates import month_ends
 from foliospark.plans import accounts, attributes, cohort, grouped, tracking
 from foliospark.plans.params import CohortParams
-from foliospark.sources.io import shared_folder
+from foliospark.sources.io import stored_folder
 from foliospark.sources.published import publish_partitions, read_published
 from queries.mapping import Inputs
 
@@ -83,7 +83,7 @@ def _enriched(t: Inputs, panel: DataFrame, stock: DataFrame) -> DataFrame:
 
 def _run(spark: SparkSession, sf_dir: str) -> str:
     """The folder of the three published tables of a whole run."""
-    folder = f"{shared_folder(spark)}/foliospark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    folder = f"{stored_folder(spark)}/{uuid.uuid4().hex}"
     tracking.run_tracking(Inputs(spark, sf_dir, MANY), spark, folder)
     return folder
 
