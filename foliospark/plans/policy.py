@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.dates import col, date_lit
 from foliospark.functions.scalars import or_zero
-from foliospark.operators.rules import first_true
+from foliospark.operators.rules import first_rules
 
 OLD, NEW = "ProbPreaprobados_Antiguo", "ProbPreaprobados"
 APPROVED = "APROBADO FEBRERO23"
@@ -178,16 +178,21 @@ def groups() -> dict[str, Column]:
     }
 
 
+def waterfalls(lists: Mapping[str, Sequence[Rule]], member: Mapping[str, Column] | None = None) -> dict[str, Column]:
+    """For each list of rules the reason code of the first rule that rejects the account."""
+    member = groups() if member is None else member
+    above = {(r.score, r.above) for rules in lists.values() for r in rules if r.score is not None}
+    conditions = {**member, **{f"{score} > {bound}": col(score) > F.lit(bound) for score, bound in sorted(above)}}
+    named = {
+        name: [((*rule.groups, *([f"{rule.score} > {rule.above}"] if rule.score is not None else [])), rule.code) for rule in rules]
+        for name, rules in lists.items()
+    }
+    return first_rules(named, conditions, APPROVED)
+
+
 def waterfall(rules: Sequence[Rule], member: Mapping[str, Column] | None = None) -> Column:
     """Reason code of the first rule that rejects the account."""
-    member = groups() if member is None else member
-    arms = []
-    for rule in rules:
-        condition = None if rule.score is None else col(rule.score) > F.lit(rule.above)
-        for g in reversed(rule.groups):
-            condition = member[g] if condition is None else member[g] & condition
-        arms.append((condition, rule.code))
-    return first_true(arms, APPROVED)
+    return waterfalls({"rules": rules}, member)["rules"]
 
 
 def roll_up(channel: str, code: str, rules: Sequence[Rule], month: str = "FechaFoto") -> list[tuple[Column, str]]:
@@ -203,7 +208,22 @@ def roll_up(channel: str, code: str, rules: Sequence[Rule], month: str = "FechaF
     return [*in_force, *would_be, (here, "APROBADO")]
 
 
-def total_changes() -> Column:
-    arms = roll_up("Espontaneo", "CambiosEspontaneo", SPONTANEOUS)
-    arms += roll_up("Preaprobado", "CambiosPreaprobadoSinT", PREAPPROVED)
-    return first_true(arms, "OTROS")
+def roll_up_table(channel: str, rules: Sequence[Rule]) -> Column:
+    """For each reason code of a channel: since when its policy is in force, and the labels from then on and before."""
+    entries = []
+    for code in dict.fromkeys(r.code for r in rules):
+        policy = next(r.month for r in rules if r.code == code)
+        would_be = f"RECHAZADO {policy}" if code not in NOT_ROLLED_UP["would be"] else "APROBADO"
+        in_force = IN_FORCE_LABEL.get((channel, policy), f"RECHAZADO {policy} FECHAS") if code not in NOT_ROLLED_UP["in force"] else would_be
+        entries += [F.lit(code), F.struct(date_lit(EFFECTIVE[channel][policy]).alias("since"), F.lit(in_force).alias("now"), F.lit(would_be).alias("before"))]
+    return F.create_map(*entries)
+
+
+def total_changes(month: str = "FechaFoto") -> Column:
+    """What the reason code of the account's channel comes to, looked up by code."""
+    out = F.lit("OTROS")
+    for channel, code, rules in (("Preaprobado", "CambiosPreaprobadoSinT", PREAPPROVED), ("Espontaneo", "CambiosEspontaneo", SPONTANEOUS)):
+        found = F.try_element_at(roll_up_table(channel, rules), col(code))
+        label = F.when(found.isNull(), "APROBADO").when(col(month) >= found["since"], found["now"]).otherwise(found["before"])
+        out = F.when(col("MarcaPreaprobado") == channel, label).otherwise(out)
+    return out

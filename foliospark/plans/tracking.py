@@ -212,8 +212,7 @@ def segmented(rows: DataFrame) -> DataFrame:
     web = col("AperturaWeb")
     income = col("RentaEvaluacion")
     dti = F.when(col("RentaEstimada") == 0, "00. Sin renta").otherwise(band("DTI", ladders.DTI))
-    member = policy.groups()
-    preapproved = policy.waterfall(policy.PREAPPROVED, member)
+    reasons = policy.waterfalls({"spontaneous": policy.SPONTANEOUS, "preapproved": policy.PREAPPROVED})
     new = {
         "ProbPreapFinal": col("ProbPreaprobados"),
         "Leverage": measures.leverage(banked6 == 1, income, col("DeudaConsumo")),
@@ -234,9 +233,9 @@ def segmented(rows: DataFrame) -> DataFrame:
         "TramoCupo": band("Cupo", ladders.LIMIT),
         "TramoEdad": band("EdadMeses", ladders.AGE),
         "TramoPatrimonio": band("MontoPatrimonio", ladders.WEALTH),
-        "CambiosEspontaneo": policy.waterfall(policy.SPONTANEOUS, member),
-        "CambiosPreaprobado": preapproved,
-        "CambiosPreaprobadoSinT": preapproved,
+        "CambiosEspontaneo": reasons["spontaneous"],
+        "CambiosPreaprobado": reasons["preapproved"],
+        "CambiosPreaprobadoSinT": reasons["preapproved"],
     }
     return rows.select("*", *[e.alias(n) for n, e in new.items()])
 

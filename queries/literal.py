@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.dates import add_months, date_lit
 from foliospark.functions.scalars import flag, floor_zero
-from foliospark.plans import cohort
+from foliospark.operators.rules import first_true
+from foliospark.plans import cohort, policy
 from foliospark.plans.attributes import applications
 
 col = F.col
@@ -106,3 +107,30 @@ def last_application(stock: DataFrame, log: DataFrame) -> DataFrame:
     newest = [col("a_m").desc_nulls_last(), col("DRegistro").desc_nulls_last(), col("NumeroSolicitud").desc_nulls_last()]
     first = joined.withColumn("n", F.row_number().over(Window.partitionBy("Contrato", "FechaFoto").orderBy(*newest))).filter("n = 1")
     return first.drop("n", "IdCliente", "FechaFoto").withColumnsRenamed({"a_m": "FechaFoto", "a_c": "IdCliente"})
+
+
+def waterfall(rules: list[policy.Rule]) -> Column:
+    """One arm per rule, its conditions spelled out in it."""
+    member, arms = policy.groups(), []
+    for rule in rules:
+        condition = F.lit(True) if rule.score is None else col(rule.score) > F.lit(rule.above)
+        for g in reversed(rule.groups):
+            condition = member[g] & condition
+        arms.append((condition, rule.code))
+    return first_true(arms, policy.APPROVED)
+
+
+def total_changes() -> Column:
+    """One arm per channel and policy, by lists of its codes."""
+    arms = []
+    for channel, code, rules in (("Espontaneo", "CambiosEspontaneo", policy.SPONTANEOUS), ("Preaprobado", "CambiosPreaprobadoSinT", policy.PREAPPROVED)):
+        here = col("MarcaPreaprobado") == channel
+        in_force, would_be = [], []
+        for month, since in policy.EFFECTIVE[channel].items():
+            codes = [r.code for r in rules if r.month == month]
+            known = lambda when: col(code).isin(*[x for x in codes if x not in policy.NOT_ROLLED_UP[when]])  # noqa: E731, B023
+            label = policy.IN_FORCE_LABEL.get((channel, month), f"RECHAZADO {month} FECHAS")
+            in_force.append((here & (col("FechaFoto") >= date_lit(since)) & known("in force"), label))
+            would_be.append((here & known("would be"), f"RECHAZADO {month}"))
+        arms += [*in_force, *would_be, (here, "APROBADO")]
+    return first_true(arms, "OTROS")

@@ -1,14 +1,17 @@
 """Rewritten steps equal the direct forms on random small inputs, repeated rows and NULLs included."""
 
+import contextlib
 import datetime as dt
+import io
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from foliospark.operators import joins
 from foliospark.operators.skew import SkewPolicy
-from foliospark.plans import accounts, attributes, cohort, tracking
+from foliospark.plans import accounts, attributes, cohort, policy, tracking
 from foliospark.plans.params import TrackingParams
 from queries import literal
 from queries.mapping import Inputs
@@ -129,3 +132,47 @@ def test_the_study_reads_the_snapshots_once(spark, tmp_path):
     text = study._jdf.queryExecution().executedPlan().toString()
     assert sum("fcupo" in line for line in text.splitlines() if "FileScan" in line) == 1
     assert text.lower().count("exchange hashpartitioning(contrato") == 1 and study.count()
+
+
+def test_rules_as_bits_equal_their_arms(spark):
+    """Every score at and around every bound, every group and NULL."""
+    r = random.Random(2)
+    bounds = sorted({x.above for x in [*policy.SPONTANEOUS, *policy.PREAPPROVED] if x.above is not None})
+    scores = [None, 0.0, 1.0, float("nan"), *bounds, *[b + 1e-9 for b in bounds], *[b - 1e-9 for b in bounds]]
+    schema = (
+        "FechaFoto date, MarcaPreaprobado string, MarcaBancarizadoU06M int, RentaEvaluacion double, ComprasSU12M double, ComprasFU12M double, TenenciaPatrimonio int, "
+        "TenenciaRetailML int, ClasificacionPreaprobados string, TipoEmpleo string, EdadMeses bigint, Nacionalidad string, ProbPreaprobados double, ProbPreaprobados_Antiguo double"
+    )
+    models = [None, "BANCARIZADO MAYOR 21", "NO BANCARIZADO MAYOR 21", "EXTRANJERO NO BANCARIZADO", "MENOR 21"]
+    rows = [
+        (r.choice([None, *[D(2022, m, 1) for m in range(1, 13)], D(2023, 1, 1), D(2023, 2, 1)]), r.choice([None, "Espontaneo", "Preaprobado", "x"]), r.choice([None, 0, 1, 2]),
+         r.choice([None, 0.0, 1.0, 399999.9995, 400000.0]), r.choice([None, 0.0, 5.0, -5.0]), r.choice([None, 0.0, 5.0]), r.choice([None, 0, 1]), r.choice([None, 0, 1]), r.choice(models),
+         r.choice([None, "Dueña de Casa", "Otros"]), r.choice([None, 251, 252, 299, 300, 500]), r.choice([None, "Extranjero", "Chileno"]), r.choice(scores), r.choice(scores))
+        for _ in range(6000)
+    ]
+    df = frame(spark, schema, rows)
+    codes = policy.waterfalls({"s": policy.SPONTANEOUS, "p": policy.PREAPPROVED})
+    direct = {"s": literal.waterfall(policy.SPONTANEOUS), "p": literal.waterfall(policy.PREAPPROVED)}
+    both = df.select("*", *[x.alias(f"{n}_{k}") for k, c in (("bits", codes), ("arms", direct)) for n, x in c.items()])
+    assert both.filter("NOT s_bits <=> s_arms OR NOT p_bits <=> p_arms").count() == 0
+    named = both.withColumns({"CambiosEspontaneo": F.col("s_bits"), "CambiosPreaprobadoSinT": F.when(F.rand(1) < 0.9, F.col("p_bits"))})
+    totals = named.select(policy.total_changes().alias("found"), literal.total_changes().alias("direct"))
+    assert totals.filter("NOT found <=> direct").count() == 0
+    assert both.select("s_bits").distinct().count() > 15 and both.select("p_bits").distinct().count() > 15
+    assert totals.select("found").distinct().count() > 12
+
+
+def test_generated_code_of_the_rules_stays_small_enough_to_be_compiled(spark, tmp_path):
+    """The largest generated method of both waterfalls stays below the 8,000 bytes over which the JVM only interprets."""
+    df = spark.createDataFrame([], "MarcaBancarizadoU06M int, RentaEvaluacion double, ComprasSU12M double, ComprasFU12M double, TenenciaPatrimonio int, TenenciaRetailML int, ClasificacionPreaprobados string, TipoEmpleo string, EdadMeses bigint, Nacionalidad string, ProbPreaprobados double, ProbPreaprobados_Antiguo double")
+    df.write.parquet(str(tmp_path / "rows"))
+    codes = policy.waterfalls({"s": policy.SPONTANEOUS, "p": policy.PREAPPROVED})
+    out, told = io.StringIO(), spark.read.parquet(str(tmp_path / "rows")).select(*[c.alias(n) for n, c in codes.items()])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with contextlib.redirect_stdout(out):
+            told.explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())]
+    assert sizes and max(sizes) < 8000
