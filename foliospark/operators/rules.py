@@ -44,25 +44,38 @@ def first_true(arms: Sequence[tuple[Column, Column | str]], otherwise: Column |
     return chain.otherwise(F.lit(otherwise) if isinstance(otherwise, str) else otherwise)
 
 
+WORD = 63  # rules that one number judges
+
+
 def first_rules(lists: Mapping[str, Sequence[tuple[Sequence[str], str]]], conditions: Mapping[str, Column], otherwise: str) -> dict[str, Column]:
     """For each list the label of its first rule all of whose conditions are true; a rule is (names of conditions, label).
 
-    All rules are judged at once: each is a bit of one number per list, a condition that is not true clears the bits of
-    the rules that need it, and the lowest bit left is looked up. So a condition is evaluated once however many rules
-    name it, and rules add constants to the generated code, not branches.
+    All rules are judged at once: each is a bit of a number (lists share one while they fit), a condition that is not true
+    clears the bits of the rules that need it, and the lowest bit left of a list is looked up. So a condition is evaluated
+    once however many rules name it, and rules add constants to the generated code, not branches.
     """
-    out = {}
+    words: list[list[str]] = [[]]
     for name, rules in lists.items():
-        if len(rules) > 63:
-            raise ValueError(f"{name} has more than 63 rules")
-        left = F.lit((1 << len(rules)) - 1)
+        if len(rules) > WORD:
+            raise ValueError(f"{name} has more than {WORD} rules")
+        if sum(len(lists[n]) for n in words[-1]) + len(rules) > WORD:
+            words.append([])
+        words[-1].append(name)
+    out = {}
+    for names in words:
+        every = [rule for name in names for rule in lists[name]]
+        left = F.lit((1 << len(every)) - 1).cast("bigint")
         for condition, holds in conditions.items():
-            need = sum(1 << k for k, (names, _) in enumerate(rules) if condition in names)
+            need = sum(1 << k for k, (needed, _) in enumerate(every) if condition in needed)
             if need:
                 left = left.bitwiseAND(F.when(holds, F.lit(-1).cast("bigint")).otherwise(F.lit(~need).cast("bigint")))
-        lowest = F.bit_count(left.bitwiseAND(-left) - 1)
-        labels = F.array(*[F.lit(label) for _, label in rules])
-        out[name] = F.when(left == 0, F.lit(otherwise)).otherwise(F.get(labels, lowest))
+        first = 0
+        for name in names:
+            rules = lists[name]
+            own = F.shiftright(left, first).bitwiseAND(F.lit((1 << len(rules)) - 1).cast("bigint"))
+            labels = F.array(*[F.lit(label) for _, label in rules])
+            out[name] = F.when(own == 0, F.lit(otherwise)).otherwise(F.get(labels, F.bit_count(own.bitwiseAND(-own) - 1)))
+            first += len(rules)
     return out
 
 
