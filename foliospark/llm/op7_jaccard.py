@@ -37,6 +37,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from foliospark.llm.components import components
 from foliospark.llm.shared import WHITE, Bitmap, Scratch, bit_of, byte_table, documents, lower_table, mixed, pieces, span_hashes, spans, text_bytes, window_hashes
+from foliospark.operators.reduction import key_filter
 
 WIDTH = 5
 GROUP_BITS = 18
@@ -44,7 +45,7 @@ CROWD = 6
 LEAF = 16
 SEEN = 200_000
 BLOCK = 250_000
-QUERIES = 500
+QUERIES = 2_000
 MORE = 64
 
 
@@ -249,7 +250,7 @@ def first_pairs(members: DataFrame) -> DataFrame:
 
 
 def bounded_pairs(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose points allow 0.8."""
+    """The pairs (a, b) whose points allow 0.8. Points of no pair are held back before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,6 +259,7 @@ def bounded_pairs(pairs: DataFrame, points: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     side = lambda name: points.select(F.col("sid").alias(name), F.col("n").alias(f"{name}_n"), F.col("point").alias(f"{name}_point"))
+    points = key_filter(pairs.select(F.explode(F.array("a", "b")).alias("sid")), "sid").reduce(points, "sid")
     alike = (4 * F.col("a_n") <= 5 * F.col("b_n")) & (4 * F.col("b_n") <= 5 * F.col("a_n"))
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(alike).mapInArrow(run, "a long, b long")
 
@@ -362,7 +364,7 @@ def crowd_rows(crowds: DataFrame, points: DataFrame, scratch: Scratch) -> DataFr
     asked = scratch.store(asked.groupBy("block", "sid", "n", "label").agg(F.collect_list("cell").alias("cells")))
     slices = asked.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("slices"))
     names = ["block", "slice", "asks", "sid", "n", "label", "point", "cells"]
-    point = points.select("sid", "point")
+    point = key_filter(crowds, "sid").reduce(points, "sid").select("sid", "point")
     held = dealt.groupBy("block", "sid", "n", "label").agg(F.collect_list("cell").alias("cells")).join(slices, "block").join(point, "sid")
     held = held.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).withColumn("asks", F.lit(False))
     asking = asked.join(slices, "block").join(point, "sid").withColumn("slice", F.pmod(F.xxhash64("sid", F.lit(1)), "slices")).withColumn("asks", F.lit(True))
@@ -419,7 +421,7 @@ def set_components(docs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(points.select("sid", "rep"), "sid")
         return scratch.store(verified(pairs, scratch.store(needed_texts(docs, scratch.store(ids)))))
 
-    tried = scratch.store(bounded_pairs(first_pairs(members), points))
+    tried = scratch.store(bounded_pairs(scratch.store(first_pairs(members)), points))
     found = links(tried)
     labels = components(found, scratch)
     most, further = 2, True
