@@ -20,7 +20,8 @@ points. Steps, each a Spark job over whole tables:
    join components is left out, copies are not expanded into all pairs, and no task holds more than one block.
 
 Null and empty texts, and texts without a word, have no shingle and no link; a text of fewer than five words is one
-shingle. Documents of a null doc_id have a null component and link nothing; documents that share a doc_id are one.
+shingle. Documents of a null doc_id have a null component and link nothing; rows that share a doc_id are judged each by
+its own text.
 Repeated rows keep a row each; extra columns change nothing. Shingles and sets are compared by 64-bit hashes.
 """
 
@@ -501,20 +502,22 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH RECURSIVE worded AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{20}\x{09}-\x{0D}]+') AS w FROM documents
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{20}\x{09}-\x{0D}]+') AS w FROM documents
 ),
 shingles AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS g
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM worded WHERE len(w) > 0)
+  SELECT DISTINCT r, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM worded WHERE len(w) > 0)
 ),
-sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
-common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+named AS (SELECT s.r, s.g FROM shingles s JOIN worded d ON d.r = s.r WHERE d.doc_id IS NOT NULL),
+common AS (SELECT x.r AS a, y.r AS b, count(*) AS k FROM named x JOIN named y ON x.g = y.g AND x.r < y.r GROUP BY ALL),
 links AS (
-  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+  SELECT a, b FROM common JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * k >= 80 * (x.n + y.n - k)
 ),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT a AS node, b AS other FROM edges UNION SELECT node, b FROM reach JOIN edges ON other = a),
-least_of AS (SELECT node, min(other) AS m FROM reach GROUP BY node)
+least_of AS (SELECT node, min(doc_id) AS m FROM reach JOIN worded ON r = other GROUP BY node)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CASE WHEN d.doc_id IS NOT NULL THEN least(d.doc_id, coalesce(m, d.doc_id)) END AS component_id
-FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_of l ON l.node = d.doc_id
+FROM worded d LEFT JOIN sizes s ON s.r = d.r LEFT JOIN least_of l ON l.node = d.r
 """

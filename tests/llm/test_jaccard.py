@@ -170,3 +170,18 @@ def test_rows_of_one_id_are_kept_or_dropped_one_by_one(documents_of):
     rows = [(1, a), (3, a), (3, "a text that nothing else holds at all"), (4, copy), (4, "one more text that is alone in here"), (6, copy), (6, copy.upper()), (7, "the third text of its own"), (7, "The third text of its own")]
     got = sorted((r.doc_id, r.text.lower()) for r in keep_one(documents_of(rows)).collect())
     assert got == [(1, a), (3, rows[2][1]), (4, rows[4][1]), (7, rows[7][1])]
+
+
+def test_rows_of_one_id_in_both_engines(spark, documents_of, tmp_path):
+    """Rows of one doc_id with several texts, and rows without one, are judged row by row in the SQL too."""
+    import duckdb
+
+    texts = near_copies(9, 90) + [None, "", "one two"]
+    rng = random.Random(4)
+    rows = [(rng.choice([None, *range(30)]), t) for t in texts] + [(3, texts[0]), (3, texts[0]), (31, texts[0])]
+    docs = documents_of(rows)
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    got = Counter(tuple(r) for r in jaccard_components(docs).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == Counter(con.sql(op7_jaccard.SQL).fetchall()) and len({c for _, _, c in got}) < len(got)
