@@ -1,15 +1,18 @@
 """Trees on known functions, scores on labelled documents, and the rules' counts against plain Python."""
 
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from foliospark.llm.op4_quality import FEATURES, fit_trees, quality_scores, walk
+from foliospark.llm.op4_quality import FEATURES, fit_trees, quality_scores, statistics, walk
 from foliospark.llm.op9_rules import grams, keep_good, quality_rules
+from foliospark.llm.shared import text_bytes
 
 SF = "/root/testdata/sf0.01"
 
@@ -125,3 +128,58 @@ def test_grams_stay_in_their_text():
 def test_rules_without_rows(spark, documents_of):
     labels = spark.createDataFrame([(1, 1, None)], "doc_id long, quality int, toxic int")
     assert quality_rules(documents_of([]), labels).count() == 0
+
+
+def plain_statistics(text):
+    """The statistics of one text, word by word and byte by byte."""
+    data = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0d]+", data)
+    lines = [x for x in data.split(b"\n")]
+    worded = [x for x in lines if re.search(rb"[^\x20\x09-\x0d]", x)]
+    windows = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+    times = Counter(windows)
+    repeated = {k + i for k, w in enumerate(windows) if times[w] > 1 for i in range(5)}
+    n, m, size = max(len(words), 1), len(words), max(len(data), 1)
+    lower = [w.translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))) for w in words]
+    among = lambda marks: sum(b in marks for b in data) / size
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / n
+    chars = sum((b & 0xC0) != 0x80 for w in words for b in w)
+    return {
+        "log_bytes": math.log1p(len(data)), "log_words": math.log1p(m), "mean_word": mean, "std_word": math.sqrt(max(sum(x * x for x in lengths) / n - mean * mean, 0)),
+        "upper": among(range(65, 91)), "digit": among(b"0123456789"), "non_ascii": among(range(128, 256)), "symbol": sum(data.count(c) for c in (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")) / max(chars, 1),
+        "bang": among(b"!"), "bar": among(b"|"), "stop_mark": among(b"."), "comma": among(b",;:"), "quote": among(b"\"'()[]{}="), "newline": among(b"\n"), "white": among(b" \t\n\x0b\x0c\r"),
+        "dup_lines": (len(worded) - len(set(worded))) / len(lines), "repeat_words": len(repeated) / n, "distinct_words": len(set(lower)) / n,
+        "same_as_last": sum(a == b for a, b in zip(lower, lower[1:], strict=False)) / n, "symbol_ends": sum(w[-1] in b"#*$%&|<>!" for w in words) / n,
+        "capital_starts": sum(65 <= w[0] <= 90 for w in words) / n, "line_words": m / len(lines), "sentence_words": m / (1 + sum(b in b".!?" for b in data)), "long_words": sum(x > 12 for x in lengths) / n,
+    }
+
+
+def test_statistics_word_by_word():
+    rng = random.Random(5)
+    parts = ["The", "the", "THE", "end.", "é", "ñandú!", "#tag", "a|b", "12", "  ", "\n", "\n\n", "\t", "\x0b", "(x)", "supercalifragilistic", "a b c d e ", "wow!", "same same", "\x1c", "🙂"]
+    texts = [None, "", " ", "\n", *["".join(rng.choice(parts) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(0, 60))) for _ in range(300)]]
+    got = statistics(*text_bytes(pa.array(texts, pa.string())))
+    for row, text in zip(got, texts, strict=True):
+        want = plain_statistics(text)
+        assert dict(zip(FEATURES, row.tolist(), strict=True)) == pytest.approx({x: want[x] for x in FEATURES}, abs=1e-9), repr(text)
+
+
+def test_first_split_is_the_best_one():
+    """The root of the first tree against every feature and every cut between its values."""
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 12, (90, len(FEATURES))).astype(float)
+    y = ((x[:, 3] > 6) ^ (rng.random(90) < 0.1)).astype(float)
+    model = fit_trees(x, y, trees=1, depth=1)
+    p = y.mean()
+    p = 1 / (1 + np.exp(-np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
+    grad, curve = p - y, np.full(len(y), p * (1 - p))
+
+    def gain(left):
+        part = lambda k: grad[k].sum() ** 2 / (curve[k].sum() + 1.0)
+        return part(left) + part(~left) - part(np.ones(len(y), bool))
+
+    every = {(f, cut): gain(x[:, f] <= cut) for f in range(len(FEATURES)) for cut in np.unique(x[:, f])[:-1]}
+    found = (int(model["feature"][0, 0]), float(model["threshold"][0, 0]))
+    chosen = gain(x[:, found[0]] <= found[1])
+    assert chosen == pytest.approx(max(every.values())) and found[0] == 3
