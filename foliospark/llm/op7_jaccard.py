@@ -38,7 +38,6 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from foliospark.llm.components import components
 from foliospark.llm.shared import WHITE, Bitmap, Scratch, bit_of, byte_table, documents, lower_table, mixed, pieces, span_hashes, spans, text_bytes, window_hashes
-from foliospark.operators.reduction import key_filter
 
 WIDTH = 5
 GROUP_BITS = 18
@@ -46,7 +45,7 @@ CROWD = 6
 LEAF = 16
 SEEN = 200_000
 BLOCK = 250_000
-QUERIES = 2_000
+QUERIES = 500
 MORE = 64
 
 
@@ -251,7 +250,7 @@ def first_pairs(members: DataFrame) -> DataFrame:
 
 
 def bounded_pairs(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose points allow 0.8. Points of no pair are held back before the shuffle."""
+    """The pairs (a, b) whose points allow 0.8."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,7 +259,6 @@ def bounded_pairs(pairs: DataFrame, points: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     side = lambda name: points.select(F.col("sid").alias(name), F.col("n").alias(f"{name}_n"), F.col("point").alias(f"{name}_point"))
-    points = key_filter(pairs.select(F.explode(F.array("a", "b")).alias("sid")), "sid").reduce(points, "sid")
     alike = (4 * F.col("a_n") <= 5 * F.col("b_n")) & (4 * F.col("b_n") <= 5 * F.col("a_n"))
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(alike).mapInArrow(run, "a long, b long")
 
@@ -334,20 +332,19 @@ def dealt_sets(crowds: DataFrame) -> DataFrame:
     """The crowds with the band of size and the block that each set lies in.
 
     A set goes with the most crowded of its cells, so that sets that meet in many cells meet in one block, or in few. Of a cell
-    whose sets of one band weigh more than a block, the sets are spread by hash over as many blocks as they fill; lighter
-    ones share blocks.
+    whose sets, were they all of the band's size, weigh more than a block, the sets are spread by hash over as many blocks as
+    they would fill; lighter ones share the band's blocks.
     """
-    sets = crowds.groupBy("sid", "n").agg(F.count("*").alias("cells"), F.max(F.struct("k", "cell"))["cell"].alias("home"))
-    weight = F.least(2 * F.col("n"), F.lit(1 << 16)) + 8 * F.col("cells")
-    sets = sets.select("sid", band("n").alias("band"), "home", weight.alias("weight"))
-    homes = sets.groupBy("band", "home").agg(F.sum("weight").alias("total"))
-    light = homes.filter(F.col("total") < BLOCK).groupBy("band").agg(F.sum("total")).collect()  # a few for each doubling of the size
-    shared = F.create_map(*[F.lit(x).cast("long") for key, total in [*light, (-1, 0)] for x in (key, total // BLOCK + 1)])[F.col("band")]
-    parts = homes.filter(F.col("total") >= BLOCK).select("band", "home", F.ceil(F.col("total") / BLOCK).alias("parts"))
-    sets = sets.join(parts, ["band", "home"], "left")
-    own = F.pmod(F.xxhash64("home", F.pmod(F.xxhash64("sid"), "parts")), F.lit(1 << 39))
-    place = F.when(F.col("parts").isNotNull(), own).otherwise((1 << 39) + F.pmod(F.xxhash64("home"), shared))
-    return crowds.join(sets.select("sid", "band", (F.col("band") * (1 << 40) + place).alias("block")), "sid")
+    weight = lambda n: F.least(2 * n, F.lit(1 << 16))
+    sets = crowds.groupBy("sid", "n").agg(F.count("*").alias("cells"))
+    bands = sets.groupBy(band("n").alias("band")).agg(F.sum(weight(F.col("n")) + 8 * F.col("cells"))).collect()  # a few for each doubling of the size
+    shared = F.create_map(*[F.lit(x).cast("long") for key, total in [*bands, (-1, 0)] for x in (key, total // BLOCK + 1)])[F.col("band")]
+    home = F.max(F.struct("k", "cell")).over(Window.partitionBy("sid"))  # a set has fewer cells than shingles
+    rows = crowds.withColumn("band", band("n")).withColumn("home", home)
+    full = F.ceil(F.col("home.k") * weight(F.pow(F.lit(2.0), F.col("band") / 4)) / BLOCK)
+    own = F.pmod(F.xxhash64("home.cell", F.pmod(F.xxhash64("sid"), full)), F.lit(1 << 39))
+    place = F.when(full > 1, own).otherwise((1 << 39) + F.pmod(F.xxhash64("home.cell"), shared))
+    return rows.withColumn("block", F.col("band") * (1 << 40) + place).drop("home")
 
 
 def band(n: Column) -> Column:
@@ -365,7 +362,7 @@ def crowd_rows(crowds: DataFrame, points: DataFrame, scratch: Scratch) -> DataFr
     asked = scratch.store(asked.groupBy("block", "sid", "n", "label").agg(F.collect_list("cell").alias("cells")))
     slices = asked.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("slices"))
     names = ["block", "slice", "asks", "sid", "n", "label", "point", "cells"]
-    point = key_filter(crowds, "sid").reduce(points, "sid").select("sid", "point")
+    point = points.select("sid", "point")
     held = dealt.groupBy("block", "sid", "n", "label").agg(F.collect_list("cell").alias("cells")).join(slices, "block").join(point, "sid")
     held = held.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).withColumn("asks", F.lit(False))
     asking = asked.join(slices, "block").join(point, "sid").withColumn("slice", F.pmod(F.xxhash64("sid", F.lit(1)), "slices")).withColumn("asks", F.lit(True))
@@ -422,7 +419,7 @@ def set_components(docs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(points.select("sid", "rep"), "sid")
         return scratch.store(verified(pairs, scratch.store(needed_texts(docs, scratch.store(ids)))))
 
-    tried = scratch.store(bounded_pairs(scratch.store(first_pairs(members)), points))
+    tried = scratch.store(bounded_pairs(first_pairs(members), points))
     found = links(tried)
     labels = components(found, scratch)
     most, further = 2, True
