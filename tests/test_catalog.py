@@ -44,6 +44,15 @@ def partitions_read(df):
     return walk(df._jdf.queryExecution().executedPlan())
 
 
+@pytest.fixture(autouse=True)
+def whole_filters(spark):
+    """Plans with their filters written out."""
+    key = "spark.sql.maxMetadataStringLength"
+    spark.conf.set(key, "2000")
+    yield
+    spark.conf.unset(key)
+
+
 def text(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
