@@ -51,3 +51,17 @@ def test_only_tables_with_a_large_bucket_are_counted(spark):
     assert skew.crowded({"even": even, "one": one}, SkewPolicy(piece_rows=30)) == {"one"}
     assert skew.crowded({"even": even}, SkewPolicy(piece_rows=2)) == {"even"}
     assert skew.hot_lists({}) == {}
+
+
+def test_attributes_of_clients_are_joined_where_they_lie(spark, inputs, no_broadcasts):  # noqa: F811
+    params = TrackingParams(buckets=inputs.buckets)
+    panel, stock = tracking.build_stock(inputs, params)
+    with io.co_located(spark):
+        tables, right_hot = tracking.build_attributes(inputs, panel, stock, params)
+        found = nodes(tracking.enriched(stock, tables, right_hot=right_hot, params=params))
+        for name in ("preapproval_grade_restated", "mini_policy", "estimated_income", "bureau_rows", "vehicle_wealth", "retail_spend"):
+            (scan,) = [k for k, (_, t) in enumerate(found) if t.startswith("FileScan") and f"foliospark_{name}_" in t]
+            # only the wide base moves, once, back to the accounts
+            assert sum(a.startswith("Exchange") for a in above(found, scan)) == 1, name
+        (scan,) = [k for k, (_, t) in enumerate(found) if t.startswith("FileScan") and "foliospark_provision_pd_" in t]
+        assert not any(a.startswith("Exchange") for a in above(found, scan))
