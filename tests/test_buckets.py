@@ -65,3 +65,14 @@ def test_attributes_of_clients_are_joined_where_they_lie(spark, inputs, no_broad
             assert sum(a.startswith("Exchange") for a in above(found, scan)) == 1, name
         (scan,) = [k for k, (_, t) in enumerate(found) if t.startswith("FileScan") and "foliospark_provision_pd_" in t]
         assert not any(a.startswith("Exchange") for a in above(found, scan))
+
+
+def test_the_day_of_a_time_is_found_once(spark, inputs):
+    """The stored lines and orders hold days, so no grouping converts times; a time of day changes no input."""
+    for name, columns in mapping.DAYS.items():
+        assert {dict(inputs(name).dtypes)[c] for c in columns} == {"date"}
+    timed = Inputs(spark, SF, steps.MANY)
+    for name, column in (("lineitem", "l_shipdate"), ("orders", "o_orderdate")):
+        timed._known[name] = inputs(name).withColumn(column, F.col(column) + F.expr("INTERVAL 23 HOURS"))
+    for name in ("account_month", "bureau_month", "preapproved_base"):
+        assert bag(timed(name)) == bag(inputs(name))
