@@ -260,7 +260,11 @@ def bounded_pairs(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
     side = lambda name: points.select(F.col("sid").alias(name), F.col("n").alias(f"{name}_n"), F.col("point").alias(f"{name}_point"))
     alike = (4 * F.col("a_n") <= 5 * F.col("b_n")) & (4 * F.col("b_n") <= 5 * F.col("a_n"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(alike).mapInArrow(run, "a long, b long")
+    # most pairs share a passage only and differ in size: they go before points are shuffled with them. Sizes of all sets are
+    # no table to broadcast
+    sizes = points.select(F.col("sid").alias("b"), F.col("n").alias("b_n")).hint("merge")
+    sized = pairs.join(sizes, "b").join(side("a"), "a").filter(alike)
+    return sized.join(side("b").drop("b_n"), "b").mapInArrow(run, "a long, b long")
 
 
 class Block:

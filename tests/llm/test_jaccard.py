@@ -185,3 +185,30 @@ def test_rows_of_one_id_in_both_engines(spark, documents_of, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
     got = Counter(tuple(r) for r in jaccard_components(docs).select("doc_id", "n_shingles", "component_id").collect())
     assert got == Counter(con.sql(op7_jaccard.SQL).fetchall()) and len({c for _, _, c in got}) < len(got)
+
+
+def test_points_are_shuffled_with_pairs_of_like_size_only(spark):
+    """Of 60 pairs 20 are of like size; only those go to the second join with a point in them."""
+    shingles = [np.arange(n, dtype=np.uint64) for n in (10, 11, 40)]
+    rows = [(k, len(s), op7_jaccard.point(s)) for k, s in zip(range(90), shingles * 30, strict=True)]
+    points = spark.createDataFrame([(k, n, bytearray(p)) for k, n, p in rows], "sid long, n long, point binary")
+    pairs = spark.createDataFrame([(k, k + step) for k in range(0, 60, 3) for step in (1, 2, 5)], "a long, b long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = op7_jaccard.bounded_pairs(pairs, points)
+        assert {(r.a, r.b) for r in found.collect()} == {(k, k + 1) for k in range(0, 60, 3)}
+
+        def walk(node):
+            name = node.nodeName()
+            if name.startswith("AdaptiveSparkPlan"):
+                return walk(node.executedPlan())
+            if "QueryStage" in name:
+                return walk(node.plan())
+            wide = name == "Exchange" and "a_point" in node.output().toString() and "b#" in node.output().toString()
+            own = [node.metrics().get("shuffleRecordsWritten").get().value()] if wide else []
+            children = node.children()
+            return own + [n for k in range(children.size()) for n in walk(children.apply(k))]
+
+        assert walk(found._jdf.queryExecution().executedPlan()) == [20]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
